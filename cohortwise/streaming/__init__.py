@@ -1,0 +1,8 @@
+"""No streaming operators.
+
+Every report is a bounded batch over a closed date range; none keeps state
+across runs, uses event-time windows or handles late data. The nearest
+thing, the renewal lookahead, is a fixed-length batch window (see
+``operators.renewal``). Re-running a report over a later range is the way
+to refresh it.
+"""
