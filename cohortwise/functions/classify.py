@@ -1,7 +1,9 @@
-"""Per-row rules as Spark Column expressions.
+"""Per-row rules as Spark SQL expressions.
 
-Every function returns a ``Column`` built from ``pyspark.sql.functions`` so
-the rules stay inside whole-stage codegen; nothing here runs Python per row.
+Each rule has a ``*_sql`` form (SQL text over column names, composable
+into bigger expressions) and, where operators need one, a Column form
+(``F.expr`` of it). Everything runs JVM-side inside whole-stage codegen;
+nothing here runs Python per row.
 """
 
 from __future__ import annotations
@@ -10,90 +12,81 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import rules as R
+from .sqltext import all_of, case, in_list, lit, map_lookup
 
-
-def _col(c: str | Column) -> Column:
-    return F.col(c) if isinstance(c, str) else c
-
-
-def _first_match(branches: list[tuple[Column, Column]], default: Column | None = None) -> Column:
-    """Searched CASE: the first true condition wins."""
-    expr = None
-    for cond, value in branches:
-        expr = F.when(cond, value) if expr is None else expr.when(cond, value)
-    if default is not None:
-        expr = expr.otherwise(default)
-    return expr
+PRODUCT = "product_id_all_product"
 
 
 # --- in-app ----------------------------------------------------------------
 
-def inapp_plan(product: str | Column = "product_id_all_product") -> Column:
+def inapp_plan_sql(product: str = PRODUCT) -> str:
     """Plan period of an in-app product code (年/半年/季/月), NULL if none."""
-    p = _col(product)
-    return _first_match([(p.rlike("(?i)" + pattern), F.lit(plan)) for plan, pattern, _ in R.INAPP_PLANS])
+    return case([(f"{product} RLIKE {lit('(?i)' + pattern)}", lit(plan)) for plan, pattern, _ in R.INAPP_PLANS])
+
+
+def inapp_plan(product: str = PRODUCT) -> Column:
+    return F.expr(inapp_plan_sql(product))
 
 
-def inapp_window_days(plan: str | Column = "period_type") -> Column:
+def inapp_window_days_sql(plan: str = "period_type") -> str:
     """Renewal observation window of an in-app plan, NULL for no plan."""
-    p = _col(plan)
-    return _first_match([(p == F.lit(name), F.lit(days)) for name, _, days in R.INAPP_PLANS])
+    return case([(f"{plan} = {lit(name)}", lit(days)) for name, _, days in R.INAPP_PLANS])
 
 
-def is_web_code(product: str | Column = "product_id_all_product") -> Column:
+def is_web_code_sql(product: str = PRODUCT) -> str:
     """Case-sensitive substring test; NULL product gives NULL (row dropped)."""
-    return _col(product).contains(R.WEB_MARKER)
+    return f"contains({product}, {lit(R.WEB_MARKER)})"
 
 
-def inapp_row_filter() -> Column:
+def inapp_row_filter_sql() -> str:
     """Row predicates shared by in-app base and renewal purchases."""
-    return (
-        ~is_web_code()
-        & (F.col("origin_money") > 0)
-        & (F.col("product_is_subscribe") == 1)
-        & (F.col("distinct_id") != R.INAPP_TEST_DISTINCT_ID)
-        & F.col("device_type").isin(*R.INAPP_DEVICES)
+    return all_of(
+        [
+            f"NOT {is_web_code_sql()}",
+            "origin_money > 0",
+            "product_is_subscribe = 1",
+            f"distinct_id != {lit(R.INAPP_TEST_DISTINCT_ID)}",
+            in_list("device_type", R.INAPP_DEVICES),
+        ]
     )
 
 
 # --- web -------------------------------------------------------------------
 
-def web_code_part(group: int, product: str | Column = "product_id_all_product") -> Column:
-    """Raw text of one group of the web product code ('' if it does not parse)."""
-    return F.regexp_extract(_col(product), R.WEB_CODE_PATTERN, group)
+def web_code_part_sql(group: int, typ: str, product: str = PRODUCT) -> str:
+    """One group of the web product code, cast; NULL if the code does not parse."""
+    return f"try_cast(regexp_extract({product}, {lit(R.WEB_CODE_PATTERN)}, {group}) AS {typ})"
 
 
-def web_first_price(product: str | Column = "product_id_all_product") -> Column:
-    return web_code_part(1, product).try_cast("double")
+def web_first_price_sql(product: str = PRODUCT) -> str:
+    return web_code_part_sql(1, "DOUBLE", product)
 
 
-def web_first_days(product: str | Column = "product_id_all_product") -> Column:
-    return web_code_part(2, product).try_cast("int")
+def web_first_days_sql(product: str = PRODUCT) -> str:
+    return web_code_part_sql(2, "INT", product)
 
 
-def web_renew_days(product: str | Column = "product_id_all_product") -> Column:
-    return web_code_part(4, product).try_cast("int")
+def web_renew_days_sql(product: str = PRODUCT) -> str:
+    return web_code_part_sql(4, "INT", product)
 
 
-def web_product_group(
-    double_extra: str | Column = "webob_product_type_is_double_extra",
-    product_type: str | Column = "webob_product_type",
-) -> Column:
+def web_product_group_sql(
+    double_extra: str = "webob_product_type_is_double_extra",
+    product_type: str = "webob_product_type",
+) -> str:
     """会员 / 一级增值 / 二级增值, first match wins; NULL drops the row."""
-    d, t = _col(double_extra), _col(product_type)
-    return _first_match(
+    return case(
         [
-            (d == R.RAW_DOUBLE_EXTRA, F.lit(R.GROUP_EXTRA2)),
-            ((d == R.RAW_NOT_DOUBLE_EXTRA) & (t == R.RAW_TYPE_EXTRA), F.lit(R.GROUP_EXTRA1)),
-            (t == R.RAW_TYPE_MEMBER, F.lit(R.GROUP_MEMBER)),
+            (f"{double_extra} = {lit(R.RAW_DOUBLE_EXTRA)}", lit(R.GROUP_EXTRA2)),
+            (
+                f"{double_extra} = {lit(R.RAW_NOT_DOUBLE_EXTRA)} AND {product_type} = {lit(R.RAW_TYPE_EXTRA)}",
+                lit(R.GROUP_EXTRA1),
+            ),
+            (f"{product_type} = {lit(R.RAW_TYPE_MEMBER)}", lit(R.GROUP_MEMBER)),
         ]
     )
 
 
-def _map_literal(entries: dict) -> Column:
-    return F.create_map(*[x for k, v in entries.items() for x in (F.lit(k), F.lit(v))])
-
-
 def web_plan_table(label_set: str) -> dict[str, str]:
     """Plan label per 'price class|first days|renewal days' key.
 
@@ -118,79 +111,58 @@ def web_plan_table(label_set: str) -> dict[str, str]:
     return table
 
 
-def web_plan(
-    price: str | Column = "first_price",
-    first_days: str | Column = "first_days",
-    renew_days: str | Column = "renew_days",
-    label_set: str = "renewal",
-) -> Column:
-    """Web plan label from parsed code parts.
+def web_plan_sql(
+    price: str = "first_price", first_days: str = "first_days", renew_days: str = "renew_days", label_set: str = "renewal"
+) -> str:
+    """Web plan label from parsed code parts, NULL if no rule matches.
 
     ``label_set='renewal'`` gives the renewal-report labels, ``'sales'`` the
-    ARPPU / sales-report labels. NULL when no rule matches or the code did
-    not parse. Each parsed part is referenced once (a map lookup), so the
-    regex behind it is not repeated per rule.
+    ARPPU / sales-report labels. Each part is referenced once (a map
+    lookup), so the regex behind it is not repeated per rule.
     """
-    p, f, n = _col(price), _col(first_days), _col(renew_days)
-    price_class = F.when(p == 0, F.lit("zero")).when(p > 0, F.lit("positive"))
-    key = F.concat(price_class, F.lit("|"), f.cast("string"), F.lit("|"), n.cast("string"))
-    return _map_literal(web_plan_table(label_set))[key]
+    price_class = f"CASE WHEN {price} = 0 THEN 'zero' WHEN {price} > 0 THEN 'positive' END"
+    key = f"concat({price_class}, '|', CAST({first_days} AS STRING), '|', CAST({renew_days} AS STRING))"
+    return map_lookup(web_plan_table(label_set), key)
 
 
-def web_window_days_raw(
-    order_type: str | Column = "order_type",
-    first_days: str | Column = "first_days",
-    renew_days: str | Column = "renew_days",
-) -> Column:
+def web_window_days_raw_sql(order_type: str = "order_type", first_days: str = "first_days", renew_days: str = "renew_days") -> str:
     """New orders watch the first period, renewals the renewal period."""
-    o = _col(order_type)
-    return _first_match([(o == R.ORDER_NEW, _col(first_days)), (o == R.ORDER_RENEW, _col(renew_days))])
+    return case([(f"{order_type} = {lit(R.ORDER_NEW)}", first_days), (f"{order_type} = {lit(R.ORDER_RENEW)}", renew_days)])
 
 
-def web_window_days(raw: str | Column = "window_days_raw") -> Column:
+def web_window_days_sql(raw: str = "window_days_raw") -> str:
     table = {raw_days: days for raws, days in R.WEB_WINDOW_DAYS for raw_days in raws}
-    return _map_literal(table)[_col(raw)]
+    return map_lookup(table, raw)
 
 
-def web_entrance_allowed(entrance: str | Column = "purchase_entrance_all_product") -> Column:
+def web_entrance_allowed_sql(entrance: str = "purchase_entrance_all_product") -> str:
     """NULL entrance is kept; listed entrances are excluded."""
-    e = _col(entrance)
-    return e.isNull() | ~e.isin(*R.WEB_EXCLUDED_ENTRANCES)
+    return f"({entrance} IS NULL OR NOT {in_list(entrance, R.WEB_EXCLUDED_ENTRANCES)})"
 
 
 # --- generic ---------------------------------------------------------------
 
-def month_start(d: str | Column = "date") -> Column:
+def month_start_sql(d: str = "date") -> str:
     """First day of the month, as DATE."""
-    return F.trunc(_col(d), "MM")
+    return f"trunc({d}, 'MM')"
 
 
-def half_up_div(num: str | Column, den: str | Column) -> Column:
+def half_up_div_sql(num: str, den: str) -> str:
     """Exact integer num / den rounded half away from zero (den > 0).
 
-    Computed in long arithmetic: floor((2|n| + d) / 2d) with the sign of n.
-    Avoids the double rounding of decimal or double division.
+    Long arithmetic, sign(n) * floor((2|n| + d) / 2d); avoids the double
+    rounding of decimal or floating division.
     """
-    n = _col(num).cast("long")
-    d = _col(den).cast("long")
-    a = F.abs(n) * 2 + d
-    b = d * 2
-    q = (a - F.pmod(a, b)) / b
-    return (F.signum(n) * q).cast("long")
+    n, d = f"CAST({num} AS BIGINT)", f"CAST({den} AS BIGINT)"
+    return f"CAST(sign({n}) * ((abs({n}) * 2 + {d}) div (2 * {d})) AS BIGINT)"
 
 
-def rounded_ratio(num: str | Column, den: str | Column, places: int) -> Column:
-    """round(num / den, places) for integer num and den, NULL when den <= 0."""
+def rounded_ratio_sql(num: str, den: str, places: int) -> str:
+    """round(num / den, places) for integers as DOUBLE; NULL when den <= 0."""
     scale = 10**places
-    d = _col(den)
-    return F.when(d > 0, half_up_div(_col(num).cast("long") * scale, d) / F.lit(float(scale)))
+    return f"CASE WHEN {den} > 0 THEN {half_up_div_sql(f'CAST({num} AS BIGINT) * {scale}', den)} / {scale}.0D END"
 
 
-def rounded_money_ratio(money: str | Column, den: str | Column, places: int = 2) -> Column:
-    """round(money / den, places) for a 2-place decimal sum, NULL when den <= 0."""
-    cents = (_col(money) * 100).cast("long")
-    scale = 10**places
-    d = _col(den)
-    if places == 2:
-        return F.when(d > 0, half_up_div(cents, d) / F.lit(100.0))
-    return F.when(d > 0, half_up_div(cents * scale, d * 100) / F.lit(float(scale)))
+def rounded_money_ratio_sql(money: str, den: str) -> str:
+    """round(money / den, 2) for a 2-place money sum as DOUBLE; NULL when den <= 0."""
+    return f"CASE WHEN {den} > 0 THEN {half_up_div_sql(f'CAST({money} * 100 AS BIGINT)', den)} / 100.0D END"

@@ -9,29 +9,38 @@ seven scenes are a generator over each member row, not a join.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import classify as C
 from ..functions import rules as R
-from .params import DateLike, in_closed_range
+from ..functions.sqltext import all_of, in_list, lit
+from .params import DateLike, in_closed_range_sql
 
 SCENE_ORDER = {scene: i + 1 for i, scene in enumerate(R.SCENES)}
-
-
-def _flag(cond: Column) -> Column:
-    return F.max(F.when(cond, F.lit(1)).otherwise(F.lit(0)))
-
-
-def _entrance_conditions() -> dict[str, Column]:
-    ent = F.col("action_entrance_wup")
-    return {
-        R.SCENE_WALK: F.lit(True),
-        R.SCENE_WORKOUT: ent.isin(R.ENTRANCE_HOME, R.ENTRANCE_WALKBEAT)
-        | ((ent == R.ENTRANCE_OTHER) & (F.col("action_entrance_id_wup") == R.ENTRANCE_OTHER_ID)),
-        R.SCENE_HOME: ent == R.ENTRANCE_HOME,
-        R.SCENE_WALKBEAT: ent == R.ENTRANCE_WALKBEAT,
-    }
+PAGE_SCENES = [R.SCENE_WALK, R.SCENE_WORKOUT, R.SCENE_HOME, R.SCENE_WALKBEAT]
+
+ENT = "action_entrance_wup"
+# start/end entrance rule of scenes 1-4
+ENTRANCE_RULES = [
+    "TRUE",
+    f"({in_list(ENT, [R.ENTRANCE_HOME, R.ENTRANCE_WALKBEAT])} OR "
+    f"({ENT} = {lit(R.ENTRANCE_OTHER)} AND action_entrance_id_wup = {lit(R.ENTRANCE_OTHER_ID)}))",
+    f"{ENT} = {lit(R.ENTRANCE_HOME)}",
+    f"{ENT} = {lit(R.ENTRANCE_WALKBEAT)}",
+]
+VIEW = f"event = {lit(R.EV_PAGEVIEW)}"
+# exposure rule of scenes 1-4
+EXPOSURE_RULES = [
+    f"{VIEW} AND page_id = {R.PAGE_WALK}",
+    f"{VIEW} AND page_id = {R.PAGE_WORKOUT}",
+    f"{VIEW} AND page_id = {R.PAGE_WORKOUT} AND pageinfo = {lit(R.PAGEINFO_HOME)}",
+    f"{VIEW} AND page_id = {R.PAGE_WORKOUT} AND pageinfo = {lit(R.PAGEINFO_WALKBEAT)}",
+]
+FILTER_PAGE = f"{VIEW} AND page_id = {R.PAGE_FILTER}"
+FILTER_USED = (
+    f"event = {lit(R.EV_CLICK)} AND click_id = {R.CLICK_FILTER} AND click_source_url = {lit(R.CLICK_SOURCE_FILTER)}"
+)
 
 
 def user_activity(events: DataFrame, start: DateLike, end: DateLike) -> DataFrame:
@@ -41,27 +50,16 @@ def user_activity(events: DataFrame, start: DateLike, end: DateLike) -> DataFram
     the four exposure rules, seen_filter_page, used_filter (0/1).
     """
     rows = events.where(
-        in_closed_range(start, end) & F.col("event").isin(R.EV_PAGEVIEW, R.EV_CLICK, R.EV_START, R.EV_END)
+        all_of([in_closed_range_sql(start, end), in_list("event", [R.EV_PAGEVIEW, R.EV_CLICK, R.EV_START, R.EV_END])])
     )
-    ev, page, info = F.col("event"), F.col("page_id"), F.col("pageinfo")
-    is_start, is_end, is_view = ev == R.EV_START, ev == R.EV_END, ev == R.EV_PAGEVIEW
     aggs = []
-    for i, (scene, cond) in enumerate(_entrance_conditions().items(), start=1):
-        aggs.append(F.count_if(is_start & cond).alias(f"n_start_{i}"))
-        aggs.append(F.count_if(is_end & cond).alias(f"n_end_{i}"))
-    exposure = [
-        is_view & (page == R.PAGE_WALK),
-        is_view & (page == R.PAGE_WORKOUT),
-        is_view & (page == R.PAGE_WORKOUT) & (info == R.PAGEINFO_HOME),
-        is_view & (page == R.PAGE_WORKOUT) & (info == R.PAGEINFO_WALKBEAT),
-    ]
-    aggs += [_flag(c).alias(f"seen_{i}") for i, c in enumerate(exposure, start=1)]
-    aggs.append(_flag(is_view & (page == R.PAGE_FILTER)).alias("seen_filter_page"))
-    aggs.append(
-        _flag((ev == R.EV_CLICK) & (F.col("click_id") == R.CLICK_FILTER) & (F.col("click_source_url") == R.CLICK_SOURCE_FILTER)).alias(
-            "used_filter"
-        )
-    )
+    for i, rule in enumerate(ENTRANCE_RULES, start=1):
+        aggs.append(F.expr(f"count_if(event = {lit(R.EV_START)} AND {rule}) AS n_start_{i}"))
+        aggs.append(F.expr(f"count_if(event = {lit(R.EV_END)} AND {rule}) AS n_end_{i}"))
+    for i, rule in enumerate(EXPOSURE_RULES, start=1):
+        aggs.append(F.expr(f"max(CASE WHEN {rule} THEN 1 ELSE 0 END) AS seen_{i}"))
+    aggs.append(F.expr(f"max(CASE WHEN {FILTER_PAGE} THEN 1 ELSE 0 END) AS seen_filter_page"))
+    aggs.append(F.expr(f"max(CASE WHEN {FILTER_USED} THEN 1 ELSE 0 END) AS used_filter"))
     return rows.groupBy("user_id").agg(*aggs)
 
 
@@ -75,41 +73,24 @@ def scene_member_rows(events: DataFrame, cohorts: DataFrame, start: DateLike, en
 
     Output: group_name, user_id, scene, scene_order, in_base, in_scene,
     n_start, n_complete. Members with no events keep their rows (zeros),
-    so every arm gets all seven scenes.
+    so every arm gets all seven scenes. The join is on user_id with one
+    activity row per user, so no join key can be hot.
     """
-    members = cohort_members(cohorts)
-    act = user_activity(events, start, end)
-    joined = members.join(act, "user_id", "left")
-
-    def z(c: str) -> Column:
-        return F.coalesce(F.col(c), F.lit(0))
-
-    page, used = z("seen_filter_page") == 1, z("used_filter") == 1
-    member = F.lit(True)
-    specs = [
-        # scene, in_base, in_scene, n_start, n_complete
-        (R.SCENE_WALK, z("seen_1") == 1, member, z("n_start_1"), z("n_end_1")),
-        (R.SCENE_WORKOUT, z("seen_2") == 1, member, z("n_start_2"), z("n_end_2")),
-        (R.SCENE_HOME, z("seen_3") == 1, member, z("n_start_3"), z("n_end_3")),
-        (R.SCENE_WALKBEAT, z("seen_4") == 1, member, z("n_start_4"), z("n_end_4")),
-        (R.SCENE_FILTER_PAGE, page, page, z("n_start_1"), z("n_end_1")),
-        (R.SCENE_FILTER_USED, used, used, z("n_start_1"), z("n_end_1")),
-        (R.SCENE_FILTER_NOT_USED, page & ~used, page & ~used, z("n_start_1"), z("n_end_1")),
-    ]
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(scene).alias("scene"),
-                F.lit(SCENE_ORDER[scene]).alias("scene_order"),
-                in_base.alias("in_base"),
-                in_scene.alias("in_scene"),
-                n_start.cast("long").alias("n_start"),
-                n_complete.cast("long").alias("n_complete"),
-            )
-            for scene, in_base, in_scene, n_start, n_complete in specs
-        ]
+    joined = cohort_members(cohorts).join(user_activity(events, start, end), "user_id", "left")
+
+    def z(c: str) -> str:
+        return f"coalesce({c}, 0)"
+
+    page, used = f"{z('seen_filter_page')} = 1", f"{z('used_filter')} = 1"
+    not_used = f"{page} AND NOT {used}"
+    specs = [(scene, f"{z(f'seen_{i}')} = 1", "TRUE", i) for i, scene in enumerate(PAGE_SCENES, start=1)]
+    specs += [(R.SCENE_FILTER_PAGE, page, page, 1), (R.SCENE_FILTER_USED, used, used, 1), (R.SCENE_FILTER_NOT_USED, not_used, not_used, 1)]
+    structs = ", ".join(
+        f"struct({lit(scene)} AS scene, {SCENE_ORDER[scene]} AS scene_order, {in_base} AS in_base, {in_scene} AS in_scene, "
+        f"CAST({z(f'n_start_{i}')} AS BIGINT) AS n_start, CAST({z(f'n_end_{i}')} AS BIGINT) AS n_complete)"
+        for scene, in_base, in_scene, i in specs
     )
-    return joined.select("group_name", "user_id", F.inline(rows))
+    return joined.selectExpr("group_name", "user_id", f"inline(array({structs}))")
 
 
 def scene_user_activity(events: DataFrame, cohorts: DataFrame, start: DateLike, end: DateLike) -> DataFrame:
@@ -119,20 +100,17 @@ def scene_user_activity(events: DataFrame, cohorts: DataFrame, start: DateLike,
     Output: group_name, scene, user_id, n_start, n_complete.
     """
     rows = scene_member_rows(events, cohorts, start, end)
-    active = F.col("in_scene") & F.col("user_id").isNotNull() & ((F.col("n_start") > 0) | (F.col("n_complete") > 0))
+    active = "in_scene AND user_id IS NOT NULL AND (n_start > 0 OR n_complete > 0)"
     return rows.where(active).select("group_name", "scene", "user_id", "n_start", "n_complete")
 
 
-def group_order(group: str | Column = "group_name") -> Column:
-    g = F.col(group) if isinstance(group, str) else group
-    return F.when(g == R.GROUP_EXPERIMENT, F.lit(1)).otherwise(F.lit(2))
+GROUP_ORDER_SQL = f"CASE WHEN group_name = {lit(R.GROUP_EXPERIMENT)} THEN 1 ELSE 2 END"
 
 
 def experiment_groups(cohorts: DataFrame) -> DataFrame:
     """Distinct members per arm and the arm's sort order."""
     return cohort_members(cohorts).groupBy("group_name").agg(
-        F.count("user_id").alias("user_base"),
-        F.min(group_order()).alias("group_order"),
+        F.expr("count(user_id) AS user_base"), F.expr(f"min({GROUP_ORDER_SQL}) AS group_order")
     )
 
 
@@ -142,73 +120,52 @@ def exposure_base(events: DataFrame, cohorts: DataFrame, start: DateLike, end: D
     Output: group_name, scene, user_base; only non-empty cells.
     """
     rows = scene_member_rows(events, cohorts, start, end)
-    page_scenes = [R.SCENE_WALK, R.SCENE_WORKOUT, R.SCENE_HOME, R.SCENE_WALKBEAT]
     return (
-        rows.where(F.col("scene").isin(*page_scenes) & F.col("in_base"))
+        rows.where(f"in_base AND {in_list('scene', PAGE_SCENES)}")
         .groupBy("group_name", "scene")
-        .agg(F.count("user_id").alias("user_base"))
-        .where(F.col("user_base") > 0)
+        .agg(F.expr("count(user_id) AS user_base"))
+        .where("user_base > 0")
     )
 
 
 def filter_funnel_users(events: DataFrame, cohorts: DataFrame, start: DateLike, end: DateLike) -> DataFrame:
     """(group, user, scene) for the filter page, filter use, and page without use.
 
-    Written as distinct sets and an anti-join on (group, user); every
-    input is one row per user, so no join key can be hot.
+    Written as distinct sets and an anti-join on (group, user); every input
+    is one row per user, so no join key can be hot.
     """
-    members = cohort_members(cohorts).where(F.col("user_id").isNotNull())
-    rows = events.where(in_closed_range(start, end))
-    page_users = (
-        rows.where((F.col("event") == R.EV_PAGEVIEW) & (F.col("page_id") == R.PAGE_FILTER)).select("user_id").distinct()
-    )
-    used_users = (
-        rows.where(
-            (F.col("event") == R.EV_CLICK)
-            & (F.col("click_id") == R.CLICK_FILTER)
-            & (F.col("click_source_url") == R.CLICK_SOURCE_FILTER)
-        )
-        .select("user_id")
-        .distinct()
-    )
+    members = cohort_members(cohorts).where("user_id IS NOT NULL")
+    rows = events.where(in_closed_range_sql(start, end))
+    page_users = rows.where(FILTER_PAGE).select("user_id").distinct()
+    used_users = rows.where(FILTER_USED).select("user_id").distinct()
     page = members.join(page_users, "user_id").select("group_name", "user_id")
     used = members.join(used_users, "user_id").select("group_name", "user_id")
     not_used = page.join(used, ["group_name", "user_id"], "left_anti")
     return (
-        page.withColumn("scene", F.lit(R.SCENE_FILTER_PAGE))
-        .unionByName(used.withColumn("scene", F.lit(R.SCENE_FILTER_USED)))
-        .unionByName(not_used.withColumn("scene", F.lit(R.SCENE_FILTER_NOT_USED)))
+        page.selectExpr("*", f"{lit(R.SCENE_FILTER_PAGE)} AS scene")
+        .unionByName(used.selectExpr("*", f"{lit(R.SCENE_FILTER_USED)} AS scene"))
+        .unionByName(not_used.selectExpr("*", f"{lit(R.SCENE_FILTER_NOT_USED)} AS scene"))
     )
 
 
-def start_uv(n_start: str = "n_start") -> Column:
-    return F.count_if(F.col(n_start) > 0)
-
-
-def complete_uv(n_complete: str = "n_complete") -> Column:
-    return F.count_if(F.col(n_complete) > 0)
-
-
-def retrain_uv(n_start: str = "n_start") -> Column:
-    return F.count_if(F.col(n_start) >= 2)
-
-
-def retrain_rate(retrain: Column, starters: Column) -> Column:
+def retrain_rate_sql(retrain: str, starters: str) -> str:
     """repeat users / starters to 4 places; 0 when nobody started."""
-    return F.when(starters == 0, F.lit(0.0)).otherwise(C.rounded_ratio(retrain, starters, 4))
+    return f"CASE WHEN {starters} = 0 THEN 0.0D ELSE {C.rounded_ratio_sql(retrain, starters, 4)} END"
 
 
 def scene_uv(activity: DataFrame) -> DataFrame:
     """Distinct starters and completers per group and scene."""
-    return activity.groupBy("group_name", "scene").agg(start_uv().alias("start_uv"), complete_uv().alias("complete_uv"))
+    return activity.groupBy("group_name", "scene").agg(
+        F.expr("count_if(n_start > 0) AS start_uv"), F.expr("count_if(n_complete > 0) AS complete_uv")
+    )
 
 
 def repeat_users(activity: DataFrame) -> DataFrame:
     """Users with two or more starts per group and scene, and their rate."""
-    agg = activity.groupBy("group_name", "scene").agg(retrain_uv().alias("retrain_uv"), start_uv().alias("_starters"))
-    return agg.select(
-        "group_name", "scene", "retrain_uv", retrain_rate(F.col("retrain_uv"), F.col("_starters")).alias("retrain_rate")
+    agg = activity.groupBy("group_name", "scene").agg(
+        F.expr("count_if(n_start >= 2) AS retrain_uv"), F.expr("count_if(n_start > 0) AS _starters")
     )
+    return agg.selectExpr("group_name", "scene", "retrain_uv", f"{retrain_rate_sql('retrain_uv', '_starters')} AS retrain_rate")
 
 
 def dense_scene_grid(events: DataFrame, cohorts: DataFrame, start: DateLike, end: DateLike) -> DataFrame:
@@ -218,8 +175,8 @@ def dense_scene_grid(events: DataFrame, cohorts: DataFrame, start: DateLike, end
     """
     rows = scene_member_rows(events, cohorts, start, end)
     return rows.groupBy("group_name", "scene", "scene_order").agg(
-        F.count(F.when(F.col("in_base"), F.col("user_id"))).alias("user_base"),
-        F.min(group_order()).alias("group_order"),
+        F.expr("count(CASE WHEN in_base THEN user_id END) AS user_base"),
+        F.expr(f"min({GROUP_ORDER_SQL}) AS group_order"),
     ).select("group_name", "group_order", "scene", "scene_order", "user_base")
 
 
@@ -231,12 +188,12 @@ def scene_metrics(events: DataFrame, cohorts: DataFrame, start: DateLike, end: D
     retrain_rate.
     """
     rows = scene_member_rows(events, cohorts, start, end)
-    counted = F.col("in_scene") & F.col("user_id").isNotNull()
+    counted = "in_scene AND user_id IS NOT NULL"
     agg = rows.groupBy("group_name", "scene", "scene_order").agg(
-        F.count(F.when(F.col("in_base"), F.col("user_id"))).alias("user_base"),
-        F.count_if(counted & (F.col("n_start") > 0)).alias("start_uv"),
-        F.count_if(counted & (F.col("n_complete") > 0)).alias("complete_uv"),
-        F.count_if(counted & (F.col("n_start") >= 2)).alias("retrain_uv"),
-        F.min(group_order()).alias("group_order"),
+        F.expr("count(CASE WHEN in_base THEN user_id END) AS user_base"),
+        F.expr(f"count_if({counted} AND n_start > 0) AS start_uv"),
+        F.expr(f"count_if({counted} AND n_complete > 0) AS complete_uv"),
+        F.expr(f"count_if({counted} AND n_start >= 2) AS retrain_uv"),
+        F.expr(f"min({GROUP_ORDER_SQL}) AS group_order"),
     )
-    return agg.withColumn("retrain_rate", retrain_rate(F.col("retrain_uv"), F.col("start_uv")))
+    return agg.selectExpr("*", f"{retrain_rate_sql('retrain_uv', 'start_uv')} AS retrain_rate")

@@ -1,4 +1,4 @@
-"""Report parameters as typed values, turned into Column literals.
+"""Report parameters as typed values, turned into SQL predicates.
 
 The reports take a product line and a closed date range. Dates become DATE
 literals so Catalyst folds them and the comparisons reach the scan as
@@ -9,10 +9,8 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from ..functions import rules as R
+from ..functions.sqltext import lit
 
 DateLike = str | dt.date
 
@@ -25,10 +23,6 @@ def as_date(value: DateLike) -> dt.date:
     return dt.date.fromisoformat(str(value))
 
 
-def date_lit(value: DateLike) -> Column:
-    return F.lit(as_date(value))
-
-
 def date_range(start: DateLike, end: DateLike) -> tuple[dt.date, dt.date]:
     s, e = as_date(start), as_date(end)
     if s > e:
@@ -36,20 +30,20 @@ def date_range(start: DateLike, end: DateLike) -> tuple[dt.date, dt.date]:
     return s, e
 
 
-def event_is_line(line: str, event_col: str = "event") -> Column:
+def event_is_line_sql(line: str, event_col: str = "event") -> str:
     """event = the line's purchase event; an unknown line matches nothing."""
     ev = R.line_event(line)
     if ev is None:
-        return F.lit(False)
-    return F.col(event_col) == F.lit(ev)
+        return "FALSE"
+    return f"{event_col} = {lit(ev)}"
 
 
-def in_closed_range(start: DateLike, end: DateLike, col: str = "date") -> Column:
+def in_closed_range_sql(start: DateLike, end: DateLike, col: str = "date") -> str:
     s, e = date_range(start, end)
-    return (F.col(col) >= F.lit(s)) & (F.col(col) <= F.lit(e))
+    return f"{col} >= {lit(s)} AND {col} <= {lit(e)}"
 
 
-def in_renewal_range(start: DateLike, end: DateLike, max_days: int, col: str = "date") -> Column:
+def in_renewal_range_sql(start: DateLike, end: DateLike, max_days: int, col: str = "date") -> str:
     """(start, end + max_days]: every renewal any base row can still see."""
     s, e = date_range(start, end)
-    return (F.col(col) > F.lit(s)) & (F.col(col) <= F.lit(e + dt.timedelta(days=max_days)))
+    return f"{col} > {lit(s)} AND {col} <= {lit(e + dt.timedelta(days=max_days))}"

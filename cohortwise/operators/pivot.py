@@ -1,15 +1,19 @@
 """Long metric rows to wide report rows (D23), and metric stacking.
 
-The pivot always gets the explicit column list, so no job runs to find
-the values and the output schema is fixed. Rows whose pivot value is NULL
-or not listed still create their group row, with NULL cells.
+The pivot takes the explicit column list and is one aggregation of
+``max(CASE WHEN column = c THEN value END)`` per column: no job runs to
+find the values, the output schema is fixed, and unlike
+``groupBy().pivot()`` there is no second aggregation stage. Rows whose
+column is NULL or unlisted still create their group row, with empty cells.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.sqltext import ident, lit
+
 
 def segment_pivot(
     long: DataFrame,
@@ -17,35 +21,27 @@ def segment_pivot(
     column_col: str,
     value_col: str,
     columns: list[str],
-    fill: Column | float | int | None = None,
+    fill: str | None = None,
 ) -> DataFrame:
     """One row per ``keys``, one column per name in ``columns``.
 
-    Every (keys, column) has at most one value; ``fill`` replaces missing
-    cells (a Column may depend on the keys, e.g. fill only one metric).
+    Every (keys, column) has at most one value; ``fill`` is SQL for missing
+    cells (it may depend on the keys, e.g. fill one metric kind only).
     """
-    wide = long.groupBy(*keys).pivot(column_col, columns).agg(F.max(value_col))
-    if fill is None:
-        return wide.select(*keys, *[F.col(f"`{c}`") for c in columns])
-    fill_col = fill if isinstance(fill, Column) else F.lit(fill)
-    return wide.select(*keys, *[F.coalesce(F.col(f"`{c}`"), fill_col).alias(c) for c in columns])
+    cells = []
+    for c in columns:
+        value = f"max(CASE WHEN {ident(column_col)} = {lit(c)} THEN {ident(value_col)} END)"
+        if fill is not None:
+            value = f"coalesce({value}, {fill})"
+        cells.append(F.expr(f"{value} AS {ident(c)}"))
+    return long.groupBy(*keys).agg(*cells)
 
 
-def stack_metrics(df: DataFrame, keys: list[str], metrics: list[tuple[str, Column]], kind_col: str, value_col: str) -> DataFrame:
-    """U1 without a second scan: one input row -> one row per (label, value).
+def stack_metrics(df: DataFrame, keys: list[str], metrics: list[tuple[str, str]], kind_col: str, value_col: str) -> DataFrame:
+    """U1 without a second scan: one input row -> one row per (label, value SQL).
 
     Values are cast to DOUBLE so rates and money share one column.
     """
-    rows = F.array(
-        *[F.struct(F.lit(label).alias("k"), value.cast("double").alias("v")) for label, value in metrics]
-    )
-    out = df.select(*keys, F.inline(rows))
-    return out.withColumnRenamed("k", kind_col).withColumnRenamed("v", value_col)
-
-
-def label_case(pairs: list[tuple[Column, str]]) -> Column:
-    """CASE mapping conditions to report column names; NULL when none match."""
-    expr = None
-    for cond, name in pairs:
-        expr = F.when(cond, F.lit(name)) if expr is None else expr.when(cond, F.lit(name))
-    return expr
+    structs = ", ".join(f"struct({lit(label)} AS k, CAST({value} AS DOUBLE) AS v)" for label, value in metrics)
+    out = df.selectExpr(*[ident(k) for k in keys], f"inline(array({structs}))")
+    return out.withColumnsRenamed({"k": kind_col, "v": value_col})

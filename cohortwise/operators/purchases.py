@@ -1,9 +1,9 @@
 """Base purchase rows and their classification.
 
 Each function takes the wide event table and report parameters and returns
-a lazy DataFrame. Row predicates are plain Column comparisons, so the
-event, date and flag tests reach the scan; the regex classification runs
-in the same codegen stage right after it.
+a lazy DataFrame. Row predicates are plain comparisons, so the event,
+date and flag tests reach the scan (partition and Parquet filters); the
+regex classification runs in the same codegen stage right after it.
 """
 
 from __future__ import annotations
@@ -13,27 +13,29 @@ from pyspark.sql import functions as F
 
 from ..functions import classify as C
 from ..functions import rules as R
-from .params import DateLike, event_is_line, in_closed_range
+from ..functions.sqltext import all_of, in_list, lit
+from .params import DateLike, event_is_line_sql, in_closed_range_sql
 
-PRODUCT = "product_id_all_product"
+PRODUCT = C.PRODUCT
 
 
 # --- in-app ----------------------------------------------------------------
 
-def _inapp_rows(events: DataFrame, line: str, start: DateLike, end: DateLike) -> DataFrame:
-    """Distinct in-app purchases in range, with their plan (NULL if none)."""
-    rows = events.where(event_is_line(line) & in_closed_range(start, end) & C.inapp_row_filter())
-    return rows.select(
-        "event",
-        C.month_start("date").alias("first_month"),
-        "user_id",
-        PRODUCT,
-        "is_first_purchase_withmoney",
-        "device_type",
-        "origin_money",
-        F.col("date").alias("first_date"),
-        C.inapp_plan().alias("period_type"),
-    ).distinct()
+def _inapp_filter(line: str, start: DateLike, end: DateLike) -> str:
+    return all_of([event_is_line_sql(line), in_closed_range_sql(start, end), C.inapp_row_filter_sql()])
+
+
+_INAPP_COLUMNS = [
+    "event",
+    f"{C.month_start_sql()} AS first_month",
+    "user_id",
+    PRODUCT,
+    "is_first_purchase_withmoney",
+    "device_type",
+    "origin_money",
+    "date AS first_date",
+    f"{C.inapp_plan_sql()} AS period_type",
+]
 
 
 def inapp_base_orders(events: DataFrame, line: str, start: DateLike, end: DateLike) -> DataFrame:
@@ -42,42 +44,32 @@ def inapp_base_orders(events: DataFrame, line: str, start: DateLike, end: DateLi
     Output: event, first_month, user_id, product_id_all_product,
     is_first_purchase_withmoney, device_type, origin_money, first_date,
     period_type, diff_days. The plan is a function of the product code, so
-    filtering it before the distinct is equal to filtering after.
+    filtering it before the distinct equals filtering after.
     """
-    rows = events.where(
-        event_is_line(line) & in_closed_range(start, end) & C.inapp_row_filter() & C.inapp_plan().isNotNull()
-    )
-    base = rows.select(
-        "event",
-        C.month_start("date").alias("first_month"),
-        "user_id",
-        PRODUCT,
-        "is_first_purchase_withmoney",
-        "device_type",
-        "origin_money",
-        F.col("date").alias("first_date"),
-        C.inapp_plan().alias("period_type"),
-    ).distinct()
-    return base.withColumn("diff_days", C.inapp_window_days("period_type"))
+    rows = events.where(all_of([_inapp_filter(line, start, end), f"{C.inapp_plan_sql()} IS NOT NULL"]))
+    base = rows.selectExpr(*_INAPP_COLUMNS).distinct()
+    return base.selectExpr("*", f"{C.inapp_window_days_sql()} AS diff_days")
 
 
 def inapp_plan_mix(events: DataFrame, line: str, start: DateLike, end: DateLike) -> DataFrame:
     """Distinct base purchases and users per in-app plan, NULL = no plan."""
-    return _inapp_rows(events, line, start, end).groupBy("period_type").agg(
-        F.count(F.lit(1)).alias("purchases"),
-        F.count_distinct("user_id").alias("users"),
+    rows = events.where(_inapp_filter(line, start, end)).selectExpr(*_INAPP_COLUMNS).distinct()
+    return rows.groupBy("period_type").agg(
+        F.expr("count(1) AS purchases"), F.expr("count(DISTINCT user_id) AS users")
     )
 
 
 # --- web -------------------------------------------------------------------
 
-def _web_row_filter(line: str, start: DateLike, end: DateLike, order_types: tuple[str, ...]):
-    return (
-        event_is_line(line)
-        & in_closed_range(start, end)
-        & C.is_web_code()
-        & F.col("all_product_order_type").isin(*order_types)
-        & C.web_entrance_allowed()
+def _web_filter(line: str, start: DateLike, end: DateLike, order_types: tuple[str, ...]) -> str:
+    return all_of(
+        [
+            event_is_line_sql(line),
+            in_closed_range_sql(start, end),
+            C.is_web_code_sql(),
+            in_list("all_product_order_type", order_types),
+            C.web_entrance_allowed_sql(),
+        ]
     )
 
 
@@ -87,35 +79,38 @@ def web_base_orders(events: DataFrame, line: str, start: DateLike, end: DateLike
     Output: event, event_cn, first_month, user_id, product_id_all_product,
     order_type, product_type_group, origin_money (NULL as 0), first_date,
     product_period_type, window_days_raw, diff_days. Rows without product
-    group, plan or window are dropped; the distinct is taken on the raw
-    money, as the money default is applied after it.
+    group, plan or window are dropped. The distinct is on the raw money,
+    as the money default is applied after it; the code is parsed once per
+    row, ahead of the distinct.
     """
-    rows = events.where(_web_row_filter(line, start, end, R.WEB_ORDER_TYPES) & (F.col("product_is_subscribe") == 1))
-    raw = rows.select(
+    rows = events.where(all_of([_web_filter(line, start, end, R.WEB_ORDER_TYPES), "product_is_subscribe = 1"]))
+    raw = rows.selectExpr(
         "event",
         "date",
         "user_id",
         PRODUCT,
-        F.col("all_product_order_type").alias("order_type"),
+        "all_product_order_type AS order_type",
         "origin_money",
-        C.web_product_group().alias("product_type_group"),
+        f"{C.web_product_group_sql()} AS product_type_group",
+        f"{C.web_first_price_sql()} AS first_price",
+        f"{C.web_first_days_sql()} AS first_days",
+        f"{C.web_renew_days_sql()} AS renew_days",
     ).distinct()
-    parsed = raw.where(F.col("product_type_group").isNotNull()).select(
+    labeled = raw.where("product_type_group IS NOT NULL").selectExpr(
         "event",
-        F.lit(line).alias("event_cn"),
-        C.month_start("date").alias("first_month"),
+        f"{lit(line)} AS event_cn",
+        f"{C.month_start_sql()} AS first_month",
         "user_id",
         PRODUCT,
         "order_type",
         "product_type_group",
-        F.coalesce("origin_money", F.lit(0).cast("decimal(12,2)")).alias("origin_money"),
-        F.col("date").alias("first_date"),
-        C.web_plan(C.web_first_price(), C.web_first_days(), C.web_renew_days(), "renewal").alias("product_period_type"),
-        C.web_window_days_raw("order_type", C.web_first_days(), C.web_renew_days()).alias("window_days_raw"),
+        "coalesce(origin_money, CAST(0 AS DECIMAL(12,2))) AS origin_money",
+        "date AS first_date",
+        f"{C.web_plan_sql(label_set='renewal')} AS product_period_type",
+        f"{C.web_window_days_raw_sql()} AS window_days_raw",
     )
-    return parsed.where(
-        F.col("product_period_type").isNotNull() & F.col("window_days_raw").isNotNull()
-    ).withColumn("diff_days", C.web_window_days("window_days_raw"))
+    kept = labeled.where("product_period_type IS NOT NULL AND window_days_raw IS NOT NULL")
+    return kept.selectExpr("*", f"{C.web_window_days_sql()} AS diff_days")
 
 
 def web_orders(
@@ -133,41 +128,50 @@ def web_orders(
     renew_days, renewal_plan, period_group. Rows without product group are
     dropped.
     """
-    rows = events.where(_web_row_filter(line, start, end, order_types))
-    raw = rows.select(
-        "order_id",
-        "date",
-        PRODUCT,
-        F.col("all_product_order_type").alias("order_type"),
-        F.coalesce("origin_money", F.lit(0).cast("decimal(12,2)")).alias("origin_money"),
-        C.web_product_group().alias("product_type_group"),
-    ).distinct()
-    price, first, renew = C.web_first_price(), C.web_first_days(), C.web_renew_days()
-    return raw.where(F.col("product_type_group").isNotNull()).select(
+    raw = (
+        events.where(_web_filter(line, start, end, order_types))
+        .selectExpr(
+            "order_id",
+            "date",
+            PRODUCT,
+            "all_product_order_type AS order_type",
+            "coalesce(origin_money, CAST(0 AS DECIMAL(12,2))) AS origin_money",
+            f"{C.web_product_group_sql()} AS product_type_group",
+            f"{C.web_first_price_sql()} AS first_price",
+            f"{C.web_first_days_sql()} AS first_days",
+            f"{C.web_renew_days_sql()} AS renew_days",
+        )
+        .distinct()
+    )
+    return raw.where("product_type_group IS NOT NULL").selectExpr(
         "order_id",
         "order_type",
-        C.month_start("date").alias("stat_month"),
+        f"{C.month_start_sql()} AS stat_month",
         "origin_money",
         "product_type_group",
-        price.alias("first_price"),
-        first.alias("first_days"),
-        renew.alias("renew_days"),
-        C.web_plan(price, first, renew, "renewal").alias("renewal_plan"),
-        C.web_plan(price, first, renew, "sales").alias("period_group"),
+        "first_price",
+        "first_days",
+        "renew_days",
+        f"{C.web_plan_sql(label_set='renewal')} AS renewal_plan",
+        f"{C.web_plan_sql(label_set='sales')} AS period_group",
     )
 
 
+def per_cell_orders(orders: DataFrame, keys: list[str]) -> DataFrame:
+    """Money sum and distinct order count per cell, in two levels.
+
+    First per order (partially aggregated map-side, so a hot order or cell
+    collapses before the shuffle), then per cell with a plain count; NULL
+    order ids add money but no order.
+    """
+    per_order = orders.groupBy(*keys, "order_id").agg(F.expr("sum(origin_money) AS money"))
+    return per_order.groupBy(*keys).agg(F.expr("sum(money) AS revenue"), F.expr("count(order_id) AS orders"))
+
+
 def web_product_group_mix(events: DataFrame, line: str, start: DateLike, end: DateLike) -> DataFrame:
     """Distinct orders and revenue per product group (new and renewal orders)."""
-    per_order = (
-        web_orders(events, line, start, end)
-        .groupBy("product_type_group", "order_id")
-        .agg(F.sum("origin_money").alias("money"))
-    )
-    return per_order.groupBy("product_type_group").agg(
-        F.count("order_id").alias("orders"),
-        F.sum("money").cast("double").alias("revenue"),
-    )
+    cells = per_cell_orders(web_orders(events, line, start, end), ["product_type_group"])
+    return cells.selectExpr("product_type_group", "orders", "CAST(revenue AS DOUBLE) AS revenue")
 
 
 def web_plan_mix(events: DataFrame, line: str, start: DateLike, end: DateLike) -> DataFrame:
@@ -176,12 +180,8 @@ def web_plan_mix(events: DataFrame, line: str, start: DateLike, end: DateLike) -
     ``code_parsed`` is 0 for codes the pattern cannot parse; parsed codes
     matching no rule have both labels NULL and ``code_parsed`` 1.
     """
-    orders = web_orders(events, line, start, end).withColumn(
-        "code_parsed", F.when(F.col("first_days").isNotNull(), F.lit(1)).otherwise(F.lit(0))
-    )
-    keys = ["renewal_plan", "period_group", "code_parsed"]
-    per_order = orders.groupBy(*keys, "order_id").agg(F.sum("origin_money").alias("money"))
-    return per_order.groupBy(*keys).agg(
-        F.count("order_id").alias("orders"),
-        F.sum("money").cast("double").alias("revenue"),
+    orders = web_orders(events, line, start, end).selectExpr(
+        "*", "CASE WHEN first_days IS NOT NULL THEN 1 ELSE 0 END AS code_parsed"
     )
+    cells = per_cell_orders(orders, ["renewal_plan", "period_group", "code_parsed"])
+    return cells.selectExpr("renewal_plan", "period_group", "code_parsed", "orders", "CAST(revenue AS DOUBLE) AS revenue")

@@ -12,12 +12,13 @@ all purchases contributes at most one row per day to the window.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import classify as C
 from ..functions import rules as R
-from .params import DateLike, event_is_line, in_renewal_range
+from ..functions.sqltext import all_of, case, lit
+from .params import DateLike, event_is_line_sql, in_renewal_range_sql
 
 KEYS = ["event", "user_id", "product_id_all_product"]
 
@@ -32,29 +33,35 @@ def first_order_per_segment(base: DataFrame) -> DataFrame:
 
     Ties on (first_date, product) are broken by money so the result is
     fixed. ``row_number() = 1`` is planned with a partial WindowGroupLimit
-    before the shuffle, which keeps one row per group and map task.
+    before the shuffle, which keeps one row per group and map task, so a
+    hot user's rows are cut down before they move.
     """
-    w = Window.partitionBy(*WEB_SEGMENT_KEYS, "user_id").orderBy("first_date", "product_id_all_product", "origin_money")
-    return base.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
+    rn = (
+        "row_number() OVER (PARTITION BY " + ", ".join([*WEB_SEGMENT_KEYS, "user_id"])
+        + " ORDER BY first_date, product_id_all_product, origin_money) AS _rn"
+    )
+    return base.selectExpr("*", rn).where("_rn = 1").drop("_rn")
 
 
 # --- D7 --------------------------------------------------------------------
 
-def _renewal_rows(events: DataFrame, line: str, start: DateLike, end: DateLike, kind: str) -> DataFrame:
+def _renewal_filter(line: str, start: DateLike, end: DateLike, kind: str) -> str:
     if kind == "inapp":
-        cond = C.inapp_row_filter()
-        max_days = R.INAPP_MAX_WINDOW
-    elif kind == "web":
-        cond = (
-            C.is_web_code()
-            & (F.col("product_is_subscribe") == 1)
-            & (F.col("all_product_order_type") == R.ORDER_RENEW)
-            & C.web_entrance_allowed()
+        return all_of(
+            [event_is_line_sql(line), in_renewal_range_sql(start, end, R.INAPP_MAX_WINDOW), C.inapp_row_filter_sql()]
+        )
+    if kind == "web":
+        return all_of(
+            [
+                event_is_line_sql(line),
+                in_renewal_range_sql(start, end, R.WEB_MAX_WINDOW),
+                C.is_web_code_sql(),
+                "product_is_subscribe = 1",
+                f"all_product_order_type = {lit(R.ORDER_RENEW)}",
+                C.web_entrance_allowed_sql(),
+            ]
         )
-        max_days = R.WEB_MAX_WINDOW
-    else:
-        raise ValueError(f"unknown purchase kind {kind!r}")
-    return events.where(event_is_line(line) & in_renewal_range(start, end, max_days) & cond)
+    raise ValueError(f"unknown purchase kind {kind!r}")
 
 
 def renewal_days(events: DataFrame, line: str, start: DateLike, end: DateLike, kind: str) -> DataFrame:
@@ -63,17 +70,19 @@ def renewal_days(events: DataFrame, line: str, start: DateLike, end: DateLike, k
     For in-app rows a product without a plan can never match a base key, so
     those rows are dropped before the shuffle.
     """
-    rows = _renewal_rows(events, line, start, end, kind)
+    cond = _renewal_filter(line, start, end, kind)
     if kind == "inapp":
-        rows = rows.where(C.inapp_plan().isNotNull())
-    return rows.select(*KEYS, F.col("date").alias("repay_date")).distinct()
+        cond = all_of([cond, f"{C.inapp_plan_sql()} IS NOT NULL"])
+    return events.where(cond).selectExpr(*KEYS, "date AS repay_date").distinct()
 
 
 def renewal_candidates(events: DataFrame, base: DataFrame, line: str, start: DateLike, end: DateLike, kind: str) -> DataFrame:
     """Distinct later purchases by base customers of the same event, user, product.
 
     The keys of the base are distinct, so an inner join equals a semi-join;
-    the candidate days are deduplicated before it.
+    the candidate days are deduplicated before it. The key side grows with
+    the paying users, so no broadcast is forced: adaptive execution
+    broadcasts it only when its measured size is under the threshold.
     """
     keys = base.select(*KEYS).distinct()
     return renewal_days(events, line, start, end, kind).join(keys, KEYS, "left_semi")
@@ -90,49 +99,50 @@ def flag_renewed(
 ) -> DataFrame:
     """Add ``has_repay`` (1/0) to every base row: a renewal in (d, d + window].
 
-    One shuffle on (event, user, product); inside it rows are sorted by
-    day and a descending range frame gives the earliest renewal strictly
-    after each row in O(rows). A NULL key never matches, as in a join.
+    One shuffle on (event, user, product); inside it rows are sorted by day
+    and a descending range frame (all later days) gives the earliest
+    renewal strictly after each row, in one pass over the partition. A
+    NULL key never matches, as in a join.
     """
-    day = "_cw_day"
-    kind = "_cw_is_base"
-    b = base.select("*", F.unix_date(F.col(date_col)).alias(day), F.lit(1).alias(kind))
-    r = renewals.select(*KEYS, F.unix_date(F.col(repay_col)).alias(day), F.lit(0).alias(kind))
+    b = base.selectExpr("*", f"unix_date({date_col}) AS _cw_day", "1 AS _cw_base")
+    r = renewals.selectExpr(*KEYS, f"unix_date({repay_col}) AS _cw_day", "0 AS _cw_base")
     both = b.unionByName(r, allowMissingColumns=True)
-    later = Window.partitionBy(*KEYS).orderBy(F.col(day).desc()).rangeBetween(Window.unboundedPreceding, -1)
-    next_renewal = F.min(F.when(F.col(kind) == 0, F.col(day))).over(later)
-    keys_known = F.col(KEYS[0]).isNotNull() & F.col(KEYS[1]).isNotNull() & F.col(KEYS[2]).isNotNull()
-    flagged = both.withColumn("_cw_next", next_renewal).where(F.col(kind) == 1)
-    has = F.when(
-        keys_known & F.col("_cw_next").isNotNull() & (F.col("_cw_next") <= F.col(day) + F.col(window_col)),
-        F.lit(1),
-    ).otherwise(F.lit(0))
-    return flagged.withColumn("has_repay", has).select(*base.columns, "has_repay")
+    later = (
+        "min(CASE WHEN _cw_base = 0 THEN _cw_day END) OVER (PARTITION BY " + ", ".join(KEYS)
+        + " ORDER BY _cw_day DESC RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS _cw_next"
+    )
+    keys_known = " AND ".join(f"{k} IS NOT NULL" for k in KEYS)
+    has = (
+        f"CASE WHEN {keys_known} AND _cw_next IS NOT NULL AND _cw_next <= _cw_day + {window_col} "
+        "THEN 1 ELSE 0 END AS has_repay"
+    )
+    flagged = both.selectExpr("*", later).where("_cw_base = 1")
+    return flagged.selectExpr(*base.columns, has)
 
 
 def renewal_flags(base: DataFrame, renewals: DataFrame, group_cols: list[str]) -> DataFrame:
     """Per cohort row (``group_cols``), 1 if any of its base rows renewed."""
-    return flag_renewed(base, renewals).groupBy(*group_cols).agg(F.max("has_repay").alias("has_repay"))
+    return flag_renewed(base, renewals).groupBy(*group_cols).agg(F.expr("max(has_repay) AS has_repay"))
 
 
 # --- D9, D11, D12 (in-app) ------------------------------------------------------
 
-def inapp_segment(
-    plan: str | Column = "period_type",
-    first: str | Column = "is_first_purchase_withmoney",
-    device: str | Column = "device_type",
-) -> Column:
+def inapp_segment_sql(plan: str = "period_type", first: str = "is_first_purchase_withmoney", device: str = "device_type") -> str:
     """Report column of an in-app cohort row; NULL when it has no column."""
-    p = F.col(plan) if isinstance(plan, str) else plan
-    f = F.col(first) if isinstance(first, str) else first
-    d = F.col(device) if isinstance(device, str) else device
-    expr = None
+    branches = []
     for column, plan_name, is_first, dev in R.INAPP_REPORT_COLUMNS:
-        cond = (p == plan_name) & (f == is_first)
+        cond = f"{plan} = {lit(plan_name)} AND {first} = {is_first}"
         if dev is not None:
-            cond = cond & (d == dev)
-        expr = F.when(cond, F.lit(column)) if expr is None else expr.when(cond, F.lit(column))
-    return expr
+            cond += f" AND {device} = {lit(dev)}"
+        branches.append((cond, lit(column)))
+    return case(branches)
+
+
+def _user_counts():
+    return [
+        F.expr("count(user_id) AS base_users"),
+        F.expr("count(CASE WHEN has_repay = 1 THEN user_id END) AS repay_users"),
+    ]
 
 
 def inapp_renewal_users(flags: DataFrame) -> DataFrame:
@@ -142,44 +152,42 @@ def inapp_renewal_users(flags: DataFrame) -> DataFrame:
     plain counts. Segment NULL rows keep months whose rows fall in no
     column. Output: first_month, segment, base_users, repay_users.
     """
-    per_user = flags.groupBy("first_month", inapp_segment().alias("segment"), "user_id").agg(
-        F.max("has_repay").alias("has_repay")
-    )
-    return per_user.groupBy("first_month", "segment").agg(
-        F.count("user_id").alias("base_users"),
-        F.count(F.when(F.col("has_repay") == 1, F.col("user_id"))).alias("repay_users"),
+    per_user = (
+        flags.selectExpr("first_month", f"{inapp_segment_sql()} AS segment", "user_id", "has_repay")
+        .groupBy("first_month", "segment", "user_id")
+        .agg(F.expr("max(has_repay) AS has_repay"))
     )
+    return per_user.groupBy("first_month", "segment").agg(*_user_counts())
 
 
 def renewal_rate(users: DataFrame, places: int = 2) -> DataFrame:
     """Renewed / base users, half up to ``places``; NULL when base is 0."""
-    return users.withColumn("rate", C.rounded_ratio("repay_users", "base_users", places))
+    return users.selectExpr("*", f"{C.rounded_ratio_sql('repay_users', 'base_users', places)} AS rate")
 
 
 def inapp_revenue_base(base: DataFrame) -> DataFrame:
     """Money of the distinct in-app base rows per month and segment."""
-    return base.groupBy("first_month", inapp_segment().alias("segment")).agg(
-        F.sum("origin_money").cast("double").alias("revenue")
+    return (
+        base.selectExpr("first_month", f"{inapp_segment_sql()} AS segment", "origin_money")
+        .groupBy("first_month", "segment")
+        .agg(F.expr("CAST(sum(origin_money) AS DOUBLE) AS revenue"))
     )
 
 
 def inapp_cohort_cells(base: DataFrame, renewals: DataFrame) -> DataFrame:
     """Users, renewed users and money per (month, segment) in one pass.
 
-    Feeds the in-app report: base rows flagged by the window, then one
-    row per (month, segment, user), then counts and sums. Equal to D9 and
-    D12 over the same base.
+    Feeds the in-app report: base rows flagged by the window, then one row
+    per (month, segment, user), then counts and sums. Equal to D9 and D12
+    over the same base.
     """
-    flagged = flag_renewed(base, renewals)
-    per_user = flagged.groupBy("first_month", inapp_segment().alias("segment"), "user_id").agg(
-        F.max("has_repay").alias("has_repay"),
-        F.sum("origin_money").alias("money"),
-    )
-    return per_user.groupBy("first_month", "segment").agg(
-        F.count("user_id").alias("base_users"),
-        F.count(F.when(F.col("has_repay") == 1, F.col("user_id"))).alias("repay_users"),
-        F.sum("money").alias("revenue"),
+    per_user = (
+        flag_renewed(base, renewals)
+        .selectExpr("first_month", f"{inapp_segment_sql()} AS segment", "user_id", "has_repay", "origin_money")
+        .groupBy("first_month", "segment", "user_id")
+        .agg(F.expr("max(has_repay) AS has_repay"), F.expr("sum(origin_money) AS money"))
     )
+    return per_user.groupBy("first_month", "segment").agg(*_user_counts(), F.expr("sum(money) AS revenue"))
 
 
 # --- D10, D13 (web) --------------------------------------------------------
@@ -189,18 +197,13 @@ def web_renewal_users(flags: DataFrame) -> DataFrame:
 
     ``flags`` holds one row per segment and user (D8 over first orders).
     """
-    per_user = flags.groupBy(*WEB_SEGMENT_KEYS, "user_id").agg(F.max("has_repay").alias("has_repay"))
-    return per_user.groupBy(*WEB_SEGMENT_KEYS).agg(
-        F.count("user_id").alias("base_users"),
-        F.count(F.when(F.col("has_repay") == 1, F.col("user_id"))).alias("repay_users"),
-    )
+    per_user = flags.groupBy(*WEB_SEGMENT_KEYS, "user_id").agg(F.expr("max(has_repay) AS has_repay"))
+    return per_user.groupBy(*WEB_SEGMENT_KEYS).agg(*_user_counts())
 
 
 def web_revenue_base(first_orders: DataFrame) -> DataFrame:
     """Money of the first orders per segment, rounded to whole units."""
-    return first_orders.groupBy(*WEB_SEGMENT_KEYS).agg(
-        F.round(F.sum("origin_money"), 0).cast("bigint").alias("revenue_base")
-    )
+    return first_orders.groupBy(*WEB_SEGMENT_KEYS).agg(F.expr("CAST(round(sum(origin_money), 0) AS BIGINT) AS revenue_base"))
 
 
 def web_cohort_cells(first_orders: DataFrame, renewals: DataFrame) -> DataFrame:
@@ -209,9 +212,8 @@ def web_cohort_cells(first_orders: DataFrame, renewals: DataFrame) -> DataFrame:
     First orders are unique per (segment, user), so the counts need no
     second level. Equal to D10 and D13 over the same first orders.
     """
-    flagged = flag_renewed(first_orders, renewals)
-    return flagged.groupBy(*WEB_SEGMENT_KEYS).agg(
-        F.count("user_id").alias("base_users"),
-        F.count(F.when(F.col("has_repay") == 1, F.col("user_id"))).alias("repay_users"),
-        F.round(F.sum("origin_money"), 0).cast("bigint").alias("revenue_base"),
+    return (
+        flag_renewed(first_orders, renewals)
+        .groupBy(*WEB_SEGMENT_KEYS)
+        .agg(*_user_counts(), F.expr("CAST(round(sum(origin_money), 0) AS BIGINT) AS revenue_base"))
     )

@@ -1,28 +1,18 @@
 """Web order revenue metrics (D14, D15) in long form.
 
-Distinct order counts are two-level aggregations: first per order (which
-partially aggregates map-side, so an order or user holding a third of all
-rows collapses before the shuffle), then per cell with a plain count.
+Distinct order counts are two-level aggregations (``per_cell_orders``):
+first per order, which partially aggregates map-side so an order or cell
+holding a third of all rows collapses before the shuffle, then per cell.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..functions import classify as C
 from ..functions import rules as R
 from .params import DateLike
-from .purchases import web_orders
-
-
-def _per_cell(orders: DataFrame, keys: list[str]) -> DataFrame:
-    """money sum and distinct order count per cell; NULL order ids add money only."""
-    per_order = orders.groupBy(*keys, "order_id").agg(F.sum("origin_money").alias("money"))
-    return per_order.groupBy(*keys).agg(
-        F.sum("money").alias("revenue"),
-        F.count("order_id").alias("orders"),
-    )
+from .purchases import per_cell_orders, web_orders
 
 
 def web_arppu(events: DataFrame, line: str, start: DateLike, end: DateLike) -> DataFrame:
@@ -31,27 +21,27 @@ def web_arppu(events: DataFrame, line: str, start: DateLike, end: DateLike) -> D
     Output: order_type, stat_month, product_type_group, period_group,
     revenue, orders, arppu (2 places, half up; NULL with no order id).
     """
-    orders = web_orders(events, line, start, end, R.WEB_ORDER_TYPES).where(F.col("period_group").isNotNull())
-    cells = _per_cell(orders, ["order_type", "stat_month", "product_type_group", "period_group"])
-    return cells.select(
+    orders = web_orders(events, line, start, end, R.WEB_ORDER_TYPES).where("period_group IS NOT NULL")
+    cells = per_cell_orders(orders, ["order_type", "stat_month", "product_type_group", "period_group"])
+    return cells.selectExpr(
         "order_type",
         "stat_month",
         "product_type_group",
         "period_group",
-        F.col("revenue").cast("double").alias("revenue"),
+        "CAST(revenue AS DOUBLE) AS revenue",
         "orders",
-        C.rounded_money_ratio("revenue", "orders").alias("arppu"),
+        f"{C.rounded_money_ratio_sql('revenue', 'orders')} AS arppu",
     )
 
 
 def web_new_sales(events: DataFrame, line: str, start: DateLike, end: DateLike) -> DataFrame:
     """Money and distinct orders of new web orders per month, group and plan."""
-    orders = web_orders(events, line, start, end, (R.ORDER_NEW,)).where(F.col("period_group").isNotNull())
-    cells = _per_cell(orders, ["stat_month", "product_type_group", "period_group"])
-    return cells.select(
+    orders = web_orders(events, line, start, end, (R.ORDER_NEW,)).where("period_group IS NOT NULL")
+    cells = per_cell_orders(orders, ["stat_month", "product_type_group", "period_group"])
+    return cells.selectExpr(
         "stat_month",
         "product_type_group",
         "period_group",
-        F.round("revenue", 2).cast("double").alias("revenue"),
+        "CAST(round(revenue, 2) AS DOUBLE) AS revenue",
         "orders",
     )

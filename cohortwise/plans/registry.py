@@ -10,9 +10,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.sqltext import ident
 from ..operators import experiment as X
 from ..operators import purchases as P
 from ..operators import renewal as N
@@ -29,11 +29,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def _out(df: DataFrame) -> DataFrame:
     """Money as DOUBLE so every engine prints the same values."""
-    cols = []
-    for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
-        cols.append(c.cast("double").alias(f.name) if isinstance(f.dataType, T.DecimalType) else c)
-    return df.select(*cols)
+    cols = [
+        f"CAST({ident(f.name)} AS DOUBLE) AS {ident(f.name)}" if isinstance(f.dataType, T.DecimalType) else ident(f.name)
+        for f in df.schema.fields
+    ]
+    return df.selectExpr(*cols)
 
 
 def _p(spark: SparkSession, d: str) -> DataFrame:
@@ -148,9 +148,8 @@ def dense_scene_grid(spark, d):
 
 def segment_pivot_orders(spark, d):
     """D23 on its own: new-order counts, long -> one row per month x 12 columns."""
-    cells = V.web_new_sales(_p(spark, d), LINE, S, E).withColumn("column", RP._sales_column())
-    wide = segment_pivot(cells, ["stat_month"], "column", "orders", RP.WEB_SALES_COLUMNS, 0)
-    return wide
+    cells = V.web_new_sales(_p(spark, d), LINE, S, E).selectExpr("*", f"{RP.sales_column_sql()} AS column")
+    return segment_pivot(cells, ["stat_month"], "column", "orders", RP.WEB_SALES_COLUMNS, "0")
 
 
 def inapp_renewal_report(spark, d):

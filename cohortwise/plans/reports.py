@@ -4,31 +4,37 @@ Each report reads the event table once (R1 and R2 read it once for base
 rows and once for renewal days, both with pushed-down event and date
 filters), aggregates to small long-form cells, then stacks and pivots to
 the fixed report columns. Metric columns are DOUBLE, counts BIGINT.
+
+The final ORDER BY runs on the pivoted report, whose size is bounded by
+months x metric kinds x groups (not by the data), so it is sorted in one
+partition instead of a range-partitioned sort that would need a sampling
+job.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from ..functions import classify as C
 from ..functions import rules as R
+from ..functions.sqltext import case, ident, lit
 from ..operators import experiment as X
 from ..operators import purchases as P
 from ..operators import renewal as N
 from ..operators import revenue as V
 from ..operators.params import DateLike
-from ..operators.pivot import label_case, segment_pivot, stack_metrics
+from ..operators.pivot import segment_pivot, stack_metrics
 
 INAPP_COLUMNS = [c for c, *_ in R.INAPP_REPORT_COLUMNS]
 WEB_RENEWAL_COLUMNS = [c for c, *_ in R.WEB_RENEWAL_REPORT_COLUMNS]
 WEB_SALES_COLUMNS = [c for c, *_ in R.WEB_SALES_REPORT_COLUMNS]
 
 
-def _sales_column() -> Column:
-    return label_case(
+def sales_column_sql() -> str:
+    """Report column of a (product group, plan) cell of the ARPPU / sales reports."""
+    return case(
         [
-            ((F.col("product_type_group") == group) & (F.col("period_group") == plan), name)
+            (f"product_type_group = {lit(group)} AND period_group = {lit(plan)}", lit(name))
             for name, group, plan in R.WEB_SALES_REPORT_COLUMNS
         ]
     )
@@ -42,18 +48,17 @@ def inapp_renewal_report(events: DataFrame, line: str, start: DateLike, end: Dat
     long = stack_metrics(
         cells,
         ["first_month", "segment"],
-        [
-            (R.METRIC_RATE, C.rounded_ratio("repay_users", "base_users", 2)),
-            (R.METRIC_REVENUE_BASE, F.col("revenue")),
-        ],
+        [(R.METRIC_RATE, C.rounded_ratio_sql("repay_users", "base_users", 2)), (R.METRIC_REVENUE_BASE, "revenue")],
         R.COL_METRIC_KIND,
         "metric_value",
     )
-    fill = F.when(F.col(R.COL_METRIC_KIND) == R.METRIC_REVENUE_BASE, F.lit(0.0))
+    kind = ident(R.COL_METRIC_KIND)
+    fill = f"CASE WHEN {kind} = {lit(R.METRIC_REVENUE_BASE)} THEN 0.0D END"
     wide = segment_pivot(long, [R.COL_METRIC_KIND, "first_month"], "segment", "metric_value", INAPP_COLUMNS, fill)
     wide = wide.withColumnRenamed("first_month", R.COL_BASE_MONTH)
-    rank = F.when(F.col(R.COL_METRIC_KIND) == R.METRIC_RATE, F.lit(1)).otherwise(F.lit(2))
-    return wide.orderBy(rank, F.col(R.COL_BASE_MONTH))
+    rank = f"CASE WHEN {kind} = {lit(R.METRIC_RATE)} THEN 1 ELSE 2 END"
+    out = wide.selectExpr("*", f"{rank} AS _rank").repartition(1).sortWithinPartitions("_rank", R.COL_BASE_MONTH)
+    return out.drop("_rank")
 
 
 def web_first_orders(events: DataFrame, line: str, start: DateLike, end: DateLike) -> DataFrame:
@@ -64,17 +69,13 @@ def web_renewal_report(events: DataFrame, line: str, start: DateLike, end: DateL
     """R2: per metric, line, month and product group x 16 (plan x order type) columns."""
     first = web_first_orders(events, line, start, end)
     renewals = N.renewal_days(events, line, start, end, "web")
-    cells = N.web_cohort_cells(first, renewals).withColumn(
-        "column", F.concat_ws("_", F.col("product_period_type"), F.col("order_type"))
+    cells = N.web_cohort_cells(first, renewals).selectExpr(
+        "*", "concat_ws('_', product_period_type, order_type) AS column"
     )
-    keys = ["event_cn", "first_month", "product_type_group", "column"]
     long = stack_metrics(
         cells,
-        keys,
-        [
-            (R.METRIC_RATE, C.rounded_ratio("repay_users", "base_users", 4)),
-            (R.METRIC_REVENUE_BASE, F.col("revenue_base")),
-        ],
+        ["event_cn", "first_month", "product_type_group", "column"],
+        [(R.METRIC_RATE, C.rounded_ratio_sql("repay_users", "base_users", 4)), (R.METRIC_REVENUE_BASE, "revenue_base")],
         R.COL_METRIC_KIND,
         "metric_value",
     )
@@ -85,50 +86,44 @@ def web_renewal_report(events: DataFrame, line: str, start: DateLike, end: DateL
         "metric_value",
         WEB_RENEWAL_COLUMNS,
     )
-    wide = (
-        wide.withColumnRenamed("event_cn", R.COL_LINE)
-        .withColumnRenamed("first_month", R.COL_BASE_MONTH)
-        .withColumnRenamed("product_type_group", R.COL_PRODUCT_TYPE)
+    wide = wide.withColumnsRenamed(
+        {"event_cn": R.COL_LINE, "first_month": R.COL_BASE_MONTH, "product_type_group": R.COL_PRODUCT_TYPE}
     )
-    return wide.orderBy(R.COL_LINE, R.COL_BASE_MONTH, R.COL_PRODUCT_TYPE, R.COL_METRIC_KIND)
+    return wide.repartition(1).sortWithinPartitions(R.COL_LINE, R.COL_BASE_MONTH, R.COL_PRODUCT_TYPE, R.COL_METRIC_KIND)
 
 
 def web_arppu_report(events: DataFrame, line: str, start: DateLike, end: DateLike) -> DataFrame:
     """ARPPU per order type and month x 12 group/plan columns."""
-    cells = V.web_arppu(events, line, start, end).withColumn("column", _sales_column())
+    cells = V.web_arppu(events, line, start, end).selectExpr("*", f"{sales_column_sql()} AS column")
     wide = segment_pivot(cells, ["order_type", "stat_month"], "column", "arppu", WEB_SALES_COLUMNS)
-    rank = (
-        F.when(F.col("order_type") == R.ORDER_NEW, F.lit(1))
-        .when(F.col("order_type") == R.ORDER_RENEW, F.lit(2))
-        .otherwise(F.lit(3))
-    )
-    wide = wide.orderBy(rank, F.col("stat_month"))
-    return wide.withColumnRenamed("order_type", R.COL_ORDER_TYPE).withColumnRenamed("stat_month", R.COL_MONTH)
+    rank = f"CASE WHEN order_type = {lit(R.ORDER_NEW)} THEN 1 WHEN order_type = {lit(R.ORDER_RENEW)} THEN 2 ELSE 3 END"
+    out = wide.selectExpr("*", f"{rank} AS _rank").repartition(1).sortWithinPartitions("_rank", "stat_month")
+    return out.drop("_rank").withColumnsRenamed({"order_type": R.COL_ORDER_TYPE, "stat_month": R.COL_MONTH})
 
 
 def web_new_sales_report(events: DataFrame, line: str, start: DateLike, end: DateLike) -> DataFrame:
     """Per month, a sales row and an order-count row x 12 group/plan columns."""
-    cells = V.web_new_sales(events, line, start, end).withColumn("column", _sales_column())
+    cells = V.web_new_sales(events, line, start, end).selectExpr("*", f"{sales_column_sql()} AS column")
     long = stack_metrics(
         cells,
         ["stat_month", "column"],
-        [(R.METRIC_SALES, F.col("revenue")), (R.METRIC_ORDERS, F.col("orders"))],
+        [(R.METRIC_SALES, "revenue"), (R.METRIC_ORDERS, "orders")],
         R.COL_DATA_KIND,
         "metric_value",
     )
-    wide = segment_pivot(long, [R.COL_DATA_KIND, "stat_month"], "column", "metric_value", WEB_SALES_COLUMNS, 0.0)
+    wide = segment_pivot(long, [R.COL_DATA_KIND, "stat_month"], "column", "metric_value", WEB_SALES_COLUMNS, "0.0D")
     wide = wide.withColumnRenamed("stat_month", R.COL_MONTH)
-    return wide.orderBy(F.col(R.COL_MONTH).asc(), F.col(R.COL_DATA_KIND).desc())
+    return wide.repartition(1).sortWithinPartitions(wide[R.COL_MONTH].asc(), wide[R.COL_DATA_KIND].desc())
 
 
 def experiment_training_report(events: DataFrame, cohorts: DataFrame, start: DateLike, end: DateLike) -> DataFrame:
     """Per arm and scene, user base, starters, completers and repeat rate."""
-    m = X.scene_metrics(events, cohorts, start, end)
-    return m.orderBy("group_order", "scene_order").select(
-        F.col("group_name").alias(R.COL_GROUP),
-        F.col("scene").alias(R.COL_SCENE),
-        F.col("user_base").alias(R.COL_USER_BASE),
-        F.col("start_uv").alias(R.COL_START_UV),
-        F.col("complete_uv").alias(R.COL_COMPLETE_UV),
-        F.col("retrain_rate").alias(R.COL_RETRAIN_RATE),
+    m = X.scene_metrics(events, cohorts, start, end).repartition(1).sortWithinPartitions("group_order", "scene_order")
+    return m.selectExpr(
+        f"group_name AS {ident(R.COL_GROUP)}",
+        f"scene AS {ident(R.COL_SCENE)}",
+        f"user_base AS {ident(R.COL_USER_BASE)}",
+        f"start_uv AS {ident(R.COL_START_UV)}",
+        f"complete_uv AS {ident(R.COL_COMPLETE_UV)}",
+        f"retrain_rate AS {ident(R.COL_RETRAIN_RATE)}",
     )

@@ -11,11 +11,11 @@ duplicate rows in the same pass.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import rules as R
-from .schemas import COHORT_COLUMNS, MONEY, PURCHASE_COLUMNS, WALK_COLUMNS
+from ..functions.sqltext import case, lit
+from .schemas import PURCHASE_COLUMNS
 
 # --- FIXED VALUES of the test mapping --------------------------------------
 # purchase event by customer key mod 5
@@ -78,121 +78,67 @@ WALK_START = "2024-01-05"
 WALK_END = "2024-01-11"
 
 
-def _pick(values: list, index: Column) -> Column:
+def _pick(values: list, index: str) -> str:
     """values[index] as a CASE on a small fixed list."""
-    expr = None
-    for i, v in enumerate(values):
-        lit = F.lit(v)
-        expr = F.when(index == i, lit) if expr is None else expr.when(index == i, lit)
-    return expr
-
-
-def _idiv(c: Column, n: int) -> Column:
-    """Integer division for non-negative longs."""
-    return ((c - F.pmod(c, F.lit(n))) / n).cast("long")
+    return case([(f"{index} = {i}", lit(v)) for i, v in enumerate(values)])
 
 
 def purchase_events(orders: DataFrame) -> DataFrame:
     """Purchase rows (R1-R4 input) from TPC-H-like ``orders``.
 
     Appends exact copies of orders with key % 17 = 0 and copies with one
-    more unit of money for key % 19 = 0, in the same scan.
+    more unit of money for key % 19 = 0, in the same scan (a generator,
+    not a union of three scans).
     """
-    k = F.col("o_orderkey")
-    c = F.col("o_custkey")
-    g = _idiv(c, 5)
-    h = _idiv(c, 10)
-    day = F.pmod(F.datediff(F.to_date("o_orderdate"), F.lit(FIXTURE_DATE_ORIGIN).cast("date")), F.lit(FIXTURE_DATE_SPAN))
-    price = F.col("o_totalprice").cast(MONEY)
-    base = orders.select(
-        k.alias("order_id"),
-        c.alias("user_id"),
-        F.date_add(F.lit(FIXTURE_DATE_BASE).cast("date"), day.cast("int")).alias("date"),
-        _pick(FIXTURE_EVENTS, F.pmod(c, F.lit(5))).alias("event"),
-        F.when(c == 50, F.lit(R.INAPP_TEST_DISTINCT_ID))
-        .when(F.pmod(c, F.lit(97)) == 3, F.lit(None).cast("string"))
-        .otherwise(c.cast("string"))
-        .alias("distinct_id"),
-        F.when(F.pmod(g, F.lit(2)) == 0, _pick(FIXTURE_INAPP_CODES, F.pmod(h, F.lit(8))))
-        .otherwise(_pick(FIXTURE_WEB_CODES, F.pmod(h, F.lit(10))))
-        .alias("product_id_all_product"),
-        F.when(F.pmod(k, F.lit(13)) == 0, F.lit(None).cast(MONEY))
-        .when(F.pmod(k, F.lit(11)) == 0, F.lit(0).cast(MONEY))
-        .otherwise(price)
-        .alias("origin_money"),
-        F.when(F.pmod(k, F.lit(41)) == 0, F.lit(None).cast("int"))
-        .when(F.pmod(k, F.lit(3)) == 0, F.lit(1))
-        .otherwise(F.lit(0))
-        .alias("is_first_purchase_withmoney"),
-        F.when(F.pmod(k, F.lit(10)) == 9, F.lit(0)).otherwise(F.lit(1)).alias("product_is_subscribe"),
-        F.when(F.pmod(c, F.lit(7)) <= 2, F.lit("IOS"))
-        .when(F.pmod(c, F.lit(7)) <= 5, F.lit("Android"))
-        .otherwise(F.lit("Web"))
-        .alias("device_type"),
-        F.when(F.pmod(k, F.lit(8)) <= 2, F.lit(R.ORDER_NEW))
-        .when(F.pmod(k, F.lit(8)) <= 6, F.lit(R.ORDER_RENEW))
-        .otherwise(F.lit("升级"))
-        .alias("all_product_order_type"),
-        F.when(F.pmod(c, F.lit(29)) == 5, F.lit(None).cast("string"))
-        .when(F.pmod(c, F.lit(3)) == 0, F.lit(R.RAW_TYPE_MEMBER))
-        .otherwise(F.lit(R.RAW_TYPE_EXTRA))
-        .alias("webob_product_type"),
-        F.when((F.pmod(c, F.lit(29)) == 5) | (F.pmod(c, F.lit(3)) == 0), F.lit(None).cast("string"))
-        .when(F.pmod(c, F.lit(3)) == 1, F.lit(R.RAW_NOT_DOUBLE_EXTRA))
-        .otherwise(F.lit(R.RAW_DOUBLE_EXTRA))
-        .alias("webob_product_type_is_double_extra"),
-        F.when(F.pmod(k, F.lit(9)) == 0, F.lit("75"))
-        .when(F.pmod(k, F.lit(9)) == 1, F.lit(None).cast("string"))
-        .otherwise(F.lit("10001"))
-        .alias("purchase_entrance_all_product"),
-    )
-    # copy 0: the row itself; 1: exact duplicate; 2: same order, money + 1
-    exploded = base.select("*", F.explode(_copies_for(F.col("order_id"))).alias("_copy"))
-    out = exploded.withColumn(
-        "origin_money",
-        F.when(F.col("_copy") == 2, (F.col("origin_money") + 1).cast(MONEY)).otherwise(F.col("origin_money")),
-    )
-    return out.select([F.col(f.name).cast(f.dataType) for f in PURCHASE_COLUMNS.fields])
-
-
-def _copies_for(k: Column) -> Column:
-    return F.filter(
-        F.array(
-            F.lit(0),
-            F.when(F.pmod(k, F.lit(17)) == 0, F.lit(1)),
-            F.when(F.pmod(k, F.lit(19)) == 0, F.lit(2)),
-        ),
-        lambda x: x.isNotNull(),
+    k, c = "o_orderkey", "o_custkey"
+    day = f"pmod(datediff(to_date(o_orderdate), DATE {lit(FIXTURE_DATE_ORIGIN)}), {FIXTURE_DATE_SPAN})"
+    copies = f"filter(array(0, CASE WHEN pmod({k}, 17) = 0 THEN 1 END, CASE WHEN pmod({k}, 19) = 0 THEN 2 END), x -> x IS NOT NULL)"
+    rows = orders.selectExpr(
+        f"{k} AS order_id",
+        f"{c} AS user_id",
+        f"date_add(DATE {lit(FIXTURE_DATE_BASE)}, CAST({day} AS INT)) AS date",
+        f"{_pick(FIXTURE_EVENTS, f'pmod({c}, 5)')} AS event",
+        f"CASE WHEN {c} = 50 THEN {lit(R.INAPP_TEST_DISTINCT_ID)} WHEN pmod({c}, 97) = 3 THEN NULL "
+        f"ELSE CAST({c} AS STRING) END AS distinct_id",
+        f"CASE WHEN pmod({c} div 5, 2) = 0 THEN {_pick(FIXTURE_INAPP_CODES, f'pmod({c} div 10, 8)')} "
+        f"ELSE {_pick(FIXTURE_WEB_CODES, f'pmod({c} div 10, 10)')} END AS product_id_all_product",
+        f"CASE WHEN pmod({k}, 13) = 0 THEN NULL WHEN pmod({k}, 11) = 0 THEN CAST(0 AS DECIMAL(12,2)) "
+        "ELSE CAST(o_totalprice AS DECIMAL(12,2)) END AS origin_money",
+        f"CASE WHEN pmod({k}, 41) = 0 THEN NULL WHEN pmod({k}, 3) = 0 THEN 1 ELSE 0 END AS is_first_purchase_withmoney",
+        f"CASE WHEN pmod({k}, 10) = 9 THEN 0 ELSE 1 END AS product_is_subscribe",
+        f"CASE WHEN pmod({c}, 7) <= 2 THEN 'IOS' WHEN pmod({c}, 7) <= 5 THEN 'Android' ELSE 'Web' END AS device_type",
+        f"CASE WHEN pmod({k}, 8) <= 2 THEN {lit(R.ORDER_NEW)} WHEN pmod({k}, 8) <= 6 THEN {lit(R.ORDER_RENEW)} "
+        "ELSE '升级' END AS all_product_order_type",
+        f"CASE WHEN pmod({c}, 29) = 5 THEN NULL WHEN pmod({c}, 3) = 0 THEN {lit(R.RAW_TYPE_MEMBER)} "
+        f"ELSE {lit(R.RAW_TYPE_EXTRA)} END AS webob_product_type",
+        f"CASE WHEN pmod({c}, 29) = 5 OR pmod({c}, 3) = 0 THEN NULL WHEN pmod({c}, 3) = 1 THEN {lit(R.RAW_NOT_DOUBLE_EXTRA)} "
+        f"ELSE {lit(R.RAW_DOUBLE_EXTRA)} END AS webob_product_type_is_double_extra",
+        f"CASE pmod({k}, 9) WHEN 0 THEN '75' WHEN 1 THEN NULL ELSE '10001' END AS purchase_entrance_all_product",
+        f"explode({copies}) AS _copy",
     )
+    money = "CASE WHEN _copy = 2 THEN CAST(origin_money + 1 AS DECIMAL(12,2)) ELSE origin_money END AS origin_money"
+    return rows.selectExpr(*[money if f.name == "origin_money" else f.name for f in PURCHASE_COLUMNS.fields])
 
 
 def walk_events(events: DataFrame) -> DataFrame:
     """Training page-view, click, start and end rows (R5 input) from ``events``."""
-    i = F.col("event_id")
-    t = _idiv(i, 10)
-    i40 = _idiv(i, 40)
-    ev = _pick(FIXTURE_WALK_EVENTS, F.pmod(i, F.lit(10)))
-    page = F.when(ev == R.EV_PAGEVIEW, _pick(FIXTURE_PAGES, F.pmod(t, F.lit(4))))
-    is_click = ev == R.EV_CLICK
-    is_action = ev.isin(R.EV_START, R.EV_END)
-    out = events.select(
-        ev.alias("event"),
-        F.col("ts").cast("date").alias("date"),
-        F.col("user_id"),
-        page.alias("page_id"),
-        F.when(page == R.PAGE_WORKOUT, _pick(FIXTURE_PAGEINFO, F.pmod(i40, F.lit(3)))).alias("pageinfo"),
-        F.when(is_click, F.when(F.pmod(t, F.lit(4)) == 0, F.lit(R.CLICK_FILTER)).otherwise(F.lit(600001))).alias("click_id"),
-        F.when(
-            is_click,
-            F.when(F.pmod(i40, F.lit(2)) == 0, F.lit(R.CLICK_SOURCE_FILTER)).otherwise(F.lit("排序")),
-        ).alias("click_source_url"),
-        F.when(is_action, _pick(FIXTURE_ENTRANCES, F.pmod(t, F.lit(5)))).alias("action_entrance_wup"),
-        F.when(
-            is_action,
-            F.when(F.pmod(_idiv(i, 50), F.lit(2)) == 0, F.lit("2")).otherwise(F.lit("1")),
-        ).alias("action_entrance_id_wup"),
+    i = "event_id"
+    ev = _pick(FIXTURE_WALK_EVENTS, f"pmod({i}, 10)")
+    is_view = f"pmod({i}, 10) IN (0, 1)"
+    is_click = f"pmod({i}, 10) = 2"
+    is_action = f"pmod({i}, 10) BETWEEN 3 AND 8"
+    return events.selectExpr(
+        f"{ev} AS event",
+        "CAST(ts AS DATE) AS date",
+        "user_id",
+        f"CASE WHEN {is_view} THEN {_pick(FIXTURE_PAGES, f'pmod({i} div 10, 4)')} END AS page_id",
+        f"CASE WHEN {is_view} AND pmod({i} div 10, 4) = 1 THEN {_pick(FIXTURE_PAGEINFO, f'pmod({i} div 40, 3)')} END AS pageinfo",
+        f"CASE WHEN {is_click} THEN (CASE WHEN pmod({i} div 10, 4) = 0 THEN {R.CLICK_FILTER} ELSE 600001 END) END AS click_id",
+        f"CASE WHEN {is_click} THEN (CASE WHEN pmod({i} div 40, 2) = 0 THEN {lit(R.CLICK_SOURCE_FILTER)} ELSE '排序' END) END "
+        "AS click_source_url",
+        f"CASE WHEN {is_action} THEN {_pick(FIXTURE_ENTRANCES, f'pmod({i} div 10, 5)')} END AS action_entrance_wup",
+        f"CASE WHEN {is_action} THEN (CASE WHEN pmod({i} div 50, 2) = 0 THEN '2' ELSE '1' END) END AS action_entrance_id_wup",
     )
-    return out.select([F.col(f.name).cast(f.dataType) for f in WALK_COLUMNS.fields])
 
 
 def cohorts(events: DataFrame) -> DataFrame:
@@ -201,22 +147,14 @@ def cohorts(events: DataFrame) -> DataFrame:
     Experiment: even ids and ids ending in 1; control: odd ids (so ids
     ending in 1 are in both arms). Ids divisible by 4 are listed twice.
     """
-    users = events.select("user_id").where(F.col("user_id").isNotNull()).distinct()
-    u = F.col("user_id")
-    tagged = users.select(
-        "user_id",
-        F.filter(
-            F.array(
-                F.when((F.pmod(u, F.lit(2)) == 0) | (F.pmod(u, F.lit(10)) == 1), F.lit(R.GROUP_EXPERIMENT)),
-                F.when(F.pmod(u, F.lit(2)) == 1, F.lit(R.GROUP_CONTROL)),
-            ),
-            lambda x: x.isNotNull(),
-        ).alias("_groups"),
-        F.when(F.pmod(u, F.lit(4)) == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))).alias("_reps"),
+    users = events.select("user_id").where("user_id IS NOT NULL").distinct()
+    lists = (
+        f"filter(array("
+        f"CASE WHEN pmod(user_id, 2) = 0 OR pmod(user_id, 10) = 1 THEN {lit(R.GROUP_EXPERIMENT)} END, "
+        f"CASE WHEN pmod(user_id, 2) = 1 THEN {lit(R.GROUP_CONTROL)} END, "
+        f"CASE WHEN pmod(user_id, 4) = 0 THEN {lit(R.GROUP_EXPERIMENT)} END), x -> x IS NOT NULL)"
     )
-    out = tagged.select(F.explode("_groups").alias("group_name"), "user_id", "_reps")
-    out = out.select("group_name", "user_id", F.explode("_reps").alias("_rep"))
-    return out.select([F.col(f.name).cast(f.dataType) for f in COHORT_COLUMNS.fields])
+    return users.selectExpr(f"explode({lists}) AS group_name", "user_id")
 
 
 def load_purchase_events(spark: SparkSession, sf_dir: str) -> DataFrame:
