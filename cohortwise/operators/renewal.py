@@ -12,13 +12,15 @@ all purchases contributes at most one row per day to the window.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import classify as C
 from ..functions import rules as R
 from ..functions.sqltext import all_of, case, lit
-from .params import DateLike, event_is_line_sql, in_renewal_range_sql
+from .params import DateLike, date_range, event_is_line_sql, in_renewal_range_sql
 
 KEYS = ["event", "user_id", "product_id_all_product"]
 
@@ -107,10 +109,7 @@ def flag_renewed(
     b = base.selectExpr("*", f"unix_date({date_col}) AS _cw_day", "1 AS _cw_base")
     r = renewals.selectExpr(*KEYS, f"unix_date({repay_col}) AS _cw_day", "0 AS _cw_base")
     both = b.unionByName(r, allowMissingColumns=True)
-    later = (
-        "min(CASE WHEN _cw_base = 0 THEN _cw_day END) OVER (PARTITION BY " + ", ".join(KEYS)
-        + " ORDER BY _cw_day DESC RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS _cw_next"
-    )
+    later = _next_renewal_sql("_cw_base = 0", "_cw_day")
     keys_known = " AND ".join(f"{k} IS NOT NULL" for k in KEYS)
     has = (
         f"CASE WHEN {keys_known} AND _cw_next IS NOT NULL AND _cw_next <= _cw_day + {window_col} "
@@ -120,6 +119,62 @@ def flag_renewed(
     return flagged.selectExpr(*base.columns, has)
 
 
+def _next_renewal_sql(is_renewal: str, day: str, alias: str = "_cw_next") -> str:
+    """Earliest renewal day strictly after this row's day, within its key."""
+    return (
+        f"min(CASE WHEN {is_renewal} THEN {day} END) OVER (PARTITION BY " + ", ".join(KEYS)
+        + f" ORDER BY {day} DESC RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS {alias}"
+    )
+
+
+def inapp_base_with_renewals(events: DataFrame, line: str, start: DateLike, end: DateLike) -> DataFrame:
+    """D1 base rows with ``has_repay`` (D8 per row), from one scan.
+
+    In-app base and renewal purchases pass the same row predicates and
+    differ only in date range, so one scan of [s, e + 380] feeds both: a
+    row is a base row if its date is in [s, e] and a renewal candidate if
+    it is after s. One distinct (partially aggregated before its shuffle)
+    keeps the distinct base rows and one row per key and day for the rest
+    (their base-only columns are nulled), then one window flags the base
+    rows. Output: the D1 columns plus has_repay.
+    """
+    s, e = date_range(start, end)
+    in_base = f"date <= {lit(e)}"
+    rows = events.where(
+        all_of(
+            [
+                event_is_line_sql(line),
+                f"date >= {lit(s)} AND date <= {lit(e + dt.timedelta(days=R.INAPP_MAX_WINDOW))}",
+                C.inapp_row_filter_sql(),
+                f"{C.inapp_plan_sql()} IS NOT NULL",
+            ]
+        )
+    )
+    tagged = rows.selectExpr(
+        *KEYS,
+        "date",
+        f"{in_base} AS _cw_base",
+        f"date > {lit(s)} AS _cw_renewal",
+        *[f"CASE WHEN {in_base} THEN {c} END AS {c}" for c in ("is_first_purchase_withmoney", "device_type", "origin_money")],
+    ).distinct()
+    flagged = tagged.selectExpr("*", _next_renewal_sql("_cw_renewal", "unix_date(date)")).where("_cw_base")
+    keys_known = " AND ".join(f"{k} IS NOT NULL" for k in KEYS)
+    return flagged.selectExpr(
+        "event",
+        f"{C.month_start_sql()} AS first_month",
+        "user_id",
+        "product_id_all_product",
+        "is_first_purchase_withmoney",
+        "device_type",
+        "origin_money",
+        "date AS first_date",
+        f"{C.inapp_plan_sql()} AS period_type",
+        f"{C.inapp_window_days_sql(C.inapp_plan_sql())} AS diff_days",
+        f"CASE WHEN {keys_known} AND _cw_next IS NOT NULL "
+        f"AND _cw_next <= unix_date(date) + {C.inapp_window_days_sql(C.inapp_plan_sql())} THEN 1 ELSE 0 END AS has_repay",
+    )
+
+
 def renewal_flags(base: DataFrame, renewals: DataFrame, group_cols: list[str]) -> DataFrame:
     """Per cohort row (``group_cols``), 1 if any of its base rows renewed."""
     return flag_renewed(base, renewals).groupBy(*group_cols).agg(F.expr("max(has_repay) AS has_repay"))
@@ -174,16 +229,14 @@ def inapp_revenue_base(base: DataFrame) -> DataFrame:
     )
 
 
-def inapp_cohort_cells(base: DataFrame, renewals: DataFrame) -> DataFrame:
+def inapp_cohort_cells(flagged: DataFrame) -> DataFrame:
     """Users, renewed users and money per (month, segment) in one pass.
 
-    Feeds the in-app report: base rows flagged by the window, then one row
-    per (month, segment, user), then counts and sums. Equal to D9 and D12
-    over the same base.
+    From base rows carrying ``has_repay``: one row per (month, segment,
+    user), then counts and sums. Equal to D9 and D12 over the same base.
     """
     per_user = (
-        flag_renewed(base, renewals)
-        .selectExpr("first_month", f"{inapp_segment_sql()} AS segment", "user_id", "has_repay", "origin_money")
+        flagged.selectExpr("first_month", f"{inapp_segment_sql()} AS segment", "user_id", "has_repay", "origin_money")
         .groupBy("first_month", "segment", "user_id")
         .agg(F.expr("max(has_repay) AS has_repay"), F.expr("sum(origin_money) AS money"))
     )

@@ -7,8 +7,8 @@ the fixed report columns. Metric columns are DOUBLE, counts BIGINT.
 
 The final ORDER BY runs on the pivoted report, whose size is bounded by
 months x metric kinds x groups (not by the data), so it is sorted in one
-partition instead of a range-partitioned sort that would need a sampling
-job.
+partition (``coalesce(1)``: no extra shuffle, and no sampling job as a
+range-partitioned sort would need).
 """
 
 from __future__ import annotations
@@ -42,9 +42,7 @@ def sales_column_sql() -> str:
 
 def inapp_renewal_report(events: DataFrame, line: str, start: DateLike, end: DateLike) -> DataFrame:
     """Per base month, a renewal-rate row and a base-revenue row x 10 segments."""
-    base = P.inapp_base_orders(events, line, start, end)
-    renewals = N.renewal_days(events, line, start, end, "inapp")
-    cells = N.inapp_cohort_cells(base, renewals)
+    cells = N.inapp_cohort_cells(N.inapp_base_with_renewals(events, line, start, end))
     long = stack_metrics(
         cells,
         ["first_month", "segment"],
@@ -57,7 +55,7 @@ def inapp_renewal_report(events: DataFrame, line: str, start: DateLike, end: Dat
     wide = segment_pivot(long, [R.COL_METRIC_KIND, "first_month"], "segment", "metric_value", INAPP_COLUMNS, fill)
     wide = wide.withColumnRenamed("first_month", R.COL_BASE_MONTH)
     rank = f"CASE WHEN {kind} = {lit(R.METRIC_RATE)} THEN 1 ELSE 2 END"
-    out = wide.selectExpr("*", f"{rank} AS _rank").repartition(1).sortWithinPartitions("_rank", R.COL_BASE_MONTH)
+    out = wide.selectExpr("*", f"{rank} AS _rank").coalesce(1).sortWithinPartitions("_rank", R.COL_BASE_MONTH)
     return out.drop("_rank")
 
 
@@ -89,7 +87,7 @@ def web_renewal_report(events: DataFrame, line: str, start: DateLike, end: DateL
     wide = wide.withColumnsRenamed(
         {"event_cn": R.COL_LINE, "first_month": R.COL_BASE_MONTH, "product_type_group": R.COL_PRODUCT_TYPE}
     )
-    return wide.repartition(1).sortWithinPartitions(R.COL_LINE, R.COL_BASE_MONTH, R.COL_PRODUCT_TYPE, R.COL_METRIC_KIND)
+    return wide.coalesce(1).sortWithinPartitions(R.COL_LINE, R.COL_BASE_MONTH, R.COL_PRODUCT_TYPE, R.COL_METRIC_KIND)
 
 
 def web_arppu_report(events: DataFrame, line: str, start: DateLike, end: DateLike) -> DataFrame:
@@ -97,7 +95,7 @@ def web_arppu_report(events: DataFrame, line: str, start: DateLike, end: DateLik
     cells = V.web_arppu(events, line, start, end).selectExpr("*", f"{sales_column_sql()} AS column")
     wide = segment_pivot(cells, ["order_type", "stat_month"], "column", "arppu", WEB_SALES_COLUMNS)
     rank = f"CASE WHEN order_type = {lit(R.ORDER_NEW)} THEN 1 WHEN order_type = {lit(R.ORDER_RENEW)} THEN 2 ELSE 3 END"
-    out = wide.selectExpr("*", f"{rank} AS _rank").repartition(1).sortWithinPartitions("_rank", "stat_month")
+    out = wide.selectExpr("*", f"{rank} AS _rank").coalesce(1).sortWithinPartitions("_rank", "stat_month")
     return out.drop("_rank").withColumnsRenamed({"order_type": R.COL_ORDER_TYPE, "stat_month": R.COL_MONTH})
 
 
@@ -113,12 +111,12 @@ def web_new_sales_report(events: DataFrame, line: str, start: DateLike, end: Dat
     )
     wide = segment_pivot(long, [R.COL_DATA_KIND, "stat_month"], "column", "metric_value", WEB_SALES_COLUMNS, "0.0D")
     wide = wide.withColumnRenamed("stat_month", R.COL_MONTH)
-    return wide.repartition(1).sortWithinPartitions(wide[R.COL_MONTH].asc(), wide[R.COL_DATA_KIND].desc())
+    return wide.coalesce(1).sortWithinPartitions(wide[R.COL_MONTH].asc(), wide[R.COL_DATA_KIND].desc())
 
 
 def experiment_training_report(events: DataFrame, cohorts: DataFrame, start: DateLike, end: DateLike) -> DataFrame:
     """Per arm and scene, user base, starters, completers and repeat rate."""
-    m = X.scene_metrics(events, cohorts, start, end).repartition(1).sortWithinPartitions("group_order", "scene_order")
+    m = X.scene_metrics(events, cohorts, start, end).coalesce(1).sortWithinPartitions("group_order", "scene_order")
     return m.selectExpr(
         f"group_name AS {ident(R.COL_GROUP)}",
         f"scene AS {ident(R.COL_SCENE)}",

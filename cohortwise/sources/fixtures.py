@@ -92,7 +92,10 @@ def purchase_events(orders: DataFrame) -> DataFrame:
     """
     k, c = "o_orderkey", "o_custkey"
     day = f"pmod(datediff(to_date(o_orderdate), DATE {lit(FIXTURE_DATE_ORIGIN)}), {FIXTURE_DATE_SPAN})"
-    copies = f"filter(array(0, CASE WHEN pmod({k}, 17) = 0 THEN 1 END, CASE WHEN pmod({k}, 19) = 0 THEN 2 END), x -> x IS NOT NULL)"
+    copies = (
+        f"CASE WHEN pmod({k}, 17) = 0 AND pmod({k}, 19) = 0 THEN array(0, 1, 2) WHEN pmod({k}, 17) = 0 THEN array(0, 1) "
+        f"WHEN pmod({k}, 19) = 0 THEN array(0, 2) ELSE array(0) END"
+    )
     rows = orders.selectExpr(
         f"{k} AS order_id",
         f"{c} AS user_id",
@@ -148,22 +151,29 @@ def cohorts(events: DataFrame) -> DataFrame:
     ending in 1 are in both arms). Ids divisible by 4 are listed twice.
     """
     users = events.select("user_id").where("user_id IS NOT NULL").distinct()
+    exp, ctl = lit(R.GROUP_EXPERIMENT), lit(R.GROUP_CONTROL)
     lists = (
-        f"filter(array("
-        f"CASE WHEN pmod(user_id, 2) = 0 OR pmod(user_id, 10) = 1 THEN {lit(R.GROUP_EXPERIMENT)} END, "
-        f"CASE WHEN pmod(user_id, 2) = 1 THEN {lit(R.GROUP_CONTROL)} END, "
-        f"CASE WHEN pmod(user_id, 4) = 0 THEN {lit(R.GROUP_EXPERIMENT)} END), x -> x IS NOT NULL)"
+        f"CASE WHEN pmod(user_id, 4) = 0 THEN array({exp}, {exp}) WHEN pmod(user_id, 2) = 0 THEN array({exp}) "
+        f"WHEN pmod(user_id, 10) = 1 THEN array({exp}, {ctl}) ELSE array({ctl}) END"
     )
     return users.selectExpr(f"explode({lists}) AS group_name", "user_id")
 
 
+# driver tables, read with their declared schemas (no footer inference job)
+ORDERS_SCHEMA = (
+    "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+    "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING"
+)
+EVENTS_SCHEMA = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
+
+
 def load_purchase_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return purchase_events(spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    return purchase_events(spark.read.schema(ORDERS_SCHEMA).parquet(f"{sf_dir}/orders.parquet"))
 
 
 def load_walk_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return walk_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return walk_events(spark.read.schema(EVENTS_SCHEMA).parquet(f"{sf_dir}/events.parquet"))
 
 
 def load_cohorts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cohorts(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return cohorts(spark.read.schema(EVENTS_SCHEMA).parquet(f"{sf_dir}/events.parquet"))
