@@ -73,30 +73,19 @@ def _web_filter(line: str, start: DateLike, end: DateLike, order_types: tuple[st
     )
 
 
-def web_base_orders(events: DataFrame, line: str, start: DateLike, end: DateLike) -> DataFrame:
-    """D3: distinct web subscription base purchases with parsed code and window.
-
-    Output: event, event_cn, first_month, user_id, product_id_all_product,
-    order_type, product_type_group, origin_money (NULL as 0), first_date,
-    product_period_type, window_days_raw, diff_days. Rows without product
-    group, plan or window are dropped. The distinct is on the raw money,
-    as the money default is applied after it; the code is parsed once per
-    row, ahead of the distinct.
-    """
-    rows = events.where(all_of([_web_filter(line, start, end, R.WEB_ORDER_TYPES), "product_is_subscribe = 1"]))
-    raw = rows.selectExpr(
-        "event",
-        "date",
-        "user_id",
-        PRODUCT,
-        "all_product_order_type AS order_type",
-        "origin_money",
-        f"{C.web_product_group_sql()} AS product_type_group",
-        f"{C.web_first_price_sql()} AS first_price",
-        f"{C.web_first_days_sql()} AS first_days",
-        f"{C.web_renew_days_sql()} AS renew_days",
-    ).distinct()
-    labeled = raw.where("product_type_group IS NOT NULL").selectExpr(
+WEB_RAW_COLUMNS = {
+    "order_type": "all_product_order_type",
+    "origin_money": "origin_money",
+    "product_type_group": C.web_product_group_sql(),
+    "first_price": C.web_first_price_sql(),
+    "first_days": C.web_first_days_sql(),
+    "renew_days": C.web_renew_days_sql(),
+}
+
+
+def web_label_columns(line: str) -> list[str]:
+    """SQL of the D3 columns over raw web rows (group, plan, window)."""
+    return [
         "event",
         f"{lit(line)} AS event_cn",
         f"{C.month_start_sql()} AS first_month",
@@ -108,11 +97,40 @@ def web_base_orders(events: DataFrame, line: str, start: DateLike, end: DateLike
         "date AS first_date",
         f"{C.web_plan_sql(label_set='renewal')} AS product_period_type",
         f"{C.web_window_days_raw_sql()} AS window_days_raw",
-    )
-    kept = labeled.where("product_period_type IS NOT NULL AND window_days_raw IS NOT NULL")
+    ]
+
+
+WEB_LABELED = "product_type_group IS NOT NULL AND product_period_type IS NOT NULL AND window_days_raw IS NOT NULL"
+
+
+def label_web_base(raw: DataFrame, line: str) -> DataFrame:
+    """Distinct raw web rows -> D3 rows: group, plan, window; unlabeled rows dropped."""
+    labeled = raw.where("product_type_group IS NOT NULL").selectExpr(*web_label_columns(line))
+    kept = labeled.where(WEB_LABELED)
     return kept.selectExpr("*", f"{C.web_window_days_sql()} AS diff_days")
 
 
+def web_base_filter_sql(line: str, start: DateLike, end: DateLike) -> str:
+    return all_of([_web_filter(line, start, end, R.WEB_ORDER_TYPES), "product_is_subscribe = 1"])
+
+
+def web_base_orders(events: DataFrame, line: str, start: DateLike, end: DateLike) -> DataFrame:
+    """D3: distinct web subscription base purchases with parsed code and window.
+
+    Output: event, event_cn, first_month, user_id, product_id_all_product,
+    order_type, product_type_group, origin_money (NULL as 0), first_date,
+    product_period_type, window_days_raw, diff_days. Rows without product
+    group, plan or window are dropped. The distinct is on the raw money,
+    as the money default is applied after it; the code is parsed once per
+    row, ahead of the distinct.
+    """
+    rows = events.where(web_base_filter_sql(line, start, end))
+    raw = rows.selectExpr(
+        "event", "date", "user_id", PRODUCT, *[f"{v} AS {k}" for k, v in WEB_RAW_COLUMNS.items()]
+    ).distinct()
+    return label_web_base(raw, line)
+
+
 def web_orders(
     events: DataFrame,
     line: str,

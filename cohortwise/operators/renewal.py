@@ -175,6 +175,48 @@ def inapp_base_with_renewals(events: DataFrame, line: str, start: DateLike, end:
     )
 
 
+def web_first_orders_with_renewals(events: DataFrame, line: str, start: DateLike, end: DateLike) -> DataFrame:
+    """D6 first orders with ``has_repay`` (D8 per row), from one scan.
+
+    Web renewals (order type 续订) pass the base predicates too, over a
+    longer range, so one scan of [s, e + 190] and one distinct feed both
+    roles: rows dated up to e are base candidates (labeled, ranked for the
+    first order of their segment and user), rows after s of type 续订 are
+    renewal days (their base-only columns nulled so they collapse to one
+    per key and day). First orders and renewal days then go through the
+    renewal window together. Output: the D6 columns plus has_repay.
+    """
+    from . import purchases as P
+
+    s, e = date_range(start, end)
+    in_base = f"date <= {lit(e)}"
+    rows = events.where(P.web_base_filter_sql(line, s, e + dt.timedelta(days=R.WEB_MAX_WINDOW)))
+    tagged = rows.selectExpr(
+        *KEYS,
+        "date",
+        f"{in_base} AS _cw_base",
+        f"date > {lit(s)} AND all_product_order_type = {lit(R.ORDER_RENEW)} AS _cw_renewal",
+        *[f"CASE WHEN {in_base} THEN {v} END AS {k}" for k, v in P.WEB_RAW_COLUMNS.items()],
+    ).distinct()
+    labeled = tagged.selectExpr("date", "_cw_base", "_cw_renewal", *P.web_label_columns(line)).selectExpr(
+        "*", f"_cw_base AND {P.WEB_LABELED} AS _cw_cand", f"{C.web_window_days_sql()} AS diff_days"
+    )
+    rank = (
+        "row_number() OVER (PARTITION BY _cw_cand, " + ", ".join([*WEB_SEGMENT_KEYS, "user_id"])
+        + " ORDER BY first_date, product_id_all_product, origin_money) AS _cw_rn"
+    )
+    kept = labeled.selectExpr("*", rank).where("(_cw_cand AND _cw_rn = 1) OR _cw_renewal")
+    first = "_cw_cand AND _cw_rn = 1"
+    flagged = kept.selectExpr("*", _next_renewal_sql("_cw_renewal", "unix_date(date)")).where(first)
+    keys_known = " AND ".join(f"{k} IS NOT NULL" for k in KEYS)
+    out_cols = [c for c in labeled.columns if not c.startswith("_cw_") and c != "date"]
+    return flagged.selectExpr(
+        *out_cols,
+        f"CASE WHEN {keys_known} AND _cw_next IS NOT NULL AND _cw_next <= unix_date(date) + diff_days "
+        "THEN 1 ELSE 0 END AS has_repay",
+    )
+
+
 def renewal_flags(base: DataFrame, renewals: DataFrame, group_cols: list[str]) -> DataFrame:
     """Per cohort row (``group_cols``), 1 if any of its base rows renewed."""
     return flag_renewed(base, renewals).groupBy(*group_cols).agg(F.expr("max(has_repay) AS has_repay"))
@@ -259,14 +301,13 @@ def web_revenue_base(first_orders: DataFrame) -> DataFrame:
     return first_orders.groupBy(*WEB_SEGMENT_KEYS).agg(F.expr("CAST(round(sum(origin_money), 0) AS BIGINT) AS revenue_base"))
 
 
-def web_cohort_cells(first_orders: DataFrame, renewals: DataFrame) -> DataFrame:
+def web_cohort_cells(flagged_first_orders: DataFrame) -> DataFrame:
     """Users, renewed users and whole-unit money per web segment in one pass.
 
-    First orders are unique per (segment, user), so the counts need no
-    second level. Equal to D10 and D13 over the same first orders.
+    From first orders carrying ``has_repay``; they are unique per (segment,
+    user), so the counts need no second level. Equal to D10 and D13 over
+    the same first orders.
     """
-    return (
-        flag_renewed(first_orders, renewals)
-        .groupBy(*WEB_SEGMENT_KEYS)
-        .agg(*_user_counts(), F.expr("CAST(round(sum(origin_money), 0) AS BIGINT) AS revenue_base"))
+    return flagged_first_orders.groupBy(*WEB_SEGMENT_KEYS).agg(
+        *_user_counts(), F.expr("CAST(round(sum(origin_money), 0) AS BIGINT) AS revenue_base")
     )

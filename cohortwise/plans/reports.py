@@ -65,9 +65,7 @@ def web_first_orders(events: DataFrame, line: str, start: DateLike, end: DateLik
 
 def web_renewal_report(events: DataFrame, line: str, start: DateLike, end: DateLike) -> DataFrame:
     """R2: per metric, line, month and product group x 16 (plan x order type) columns."""
-    first = web_first_orders(events, line, start, end)
-    renewals = N.renewal_days(events, line, start, end, "web")
-    cells = N.web_cohort_cells(first, renewals).selectExpr(
+    cells = N.web_cohort_cells(N.web_first_orders_with_renewals(events, line, start, end)).selectExpr(
         "*", "concat_ws('_', product_period_type, order_type) AS column"
     )
     long = stack_metrics(

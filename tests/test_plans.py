@@ -25,7 +25,7 @@ def test_no_python_and_no_pairs(spark, name):
     "name,table,scans",
     [
         ("inapp_renewal_report", "orders", 1),
-        ("web_renewal_report", "orders", 2),
+        ("web_renewal_report", "orders", 1),
         ("web_arppu_report", "orders", 1),
         ("web_new_sales_report", "orders", 1),
         ("experiment_training_report", "events", 2),  # event rows + the cohort lists
