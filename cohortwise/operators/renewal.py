@@ -92,51 +92,74 @@ def renewal_candidates(events: DataFrame, base: DataFrame, line: str, start: Dat
 
 # --- D8 --------------------------------------------------------------------
 
-def flag_renewed(
+def _next_renewal_sql(is_renewal: str, day: str, alias: str = "_cw_next") -> str:
+    """Earliest renewal day strictly after this row's day, within its key.
+
+    A descending RANGE frame from the partition start to one day before the
+    current row: Spark keeps one running minimum per partition, one pass.
+    """
+    return (
+        f"min(CASE WHEN {is_renewal} THEN {day} END) OVER (PARTITION BY " + ", ".join(KEYS)
+        + f" ORDER BY {day} DESC RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS {alias}"
+    )
+
+
+def _has_repay_sql(day: str, window: str) -> str:
+    """1 if the next renewal falls in (day, day + window]; a NULL key never matches."""
+    keys_known = " AND ".join(f"{k} IS NOT NULL" for k in KEYS)
+    return (
+        f"CASE WHEN {keys_known} AND _cw_next IS NOT NULL AND _cw_next <= {day} + {window} "
+        "THEN 1 ELSE 0 END AS has_repay"
+    )
+
+
+def renewal_flags(
     base: DataFrame,
     renewals: DataFrame,
+    group_cols: list[str],
     date_col: str = "first_date",
     window_col: str = "diff_days",
     repay_col: str = "repay_date",
 ) -> DataFrame:
-    """Add ``has_repay`` (1/0) to every base row: a renewal in (d, d + window].
-
-    One shuffle on (event, user, product); inside it rows are sorted by day
-    and a descending range frame (all later days) gives the earliest
-    renewal strictly after each row, in one pass over the partition. A
-    NULL key never matches, as in a join.
+    """Per cohort row (``group_cols``), 1 if any of its base rows renewed.
+
+    A renewal of a base row is a later purchase of the same (event, user,
+    product) within (date, date + window]. Base rows are first reduced to
+    distinct (group, key, day, window) rows: the flag depends on nothing
+    else, and the reduction aggregates map-side, so a hot key contributes a
+    number of rows bounded by its days, not by its purchases. Renewal days
+    are expected distinct per key and day (``renewal_days``). One shuffle
+    on (event, user, product) then feeds the window. Passing every base
+    column as ``group_cols`` gives a flag per base row.
     """
-    b = base.selectExpr("*", f"unix_date({date_col}) AS _cw_day", "1 AS _cw_base")
-    r = renewals.selectExpr(*KEYS, f"unix_date({repay_col}) AS _cw_day", "0 AS _cw_base")
-    both = b.unionByName(r, allowMissingColumns=True)
-    later = _next_renewal_sql("_cw_base = 0", "_cw_day")
-    keys_known = " AND ".join(f"{k} IS NOT NULL" for k in KEYS)
-    has = (
-        f"CASE WHEN {keys_known} AND _cw_next IS NOT NULL AND _cw_next <= _cw_day + {window_col} "
-        "THEN 1 ELSE 0 END AS has_repay"
+    cols = list(dict.fromkeys([*group_cols, *KEYS, date_col, window_col]))
+    b = base.select(*cols).distinct().selectExpr(
+        "*", f"unix_date({date_col}) AS _cw_day", "TRUE AS _cw_base", "FALSE AS _cw_renewal"
     )
-    flagged = both.selectExpr("*", later).where("_cw_base = 1")
-    return flagged.selectExpr(*base.columns, has)
-
-
-def _next_renewal_sql(is_renewal: str, day: str, alias: str = "_cw_next") -> str:
-    """Earliest renewal day strictly after this row's day, within its key."""
+    r = renewals.selectExpr(*KEYS, f"unix_date({repay_col}) AS _cw_day", "FALSE AS _cw_base", "TRUE AS _cw_renewal")
+    both = b.unionByName(r, allowMissingColumns=True)
+    flagged = both.selectExpr("*", _next_renewal_sql("_cw_renewal", "_cw_day")).where("_cw_base")
     return (
-        f"min(CASE WHEN {is_renewal} THEN {day} END) OVER (PARTITION BY " + ", ".join(KEYS)
-        + f" ORDER BY {day} DESC RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS {alias}"
+        flagged.selectExpr(*group_cols, _has_repay_sql("_cw_day", window_col))
+        .groupBy(*group_cols)
+        .agg(F.expr("max(has_repay) AS has_repay"))
     )
 
 
-def inapp_base_with_renewals(events: DataFrame, line: str, start: DateLike, end: DateLike) -> DataFrame:
-    """D1 base rows with ``has_repay`` (D8 per row), from one scan.
-
-    In-app base and renewal purchases pass the same row predicates and
-    differ only in date range, so one scan of [s, e + 380] feeds both: a
-    row is a base row if its date is in [s, e] and a renewal candidate if
-    it is after s. One distinct (partially aggregated before its shuffle)
-    keeps the distinct base rows and one row per key and day for the rest
-    (their base-only columns are nulled), then one window flags the base
-    rows. Output: the D1 columns plus has_repay.
+def inapp_flagged_days(events: DataFrame, line: str, start: DateLike, end: DateLike) -> DataFrame:
+    """In-app base purchases per (key, day, first-pay flag, device) with ``has_repay``.
+
+    One scan of [s, e + 380]: in-app base and renewal purchases pass the
+    same row predicates and differ only in date range, so each row is
+    tagged as base (date <= e) and/or renewal candidate (date > s). Then
+    (1) a distinct keeps the distinct base rows of D1 and one row per key
+    and day for the rest (base-only columns nulled); (2) base rows are
+    summed per (key, day, first-pay flag, device), so money variants
+    collapse and every key keeps at most a few rows per day; (3) one
+    window flags them. Both aggregations combine map-side before their
+    shuffle. Output: event, first_month, user_id, product_id_all_product,
+    is_first_purchase_withmoney, device_type, first_date, period_type,
+    diff_days, origin_money (sum over the distinct base rows), has_repay.
     """
     s, e = date_range(start, end)
     in_base = f"date <= {lit(e)}"
@@ -150,15 +173,19 @@ def inapp_base_with_renewals(events: DataFrame, line: str, start: DateLike, end:
             ]
         )
     )
+    base_only = ("is_first_purchase_withmoney", "device_type", "origin_money")
     tagged = rows.selectExpr(
         *KEYS,
         "date",
         f"{in_base} AS _cw_base",
         f"date > {lit(s)} AS _cw_renewal",
-        *[f"CASE WHEN {in_base} THEN {c} END AS {c}" for c in ("is_first_purchase_withmoney", "device_type", "origin_money")],
+        *[f"CASE WHEN {in_base} THEN {c} END AS {c}" for c in base_only],
     ).distinct()
-    flagged = tagged.selectExpr("*", _next_renewal_sql("_cw_renewal", "unix_date(date)")).where("_cw_base")
-    keys_known = " AND ".join(f"{k} IS NOT NULL" for k in KEYS)
+    days = tagged.groupBy(*KEYS, "date", "_cw_base", "_cw_renewal", "is_first_purchase_withmoney", "device_type").agg(
+        F.expr("sum(origin_money) AS origin_money")
+    )
+    window = C.inapp_window_days_sql(C.inapp_plan_sql())
+    flagged = days.selectExpr("*", _next_renewal_sql("_cw_renewal", "unix_date(date)")).where("_cw_base")
     return flagged.selectExpr(
         "event",
         f"{C.month_start_sql()} AS first_month",
@@ -166,25 +193,31 @@ def inapp_base_with_renewals(events: DataFrame, line: str, start: DateLike, end:
         "product_id_all_product",
         "is_first_purchase_withmoney",
         "device_type",
-        "origin_money",
         "date AS first_date",
         f"{C.inapp_plan_sql()} AS period_type",
-        f"{C.inapp_window_days_sql(C.inapp_plan_sql())} AS diff_days",
-        f"CASE WHEN {keys_known} AND _cw_next IS NOT NULL "
-        f"AND _cw_next <= unix_date(date) + {C.inapp_window_days_sql(C.inapp_plan_sql())} THEN 1 ELSE 0 END AS has_repay",
+        f"{window} AS diff_days",
+        "origin_money",
+        _has_repay_sql("unix_date(date)", window),
     )
 
 
+ORDER_FIELDS = ["first_date", "product_id_all_product", "origin_money", "event", "window_days_raw", "diff_days"]
+
+
 def web_first_orders_with_renewals(events: DataFrame, line: str, start: DateLike, end: DateLike) -> DataFrame:
-    """D6 first orders with ``has_repay`` (D8 per row), from one scan.
+    """D6 first orders with ``has_repay``, from one scan and one aggregation.
 
     Web renewals (order type 续订) pass the base predicates too, over a
-    longer range, so one scan of [s, e + 190] and one distinct feed both
-    roles: rows dated up to e are base candidates (labeled, ranked for the
-    first order of their segment and user), rows after s of type 续订 are
-    renewal days (their base-only columns nulled so they collapse to one
-    per key and day). First orders and renewal days then go through the
-    renewal window together. Output: the D6 columns plus has_repay.
+    longer range, so one scan of [s, e + 190] serves both roles. Each row
+    is emitted once per role it has: as a first-order candidate (dated up
+    to e and fully labeled) keyed by (segment, user), and as a renewal day
+    (after s, 续订) keyed by (event, user, product, day). One aggregation
+    takes the first order per segment and user as the minimum of
+    (date, product, money, ...) — the same row ``row_number() = 1`` picks —
+    and one row per renewal day; it combines map-side, so no group is
+    gathered whole. The renewal window then sees at most one row per
+    segment and per day for each key. Output: the D6 columns plus
+    has_repay.
     """
     from . import purchases as P
 
@@ -197,31 +230,56 @@ def web_first_orders_with_renewals(events: DataFrame, line: str, start: DateLike
         f"{in_base} AS _cw_base",
         f"date > {lit(s)} AND all_product_order_type = {lit(R.ORDER_RENEW)} AS _cw_renewal",
         *[f"CASE WHEN {in_base} THEN {v} END AS {k}" for k, v in P.WEB_RAW_COLUMNS.items()],
-    ).distinct()
+    )
     labeled = tagged.selectExpr("date", "_cw_base", "_cw_renewal", *P.web_label_columns(line)).selectExpr(
         "*", f"_cw_base AND {P.WEB_LABELED} AS _cw_cand", f"{C.web_window_days_sql()} AS diff_days"
     )
-    rank = (
-        "row_number() OVER (PARTITION BY _cw_cand, " + ", ".join([*WEB_SEGMENT_KEYS, "user_id"])
-        + " ORDER BY first_date, product_id_all_product, origin_money) AS _cw_rn"
+    roles = (
+        "CASE WHEN _cw_cand AND _cw_renewal THEN array(TRUE, FALSE) WHEN _cw_cand THEN array(TRUE) "
+        "WHEN _cw_renewal THEN array(FALSE) END"
     )
-    kept = labeled.selectExpr("*", rank).where("(_cw_cand AND _cw_rn = 1) OR _cw_renewal")
-    first = "_cw_cand AND _cw_rn = 1"
-    flagged = kept.selectExpr("*", _next_renewal_sql("_cw_renewal", "unix_date(date)")).where(first)
-    keys_known = " AND ".join(f"{k} IS NOT NULL" for k in KEYS)
-    out_cols = [c for c in labeled.columns if not c.startswith("_cw_") and c != "date"]
+    segment = ["event_cn", "first_month", "product_type_group", "product_period_type", "order_type"]
+    keyed = labeled.where("_cw_cand OR _cw_renewal").selectExpr("*", f"explode({roles}) AS _cw_first").selectExpr(
+        "_cw_first",
+        "user_id",
+        *[f"CASE WHEN _cw_first THEN {c} END AS {c}" for c in segment],
+        "CASE WHEN NOT _cw_first THEN event END AS _cw_r_event",
+        "CASE WHEN NOT _cw_first THEN product_id_all_product END AS _cw_r_product",
+        "CASE WHEN NOT _cw_first THEN date END AS _cw_r_date",
+        f"CASE WHEN _cw_first THEN struct({', '.join(ORDER_FIELDS)}) END AS _cw_order",
+    )
+    grouped = keyed.groupBy("_cw_first", "user_id", *segment, "_cw_r_event", "_cw_r_product", "_cw_r_date").agg(
+        F.expr("min(_cw_order) AS _cw_order")
+    )
+    unified = grouped.selectExpr(
+        "_cw_first",
+        "coalesce(_cw_order.event, _cw_r_event) AS event",
+        "user_id",
+        "coalesce(_cw_order.product_id_all_product, _cw_r_product) AS product_id_all_product",
+        "coalesce(_cw_order.first_date, _cw_r_date) AS date",
+        *segment,
+        "_cw_order.origin_money AS origin_money",
+        "_cw_order.window_days_raw AS window_days_raw",
+        "_cw_order.diff_days AS diff_days",
+    )
+    flagged = unified.selectExpr("*", _next_renewal_sql("NOT _cw_first", "unix_date(date)")).where("_cw_first")
     return flagged.selectExpr(
-        *out_cols,
-        f"CASE WHEN {keys_known} AND _cw_next IS NOT NULL AND _cw_next <= unix_date(date) + diff_days "
-        "THEN 1 ELSE 0 END AS has_repay",
+        "event",
+        "event_cn",
+        "first_month",
+        "user_id",
+        "product_id_all_product",
+        "order_type",
+        "product_type_group",
+        "origin_money",
+        "date AS first_date",
+        "product_period_type",
+        "window_days_raw",
+        "diff_days",
+        _has_repay_sql("unix_date(date)", "diff_days"),
     )
 
 
-def renewal_flags(base: DataFrame, renewals: DataFrame, group_cols: list[str]) -> DataFrame:
-    """Per cohort row (``group_cols``), 1 if any of its base rows renewed."""
-    return flag_renewed(base, renewals).groupBy(*group_cols).agg(F.expr("max(has_repay) AS has_repay"))
-
-
 # --- D9, D11, D12 (in-app) ------------------------------------------------------
 
 def inapp_segment_sql(plan: str = "period_type", first: str = "is_first_purchase_withmoney", device: str = "device_type") -> str:
@@ -274,8 +332,9 @@ def inapp_revenue_base(base: DataFrame) -> DataFrame:
 def inapp_cohort_cells(flagged: DataFrame) -> DataFrame:
     """Users, renewed users and money per (month, segment) in one pass.
 
-    From base rows carrying ``has_repay``: one row per (month, segment,
-    user), then counts and sums. Equal to D9 and D12 over the same base.
+    From base rows (or per-day sums of them, ``inapp_flagged_days``)
+    carrying ``has_repay``: one row per (month, segment, user), then counts
+    and sums. Equal to D9 and D12 over the same base.
     """
     per_user = (
         flagged.selectExpr("first_month", f"{inapp_segment_sql()} AS segment", "user_id", "has_repay", "origin_money")

@@ -42,7 +42,7 @@ def sales_column_sql() -> str:
 
 def inapp_renewal_report(events: DataFrame, line: str, start: DateLike, end: DateLike) -> DataFrame:
     """Per base month, a renewal-rate row and a base-revenue row x 10 segments."""
-    cells = N.inapp_cohort_cells(N.inapp_base_with_renewals(events, line, start, end))
+    cells = N.inapp_cohort_cells(N.inapp_flagged_days(events, line, start, end))
     long = stack_metrics(
         cells,
         ["first_month", "segment"],

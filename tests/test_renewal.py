@@ -6,6 +6,7 @@ import datetime as dt
 
 import pytest
 from conftest import SF01, purchase
+from pyspark.sql import functions as F
 
 from cohortwise.operators import purchases as P
 from cohortwise.operators import renewal as N
@@ -17,8 +18,13 @@ LINE, S, E = "健走", "2024-01-01", "2024-06-30"
 
 def _flags(purchases, rows):
     ev = purchases(rows)
-    flagged = N.inapp_base_with_renewals(ev, LINE, S, E)
-    return {(r.user_id, r.first_date.isoformat(), r.product_id_all_product): r.has_repay for r in flagged.collect()}
+    flagged = N.inapp_flagged_days(ev, LINE, S, E)
+    out = {}
+    for r in flagged.collect():
+        key = (r.user_id, r.first_date.isoformat(), r.product_id_all_product)
+        assert out.get(key, r.has_repay) == r.has_repay
+        out[key] = r.has_repay
+    return out
 
 
 def test_window_edges(purchases):
@@ -105,24 +111,39 @@ def test_window_form_equals_interval_join(spark, kind):
     ev = FX.load_purchase_events(spark, SF01)
     base = P.inapp_base_orders(ev, LINE, S, E) if kind == "inapp" else RP.web_first_orders(ev, LINE, S, E)
     renewals = N.renewal_candidates(ev, base, LINE, S, E, kind)
-    flagged = N.flag_renewed(base, N.renewal_days(ev, LINE, S, E, kind)).collect()
+    flagged = N.renewal_flags(base, N.renewal_days(ev, LINE, S, E, kind), base.columns).collect()
     want = _brute_force(base.collect(), renewals.collect())
     got = {tuple(r[c] for c in r.__fields__ if c != "has_repay"): r.has_repay for r in flagged}
     assert got == want
     assert 0 < sum(got.values()) < len(got)
 
 
-def test_one_scan_path_equals_two_input_form(spark):
+def test_one_scan_inapp_path_equals_operators(spark):
     ev = FX.load_purchase_events(spark, SF01)
-    one = {tuple(r) for r in N.inapp_base_with_renewals(ev, LINE, S, E).collect()}
+    keys = ["event", "user_id", "product_id_all_product", "first_date", "is_first_purchase_withmoney", "device_type"]
+    one = N.inapp_flagged_days(ev, LINE, S, E).groupBy(*keys).agg(
+        F.expr("max(has_repay) AS has_repay"), F.expr("sum(origin_money) AS money")
+    )
     base = P.inapp_base_orders(ev, LINE, S, E)
-    two = {tuple(r) for r in N.flag_renewed(base, N.renewal_days(ev, LINE, S, E, "inapp")).collect()}
-    assert one == two
+    flags = N.renewal_flags(base, N.renewal_days(ev, LINE, S, E, "inapp"), keys)
+    money = {tuple(r[c] for c in keys): r.money for r in base.groupBy(*keys).agg(F.expr("sum(origin_money) AS money")).collect()}
+    two = {tuple(r[c] for c in keys): (r.has_repay, money[tuple(r[c] for c in keys)]) for r in flags.collect()}
+    got = {tuple(r[c] for c in keys): (r.has_repay, r.money) for r in one.collect()}
+    assert got == two and len(got) > 100
+
+
+def test_one_scan_web_path_equals_operators(spark):
+    ev = FX.load_purchase_events(spark, SF01)
+    one = {tuple(r) for r in N.web_first_orders_with_renewals(ev, LINE, S, E).collect()}
+    first = RP.web_first_orders(ev, LINE, S, E)
+    flags = N.renewal_flags(first, N.renewal_days(ev, LINE, S, E, "web"), first.columns)
+    two = {tuple(r) for r in flags.select(*first.columns, "has_repay").collect()}
+    assert one == two and len(one) > 100
 
 
 def test_renewed_never_exceeds_base(spark):
     ev = FX.load_purchase_events(spark, SF01)
-    cells = N.inapp_cohort_cells(N.inapp_base_with_renewals(ev, LINE, S, E)).collect()
+    cells = N.inapp_cohort_cells(N.inapp_flagged_days(ev, LINE, S, E)).collect()
     assert cells and all(c.repay_users <= c.base_users for c in cells)
 
 
