@@ -1,16 +1,13 @@
 """Per-row rules as Spark SQL expressions.
 
-Each rule has a ``*_sql`` form (SQL text over column names, composable
-into bigger expressions) and, where operators need one, a Column form
-(``F.expr`` of it). Everything runs JVM-side inside whole-stage codegen;
-nothing here runs Python per row.
+Each rule is a ``*_sql`` function returning SQL text over column names,
+composable into bigger expressions and handed to Spark with ``selectExpr``,
+``where`` or ``F.expr``. Everything runs JVM-side inside whole-stage
+codegen; nothing here runs Python per row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from . import rules as R
 from .sqltext import all_of, case, in_list, lit, map_lookup
 
@@ -24,10 +21,6 @@ def inapp_plan_sql(product: str = PRODUCT) -> str:
     return case([(f"{product} RLIKE {lit('(?i)' + pattern)}", lit(plan)) for plan, pattern, _ in R.INAPP_PLANS])
 
 
-def inapp_plan(product: str = PRODUCT) -> Column:
-    return F.expr(inapp_plan_sql(product))
-
-
 def inapp_window_days_sql(plan: str = "period_type") -> str:
     """Renewal observation window of an in-app plan, NULL for no plan."""
     return case([(f"{plan} = {lit(name)}", lit(days)) for name, _, days in R.INAPP_PLANS])

@@ -58,3 +58,21 @@ def test_reports_sorted_as_specified(spark):
     assert kinds == sorted(kinds, key=lambda k: 0 if k == "续订率" else 1)
     assert [r[1] for r in rows if r[0] == "续订率"] == sorted(r[1] for r in rows if r[0] == "续订率")
     assert set(REPORTS) <= set(QUERIES)
+
+
+@pytest.mark.parametrize(
+    "name,budget",
+    [
+        # distinct, per-day money, renewal window, per user, per cell, pivot
+        ("inapp_renewal_report", 6),
+        # role aggregation, renewal window, per cell, pivot
+        ("web_renewal_report", 4),
+        # distinct, per order, per cell, pivot
+        ("web_arppu_report", 4),
+        ("web_new_sales_report", 4),
+        # per user, members, (join sides when not broadcast), per scene
+        ("experiment_training_report", 5),
+    ],
+)
+def test_shuffle_budget(spark, name, budget):
+    assert inspect.exchange_count(QUERIES[name](spark, SF001)) <= budget
