@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.sqltext import ident
@@ -77,28 +78,30 @@ def renewal_candidates(spark, d):
     return N.renewal_candidates(ev, P.inapp_base_orders(ev, LINE, S, E), LINE, S, E, "inapp")
 
 
-def _inapp_flags(spark, d):
+def renewal_flags(spark, d):
+    """D8 as the generic operator: D1 base rows and distinct renewal days."""
     ev = _p(spark, d)
     base = P.inapp_base_orders(ev, LINE, S, E)
     return N.renewal_flags(base, N.renewal_days(ev, LINE, S, E, "inapp"), N.INAPP_FLAG_KEYS)
 
 
-def renewal_flags(spark, d):
-    return _inapp_flags(spark, d)
+def _inapp_flags_one_scan(spark, d):
+    """The same flags as ``renewal_flags``, from the one-scan in-app path."""
+    days = N.inapp_flagged_days(_p(spark, d), LINE, S, E)
+    return days.groupBy(*N.INAPP_FLAG_KEYS).agg(F.expr("max(has_repay) AS has_repay"))
 
 
 def inapp_renewal_users(spark, d):
-    return N.inapp_renewal_users(_inapp_flags(spark, d))
+    return N.inapp_renewal_users(_inapp_flags_one_scan(spark, d))
 
 
 def renewal_rate(spark, d):
-    return N.renewal_rate(N.inapp_renewal_users(_inapp_flags(spark, d)), 2)
+    return N.renewal_rate(N.inapp_renewal_users(_inapp_flags_one_scan(spark, d)), 2)
 
 
 def web_renewal_users(spark, d):
-    ev = _p(spark, d)
-    first = RP.web_first_orders(ev, LINE, S, E)
-    flags = N.renewal_flags(first, N.renewal_days(ev, LINE, S, E, "web"), [*N.WEB_SEGMENT_KEYS, "user_id"])
+    first = N.web_first_orders_with_renewals(_p(spark, d), LINE, S, E)
+    flags = first.groupBy(*N.WEB_SEGMENT_KEYS, "user_id").agg(F.expr("max(has_repay) AS has_repay"))
     return N.web_renewal_users(flags)
 
 
