@@ -65,3 +65,29 @@ def test_web_entrance_and_order_type_rules(purchases):
     assert sorted(r[R.COL_ORDER_TYPE] for r in r3) == [R.ORDER_NEW, R.ORDER_RENEW]
     r4 = _rows(RP.web_new_sales_report(purchases(rows), LINE, S, E))
     assert [r["【会员】月"] for r in r4 if r[R.COL_DATA_KIND] == R.METRIC_ORDERS] == [1.0]
+
+
+def test_unknown_line_gives_empty_reports(purchases):
+    ev = purchases([purchase(user=1, date="2024-01-05"), purchase(user=1, date="2024-02-01")])
+    for report in (RP.inapp_renewal_report, RP.web_renewal_report, RP.web_arppu_report, RP.web_new_sales_report):
+        assert report(ev, "未知", S, E).count() == 0
+
+
+def test_inverted_range_fails_before_any_job(purchases):
+    import pytest
+
+    ev = purchases([purchase()])
+    with pytest.raises(ValueError):
+        RP.inapp_renewal_report(ev, LINE, "2024-06-30", "2024-01-01")
+    with pytest.raises(ValueError):
+        RP.web_new_sales_report(ev, LINE, "2024-13-01", "2024-12-31")
+
+
+def test_other_lines_use_their_own_event(purchases):
+    rows = [
+        purchase(user=1, date="2024-01-05", event="purchase_vip_order_h2o"),
+        purchase(user=2, date="2024-01-05", event="purchase_vip_order_wup_h2o"),
+    ]
+    r1 = RP.inapp_renewal_report(purchases(rows), "瑜伽", S, E).collect()
+    money = [r for r in r1 if r[R.COL_METRIC_KIND] == R.METRIC_REVENUE_BASE]
+    assert len(money) == 1 and money[0]["月_首付"] == 10.0
