@@ -1,7 +1,7 @@
 """Benchmark the five reports (and optionally every registered query).
 
 Runs ``BENCH_WARMUP`` (default 2) rounds over all queries to warm the JVM,
-then ``BENCH_REPEAT`` (default 3) timed rounds, and records each query's
+then ``BENCH_REPEAT`` (default 5) timed rounds, and records each query's
 best wall time of a full ``collect()`` (plan building included). Prints one
 JSON line. Environment: BENCH_SF_DIR (default /root/testdata/sf0.1),
 BENCH_CPUS (default 8), BENCH_ALL=1 to time all 28 registered queries,
@@ -27,7 +27,7 @@ from cohortwise.session import build_session  # noqa: E402
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    repeat = int(os.environ.get("BENCH_REPEAT", "3"))
+    repeat = int(os.environ.get("BENCH_REPEAT", "5"))
     warmup = int(os.environ.get("BENCH_WARMUP", "2"))
     names = list(QUERIES) if os.environ.get("BENCH_ALL") == "1" else REPORTS
     conf = {
