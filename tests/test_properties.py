@@ -93,3 +93,39 @@ def test_wide_sales_equal_long_totals(spark):
     wide_sales = sum(sum(r[c] for c in cols) for r in wide if r[0] == RR.METRIC_SALES)
     assert wide_orders == sum(r.orders for r in long)
     assert abs(wide_sales - sum(r.revenue for r in long)) < 1e-6 * max(1.0, wide_sales)
+
+
+WEB_CODES = ["webob_0d7-29.9d30", "webob_29.9d30-29.9d30", "webob_19.9d14-19.9d14", "webob_special"]
+web_rows_strategy = st.lists(
+    st.tuples(
+        st.sampled_from([1, 2, None]),
+        st.integers(min_value=-3, max_value=120),
+        st.sampled_from(WEB_CODES),
+        st.sampled_from(["新增", "续订", "升级"]),
+        st.sampled_from(["1.00", "2.00", None]),
+        st.sampled_from([("会员", None), ("增值", "非二级增值"), ("增值", "二级增值"), (None, None)]),
+        st.sampled_from([None, "75", "10001"]),
+    ),
+    min_size=1,
+    max_size=25,
+)
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(web_rows_strategy)
+def test_web_one_scan_equals_operators(purchases, raw):
+    from cohortwise.plans import reports as RP
+
+    base_day = dt.date.fromisoformat(S)
+    ev = purchases(
+        [
+            purchase(user=u, date=(base_day + dt.timedelta(days=k)).isoformat(), product=c, order_type=o, money=m,
+                     ptype=pt, double_extra=de, entrance=en, order_id=i)
+            for i, (u, k, c, o, m, (pt, de), en) in enumerate(raw)
+        ]
+    )
+    one = {tuple(r) for r in N.web_first_orders_with_renewals(ev, LINE, S, E).collect()}
+    first = RP.web_first_orders(ev, LINE, S, E)
+    flags = N.renewal_flags(first, N.renewal_days(ev, LINE, S, E, "web"), first.columns)
+    two = {tuple(r) for r in flags.select(*first.columns, "has_repay").collect()}
+    assert one == two
