@@ -158,7 +158,8 @@ def inapp_flagged_days(events: DataFrame, line: str, start: DateLike, end: DateL
     and day for the rest (base-only columns nulled); (2) base rows are
     summed per (key, day, first-pay flag, device), so money variants
     collapse and every key keeps at most a few rows per day; (3) one
-    window flags them. Both aggregations combine map-side before their
+    window flags them, over a shuffle by user that the per-user counts of
+    the report reuse. Both aggregations combine map-side before their
     shuffle. Output: event, first_month, user_id, product_id_all_product,
     is_first_purchase_withmoney, device_type, first_date, period_type,
     diff_days, origin_money (sum over the distinct base rows), has_repay.
@@ -187,7 +188,11 @@ def inapp_flagged_days(events: DataFrame, line: str, start: DateLike, end: DateL
         F.expr("sum(origin_money) AS origin_money")
     )
     window = C.inapp_window_days_sql(C.inapp_plan_sql())
-    flagged = days.selectExpr("*", _next_renewal_sql("_cw_renewal", "unix_date(date)")).where("_cw_base")
+    # hash on user_id alone satisfies both the window (event, user, product)
+    # and the per-(month, segment, user) counts that follow, so one shuffle
+    # serves both; after the per-day reduction a user's rows are bounded.
+    by_user = days.repartition("user_id")
+    flagged = by_user.selectExpr("*", _next_renewal_sql("_cw_renewal", "unix_date(date)")).where("_cw_base")
     return flagged.selectExpr(
         "event",
         f"{C.month_start_sql()} AS first_month",
