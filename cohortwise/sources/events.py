@@ -12,28 +12,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .schemas import COHORT_COLUMNS, EVENT_COLUMNS
+from .schemas import COHORT_COLUMNS
 
 
-def conform(df: DataFrame, schema: T.StructType = EVENT_COLUMNS) -> DataFrame:
-    """Cast the known columns to their declared types; keep the rest.
+def conform(df: DataFrame) -> DataFrame:
+    """Make ``date`` a DATE; keep every other column as stored.
 
-    ``date`` is cast to DATE first: comparing a TIMESTAMP with a date
-    string would drop the last day after midnight. Missing required
-    columns fail here, before any job runs.
+    A TIMESTAMP (or string) ``date`` compared with a date literal would drop
+    the last day's rows after midnight, so it is cast first; other columns
+    keep their stored types (user ids may be strings, money may be any
+    numeric). Missing required columns fail here, before any job runs.
     """
-    present = set(df.columns)
-    wanted = {f.name: f.dataType for f in schema.fields}
-    missing = [n for n in ("event", "date", "user_id") if n not in present]
+    missing = [n for n in ("event", "date", "user_id") if n not in df.columns]
     if missing:
         raise ValueError(f"event table lacks required columns: {missing}")
-    exprs = []
-    for name in df.columns:
-        if name in wanted and df.schema[name].dataType != wanted[name]:
-            exprs.append(F.col(name).cast(wanted[name]).alias(name))
-        else:
-            exprs.append(F.col(name))
-    return df.select(*exprs)
+    if df.schema["date"].dataType == T.DateType():
+        return df
+    return df.selectExpr(*[("CAST(date AS DATE) AS date" if c == "date" else f"`{c}`") for c in df.columns])
 
 
 def read_events(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:

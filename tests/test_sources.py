@@ -15,12 +15,12 @@ from cohortwise.sources import events as EVS
 from cohortwise.sources import fixtures as FX
 
 
-def test_conform_casts_timestamp_date_and_keeps_extra_columns(spark):
+def test_conform_casts_timestamp_date_and_keeps_other_columns(spark):
     df = spark.createDataFrame(
-        [("e", dt.datetime(2024, 1, 1, 23, 30), 1, "x")], "event string, date timestamp, user_id int, extra string"
+        [("e", dt.datetime(2024, 1, 1, 23, 30), "u1", "x")], "event string, date timestamp, user_id string, extra string"
     )
     out = EVS.conform(df)
-    assert dict(out.dtypes) == {"event": "string", "date": "date", "user_id": "bigint", "extra": "string"}
+    assert dict(out.dtypes) == {"event": "string", "date": "date", "user_id": "string", "extra": "string"}
     assert out.first().date == dt.date(2024, 1, 1)
 
 
@@ -63,3 +63,11 @@ def test_purchase_report_over_written_table(spark):
     got = {tuple(r) for r in RP.inapp_renewal_report(ev, "健走", "2024-01-01", "2024-06-30").collect()}
     want = {tuple(r) for r in QUERIES["inapp_renewal_report"](spark, SF001).collect()}
     assert got == want
+
+
+def test_reports_accept_string_user_ids(spark):
+    ev = FX.load_purchase_events(spark, SF001)
+    as_text = ev.selectExpr(*[("concat('u', CAST(user_id AS STRING)) AS user_id" if c == "user_id" else c) for c in ev.columns])
+    a = {tuple(r) for r in RP.inapp_renewal_report(ev, "健走", "2024-01-01", "2024-06-30").collect()}
+    b = {tuple(r) for r in RP.inapp_renewal_report(EVS.conform(as_text), "健走", "2024-01-01", "2024-06-30").collect()}
+    assert a == b and a
