@@ -9,10 +9,9 @@ Parquet pushed filters, and only the columns a report uses are read.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .schemas import COHORT_COLUMNS
+from ..functions.sqltext import lit
 
 
 def conform(df: DataFrame) -> DataFrame:
@@ -59,10 +58,11 @@ def cohorts_from_lists(lists: dict[str, DataFrame]) -> DataFrame:
     """Tag each arm's user list with its group name and stack them.
 
     Lists may repeat users; the distinct happens in the experiment
-    operators.
+    operators. ``user_id`` keeps its stored type (it must match the event
+    table's).
     """
-    frames = [df.select(F.lit(name).alias("group_name"), F.col("user_id").cast("long").alias("user_id")) for name, df in lists.items()]
+    frames = [df.selectExpr(f"{lit(name)} AS group_name", "user_id") for name, df in lists.items()]
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
-    return out.select([F.col(f.name).cast(f.dataType) for f in COHORT_COLUMNS.fields])
+    return out
