@@ -7,6 +7,8 @@ and that no join degenerates into all pairs.
 
 from __future__ import annotations
 
+import contextlib
+import io
 import re
 
 from pyspark.sql import DataFrame
@@ -15,13 +17,21 @@ PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "
 PAIR_NODES = ("CartesianProduct", "BroadcastNestedLoopJoin")
 
 
+def _explain(df: DataFrame, mode: str) -> str:
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain(mode=mode)
+    return out.getvalue()
+
+
 def physical_plan(df: DataFrame) -> str:
-    return df._jdf.queryExecution().executedPlan().toString()
+    """The physical plan as ``df.explain()`` prints it."""
+    return _explain(df, "simple")
 
 
 def formatted_plan(df: DataFrame) -> str:
-    jvm = df.sparkSession._jvm
-    return jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    """The plan as ``df.explain("formatted")`` prints it."""
+    return _explain(df, "formatted")
 
 
 def scan_count(df: DataFrame, table_hint: str = "") -> int:
