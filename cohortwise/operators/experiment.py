@@ -43,15 +43,26 @@ FILTER_USED = (
 )
 
 
-def user_activity(events: DataFrame, start: DateLike, end: DateLike) -> DataFrame:
-    """One row per user: start/end counts for the four entrance scenes and flags.
+EVENT_COLUMNS = [
+    "user_id",
+    "event",
+    "page_id",
+    "pageinfo",
+    "click_id",
+    "click_source_url",
+    "action_entrance_wup",
+    "action_entrance_id_wup",
+]
 
-    Output: user_id, n_start_<i>, n_end_<i> for scenes 1-4, seen_<i> for
-    the four exposure rules, seen_filter_page, used_filter (0/1).
-    """
-    rows = events.where(
+
+def _event_rows(events: DataFrame, start: DateLike, end: DateLike) -> DataFrame:
+    return events.where(
         all_of([in_closed_range_sql(start, end), in_list("event", [R.EV_PAGEVIEW, R.EV_CLICK, R.EV_START, R.EV_END])])
-    )
+    ).select(*EVENT_COLUMNS)
+
+
+def _activity_aggs() -> list:
+    """Per-user start/end counts for the four entrance rules and exposure flags."""
     aggs = []
     for i, rule in enumerate(ENTRANCE_RULES, start=1):
         aggs.append(F.expr(f"count_if(event = {lit(R.EV_START)} AND {rule}) AS n_start_{i}"))
@@ -60,7 +71,16 @@ def user_activity(events: DataFrame, start: DateLike, end: DateLike) -> DataFram
         aggs.append(F.expr(f"max(CASE WHEN {rule} THEN 1 ELSE 0 END) AS seen_{i}"))
     aggs.append(F.expr(f"max(CASE WHEN {FILTER_PAGE} THEN 1 ELSE 0 END) AS seen_filter_page"))
     aggs.append(F.expr(f"max(CASE WHEN {FILTER_USED} THEN 1 ELSE 0 END) AS used_filter"))
-    return rows.groupBy("user_id").agg(*aggs)
+    return aggs
+
+
+def user_activity(events: DataFrame, start: DateLike, end: DateLike) -> DataFrame:
+    """One row per user: start/end counts for the four entrance scenes and flags.
+
+    Output: user_id, n_start_<i>, n_end_<i> for scenes 1-4, seen_<i> for
+    the four exposure rules, seen_filter_page, used_filter (0/1).
+    """
+    return _event_rows(events, start, end).groupBy("user_id").agg(*_activity_aggs())
 
 
 def cohort_members(cohorts: DataFrame) -> DataFrame:
@@ -72,11 +92,18 @@ def scene_member_rows(events: DataFrame, cohorts: DataFrame, start: DateLike, en
     """Every member x 7 scenes with base membership, scene membership and counts.
 
     Output: group_name, user_id, scene, scene_order, in_base, in_scene,
-    n_start, n_complete. Members with no events keep their rows (zeros),
-    so every arm gets all seven scenes. The join is on user_id with one
-    activity row per user, so no join key can be hot.
+    n_start, n_complete. Event rows and cohort-list rows are grouped by
+    user in one aggregation (activity counts and flags, plus the set of arms
+    the user is listed in, bounded by the number of arms); it combines
+    map-side, so a hot user or a heavily repeated list entry collapses
+    before the shuffle, and no join is needed. Listed users with no events
+    keep their rows (zeros), so every arm gets all seven scenes; events of
+    unlisted users produce no rows.
     """
-    joined = cohort_members(cohorts).join(user_activity(events, start, end), "user_id", "left")
+    listed = cohorts.selectExpr("user_id", "group_name AS _cw_group")
+    both = _event_rows(events, start, end).unionByName(listed, allowMissingColumns=True)
+    per_user = both.groupBy("user_id").agg(*_activity_aggs(), F.expr("collect_set(_cw_group) AS _cw_groups"))
+    members = per_user.selectExpr("explode(_cw_groups) AS group_name", "*").drop("_cw_groups")
 
     def z(c: str) -> str:
         return f"coalesce({c}, 0)"
@@ -90,7 +117,7 @@ def scene_member_rows(events: DataFrame, cohorts: DataFrame, start: DateLike, en
         f"CAST({z(f'n_start_{i}')} AS BIGINT) AS n_start, CAST({z(f'n_end_{i}')} AS BIGINT) AS n_complete)"
         for scene, in_base, in_scene, i in specs
     )
-    return joined.selectExpr("group_name", "user_id", f"inline(array({structs}))")
+    return members.selectExpr("group_name", "user_id", f"inline(array({structs}))")
 
 
 def scene_user_activity(events: DataFrame, cohorts: DataFrame, start: DateLike, end: DateLike) -> DataFrame:
