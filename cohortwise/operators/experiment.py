@@ -43,7 +43,7 @@ FILTER_USED = (
 )
 
 
-EVENT_COLUMNS = [
+WALK_EVENT_COLUMNS = [
     "user_id",
     "event",
     "page_id",
@@ -58,7 +58,7 @@ EVENT_COLUMNS = [
 def _event_rows(events: DataFrame, start: DateLike, end: DateLike) -> DataFrame:
     return events.where(
         all_of([in_closed_range_sql(start, end), in_list("event", [R.EV_PAGEVIEW, R.EV_CLICK, R.EV_START, R.EV_END])])
-    ).select(*EVENT_COLUMNS)
+    ).select(*WALK_EVENT_COLUMNS)
 
 
 def _activity_aggs() -> list:
