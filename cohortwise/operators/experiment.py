@@ -92,18 +92,14 @@ def scene_member_rows(events: DataFrame, cohorts: DataFrame, start: DateLike, en
     """Every member x 7 scenes with base membership, scene membership and counts.
 
     Output: group_name, user_id, scene, scene_order, in_base, in_scene,
-    n_start, n_complete. Event rows and cohort-list rows are grouped by
-    user in one aggregation (activity counts and flags, plus the set of arms
-    the user is listed in, bounded by the number of arms); it combines
-    map-side, so a hot user or a heavily repeated list entry collapses
-    before the shuffle, and no join is needed. Listed users with no events
-    keep their rows (zeros), so every arm gets all seven scenes; events of
-    unlisted users produce no rows.
+    n_start, n_complete. The event rows are reduced to one activity row per
+    user with fixed-width aggregates (``count_if``, ``max``), which Spark
+    runs as a hash aggregate that combines map-side; the distinct members
+    are then joined to it on user_id (each side has at most one or two rows
+    per user, so no join key can be hot). Members with no events keep their
+    rows (zeros), so every arm gets all seven scenes.
     """
-    listed = cohorts.selectExpr("user_id", "group_name AS _cw_group")
-    both = _event_rows(events, start, end).unionByName(listed, allowMissingColumns=True)
-    per_user = both.groupBy("user_id").agg(*_activity_aggs(), F.expr("collect_set(_cw_group) AS _cw_groups"))
-    members = per_user.selectExpr("explode(_cw_groups) AS group_name", "*").drop("_cw_groups")
+    joined = cohort_members(cohorts).join(user_activity(events, start, end), "user_id", "left")
 
     def z(c: str) -> str:
         return f"coalesce({c}, 0)"
@@ -117,7 +113,7 @@ def scene_member_rows(events: DataFrame, cohorts: DataFrame, start: DateLike, en
         f"CAST({z(f'n_start_{i}')} AS BIGINT) AS n_start, CAST({z(f'n_end_{i}')} AS BIGINT) AS n_complete)"
         for scene, in_base, in_scene, i in specs
     )
-    return members.selectExpr("group_name", "user_id", f"inline(array({structs}))")
+    return joined.selectExpr("group_name", "user_id", f"inline(array({structs}))")
 
 
 def scene_user_activity(events: DataFrame, cohorts: DataFrame, start: DateLike, end: DateLike) -> DataFrame:

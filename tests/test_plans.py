@@ -70,8 +70,8 @@ def test_reports_sorted_as_specified(spark):
         # distinct, per order, per cell, pivot
         ("web_arppu_report", 4),
         ("web_new_sales_report", 4),
-        # per user (events and lists together), per scene; + the fixture's cohort-list distinct
-        ("experiment_training_report", 3),
+        # per user, members, members by user for the join (when not broadcast), per scene
+        ("experiment_training_report", 5),
     ],
 )
 def test_shuffle_budget(spark, name, budget):
