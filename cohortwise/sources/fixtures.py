@@ -4,7 +4,7 @@ The test data has no subscription or training events, so these mappings
 derive them, row for row, from ``orders`` (purchases) and ``events``
 (training clicks and page views). Every column is a pure function of the
 source row, so the same rules are written once more in DuckDB SQL for the
-oracle (``cohortwise.oracle_sql``). The work grows with the source tables:
+oracle (``oracle_sql.py`` at the repository root). The work grows with the source tables:
 one scan, one projection, and for purchases a generator that appends the
 duplicate rows in the same pass.
 """
