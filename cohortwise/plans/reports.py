@@ -1,9 +1,10 @@
 """The five reports (R1-R5) as lazy DataFrame plans.
 
-Each report reads the event table once (R1 and R2 read it once for base
-rows and once for renewal days, both with pushed-down event and date
-filters), aggregates to small long-form cells, then stacks and pivots to
-the fixed report columns. Metric columns are DOUBLE, counts BIGINT.
+Each report reads the event table once, with pushed-down event and date
+filters (R1 and R2 read base rows and renewal candidates in the same scan,
+over the range widened by the longest renewal window), aggregates to small
+long-form cells, then stacks and pivots to the fixed report columns.
+Metric columns are DOUBLE, counts BIGINT.
 
 The final ORDER BY runs on the pivoted report, whose size is bounded by
 months x metric kinds x groups (not by the data), so it is sorted in one
