@@ -55,7 +55,17 @@ def main(argv: list[str]) -> None:
     for title, df in plans.items():
         text = re.sub(r"#\d+L?", "", inspect.formatted_plan(df))
         text = re.sub(r"file:[^\]\s,]+", "file:<events>", text)
-        out += [f"## {title}", "", f"- file scans: {inspect.scan_count(df)}", f"- exchanges: {inspect.exchange_count(df)}", ""]
+        simple = inspect.physical_plan(df)
+        kinds = ["HashAggregate(", "SortAggregate(", "ObjectHashAggregate(", "Window [", "SortMergeJoin", "BroadcastHashJoin"]
+        ops = ", ".join(f"{k.rstrip('( [')} x{simple.count(k)}" for k in kinds if simple.count(k))
+        out += [
+            f"## {title}",
+            "",
+            f"- file scans: {inspect.scan_count(df)}",
+            f"- exchanges: {inspect.exchange_count(df)}",
+            f"- operators: {ops}",
+            "",
+        ]
         out += ["```", text.strip(), "```", ""]
     (ROOT / "docs" / "PLANS.md").write_text("\n".join(out), encoding="utf-8")
     spark.stop()
