@@ -208,23 +208,21 @@ def inapp_flagged_days(events: DataFrame, line: str, start: DateLike, end: DateL
     )
 
 
-ORDER_FIELDS = ["first_date", "product_id_all_product", "origin_money", "event", "window_days_raw", "diff_days"]
-
-
 def web_first_orders_with_renewals(events: DataFrame, line: str, start: DateLike, end: DateLike) -> DataFrame:
-    """D6 first orders with ``has_repay``, from one scan and one aggregation.
+    """D6 first orders with ``has_repay``, from one scan.
 
     Web renewals (order type 续订) pass the base predicates too, over a
     longer range, so one scan of [s, e + 190] serves both roles. Each row
     is emitted once per role it has: as a first-order candidate (dated up
-    to e and fully labeled) keyed by (segment, user), and as a renewal day
-    (after s, 续订) keyed by (event, user, product, day). One aggregation
-    takes the first order per segment and user as the minimum of
-    (date, product, money, ...) — the same row ``row_number() = 1`` picks —
-    and one row per renewal day; it combines map-side, so no group is
-    gathered whole. The renewal window then sees at most one row per
-    segment and per day for each key. Output: the D6 columns plus
-    has_repay.
+    to e and fully labeled) and as a renewal day (after s, 续订). Then
+    (1) a hash aggregate keeps one row per role group, product and day
+    (candidates: the smallest amount per segment, user, product and day;
+    renewals: one row per key and day); it combines map-side, so a hot user
+    or order collapses before the shuffle and each user keeps a number of
+    rows bounded by days and products; (2) one shuffle by user serves both
+    windows: the first order per segment and user (``row_number() = 1``
+    over date, product, money) and the renewal window. Output: the D6
+    columns plus has_repay.
     """
     from . import purchases as P
 
@@ -246,30 +244,22 @@ def web_first_orders_with_renewals(events: DataFrame, line: str, start: DateLike
         "WHEN _cw_renewal THEN array(FALSE) END"
     )
     segment = ["event_cn", "first_month", "product_type_group", "product_period_type", "order_type"]
+    first_only = [*segment, "window_days_raw", "diff_days", "origin_money"]
     keyed = labeled.where("_cw_cand OR _cw_renewal").selectExpr("*", f"explode({roles}) AS _cw_first").selectExpr(
         "_cw_first",
-        "user_id",
-        *[f"CASE WHEN _cw_first THEN {c} END AS {c}" for c in segment],
-        "CASE WHEN NOT _cw_first THEN event END AS _cw_r_event",
-        "CASE WHEN NOT _cw_first THEN product_id_all_product END AS _cw_r_product",
-        "CASE WHEN NOT _cw_first THEN date END AS _cw_r_date",
-        f"CASE WHEN _cw_first THEN struct({', '.join(ORDER_FIELDS)}) END AS _cw_order",
+        *KEYS,
+        "date",
+        *[f"CASE WHEN _cw_first THEN {c} END AS {c}" for c in first_only],
     )
-    grouped = keyed.groupBy("_cw_first", "user_id", *segment, "_cw_r_event", "_cw_r_product", "_cw_r_date").agg(
-        F.expr("min(_cw_order) AS _cw_order")
+    reduced = keyed.groupBy("_cw_first", *KEYS, "date", *segment, "window_days_raw", "diff_days").agg(
+        F.expr("min(origin_money) AS origin_money")
     )
-    unified = grouped.selectExpr(
-        "_cw_first",
-        "coalesce(_cw_order.event, _cw_r_event) AS event",
-        "user_id",
-        "coalesce(_cw_order.product_id_all_product, _cw_r_product) AS product_id_all_product",
-        "coalesce(_cw_order.first_date, _cw_r_date) AS date",
-        *segment,
-        "_cw_order.origin_money AS origin_money",
-        "_cw_order.window_days_raw AS window_days_raw",
-        "_cw_order.diff_days AS diff_days",
+    rank = (
+        "row_number() OVER (PARTITION BY _cw_first, user_id, " + ", ".join(segment)
+        + " ORDER BY date, product_id_all_product, origin_money) AS _cw_rn"
     )
-    flagged = unified.selectExpr("*", _next_renewal_sql("NOT _cw_first", "unix_date(date)")).where("_cw_first")
+    kept = reduced.repartition("user_id").selectExpr("*", rank).where("NOT _cw_first OR _cw_rn = 1")
+    flagged = kept.selectExpr("*", _next_renewal_sql("NOT _cw_first", "unix_date(date)")).where("_cw_first")
     return flagged.selectExpr(
         "event",
         "event_cn",
