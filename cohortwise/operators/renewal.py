@@ -6,10 +6,11 @@ after d is at most d + n", so the match runs as one window over rows
 sorted by day inside each (event, user, product) partition, instead of an
 interval join that would pair every base row with every later purchase of
 its key. Before the window every input is reduced by aggregations that
-combine map-side (renewal rows to one per key and day, base rows to one per
-key, day and cohort attributes, first orders to one per segment and user),
-so even a user holding a third of all purchases contributes a number of
-rows bounded by the days of the report range, not by its purchases.
+combine map-side (renewal rows to one per key and day, in-app base rows to
+one per key, day and cohort attributes, web first-order candidates to one
+per segment, user, product and day), so even a user holding a third of all
+purchases contributes a number of rows bounded by the days of the report
+range, not by its purchases.
 """
 
 from __future__ import annotations
