@@ -71,3 +71,13 @@ def test_reports_accept_string_user_ids(spark):
     a = {tuple(r) for r in RP.inapp_renewal_report(ev, "健走", "2024-01-01", "2024-06-30").collect()}
     b = {tuple(r) for r in RP.inapp_renewal_report(EVS.conform(as_text), "健走", "2024-01-01", "2024-06-30").collect()}
     assert a == b and a
+
+
+def test_cli_purchase_report(spark):
+    root = tempfile.mkdtemp(prefix="cohortwise-cli-pe-")
+    EVS.write_events(FX.load_purchase_events(spark, SF001), f"{root}/pe")
+    cli.main(["web-arppu", "--events", f"{root}/pe", "--line", FX.PURCHASE_LINE, "--start", FX.PURCHASE_START,
+              "--end", FX.PURCHASE_END, "--out", f"{root}/out"])
+    got = {tuple(r) for r in spark.read.parquet(f"{root}/out").collect()}
+    want = {tuple(r) for r in QUERIES["web_arppu_report"](spark, SF001).collect()}
+    assert got == want and got
