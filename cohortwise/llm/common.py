@@ -7,12 +7,17 @@ such a table; its readers are planned from its real size.
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 import zlib
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The six ASCII white-space characters of every contract, as a regex class body.
 SPACE = r"\x20\x09-\x0D"
@@ -61,3 +66,37 @@ def bounded_sample(rows: DataFrame, limit: int, key: Column) -> DataFrame:
     if n <= limit:
         return rows
     return rows.where(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 30)) < F.lit(int(limit / n * (1 << 30))))
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """``wanted``, with underscores before it until no column of df has that name (names differ in more than case)."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted = f"_{wanted}"
+    return wanted
+
+
+def annotate(df: DataFrame, inputs: list[str], added: str, make: Callable[[], Callable[..., list[pa.Array]]]) -> DataFrame:
+    """df with further columns (``added``: a DDL string) computed from the columns ``inputs``, batch by batch.
+
+    ``make()`` is called once a task and returns a function from the inputs'
+    Arrow arrays to the added columns' arrays. No shuffle, no join: every row
+    keeps its own columns, whatever their names or repeats.
+    """
+    fields = T._parse_datatype_string(added)
+    at = [df.columns.index(c) for c in inputs]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = make()
+        for batch in batches:
+            if batch.num_rows:
+                new = f(*(batch.column(i) for i in at))
+                yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *fields.names])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *fields.fields]))
+
+
+def ship(spark: SparkSession, value: object) -> Callable[[], object]:
+    """Broadcasts a value of bounded size; the result gives it inside a task. The value's classes travel along."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(sent.value)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import toxicity, warc
+from . import decontaminate, secret_scan, toxicity, warc
 
 _OPERATORS = {
     "op1_toxicity": toxicity,
     "op2_warc": warc,
+    "op3_decontaminate": decontaminate,
+    "op4_secret_scan": secret_scan,
 }
 QUERIES = {name: module.query for name, module in _OPERATORS.items()}
 ORACLE_SQL = {name: module.SQL for name, module in _OPERATORS.items() if getattr(module, "SQL", None)}
