@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, secret_scan, toxicity, warc
+from . import decontaminate, line_dedup, secret_scan, toxicity, warc
 
 _OPERATORS = {
     "op1_toxicity": toxicity,
     "op2_warc": warc,
     "op3_decontaminate": decontaminate,
     "op4_secret_scan": secret_scan,
+    "op5_line_dedup": line_dedup,
 }
 QUERIES = {name: module.query for name, module in _OPERATORS.items()}
 ORACLE_SQL = {name: module.SQL for name, module in _OPERATORS.items() if getattr(module, "SQL", None)}
