@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, line_dedup, mixing, secret_scan, toxicity, warc
+from . import chat_format, decontaminate, line_dedup, mixing, secret_scan, simhash, toxicity, warc
 
 _OPERATORS = {
     "op1_toxicity": toxicity,
@@ -12,6 +12,7 @@ _OPERATORS = {
     "op5_line_dedup": line_dedup,
     "op6_chat_format": chat_format,
     "op7_mixing": mixing,
+    "op8_simhash": simhash,
 }
 QUERIES = {name: module.query for name, module in _OPERATORS.items()}
 ORACLE_SQL = {name: module.SQL for name, module in _OPERATORS.items() if getattr(module, "SQL", None)}
