@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, line_dedup, mixing, secret_scan, simhash, toxicity, warc
+from . import chat_format, decontaminate, language_id, line_dedup, mixing, quality, secret_scan, simhash, toxicity, warc
 
 _OPERATORS = {
     "op1_toxicity": toxicity,
@@ -13,6 +13,8 @@ _OPERATORS = {
     "op6_chat_format": chat_format,
     "op7_mixing": mixing,
     "op8_simhash": simhash,
+    "op9_quality": quality,
+    "op10_language_id": language_id,
 }
 QUERIES = {name: module.query for name, module in _OPERATORS.items()}
 ORACLE_SQL = {name: module.SQL for name, module in _OPERATORS.items() if getattr(module, "SQL", None)}
