@@ -42,7 +42,7 @@ ORDER = 4
 MAX_CELLS = 16_000_000
 #: Bound of the rows that calibrate the rejection.
 CALIBRATION_ROWS = 4_000
-REJECT_Z = 8.0
+REJECT_Z = 12.0
 #: Characters whose evidence the score counts, tempered.
 SCORE_CHARS, TEMPER = 200, 0.25
 #: Characters that are worked on at once.
@@ -284,7 +284,7 @@ def calibrate(model: Model, training: DataFrame, rows: int = CALIBRATION_ROWS) -
     for lang in range(k):
         x, size = ce[(at == lang) & (n >= 50)], n[(at == lang) & (n >= 50)]
         if len(x) >= 5:
-            mean[lang], deviation[lang] = np.median(x), 1.4826 * np.median(abs(x - np.median(x))) + 0.02
+            mean[lang], deviation[lang] = np.median(x), 1.4826 * np.median(abs(x - np.median(x))) + 0.05
             short = size < 500
             if short.sum() >= 5:
                 spread.append(float(np.sqrt(np.mean((x[short] - mean[lang]) ** 2 * size[short]))))
