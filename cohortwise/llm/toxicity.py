@@ -53,7 +53,8 @@ MIN_DOCS = 4
 _GLYPH_TABLE = {ord(k): v for k, v in HOMOGLYPHS.items()}
 _DIGIT_TABLE = {ord(k): v for k, v in DIGITS.items()}
 _WORD = re.compile(r"[^\W_]+")
-_LEET = re.compile(r"[\w@$]*[013-578@$][\w@$]*")
+#: A token with such a digit or symbol; possessive, so that a long token without one is passed over once.
+_LEET = re.compile(r"(?<![\w@$])[^\W013-578]*+[013-578@$][\w@$]*")
 _LETTER = re.compile(r"[^\W\d_]")
 
 
