@@ -158,8 +158,8 @@ SQL = f"""
 with d as (select row_number() over () as rid, doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
 l as (select rid, doc_id, unnest(lines) as line, generate_subscripts(lines, 1) as i from d),
 k as (select *, translate(trim(line, {_SPACES}), '{UPPER}', '{LOWER}') as key from l),
-f as (select key, max(doc_id) as owner from k where length(key) >= {MIN_CHARS} group by key having count(distinct doc_id) >= {MIN_DOCS}),
-m as (select k.*, f.key is not null and k.doc_id <> f.owner as gone from k left join f using (key))
+f as (select key, max(doc_id) as owner from k where length(key) >= {MIN_CHARS} group by key having count(distinct coalesce(doc_id::varchar, '')) >= {MIN_DOCS}),
+m as (select k.*, f.key is not null and k.doc_id is distinct from f.owner as gone from k left join f using (key))
 select any_value(doc_id) as doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
   sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) as kept_sha256
 from m group by rid

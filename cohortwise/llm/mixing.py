@@ -11,7 +11,8 @@ fitted by documents taken once more:
 2. per source, each size gives its proportional whole number of documents,
    the largest fractions one more until at most ``DP_WORDS`` words remain,
    and a bounded-knapsack dynamic program over the documents left of each
-   size meets the rest exactly, or as nearly from below as can be;
+   size (then over further copies, up to ``MAX_REPEATS``) meets the rest
+   exactly, or as nearly as can be;
 3. of each (source, size), the chosen number of documents is selected in the
    order of a seeded hash of doc_id.
 
@@ -63,14 +64,18 @@ def targets(sources: DataFrame) -> DataFrame:
     return rows.select("source", "source_size", "weight", F.least(F.col("cap").cast("double"), level * F.col("weight")).alias("target"))
 
 
-def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, dp_words: int = DP_WORDS) -> np.ndarray:
-    """How many documents of each size to take, at most counts, so that their words come as near to budget from below as found."""
+def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, copies: int = 1, dp_words: int = DP_WORDS) -> np.ndarray:
+    """How many documents of each size to take, at most copies * counts, so that their words come as near to budget as found.
+
+    Up to counts of a size are different documents; only where they cannot
+    meet the budget are some taken again.
+    """
     total = int((sizes * counts).sum())
     chosen = np.zeros(len(sizes), dtype=np.int64)
-    if total <= 0 or budget <= 0:
+    if total <= 0 or budget <= 0 or copies <= 0:
         return chosen
-    if budget >= total:
-        return counts.copy()
+    if budget >= total * copies:
+        return counts * copies
     exact = [divmod(int(c) * budget, total) for c in counts]
     chosen[:] = [whole for whole, _ in exact]
     rest = budget - int((sizes * chosen).sum())
@@ -80,24 +85,32 @@ def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, dp_words: int
         if sizes[k] and chosen[k] < counts[k] and sizes[k] <= rest:
             chosen[k] += 1
             rest -= int(sizes[k])
-    # which item first reached each sum; an item is some documents of one size
-    reached, first, items = np.zeros(rest + 1, dtype=bool), np.full(rest + 1, -1, dtype=np.int64), []
+    falling = [k for k in sorted(range(len(sizes)), key=lambda k: -int(sizes[k])) if sizes[k]]
+    if rest > dp_words:  # the documents left are longer than that: at most one of them comes nearer
+        left = [k for k in falling if chosen[k] < counts[k] and abs(rest - int(sizes[k])) < rest]
+        if left:
+            chosen[min(left, key=lambda k: (abs(rest - int(sizes[k])), int(sizes[k])))] += 1
+        return chosen
+    # the sums up to twice the rest, and which item first reached each; an item is some documents of one size
+    reached, first, items = np.zeros(2 * rest + 1, dtype=bool), np.full(2 * rest + 1, -1, dtype=np.int64), []
     reached[0] = True
-    for k in sorted(range(len(sizes)), key=lambda k: -int(sizes[k])):
-        left, bundle = min(int(counts[k] - chosen[k]), rest // int(sizes[k])) if sizes[k] else 0, 1
-        while left and not reached[rest]:
+    spare = [(k, int(counts[k] - chosen[k])) for k in falling] + [(k, int(counts[k]) * (copies - 1)) for k in falling]
+    for k, left in spare:
+        size, bundle = int(sizes[k]), 1
+        left = min(left, 2 * rest // size)
+        while left > 0 and not reached[rest]:
             n = min(bundle, left)
-            words = n * int(sizes[k])
             new = np.zeros_like(reached)
-            new[words:] = reached[: rest + 1 - words]
+            new[n * size :] = reached[: len(reached) - n * size]
             new &= ~reached
             first[new] = len(items)
             reached |= new
-            items.append((k, n, words))
+            items.append((k, n, n * size))
             left, bundle = left - n, bundle * 2
         if reached[rest]:
             break
-    at = int(np.flatnonzero(reached)[-1])
+    sums = np.flatnonzero(reached)
+    at = int(sums[np.argmin(np.abs(sums - rest))])
     while at:
         k, n, words = items[first[at]]
         chosen[k] += n
@@ -106,12 +119,13 @@ def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, dp_words: int
 
 
 def _fit(rows: pd.DataFrame) -> pd.DataFrame:
-    """One source's (size, n, source_size, target) rows: repeats of every document, and how many of a size go once more."""
+    """One source's (size, n, source_size, target) rows: repeats of every document of a size, and how many of them go once more."""
     rows = rows.sort_values("size", ignore_index=True)
     total, target = int(rows["source_size"].iloc[0]), float(rows["target"].iloc[0])
     repeats = int(target // total) if total else 0
-    chosen = fit_budget(rows["size"].to_numpy(np.int64), rows["n"].to_numpy(np.int64), int(target - repeats * total + 1e-6) if total else 0)
-    return rows.assign(repeats=repeats, chosen=chosen)
+    n = rows["n"].to_numpy(np.int64)
+    more = fit_budget(rows["size"].to_numpy(np.int64), n, int(target - repeats * total + 1e-6) if total else 0, MAX_REPEATS - repeats)
+    return rows.assign(repeats=repeats + more // n, chosen=more % n)
 
 
 def with_size(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -133,20 +147,20 @@ def mix(sized: DataFrame, size: str = "size", seed: int = SEED) -> DataFrame:
     by_size = counts.groupBy("source", "size").agg(F.sum("n").alias("n"))
     goals = targets(by_size.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))).select(F.col("source").alias("of"), "source_size", "target")
     given = by_size.join(goals, F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    fitted = materialise(given.groupBy("source").applyInPandas(_fit, "source string, size long, n long, source_size long, target double, repeats int, chosen long"))
+    fitted = materialise(given.groupBy("source").applyInPandas(_fit, "source string, size long, n long, source_size long, target double, repeats long, chosen long"))
 
     def same(left: DataFrame, right: DataFrame) -> DataFrame:
         right = right.withColumnsRenamed({"source": "r_source", "size": "r_size"})
         return left.join(right, F.col("source").eqNullSafe(F.col("r_source")) & (F.col("size") == F.col("r_size")), "left").drop("r_source", "r_size")
 
     # the slice that holds the last choice of each (source, size): a window over at most SLICES counts
-    sliced = same(counts, fitted.where("chosen > 0 and chosen < n").select("source", "size", "chosen")).where("chosen is not null")
+    sliced = same(counts, fitted.where("chosen > 0").select("source", "size", "chosen")).where("chosen is not null")
     upto = F.sum("n").over(Window.partitionBy("source", "size").orderBy("slice"))
     cut = sliced.withColumn("upto", upto).where("upto >= chosen and upto - n < chosen").select("source", "size", F.col("slice").alias("cut"), F.expr("chosen - (upto - n)").alias("needed"))
-    plan = same(fitted, cut).select("source", "size", "source_size", "target", "repeats", F.expr("n = chosen").alias("every"), "cut", "needed")
+    plan = same(fitted, cut).select("source", "size", "source_size", "target", "repeats", "cut", "needed")
     planned = same(rows, plan)
     at_cut = F.coalesce(F.col("slice") == F.col("cut"), F.lit(False))
-    plain = planned.where(~at_cut).withColumn("more", (F.col("every") | F.coalesce(F.col("slice") < F.col("cut"), F.lit(False))).cast("int"))
+    plain = planned.where(~at_cut).withColumn("more", F.coalesce(F.col("slice") < F.col("cut"), F.lit(False)).cast("int"))
     rank = F.row_number().over(Window.partitionBy("source", "size", "slice").orderBy("key", "row.doc_id"))
     ranked = planned.where(at_cut).withColumn("more", (rank <= F.col("needed")).cast("int"))
     names = [free_name(sized, n) for n in ("source_size", "target", "taken")]

@@ -1,0 +1,186 @@
+from __future__ import annotations
+
+import itertools
+import random
+import re
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from cohortwise.llm import mixing, simhash
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def waterfill(sizes: dict) -> dict:
+    """Targets by repeated resharing, as the contract says it."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: k % 3 + 1 for k, s in enumerate(order)}
+    target, free, rest = {}, set(order), float(sum(sizes.values()))
+    while free:
+        level = rest / sum(weight[s] for s in free)
+        over = [s for s in free if level * weight[s] > 3 * sizes[s]]
+        if not over:
+            return target | {s: level * weight[s] for s in free}
+        for s in over:
+            target[s] = 3.0 * sizes[s]
+            rest -= target[s]
+            free.discard(s)
+    return target
+
+
+def test_targets_and_takes(spark):
+    rng = random.Random(5)
+    rows = [(k, "w " * rng.choice([1, 2, 3, 5, 8, 40, 400]) + " x", s) for k, s in enumerate(rng.choices(["a", "b", "c", "é", None], [60, 3, 10, 1, 20], k=800))]
+    rows += [(900, None, "a"), (901, "", "zero"), (902, " \t", None), rows[0], rows[0], (None, "n u l l", "b"), (903, "big " * 50_000, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", F.lit(-1)).withColumn("taken", F.lit("x"))
+    sized, size = mixing.with_size(docs)
+    out = mixing.mix(sized, size)
+    assert out.columns == [*docs.columns, "_size", "source_size", "target", "_taken"]
+    got = out.collect()
+    assert sorted((str(r.doc_id), r._size) for r in got) == sorted((str(d), len(WORD.findall(t or ""))) for d, t, _ in rows)
+    total: dict = {}
+    for _, t, s in rows:
+        total[s] = total.get(s, 0) + len(WORD.findall(t or ""))
+    want = waterfill(total)
+    taken = dict.fromkeys(total, 0)
+    for r in got:
+        assert r.source_size == total[r.source] and abs(r.target - want[r.source]) < 1e-6
+        assert r._taken % max(1, r._size) == 0 and r._taken <= 3 * r._size
+        taken[r.source] += r._taken
+    assert all(abs(taken[s] - want[s]) <= 1 for s in total if s not in ("c", "é"))
+    assert abs(taken["c"] - want["c"]) < 50_000  # one document holds most of that source
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(sized, size).collect()))
+
+
+def test_nothing_to_mix(spark):
+    docs = spark.createDataFrame([], "doc_id long, source string, size long")
+    assert mixing.mix(docs).count() == 0
+    (row,) = mixing.mix(spark.createDataFrame([(1, None, 0)], "doc_id long, source string, size long")).collect()
+    assert (row.target, row.taken) == (0.0, 0)
+
+
+def test_budgets_are_met_as_brute_force_meets_them():
+    rng = random.Random(2)
+    for _ in range(150):
+        sizes = np.array(sorted(rng.sample(range(1, 30), rng.randrange(1, 5))))
+        counts = np.array([rng.randrange(1, 4) for _ in sizes])
+        budget = rng.randrange(0, int((sizes * counts).sum()) + 1)
+        copies = rng.randrange(1, 4)
+        chosen = mixing.fit_budget(sizes, counts, budget, copies)
+        assert (chosen >= 0).all() and (chosen <= counts * copies).all()
+        start = [c * budget // int((sizes * counts).sum()) for c in counts]  # the proportional part is fixed
+        best = min(abs(int((np.array(x) * sizes).sum()) - budget) for x in itertools.product(*(range(s, c * copies + 1) for s, c in zip(start, counts))))
+        assert abs(int((chosen * sizes).sum()) - budget) == best
+        assert (mixing.fit_budget(sizes, counts, budget, copies, dp_words=3) <= counts * copies).all()
+
+
+def brute_groups(values):
+    values = [int(v) for v in values]
+    parent = {v: v for v in values}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(values, 2):
+        if (a ^ b).bit_count() <= 3:
+            parent[find(a)] = find(b)
+    out: dict = {}
+    for v in values:
+        out.setdefault(find(v), set()).add(v)
+    return sorted(map(sorted, out.values()))
+
+
+def closure(values, a, b):
+    parent = {int(v): int(v) for v in values}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x, y in zip(a.tolist(), b.tolist()):
+        assert (x ^ y).bit_count() <= 64
+        parent[find(x)] = find(y)
+    out: dict = {}
+    for v in parent:
+        out.setdefault(find(v), set()).add(v)
+    return sorted(map(sorted, out.values()))
+
+
+def clustered(n, seed=1):
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 2**64, size=max(1, n // 12), dtype=np.uint64)
+    bit = lambda: np.uint64(1) << rng.integers(0, 64, n, dtype=np.uint64)
+    return np.unique(np.concatenate([base, rng.choice(base, n) ^ bit() ^ bit(), np.arange(60, dtype=np.uint64) * np.uint64(2)]))
+
+
+def test_index_finds_all_links():
+    for n in (1, 2, 9, 70, 700):
+        v = clustered(n)
+        assert closure(v, *simhash.links(v)) == brute_groups(v)
+    one, two = v[::3], v[1::3]
+    pairs = [(int(x), int(y)) for x in one for y in two if int(x ^ y).bit_count() <= 3]
+    found = closure(np.concatenate([one, two]), *simhash.links(one, two))
+    assert found == closure(np.concatenate([one, two]), *(np.array(c, dtype=object) for c in zip(*pairs)))
+
+
+def test_gray_neighbours_differ_in_one_bit():
+    v = np.arange(64, dtype=np.uint64)
+    in_order = v[np.argsort(simhash.gray_rank(v))]
+    assert all(int(a ^ b).bit_count() == 1 for a, b in zip(in_order, in_order[1:]))
+
+
+def test_buckets_divided_and_cut_give_the_same_groups(spark):
+    v = clustered(900, 4)
+    prints = spark.createDataFrame([(int(x),) for x in v.view(np.int64)], "f long")
+    for limits in ({}, {"block": 8, "leaf": 4}):
+        e = simhash.bucket_links(prints, **limits).toPandas()
+        assert closure(v, *(e[c].to_numpy(np.int64).view(np.uint64) for c in ("a", "b"))) == brute_groups(v)
+
+
+def test_groups_of_a_long_chain(spark):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(-20, 60)] + [(100, 100), (7, 7)], "a long, b long")
+    assert {r.root for r in simhash.groups(chain).collect()} == {-20}
+    assert simhash.groups(chain).count() == 80
+    assert simhash.groups(chain.limit(0)).count() == 0
+
+
+def plain_fingerprint(text):
+    import xxhash
+
+    words = WORD.findall((text or "").translate({c: c + 32 for c in range(65, 91)}))
+    if not words:
+        return 0
+    shingles = [" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))]
+    hashes = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_documents_of_all_kinds(spark, tmp_path):
+    rng = random.Random(9)
+    long = " ".join(rng.choice("abcdefgh") * 3 for _ in range(70_000))
+    texts = [None, "", " \t", "One", "one two", "ONE TWO", "É é É", " ", "a b c d", long, long + " end", long + " fin"]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(3, "One"), (3, "other row"), (None, "ONE"), (None, "only null ids hold this"), (50, "a b c d")]
+    spark.createDataFrame(rows, "doc_id long, text string").withColumn("fingerprint", F.lit(1)).write.parquet(f"{tmp_path}/documents.parquet")
+    got = simhash.query(spark, str(tmp_path)).collect()
+    prints = {t: plain_fingerprint(t) for _, t in rows if t is None or len(t) < 1000} | {t: simhash.fingerprint(t) for t in texts[-3:]}
+    group = {v: k for k, g in enumerate(brute_groups(set(prints.values()))) for v in g}
+    want = []
+    for d, t in rows:
+        ids = [x for x, u in rows if group[prints[u]] == group[prints[t]] and x is not None]
+        want.append((d, f"{prints[t]:016x}", min(ids, default=None)))
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    stay = simhash.one_of_each(docs)
+    assert stay.columns == docs.columns and stay.count() == len(set(group.values()))
+    assert simhash.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_long_texts_count_in_chunks(monkeypatch):
+    text = " ".join(f"w{k % 900}" for k in range(5_000))
+    want = plain_fingerprint(text)
+    monkeypatch.setattr(simhash, "CHUNK", 700)
+    assert simhash.fingerprint(text) == want
