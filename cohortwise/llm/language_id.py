@@ -138,6 +138,10 @@ def place(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, keys[at] == wanted
 
 
+def picked(values: np.ndarray, at: np.ndarray, known: np.ndarray, otherwise: float) -> np.ndarray:
+    return np.where(known, values[at], otherwise) if len(values) else np.full(len(at), otherwise)
+
+
 def gram_mask(order: int) -> np.uint64:
     return np.uint64((1 << 16 * order) - 1)
 
@@ -151,7 +155,7 @@ class Model:
         self.keys, self.log_p, self.contexts, self.log_w = [], [], [], []
         symbols = np.unique(np.concatenate([orders[x][0].keys for x in self.langs])) if columns else np.zeros(0, dtype=np.uint64)
         self.floor = -np.log(len(symbols) + 1)
-        for k in range(ORDER):
+        for k in range(ORDER if columns else 0):
             keys = np.unique(np.concatenate([orders[x][k].keys for x in self.langs]))
             contexts = np.unique(np.concatenate([orders[x][k].contexts for x in self.langs]))
             lower = self.log_prob(keys & gram_mask(k), k) if k else np.full((len(keys), columns), self.floor, dtype=np.float64)
@@ -159,9 +163,8 @@ class Model:
             for c, x in enumerate(self.langs):
                 o = orders[x][k]
                 at, known = place(o.contexts, keys >> np.uint64(16))
-                total, types = np.where(known, o.totals[at], 1), np.where(known, o.types[at], 0)
-                there, has = place(o.keys, keys)
-                own = np.where(has, np.maximum(o.n[there] - o.discount, 0), 0) / total
+                total, types = picked(o.totals, at, known, 1.0), picked(o.types, at, known, 0.0)
+                own = np.maximum(picked(o.n, *place(o.keys, keys), 0.0) - o.discount, 0) / total
                 p[:, c] = np.where(known, own + o.discount * types / total * p[:, c], p[:, c])
                 at, known = place(o.contexts, contexts)
                 weight[known, c] = np.log(o.discount * o.types[at[known]] / o.totals[at[known]])
