@@ -5,7 +5,6 @@ Layout:
     sources/    schemas, event-table readers, test-data mappings
     operators/  the reusable steps (base orders, renewal flags, counts, pivots)
     plans/      the five reports, the query registry and plan checks
-    streaming/  (empty by design: every report is a bounded batch)
 """
 
 __all__ = ["functions", "sources", "operators", "plans"]

@@ -80,42 +80,25 @@ def web_product_group_sql(
     )
 
 
-def web_plan_table(label_set: str) -> dict[str, str]:
-    """Plan label per 'price class|first days|renewal days' key.
+def web_plan_sql(
+    price: str = "first_price", first_days: str = "first_days", renew_days: str = "renew_days", label_set: str = "renewal"
+) -> str:
+    """Web plan label from parsed code parts, first match wins, NULL if no rule matches.
 
-    Expanded from the ordered rules; a key takes the label of the first rule
-    that covers it, which is the searched CASE's first-match-wins.
+    ``label_set='renewal'`` gives the renewal-report labels, ``'sales'`` the
+    ARPPU / sales-report labels.
     """
     if label_set not in ("renewal", "sales"):
         raise ValueError(f"unknown label set {label_set!r}")
-    table: dict[str, str] = {}
+    branches = []
     for renewal_label, sales_label, price_rule, firsts, renews in R.WEB_PLANS:
+        tests = [in_list(first_days, firsts), in_list(renew_days, renews)]
         if price_rule == "zero":
-            prices = ["zero"]
+            tests.insert(0, f"{price} = 0")
         elif price_rule == "positive" and label_set == "sales":
-            prices = ["positive"]
-        else:
-            prices = ["zero", "positive"]
-        label = renewal_label if label_set == "renewal" else sales_label
-        for pc in prices:
-            for f in firsts:
-                for n in renews:
-                    table.setdefault(f"{pc}|{f}|{n}", label)
-    return table
-
-
-def web_plan_sql(
-    price: str = "first_price", first_days: str = "first_days", renew_days: str = "renew_days", label_set: str = "renewal"
-) -> str:
-    """Web plan label from parsed code parts, NULL if no rule matches.
-
-    ``label_set='renewal'`` gives the renewal-report labels, ``'sales'`` the
-    ARPPU / sales-report labels. Each part is referenced once (a map
-    lookup), so the regex behind it is not repeated per rule.
-    """
-    price_class = f"CASE WHEN {price} = 0 THEN 'zero' WHEN {price} > 0 THEN 'positive' END"
-    key = f"concat({price_class}, '|', CAST({first_days} AS STRING), '|', CAST({renew_days} AS STRING))"
-    return map_lookup(web_plan_table(label_set), key)
+            tests.insert(0, f"{price} > 0")
+        branches.append((all_of(tests), lit(renewal_label if label_set == "renewal" else sales_label)))
+    return case(branches)
 
 
 def web_window_days_raw_sql(order_type: str = "order_type", first_days: str = "first_days", renew_days: str = "renew_days") -> str:
@@ -157,5 +140,21 @@ def rounded_ratio_sql(num: str, den: str, places: int) -> str:
 
 
 def rounded_money_ratio_sql(money: str, den: str) -> str:
-    """round(money / den, 2) for a 2-place money sum as DOUBLE; NULL when den <= 0."""
-    return f"CASE WHEN {den} > 0 THEN {half_up_div_sql(f'CAST({money} * 100 AS BIGINT)', den)} / 100.0D END"
+    """round(money / den, 2), half away from zero, as DOUBLE; NULL when den <= 0.
+
+    ``money`` is a sum of any numeric type; it counts to 8 places, and the
+    division is one of whole numbers, so nothing is rounded twice.
+    """
+    n = f"CAST(CAST({money} AS DECIMAL(30, 8)) * 100000000 AS DECIMAL(38, 0))"
+    d = f"CAST({den} AS DECIMAL(20, 0))"
+    cents = f"CAST((abs({n}) * 200 + {d} * 100000000) div ({d} * 200000000) AS BIGINT)"
+    return f"CASE WHEN {den} > 0 THEN CAST(sign({n}) AS BIGINT) * {cents} / 100.0D END"
+
+
+def once(columns: dict[str, str]) -> str:
+    """Columns (name -> SQL) computed once a row, as one generated row.
+
+    Catalyst copies the expressions of a projection into every filter and
+    projection above that uses them; a generator's outputs are not copied.
+    """
+    return "inline(array(struct(" + ", ".join(f"{sql} AS {name}" for name, sql in columns.items()) + ")))"

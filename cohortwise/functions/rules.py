@@ -3,8 +3,8 @@
 FIXED VALUES. Everything in this module must equal the report definitions
 for the results to match: event names, product-code patterns, window
 lengths, label strings and the column lists of the wide reports. They are
-stated once, in natural order, and every operator and the oracle SQL read
-them from here.
+stated once, in natural order, and every operator reads them from here.
+The oracle SQL states them again on its own.
 """
 
 from __future__ import annotations
@@ -134,7 +134,6 @@ WEB_SALES_REPORT_COLUMNS: list[tuple[str, str, str]] = [
 # --- FIXED VALUES: experiment training report -----------------------------
 GROUP_EXPERIMENT = "实验组"
 GROUP_CONTROL = "对照组"
-GROUP_ORDER = {GROUP_EXPERIMENT: 1}  # every other group sorts as 2
 
 EV_PAGEVIEW = "pageview_general_wup_h2o"
 EV_CLICK = "click_general_wup_h2o"

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import classify as C
 from ..functions import rules as R
 from ..functions.sqltext import all_of, in_list, lit
+from ..sources.events import conform
 from .params import DateLike, in_closed_range_sql
 
 SCENE_ORDER = {scene: i + 1 for i, scene in enumerate(R.SCENES)}
@@ -56,7 +57,7 @@ WALK_EVENT_COLUMNS = [
 
 
 def _event_rows(events: DataFrame, start: DateLike, end: DateLike) -> DataFrame:
-    return events.where(
+    return conform(events).where(
         all_of([in_closed_range_sql(start, end), in_list("event", [R.EV_PAGEVIEW, R.EV_CLICK, R.EV_START, R.EV_END])])
     ).select(*WALK_EVENT_COLUMNS)
 
@@ -74,13 +75,19 @@ def _activity_aggs() -> list:
     return aggs
 
 
-def user_activity(events: DataFrame, start: DateLike, end: DateLike) -> DataFrame:
+def user_activity(events: DataFrame, start: DateLike, end: DateLike, members: DataFrame | None = None) -> DataFrame:
     """One row per user: start/end counts for the four entrance scenes and flags.
 
+    With ``members`` only their events are counted: a semi-join before the
+    aggregation, whose small side Spark broadcasts if its size allows.
+
     Output: user_id, n_start_<i>, n_end_<i> for scenes 1-4, seen_<i> for
     the four exposure rules, seen_filter_page, used_filter (0/1).
     """
-    return _event_rows(events, start, end).groupBy("user_id").agg(*_activity_aggs())
+    rows = _event_rows(events, start, end)
+    if members is not None:
+        rows = rows.join(members.select("user_id").distinct(), "user_id", "left_semi")
+    return rows.groupBy("user_id").agg(*_activity_aggs())
 
 
 def cohort_members(cohorts: DataFrame) -> DataFrame:
@@ -88,18 +95,26 @@ def cohort_members(cohorts: DataFrame) -> DataFrame:
     return cohorts.select("group_name", "user_id").distinct()
 
 
-def scene_member_rows(events: DataFrame, cohorts: DataFrame, start: DateLike, end: DateLike) -> DataFrame:
+def scene_member_rows(
+    events: DataFrame, cohorts: DataFrame, start: DateLike, end: DateLike, cohort_first: bool = True
+) -> DataFrame:
     """Every member x 7 scenes with base membership, scene membership and counts.
 
     Output: group_name, user_id, scene, scene_order, in_base, in_scene,
-    n_start, n_complete. The event rows are reduced to one activity row per
-    user with fixed-width aggregates (``count_if``, ``max``), which Spark
+    n_start, n_complete. The events of members (``cohort_first``) are
+    reduced to one activity row per user with fixed-width aggregates (``count_if``, ``max``), which Spark
     runs as a hash aggregate that combines map-side; the distinct members
     are then joined to it on user_id (each side has at most one or two rows
     per user, so no join key can be hot). Members with no events keep their
     rows (zeros), so every arm gets all seven scenes.
+
+    ``cohort_first=False`` aggregates every user's events instead and gives
+    the same rows; it suits cohorts that are most of all users and too many
+    to broadcast, where the semi-join would shuffle raw events.
     """
-    joined = cohort_members(cohorts).join(user_activity(events, start, end), "user_id", "left")
+    members = cohort_members(cohorts)
+    activity = user_activity(events, start, end, members if cohort_first else None)
+    joined = members.join(activity, "user_id", "left")
 
     def z(c: str) -> str:
         return f"coalesce({c}, 0)"
@@ -152,23 +167,10 @@ def exposure_base(events: DataFrame, cohorts: DataFrame, start: DateLike, end: D
 
 
 def filter_funnel_users(events: DataFrame, cohorts: DataFrame, start: DateLike, end: DateLike) -> DataFrame:
-    """(group, user, scene) for the filter page, filter use, and page without use.
-
-    Written as distinct sets and an anti-join on (group, user); every input
-    is one row per user, so no join key can be hot.
-    """
-    members = cohort_members(cohorts).where("user_id IS NOT NULL")
-    rows = events.where(in_closed_range_sql(start, end))
-    page_users = rows.where(FILTER_PAGE).select("user_id").distinct()
-    used_users = rows.where(FILTER_USED).select("user_id").distinct()
-    page = members.join(page_users, "user_id").select("group_name", "user_id")
-    used = members.join(used_users, "user_id").select("group_name", "user_id")
-    not_used = page.join(used, ["group_name", "user_id"], "left_anti")
-    return (
-        page.selectExpr("*", f"{lit(R.SCENE_FILTER_PAGE)} AS scene")
-        .unionByName(used.selectExpr("*", f"{lit(R.SCENE_FILTER_USED)} AS scene"))
-        .unionByName(not_used.selectExpr("*", f"{lit(R.SCENE_FILTER_NOT_USED)} AS scene"))
-    )
+    """(group, user, scene) for the filter page, filter use, and page without use."""
+    rows = scene_member_rows(events, cohorts, start, end)
+    first = SCENE_ORDER[R.SCENE_FILTER_PAGE]
+    return rows.where(f"in_base AND scene_order >= {first} AND user_id IS NOT NULL").select("group_name", "user_id", "scene")
 
 
 def retrain_rate_sql(retrain: str, starters: str) -> str:
@@ -203,14 +205,16 @@ def dense_scene_grid(events: DataFrame, cohorts: DataFrame, start: DateLike, end
     ).select("group_name", "group_order", "scene", "scene_order", "user_base")
 
 
-def scene_metrics(events: DataFrame, cohorts: DataFrame, start: DateLike, end: DateLike) -> DataFrame:
+def scene_metrics(
+    events: DataFrame, cohorts: DataFrame, start: DateLike, end: DateLike, cohort_first: bool = True
+) -> DataFrame:
     """All funnel numbers per (group, scene) in one aggregation over member rows.
 
     Equal to D22 joined with D20 and D21; output: group_name, group_order,
     scene, scene_order, user_base, start_uv, complete_uv, retrain_uv,
     retrain_rate.
     """
-    rows = scene_member_rows(events, cohorts, start, end)
+    rows = scene_member_rows(events, cohorts, start, end, cohort_first)
     counted = "in_scene AND user_id IS NOT NULL"
     agg = rows.groupBy("group_name", "scene", "scene_order").agg(
         F.expr("count(CASE WHEN in_base THEN user_id END) AS user_base"),

@@ -37,11 +37,15 @@ def segment_pivot(
     return long.groupBy(*keys).agg(*cells)
 
 
-def stack_metrics(df: DataFrame, keys: list[str], metrics: list[tuple[str, str]], kind_col: str, value_col: str) -> DataFrame:
-    """U1 without a second scan: one input row -> one row per (label, value SQL).
+def stack_wide(df: DataFrame, keys: list[str], columns: list[str], metrics: list[tuple[str, list[str]]], kind_col: str) -> DataFrame:
+    """U1 without a second scan: one wide row -> one row per (label, values), values in the order of ``columns``.
 
-    Values are cast to DOUBLE so rates and money share one column.
+    Values are cast to DOUBLE so rates, counts and money share the columns.
     """
-    structs = ", ".join(f"struct({lit(label)} AS k, CAST({value} AS DOUBLE) AS v)" for label, value in metrics)
-    out = df.selectExpr(*[ident(k) for k in keys], f"inline(array({structs}))")
-    return out.withColumnsRenamed({"k": kind_col, "v": value_col})
+    structs = ", ".join(
+        f"struct({lit(label)} AS {ident(kind_col)}, "
+        + ", ".join(f"CAST({value} AS DOUBLE) AS {ident(c)}" for c, value in zip(columns, values, strict=True))
+        + ")"
+        for label, values in metrics
+    )
+    return df.selectExpr(*[ident(k) for k in keys], f"inline(array({structs}))")

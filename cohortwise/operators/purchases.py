@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import classify as C
 from ..functions import rules as R
 from ..functions.sqltext import all_of, in_list, lit
+from ..sources.events import conform
 from .params import DateLike, event_is_line_sql, in_closed_range_sql
 
 PRODUCT = C.PRODUCT
@@ -34,8 +35,9 @@ _INAPP_COLUMNS = [
     "device_type",
     "origin_money",
     "date AS first_date",
-    f"{C.inapp_plan_sql()} AS period_type",
 ]
+#: The plan is a function of the product code: found once a row, after a distinct.
+_INAPP_PLAN = C.once({"period_type": C.inapp_plan_sql()})
 
 
 def inapp_base_orders(events: DataFrame, line: str, start: DateLike, end: DateLike) -> DataFrame:
@@ -46,14 +48,14 @@ def inapp_base_orders(events: DataFrame, line: str, start: DateLike, end: DateLi
     period_type, diff_days. The plan is a function of the product code, so
     filtering it before the distinct equals filtering after.
     """
-    rows = events.where(all_of([_inapp_filter(line, start, end), f"{C.inapp_plan_sql()} IS NOT NULL"]))
-    base = rows.selectExpr(*_INAPP_COLUMNS).distinct()
+    rows = conform(events).where(all_of([_inapp_filter(line, start, end), f"{C.inapp_plan_sql()} IS NOT NULL"]))
+    base = rows.selectExpr(*_INAPP_COLUMNS).distinct().selectExpr("*", _INAPP_PLAN)
     return base.selectExpr("*", f"{C.inapp_window_days_sql()} AS diff_days")
 
 
 def inapp_plan_mix(events: DataFrame, line: str, start: DateLike, end: DateLike) -> DataFrame:
     """Distinct base purchases and users per in-app plan, NULL = no plan."""
-    rows = events.where(_inapp_filter(line, start, end)).selectExpr(*_INAPP_COLUMNS).distinct()
+    rows = conform(events).where(_inapp_filter(line, start, end)).selectExpr(*_INAPP_COLUMNS).distinct().selectExpr("*", _INAPP_PLAN)
     return rows.groupBy("period_type").agg(
         F.expr("count(1) AS purchases"), F.expr("count(DISTINCT user_id) AS users")
     )
@@ -73,14 +75,19 @@ def _web_filter(line: str, start: DateLike, end: DateLike, order_types: tuple[st
     )
 
 
-WEB_RAW_COLUMNS = {
-    "order_type": "all_product_order_type",
-    "origin_money": "origin_money",
-    "product_type_group": C.web_product_group_sql(),
-    "first_price": C.web_first_price_sql(),
-    "first_days": C.web_first_days_sql(),
-    "renew_days": C.web_renew_days_sql(),
-}
+WEB_ROW_COLUMNS = [
+    "event",
+    "date",
+    "user_id",
+    PRODUCT,
+    "all_product_order_type AS order_type",
+    "origin_money",
+    f"{C.web_product_group_sql()} AS product_type_group",
+]
+#: The code's parts are functions of the product: parsed once a row, after a reduction.
+WEB_CODE_PARTS = C.once(
+    {"first_price": C.web_first_price_sql(), "first_days": C.web_first_days_sql(), "renew_days": C.web_renew_days_sql()}
+)
 
 
 def web_label_columns(line: str) -> list[str]:
@@ -93,7 +100,7 @@ def web_label_columns(line: str) -> list[str]:
         PRODUCT,
         "order_type",
         "product_type_group",
-        "coalesce(origin_money, CAST(0 AS DECIMAL(12,2))) AS origin_money",
+        "coalesce(origin_money, 0) AS origin_money",
         "date AS first_date",
         f"{C.web_plan_sql(label_set='renewal')} AS product_period_type",
         f"{C.web_window_days_raw_sql()} AS window_days_raw",
@@ -123,14 +130,9 @@ def web_base_orders(events: DataFrame, line: str, start: DateLike, end: DateLike
     group, plan or window are dropped. The distinct is on the raw money,
     as the money default is applied after it; the code is parsed after it.
     """
-    rows = events.where(web_base_filter_sql(line, start, end))
-    parse = ("first_price", "first_days", "renew_days")
-    raw = rows.selectExpr(
-        "event", "date", "user_id", PRODUCT, *[f"{v} AS {k}" for k, v in WEB_RAW_COLUMNS.items() if k not in parse]
-    ).distinct()
-    # the code parts are functions of the product: parsed after the distinct
-    parsed = raw.selectExpr("*", *[f"{WEB_RAW_COLUMNS[k]} AS {k}" for k in parse])
-    return label_web_base(parsed, line)
+    rows = conform(events).where(web_base_filter_sql(line, start, end))
+    raw = rows.selectExpr(*WEB_ROW_COLUMNS).distinct()
+    return label_web_base(raw.selectExpr("*", WEB_CODE_PARTS), line)
 
 
 def web_orders(
@@ -139,23 +141,27 @@ def web_orders(
     start: DateLike,
     end: DateLike,
     order_types: tuple[str, ...] = R.WEB_ORDER_TYPES,
+    users: bool = False,
 ) -> DataFrame:
     """Distinct web orders of the ARPPU and sales reports, classified.
 
     Distinct on (order_id, date, product, order type, money): one order
-    with two amounts keeps both. Output: order_id, order_type, stat_month,
+    with two amounts keeps both; ``users`` adds user_id. Output: order_id, order_type, stat_month,
     origin_money (NULL as 0), product_type_group, first_price, first_days,
     renew_days, renewal_plan, period_group. Rows without product group are
     dropped.
     """
+    user = ["user_id"] if users else []
     raw = (
-        events.where(_web_filter(line, start, end, order_types))
+        conform(events)
+        .where(_web_filter(line, start, end, order_types))
         .selectExpr(
+            *user,
             "order_id",
             "date",
             PRODUCT,
             "all_product_order_type AS order_type",
-            "coalesce(origin_money, CAST(0 AS DECIMAL(12,2))) AS origin_money",
+            "coalesce(origin_money, 0) AS origin_money",
             f"{C.web_product_group_sql()} AS product_type_group",
         )
         .distinct()
@@ -163,14 +169,13 @@ def web_orders(
     # the code parts are functions of the product, so they are parsed after
     # the distinct: a narrower shuffle, and no regex on duplicate rows
     parsed = raw.where("product_type_group IS NOT NULL").selectExpr(
+        *user,
         "order_id",
         "order_type",
         f"{C.month_start_sql()} AS stat_month",
         "origin_money",
         "product_type_group",
-        f"{C.web_first_price_sql()} AS first_price",
-        f"{C.web_first_days_sql()} AS first_days",
-        f"{C.web_renew_days_sql()} AS renew_days",
+        WEB_CODE_PARTS,
     )
     return parsed.selectExpr(
         "*",
@@ -190,6 +195,20 @@ def per_cell_orders(orders: DataFrame, keys: list[str]) -> DataFrame:
     return per_order.groupBy(*keys).agg(F.expr("sum(money) AS revenue"), F.expr("count(order_id) AS orders"))
 
 
+def sales_report_cells(orders: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per ``keys``: money_<i> and orders_<i> of each ARPPU / sales report column i.
+
+    Two levels as ``per_cell_orders``, the second straight by the report's keys.
+    """
+    per_order = orders.groupBy(*keys, "product_type_group", "period_group", "order_id").agg(F.expr("sum(origin_money) AS money"))
+    cells = []
+    for i, (_, group, plan) in enumerate(R.WEB_SALES_REPORT_COLUMNS):
+        here = f"product_type_group = {lit(group)} AND period_group = {lit(plan)}"
+        cells.append(F.expr(f"sum(CASE WHEN {here} THEN money END) AS money_{i}"))
+        cells.append(F.expr(f"count(CASE WHEN {here} THEN order_id END) AS orders_{i}"))
+    return per_order.groupBy(*keys).agg(*cells)
+
+
 def web_product_group_mix(events: DataFrame, line: str, start: DateLike, end: DateLike) -> DataFrame:
     """Distinct orders and revenue per product group (new and renewal orders)."""
     cells = per_cell_orders(web_orders(events, line, start, end), ["product_type_group"])
@@ -197,13 +216,16 @@ def web_product_group_mix(events: DataFrame, line: str, start: DateLike, end: Da
 
 
 def web_plan_mix(events: DataFrame, line: str, start: DateLike, end: DateLike) -> DataFrame:
-    """Orders by plan class in both label sets, plus the rest.
+    """Orders, users and revenue by plan class in both label sets, plus the rest.
 
     ``code_parsed`` is 0 for codes the pattern cannot parse; parsed codes
     matching no rule have both labels NULL and ``code_parsed`` 1.
     """
-    orders = web_orders(events, line, start, end).selectExpr(
+    orders = web_orders(events, line, start, end, users=True).selectExpr(
         "*", "CASE WHEN first_days IS NOT NULL THEN 1 ELSE 0 END AS code_parsed"
     )
-    cells = per_cell_orders(orders, ["renewal_plan", "period_group", "code_parsed"])
-    return cells.selectExpr("renewal_plan", "period_group", "code_parsed", "orders", "CAST(revenue AS DOUBLE) AS revenue")
+    return orders.groupBy("renewal_plan", "period_group", "code_parsed").agg(
+        F.expr("count(DISTINCT order_id) AS orders"),
+        F.expr("count(DISTINCT user_id) AS users"),
+        F.expr("CAST(sum(origin_money) AS DOUBLE) AS revenue"),
+    )

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from ..functions import classify as C
 from ..functions import rules as R
 from ..functions.sqltext import all_of, case, lit
+from ..sources.events import conform
 from .params import DateLike, date_range, event_is_line_sql, in_renewal_range_sql
 
 KEYS = ["event", "user_id", "product_id_all_product"]
@@ -78,7 +79,7 @@ def renewal_days(events: DataFrame, line: str, start: DateLike, end: DateLike, k
     cond = _renewal_filter(line, start, end, kind)
     if kind == "inapp":
         cond = all_of([cond, f"{C.inapp_plan_sql()} IS NOT NULL"])
-    return events.where(cond).selectExpr(*KEYS, "date AS repay_date").distinct()
+    return conform(events).where(cond).selectExpr(*KEYS, "date AS repay_date").distinct()
 
 
 def renewal_candidates(events: DataFrame, base: DataFrame, line: str, start: DateLike, end: DateLike, kind: str) -> DataFrame:
@@ -123,6 +124,7 @@ def renewal_flags(
     date_col: str = "first_date",
     window_col: str = "diff_days",
     repay_col: str = "repay_date",
+    data_end: DateLike | None = None,
 ) -> DataFrame:
     """Per cohort row (``group_cols``), 1 if any of its base rows renewed.
 
@@ -132,9 +134,22 @@ def renewal_flags(
     else, and the reduction aggregates map-side, so a hot key contributes a
     number of rows bounded by its days, not by its purchases. Renewal days
     are expected distinct per key and day (``renewal_days``). One shuffle
-    on (event, user, product) then feeds the window. Passing every base
-    column as ``group_cols`` gives a flag per base row.
+    on (event, user, product) then feeds the window. Groups by money, which
+    would let a key have a row for each of its amounts, take the flags of
+    their key and day by a join instead.
+
+    ``data_end`` (the last day with data) adds ``matured``: 1 if every
+    window of the group closed by then, so that a 0 is final.
     """
+    flags = ["has_repay", *(["matured"] if data_end is not None else [])]
+    outcome = [F.expr(f"{'max' if c == 'has_repay' else 'min'}({c}) AS {c}") for c in flags]
+    if "origin_money" in group_cols:
+        days = [*KEYS, date_col, window_col]
+        by_day = renewal_flags(base, renewals, days, date_col, window_col, repay_col, data_end)
+        by_day = by_day.withColumnsRenamed({c: f"_cw_{c}" for c in days})
+        same = all_of([f"{c} <=> _cw_{c}" for c in days])
+        rows = base.select(*dict.fromkeys([*group_cols, *days])).join(by_day, F.expr(same))
+        return rows.groupBy(*group_cols).agg(*outcome)
     cols = list(dict.fromkeys([*group_cols, *KEYS, date_col, window_col]))
     b = base.select(*cols).distinct().selectExpr(
         "*", f"unix_date({date_col}) AS _cw_day", "TRUE AS _cw_base", "FALSE AS _cw_renewal"
@@ -142,11 +157,10 @@ def renewal_flags(
     r = renewals.selectExpr(*KEYS, f"unix_date({repay_col}) AS _cw_day", "FALSE AS _cw_base", "TRUE AS _cw_renewal")
     both = b.unionByName(r, allowMissingColumns=True)
     flagged = both.selectExpr("*", _next_renewal_sql("_cw_renewal", "_cw_day")).where("_cw_base")
-    return (
-        flagged.selectExpr(*group_cols, _has_repay_sql("_cw_day", window_col))
-        .groupBy(*group_cols)
-        .agg(F.expr("max(has_repay) AS has_repay"))
-    )
+    values = [_has_repay_sql("_cw_day", window_col)]
+    if data_end is not None:
+        values.append(f"CASE WHEN _cw_day + {window_col} <= unix_date({lit(date_range(data_end, data_end)[0])}) THEN 1 ELSE 0 END AS matured")
+    return flagged.selectExpr(*group_cols, *values).groupBy(*group_cols).agg(*outcome)
 
 
 def inapp_flagged_days(events: DataFrame, line: str, start: DateLike, end: DateLike) -> DataFrame:
@@ -167,7 +181,7 @@ def inapp_flagged_days(events: DataFrame, line: str, start: DateLike, end: DateL
     """
     s, e = date_range(start, end)
     in_base = f"date <= {lit(e)}"
-    rows = events.where(
+    rows = conform(events).where(
         all_of(
             [
                 event_is_line_sql(line),
@@ -188,13 +202,14 @@ def inapp_flagged_days(events: DataFrame, line: str, start: DateLike, end: DateL
     days = tagged.groupBy(*KEYS, "date", "_cw_base", "_cw_renewal", "is_first_purchase_withmoney", "device_type").agg(
         F.expr("sum(origin_money) AS origin_money")
     )
-    window = C.inapp_window_days_sql(C.inapp_plan_sql())
+    window = C.inapp_window_days_sql("period_type")
     # hash on user_id alone satisfies both the window (event, user, product)
     # and the per-(month, segment, user) counts that follow, so one shuffle
     # serves both; after the per-day reduction a user's rows are bounded.
     by_user = days.repartition("user_id")
     flagged = by_user.selectExpr("*", _next_renewal_sql("_cw_renewal", "unix_date(date)")).where("_cw_base")
-    return flagged.selectExpr(
+    labeled = flagged.selectExpr("*", C.once({"period_type": C.inapp_plan_sql()}))
+    return labeled.selectExpr(
         "event",
         f"{C.month_start_sql()} AS first_month",
         "user_id",
@@ -202,7 +217,7 @@ def inapp_flagged_days(events: DataFrame, line: str, start: DateLike, end: DateL
         "is_first_purchase_withmoney",
         "device_type",
         "date AS first_date",
-        f"{C.inapp_plan_sql()} AS period_type",
+        "period_type",
         f"{window} AS diff_days",
         "origin_money",
         _has_repay_sql("unix_date(date)", window),
@@ -213,33 +228,35 @@ def web_first_orders_with_renewals(events: DataFrame, line: str, start: DateLike
     """D6 first orders with ``has_repay``, from one scan.
 
     Web renewals (order type 续订) pass the base predicates too, over a
-    longer range, so one scan of [s, e + 190] serves both roles. Each row
-    is emitted once per role it has: as a first-order candidate (dated up
-    to e and fully labeled) and as a renewal day (after s, 续订). Then
-    (1) a hash aggregate keeps one row per role group, product and day
-    (candidates: the smallest amount per segment, user, product and day;
-    renewals: one row per key and day); it combines map-side, so a hot user
-    or order collapses before the shuffle and each user keeps a number of
-    rows bounded by days and products; (2) one shuffle by user serves both
-    windows: the first order per segment and user (``row_number() = 1``
-    over date, product, money) and the renewal window. Output: the D6
-    columns plus has_repay.
+    longer range, so one scan of [s, e + 190] serves both roles. (1) A hash
+    aggregate keeps one row, with the smallest amount, per key, day, order
+    type and product group: all that label and order depend on. It combines
+    map-side, so a hot user or order collapses before the shuffle and each
+    user keeps a number of rows bounded by days and products; codes are
+    parsed after it. (2) One shuffle by user, then each row is emitted once
+    per role it has: as a first-order candidate (dated up to e and fully
+    labeled) and as a renewal day (after s, 续订); both windows run on that
+    shuffle: the first order per segment and user (``row_number() = 1`` over
+    date, product, money) and the renewal window. Output: the D6 columns
+    plus has_repay.
     """
     from . import purchases as P
 
     s, e = date_range(start, end)
     in_base = f"date <= {lit(e)}"
-    rows = events.where(P.web_base_filter_sql(line, s, e + dt.timedelta(days=R.WEB_MAX_WINDOW)))
-    tagged = rows.selectExpr(
-        *KEYS,
+    rows = conform(events).where(P.web_base_filter_sql(line, s, e + dt.timedelta(days=R.WEB_MAX_WINDOW)))
+    reduced = (
+        rows.selectExpr(*P.WEB_ROW_COLUMNS)
+        .groupBy(*KEYS, "date", "order_type", "product_type_group")
+        .agg(F.expr("min(coalesce(origin_money, 0)) AS origin_money"))
+    )
+    parsed = reduced.repartition("user_id").selectExpr("*", P.WEB_CODE_PARTS)
+    labeled = parsed.selectExpr(
         "date",
         f"{in_base} AS _cw_base",
-        f"date > {lit(s)} AND all_product_order_type = {lit(R.ORDER_RENEW)} AS _cw_renewal",
-        *[f"CASE WHEN {in_base} THEN {v} END AS {k}" for k, v in P.WEB_RAW_COLUMNS.items()],
-    )
-    labeled = tagged.selectExpr("date", "_cw_base", "_cw_renewal", *P.web_label_columns(line)).selectExpr(
-        "*", f"_cw_base AND {P.WEB_LABELED} AS _cw_cand", f"{C.web_window_days_sql()} AS diff_days"
-    )
+        f"date > {lit(s)} AND order_type = {lit(R.ORDER_RENEW)} AS _cw_renewal",
+        *P.web_label_columns(line),
+    ).selectExpr("*", f"_cw_base AND {P.WEB_LABELED} AS _cw_cand", f"{C.web_window_days_sql()} AS diff_days")
     roles = (
         "CASE WHEN _cw_cand AND _cw_renewal THEN array(TRUE, FALSE) WHEN _cw_cand THEN array(TRUE) "
         "WHEN _cw_renewal THEN array(FALSE) END"
@@ -252,14 +269,11 @@ def web_first_orders_with_renewals(events: DataFrame, line: str, start: DateLike
         "date",
         *[f"CASE WHEN _cw_first THEN {c} END AS {c}" for c in first_only],
     )
-    reduced = keyed.groupBy("_cw_first", *KEYS, "date", *segment, "window_days_raw", "diff_days").agg(
-        F.expr("min(origin_money) AS origin_money")
-    )
     rank = (
         "row_number() OVER (PARTITION BY _cw_first, user_id, " + ", ".join(segment)
         + " ORDER BY date, product_id_all_product, origin_money) AS _cw_rn"
     )
-    kept = reduced.repartition("user_id").selectExpr("*", rank).where("NOT _cw_first OR _cw_rn = 1")
+    kept = keyed.selectExpr("*", rank).where("NOT _cw_first OR _cw_rn = 1")
     flagged = kept.selectExpr("*", _next_renewal_sql("NOT _cw_first", "unix_date(date)")).where("_cw_first")
     return flagged.selectExpr(
         "event",
@@ -327,19 +341,27 @@ def inapp_revenue_base(base: DataFrame) -> DataFrame:
     )
 
 
-def inapp_cohort_cells(flagged: DataFrame) -> DataFrame:
-    """Users, renewed users and money per (month, segment) in one pass.
+def inapp_report_cells(flagged: DataFrame) -> DataFrame:
+    """One row a month: base_<i>, repay_<i> users and money_<i> of each report column i.
 
     From base rows (or per-day sums of them, ``inapp_flagged_days``)
     carrying ``has_repay``: one row per (month, segment, user), then counts
-    and sums. Equal to D9 and D12 over the same base.
+    and sums straight by month. Equal to D9 and D12, pivoted.
     """
     per_user = (
         flagged.selectExpr("first_month", f"{inapp_segment_sql()} AS segment", "user_id", "has_repay", "origin_money")
         .groupBy("first_month", "segment", "user_id")
         .agg(F.expr("max(has_repay) AS has_repay"), F.expr("sum(origin_money) AS money"))
     )
-    return per_user.groupBy("first_month", "segment").agg(*_user_counts(), F.expr("sum(money) AS revenue"))
+    cells = []
+    for i, (column, *_) in enumerate(R.INAPP_REPORT_COLUMNS):
+        here = f"segment = {lit(column)}"
+        cells += [
+            F.expr(f"count(CASE WHEN {here} THEN user_id END) AS base_{i}"),
+            F.expr(f"count(CASE WHEN {here} AND has_repay = 1 THEN user_id END) AS repay_{i}"),
+            F.expr(f"sum(CASE WHEN {here} THEN money ELSE 0 END) AS money_{i}"),
+        ]
+    return per_user.groupBy("first_month").agg(*cells)
 
 
 # --- D10, D13 (web) --------------------------------------------------------
@@ -368,3 +390,19 @@ def web_cohort_cells(flagged_first_orders: DataFrame) -> DataFrame:
     return flagged_first_orders.groupBy(*WEB_SEGMENT_KEYS).agg(
         *_user_counts(), F.expr("CAST(round(sum(origin_money), 0) AS BIGINT) AS revenue_base")
     )
+
+
+def web_report_cells(flagged_first_orders: DataFrame) -> DataFrame:
+    """One row per line, month and product group: base_<i>, repay_<i>, money_<i> of each report column i.
+
+    Equal to ``web_cohort_cells``, pivoted.
+    """
+    cells = []
+    for i, (_, plan, order_type) in enumerate(R.WEB_RENEWAL_REPORT_COLUMNS):
+        here = f"product_period_type = {lit(plan)} AND order_type = {lit(order_type)}"
+        cells += [
+            F.expr(f"count(CASE WHEN {here} THEN user_id END) AS base_{i}"),
+            F.expr(f"count(CASE WHEN {here} AND has_repay = 1 THEN user_id END) AS repay_{i}"),
+            F.expr(f"CAST(round(sum(CASE WHEN {here} THEN origin_money END), 0) AS BIGINT) AS money_{i}"),
+        ]
+    return flagged_first_orders.groupBy("event_cn", "first_month", "product_type_group").agg(*cells)

@@ -13,7 +13,23 @@ import re
 
 from pyspark.sql import DataFrame
 
-PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas", "PythonUDF")
+PYTHON_NODES = (
+    "BatchEvalPython",
+    "ArrowEvalPython",
+    "ArrowAggregatePython",
+    "AggregateInPandas",
+    "ArrowWindowPython",
+    "WindowInPandas",
+    "MapInPandas",
+    "MapInArrow",
+    "FlatMapGroupsInPandas",
+    "FlatMapGroupsInArrow",
+    "FlatMapCoGroupsInPandas",
+    "FlatMapCoGroupsInArrow",
+    "BatchEvalPythonUDTF",
+    "ArrowEvalPythonUDTF",
+    "PythonUDF",
+)
 PAIR_NODES = ("CartesianProduct", "BroadcastNestedLoopJoin")
 
 

@@ -100,9 +100,29 @@ def renewal_rate(spark, d):
 
 
 def web_renewal_users(spark, d):
-    first = N.web_first_orders_with_renewals(_p(spark, d), LINE, S, E)
-    flags = first.groupBy(*N.WEB_SEGMENT_KEYS, "user_id").agg(F.expr("max(has_repay) AS has_repay"))
-    return N.web_renewal_users(flags)
+    return N.web_cohort_cells(N.web_first_orders_with_renewals(_p(spark, d), LINE, S, E)).drop("revenue_base")
+
+
+def renewal_flags_matured(spark, d):
+    """D8 with the flag that says whether a 0 is final."""
+    ev = _p(spark, d)
+    base = P.inapp_base_orders(ev, LINE, S, E)
+    return N.renewal_flags(base, N.renewal_days(ev, LINE, S, E, "inapp"), N.INAPP_FLAG_KEYS, data_end=FX.DATA_END)
+
+
+def web_renewal_candidates(spark, d):
+    ev = _p(spark, d)
+    return N.renewal_candidates(ev, RP.web_first_orders(ev, LINE, S, E), LINE, S, E, "web")
+
+
+def web_renewal_flags(spark, d):
+    ev = _p(spark, d)
+    first = RP.web_first_orders(ev, LINE, S, E)
+    return N.renewal_flags(first, N.renewal_days(ev, LINE, S, E, "web"), [*N.WEB_SEGMENT_KEYS, "user_id"])
+
+
+def web_renewal_rate(spark, d):
+    return N.renewal_rate(web_renewal_users(spark, d), 4)
 
 
 def inapp_revenue_base(spark, d):
@@ -184,9 +204,13 @@ QUERIES: dict[str, Query] = {
     "first_order_per_segment": first_order_per_segment,
     "renewal_candidates": renewal_candidates,
     "renewal_flags": renewal_flags,
+    "renewal_flags_matured": renewal_flags_matured,
+    "web_renewal_candidates": web_renewal_candidates,
+    "web_renewal_flags": web_renewal_flags,
     "inapp_renewal_users": inapp_renewal_users,
     "web_renewal_users": web_renewal_users,
     "renewal_rate": renewal_rate,
+    "web_renewal_rate": web_renewal_rate,
     "inapp_revenue_base": inapp_revenue_base,
     "web_revenue_base": web_revenue_base,
     "web_arppu": web_arppu,

@@ -35,9 +35,12 @@ def read_events(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFra
     return conform(spark.read.format(fmt).load(path))
 
 
-def write_events(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_events(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Write an event table partitioned by date, files clustered by event.
 
+    An existing table is refused by default. ``mode="overwrite"`` replaces
+    the days that ``df`` holds and leaves all others as they are.
+
     ``REBALANCE(date)`` groups each day's rows into few tasks, and adaptive
     execution splits a day that holds far more rows than others (a hot day
     is written by several tasks, not one) and merges small ones, so the
@@ -49,6 +52,7 @@ def write_events(df: DataFrame, path: str, mode: str = "overwrite") -> None:
         df.hint("rebalance", "date")
         .sortWithinPartitions("date", "event", "user_id")
         .write.mode(mode)
+        .option("partitionOverwriteMode", "dynamic")
         .partitionBy("date")
         .parquet(path)
     )

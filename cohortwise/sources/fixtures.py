@@ -52,7 +52,7 @@ FIXTURE_WEB_CODES = [
 ]
 FIXTURE_DATE_ORIGIN = "1995-01-01"
 FIXTURE_DATE_BASE = "2024-01-01"
-FIXTURE_DATE_SPAN = 240
+FIXTURE_DATE_SPAN = 640
 # walk events by event id mod 10
 FIXTURE_WALK_EVENTS = [
     R.EV_PAGEVIEW,
@@ -74,6 +74,8 @@ FIXTURE_ENTRANCES = ["504", "503", "502", "501", None]
 PURCHASE_LINE = "健走"
 PURCHASE_START = "2024-01-01"
 PURCHASE_END = "2024-06-30"
+# last day with data, as far as the matured flag is concerned
+DATA_END = "2025-02-28"
 WALK_START = "2024-01-05"
 WALK_END = "2024-01-11"
 
@@ -86,41 +88,53 @@ def _pick(values: list, index: str) -> str:
 def purchase_events(orders: DataFrame) -> DataFrame:
     """Purchase rows (R1-R4 input) from TPC-H-like ``orders``.
 
-    Appends exact copies of orders with key % 17 = 0 and copies with one
-    more unit of money for key % 19 = 0, in the same scan (a generator,
-    not a union of three scans).
+    Product, device and product group depend on the customer and the order,
+    so one user buys several products on several devices; some users and
+    order ids are missing; dates run past the longest window. Appends, in
+    the same scan (a generator, not a union), exact copies of orders with
+    key % 17 = 0, copies with one more unit of money for key % 19 = 0, and
+    copies of key % 23 = 0 with another product of the same plan and two
+    more units of money, on the same day, and copies of key % 29 = 0 as
+    renewals one day after a month's window has closed.
     """
     k, c = "o_orderkey", "o_custkey"
     day = f"pmod(datediff(to_date(o_orderdate), DATE {lit(FIXTURE_DATE_ORIGIN)}), {FIXTURE_DATE_SPAN})"
-    copies = (
-        f"CASE WHEN pmod({k}, 17) = 0 AND pmod({k}, 19) = 0 THEN array(0, 1, 2) WHEN pmod({k}, 17) = 0 THEN array(0, 1) "
-        f"WHEN pmod({k}, 19) = 0 THEN array(0, 2) ELSE array(0) END"
-    )
+    code = f"{c} div 10 + pmod({k}, 3)"
+    device = f"pmod({c} + pmod({k}, 2), 7)"
+    group = f"({c} + CASE WHEN pmod({k}, 4) = 3 THEN 1 ELSE 0 END)"
+    copies = ", ".join(f"CASE WHEN pmod({k}, {n}) = 0 THEN {i} END" for i, n in enumerate((17, 19, 23, 29), 1))
     rows = orders.selectExpr(
-        f"{k} AS order_id",
-        f"{c} AS user_id",
+        f"CASE WHEN pmod({k}, 59) > 0 THEN {k} END AS order_id",
+        f"CASE WHEN pmod({k}, 53) > 0 THEN {c} END AS user_id",
         f"date_add(DATE {lit(FIXTURE_DATE_BASE)}, CAST({day} AS INT)) AS date",
         f"{_pick(FIXTURE_EVENTS, f'pmod({c}, 5)')} AS event",
         f"CASE WHEN {c} = 50 THEN {lit(R.INAPP_TEST_DISTINCT_ID)} WHEN pmod({c}, 97) = 3 THEN NULL "
         f"ELSE CAST({c} AS STRING) END AS distinct_id",
-        f"CASE WHEN pmod({c} div 5, 2) = 0 THEN {_pick(FIXTURE_INAPP_CODES, f'pmod({c} div 10, 8)')} "
-        f"ELSE {_pick(FIXTURE_WEB_CODES, f'pmod({c} div 10, 10)')} END AS product_id_all_product",
+        f"CASE WHEN pmod({c} div 5 + CASE WHEN pmod({k}, 7) = 6 THEN 1 ELSE 0 END, 2) = 0 "
+        f"THEN {_pick(FIXTURE_INAPP_CODES, f'pmod({code}, 8)')} "
+        f"ELSE {_pick(FIXTURE_WEB_CODES, f'pmod({code}, 10)')} END AS product_id_all_product",
         f"CASE WHEN pmod({k}, 13) = 0 THEN NULL WHEN pmod({k}, 11) = 0 THEN CAST(0 AS DECIMAL(12,2)) "
         "ELSE CAST(o_totalprice AS DECIMAL(12,2)) END AS origin_money",
         f"CASE WHEN pmod({k}, 41) = 0 THEN NULL WHEN pmod({k}, 3) = 0 THEN 1 ELSE 0 END AS is_first_purchase_withmoney",
         f"CASE WHEN pmod({k}, 10) = 9 THEN 0 ELSE 1 END AS product_is_subscribe",
-        f"CASE WHEN pmod({c}, 7) <= 2 THEN 'IOS' WHEN pmod({c}, 7) <= 5 THEN 'Android' ELSE 'Web' END AS device_type",
+        f"CASE WHEN {device} <= 2 THEN 'IOS' WHEN {device} <= 5 THEN 'Android' ELSE 'Web' END AS device_type",
         f"CASE WHEN pmod({k}, 8) <= 2 THEN {lit(R.ORDER_NEW)} WHEN pmod({k}, 8) <= 6 THEN {lit(R.ORDER_RENEW)} "
         "ELSE '升级' END AS all_product_order_type",
-        f"CASE WHEN pmod({c}, 29) = 5 THEN NULL WHEN pmod({c}, 3) = 0 THEN {lit(R.RAW_TYPE_MEMBER)} "
+        f"CASE WHEN pmod({group}, 29) = 5 THEN NULL WHEN pmod({group}, 3) = 0 THEN {lit(R.RAW_TYPE_MEMBER)} "
         f"ELSE {lit(R.RAW_TYPE_EXTRA)} END AS webob_product_type",
-        f"CASE WHEN pmod({c}, 29) = 5 OR pmod({c}, 3) = 0 THEN NULL WHEN pmod({c}, 3) = 1 THEN {lit(R.RAW_NOT_DOUBLE_EXTRA)} "
+        f"CASE WHEN pmod({group}, 29) = 5 OR pmod({group}, 3) = 0 THEN NULL WHEN pmod({group}, 3) = 1 THEN {lit(R.RAW_NOT_DOUBLE_EXTRA)} "
         f"ELSE {lit(R.RAW_DOUBLE_EXTRA)} END AS webob_product_type_is_double_extra",
         f"CASE pmod({k}, 9) WHEN 0 THEN '75' WHEN 1 THEN NULL ELSE '10001' END AS purchase_entrance_all_product",
-        f"explode({copies}) AS _copy",
+        f"explode(array_compact(array(0, {copies}))) AS _copy",
     )
-    money = "CASE WHEN _copy = 2 THEN CAST(origin_money + 1 AS DECIMAL(12,2)) ELSE origin_money END AS origin_money"
-    return rows.selectExpr(*[money if f.name == "origin_money" else f.name for f in PURCHASE_COLUMNS.fields])
+    changed = {
+        "origin_money": "CAST(origin_money + CASE _copy WHEN 2 THEN 1 WHEN 3 THEN 2 ELSE 0 END AS DECIMAL(12,2)) AS origin_money",
+        "product_id_all_product": "CASE WHEN _copy = 3 THEN concat('alt_', product_id_all_product) ELSE product_id_all_product END "
+        "AS product_id_all_product",
+        "date": "CASE WHEN _copy = 4 THEN date_add(date, CASE WHEN contains(product_id_all_product, 'webob') THEN 36 ELSE 41 END) ELSE date END AS date",
+        "all_product_order_type": f"CASE WHEN _copy = 4 THEN {lit(R.ORDER_RENEW)} ELSE all_product_order_type END AS all_product_order_type",
+    }
+    return rows.selectExpr(*[changed.get(f.name, f.name) for f in PURCHASE_COLUMNS.fields])
 
 
 def walk_events(events: DataFrame) -> DataFrame:

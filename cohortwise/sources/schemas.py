@@ -43,11 +43,6 @@ WALK_COLUMNS = T.StructType(
     ]
 )
 
-# one wide event table holds both kinds of rows
-EVENT_COLUMNS = T.StructType(
-    list(PURCHASE_COLUMNS.fields) + [f for f in WALK_COLUMNS.fields if f.name not in PURCHASE_COLUMNS.fieldNames()]
-)
-
 COHORT_COLUMNS = T.StructType(
     [
         T.StructField("group_name", T.StringType()),

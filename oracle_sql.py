@@ -1,572 +1,311 @@
-"""Independent DuckDB SQL for every registered query.
+"""Independent DuckDB SQL for every registered query of the library.
 
-Written directly from the report semantics, not from the Spark plans: the
-renewal match is the plain interval join, distinct counts are COUNT
-DISTINCT, the funnel is one branch per scene. The views ``orders`` and
-``events`` are the driver's tables; the CTEs below derive the purchase and
-training event tables from them with the same rules as
-``cohortwise.sources.fixtures``.
+Written from the definitions of the metrics, with constants of its own: a
+purchase is renewed if a later purchase of the same event, user and product
+EXISTS in its window; rules are small tables joined by rank; a user's first
+order is the first by day, product and money; the funnel is one pass of
+flags per user. The views ``orders`` and ``events`` are the driver's tables;
+``purchase_events`` and ``walk_events`` map them as FIXTURES.md says.
 
-Rounding is written in integers (half away from zero), and every metric is
-cast to DOUBLE and every count to BIGINT so both engines print equal values.
+Rounding is written in integers (half away from zero); metrics are DOUBLE
+and counts BIGINT, so that both engines print equal values.
 """
 
 from __future__ import annotations
 
-from cohortwise.functions import rules as R
-from cohortwise.sources import fixtures as FX
 
-EV = R.LINE_EVENTS[FX.PURCHASE_LINE]
-S = f"DATE '{FX.PURCHASE_START}'"
-E = f"DATE '{FX.PURCHASE_END}'"
-WS = f"DATE '{FX.WALK_START}'"
-WE = f"DATE '{FX.WALK_END}'"
+def with_(*ctes: str) -> str:
+    return "WITH " + ",\n".join(c.strip() for c in ctes) + "\n"
 
 
-def q(s: str | None) -> str:
-    return "NULL" if s is None else "'" + s.replace("'", "''") + "'"
+def pick(expr: str, values: list[str]) -> str:
+    """values[expr]; values are SQL."""
+    return f"([{', '.join(values)}])[1 + {expr}]"
 
 
-def ident(name: str) -> str:
-    return '"' + name + '"'
-
-
-def in_list(values) -> str:
-    return "(" + ", ".join(q(v) if isinstance(v, str) else str(v) for v in values) + ")"
+def half_up(num: str, den: str, places: int) -> str:
+    """round(num / den, places) for whole numbers; NULL when den is 0."""
+    n, d = f"({num})::HUGEINT * {10**places}", f"({den})::HUGEINT"
+    return f"(CASE WHEN {d} > 0 THEN ((2 * {n} + {d}) // (2 * {d}))::DOUBLE / {10**places} END)"
 
 
-def _case_index(expr: str, values: list) -> str:
-    whens = " ".join(f"WHEN {i} THEN {q(v) if isinstance(v, str) or v is None else v}" for i, v in enumerate(values))
-    return f"CASE {expr} {whens} END"
+def per_order(money: str, n: str) -> str:
+    """round(money / n, 2); money to 8 places."""
+    m, d = f"(({money})::DECIMAL(30, 8) * 100000000)::HUGEINT", f"({n})::HUGEINT"
+    return f"(CASE WHEN {d} > 0 THEN sign({m}) * ((abs({m}) * 200 + {d} * 100000000) // ({d} * 200000000))::DOUBLE / 100 END)"
 
 
-# --- test-data mappings ------------------------------------------------------
+# --- test-data mapping (FIXTURES.md) ------------------------------------------
 
-PURCHASE_CTE = f"""
-pe_src AS (
-  SELECT
-    o_orderkey AS order_id,
-    o_custkey AS user_id,
-    DATE '{FX.FIXTURE_DATE_BASE}' + CAST(((date_diff('day', DATE '{FX.FIXTURE_DATE_ORIGIN}', CAST(o_orderdate AS DATE)) % {FX.FIXTURE_DATE_SPAN}) + {FX.FIXTURE_DATE_SPAN}) % {FX.FIXTURE_DATE_SPAN} AS INTEGER) AS date,
-    {_case_index("o_custkey % 5", FX.FIXTURE_EVENTS)} AS event,
-    CASE WHEN o_custkey = 50 THEN {q(R.INAPP_TEST_DISTINCT_ID)} WHEN o_custkey % 97 = 3 THEN NULL ELSE CAST(o_custkey AS VARCHAR) END AS distinct_id,
-    CASE WHEN (o_custkey // 5) % 2 = 0 THEN {_case_index("(o_custkey // 10) % 8", FX.FIXTURE_INAPP_CODES)}
-         ELSE {_case_index("(o_custkey // 10) % 10", FX.FIXTURE_WEB_CODES)} END AS product_id_all_product,
-    CASE WHEN o_orderkey % 13 = 0 THEN NULL WHEN o_orderkey % 11 = 0 THEN CAST(0 AS DECIMAL(12,2))
-         ELSE CAST(o_totalprice AS DECIMAL(12,2)) END AS origin_money,
-    CASE WHEN o_orderkey % 41 = 0 THEN NULL WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS is_first_purchase_withmoney,
-    CASE WHEN o_orderkey % 10 = 9 THEN 0 ELSE 1 END AS product_is_subscribe,
-    CASE WHEN o_custkey % 7 <= 2 THEN 'IOS' WHEN o_custkey % 7 <= 5 THEN 'Android' ELSE 'Web' END AS device_type,
-    CASE WHEN o_orderkey % 8 <= 2 THEN {q(R.ORDER_NEW)} WHEN o_orderkey % 8 <= 6 THEN {q(R.ORDER_RENEW)} ELSE '升级' END AS all_product_order_type,
-    CASE WHEN o_custkey % 29 = 5 THEN NULL WHEN o_custkey % 3 = 0 THEN {q(R.RAW_TYPE_MEMBER)} ELSE {q(R.RAW_TYPE_EXTRA)} END AS webob_product_type,
-    CASE WHEN o_custkey % 29 = 5 OR o_custkey % 3 = 0 THEN NULL WHEN o_custkey % 3 = 1 THEN {q(R.RAW_NOT_DOUBLE_EXTRA)}
-         ELSE {q(R.RAW_DOUBLE_EXTRA)} END AS webob_product_type_is_double_extra,
-    CASE o_orderkey % 9 WHEN 0 THEN '75' WHEN 1 THEN NULL ELSE '10001' END AS purchase_entrance_all_product
+PURCHASES = """
+raw_purchases AS (
+  SELECT o_orderkey AS k, o_custkey AS c, o_custkey + (o_orderkey % 4 = 3)::INT AS g, o_custkey // 10 + o_orderkey % 3 AS code,
+    (o_custkey // 5 + (o_orderkey % 7 = 6)::INT) % 2 = 0 AS in_app, (o_custkey + o_orderkey % 2) % 7 AS device,
+    ((date_diff('day', DATE '1995-01-01', o_orderdate::DATE) % 640) + 640) % 640 AS day, o_totalprice
   FROM orders
-),
-purchase_events AS (
-  SELECT * FROM pe_src
-  UNION ALL SELECT * FROM pe_src WHERE order_id % 17 = 0
-  UNION ALL SELECT * REPLACE (CAST(origin_money + 1 AS DECIMAL(12,2)) AS origin_money) FROM pe_src WHERE order_id % 19 = 0
+), mapped AS (
+  SELECT k, CASE WHEN k % 59 > 0 THEN k END AS order_id, CASE WHEN k % 53 > 0 THEN c END AS user_id,
+    DATE '2024-01-01' + day::INT AS date,
+    (['purchase_vip_order_wup_h2o', 'purchase_vip_order_h2o', 'purchase_vip_order_df_h2o', 'purchase_vip_order_mm_h2o', 'purchase_vip_order_db_h2o'])[1 + c % 5] AS event,
+    CASE WHEN c = 50 THEN '90451406' WHEN c % 97 <> 3 THEN c::VARCHAR END AS distinct_id,
+    CASE WHEN in_app
+      THEN (['vip.gold_1_month', 'vip.GoldYear', 'vip.3_month.v2', 'app.auto.month', 'vip_180_day', 'coins_pack_100', 'vip.silveryearsale', NULL])[1 + code % 8]
+      ELSE (['webob_0d7-29.9d30', 'webob_9.9d7-29.9d28', 'webob_0d30-19.9d30', 'webob_19.9d14-19.9d14', 'webob_29.9d30-29.9d30',
+             'webob_0d7-79.9d90', 'webob_79.9d84-79.9d90', 'webob_169d168-169d168', 'webob_special', 'webob_5d60-5d60'])[1 + code % 10]
+    END AS product,
+    CASE WHEN k % 13 = 0 THEN NULL WHEN k % 11 = 0 THEN 0::DECIMAL(12,2) ELSE o_totalprice::DECIMAL(12,2) END AS money,
+    CASE WHEN k % 41 > 0 THEN (k % 3 = 0)::INT END AS first_pay,
+    (k % 10 <> 9)::INT AS subscribed,
+    CASE WHEN device <= 2 THEN 'IOS' WHEN device <= 5 THEN 'Android' ELSE 'Web' END AS device,
+    CASE WHEN k % 8 <= 2 THEN '新增' WHEN k % 8 <= 6 THEN '续订' ELSE '升级' END AS order_type,
+    CASE WHEN g % 29 = 5 THEN NULL WHEN g % 3 = 0 THEN '会员' ELSE '增值' END AS kind,
+    CASE WHEN g % 29 = 5 OR g % 3 = 0 THEN NULL WHEN g % 3 = 1 THEN '非二级增值' ELSE '二级增值' END AS extra,
+    CASE k % 9 WHEN 0 THEN '75' WHEN 1 THEN NULL ELSE '10001' END AS entrance
+  FROM raw_purchases
+), purchase_events AS (
+  SELECT * FROM mapped
+  UNION ALL SELECT * FROM mapped WHERE k % 17 = 0
+  UNION ALL SELECT * REPLACE ((money + 1)::DECIMAL(12,2) AS money) FROM mapped WHERE k % 19 = 0
+  UNION ALL SELECT * REPLACE ((money + 2)::DECIMAL(12,2) AS money, 'alt_' || product AS product) FROM mapped WHERE k % 23 = 0
+  UNION ALL SELECT * REPLACE (date + CASE WHEN contains(product, 'webob') THEN 36 ELSE 41 END AS date, '续订' AS order_type) FROM mapped WHERE k % 29 = 0
 )"""
 
-WALK_CTE = f"""
+WALKS = """
 walk_events AS (
-  SELECT
-    {_case_index("event_id % 10", FX.FIXTURE_WALK_EVENTS)} AS event,
-    CAST(ts AS DATE) AS date,
-    user_id,
-    CASE WHEN event_id % 10 IN (0, 1) THEN {_case_index("(event_id // 10) % 4", FX.FIXTURE_PAGES)} END AS page_id,
-    CASE WHEN event_id % 10 IN (0, 1) AND (event_id // 10) % 4 = 1 THEN {_case_index("(event_id // 40) % 3", FX.FIXTURE_PAGEINFO)} END AS pageinfo,
-    CASE WHEN event_id % 10 = 2 THEN (CASE WHEN (event_id // 10) % 4 = 0 THEN {R.CLICK_FILTER} ELSE 600001 END) END AS click_id,
-    CASE WHEN event_id % 10 = 2 THEN (CASE WHEN (event_id // 40) % 2 = 0 THEN {q(R.CLICK_SOURCE_FILTER)} ELSE '排序' END) END AS click_source_url,
-    CASE WHEN event_id % 10 BETWEEN 3 AND 8 THEN {_case_index("(event_id // 10) % 5", FX.FIXTURE_ENTRANCES)} END AS action_entrance_wup,
-    CASE WHEN event_id % 10 BETWEEN 3 AND 8 THEN (CASE WHEN (event_id // 50) % 2 = 0 THEN '2' ELSE '1' END) END AS action_entrance_id_wup
+  SELECT user_id, ts::DATE AS date, event_id % 10 AS kind, (event_id // 10) % 4 AS page, (event_id // 40) % 3 AS info,
+    (event_id // 40) % 2 AS source, (event_id // 10) % 5 AS entrance, (event_id // 50) % 2 AS entrance_id
   FROM events
-),
-seen_users AS (SELECT DISTINCT user_id FROM events WHERE user_id IS NOT NULL),
-cohort_lists AS (
-  SELECT {q(R.GROUP_EXPERIMENT)} AS group_name, user_id FROM seen_users WHERE user_id % 2 = 0 OR user_id % 10 = 1
-  UNION ALL SELECT {q(R.GROUP_CONTROL)}, user_id FROM seen_users WHERE user_id % 2 = 1
-  UNION ALL SELECT {q(R.GROUP_EXPERIMENT)}, user_id FROM seen_users WHERE user_id % 4 = 0
-)"""
-
-# --- rule expressions in SQL -------------------------------------------------
-
-PRODUCT = "product_id_all_product"
-
-
-def inapp_plan_sql(col: str = PRODUCT) -> str:
-    whens = " ".join(f"WHEN regexp_matches({col}, {q('(?i)' + pat)}) THEN {q(plan)}" for plan, pat, _ in R.INAPP_PLANS)
-    return f"CASE {whens} END"
-
-
-def inapp_window_sql(col: str = "period_type") -> str:
-    whens = " ".join(f"WHEN {col} = {q(plan)} THEN {days}" for plan, _, days in R.INAPP_PLANS)
-    return f"CASE {whens} END"
-
-
-def group_sql() -> str:
-    return (
-        f"CASE WHEN webob_product_type_is_double_extra = {q(R.RAW_DOUBLE_EXTRA)} THEN {q(R.GROUP_EXTRA2)} "
-        f"WHEN webob_product_type_is_double_extra = {q(R.RAW_NOT_DOUBLE_EXTRA)} AND webob_product_type = {q(R.RAW_TYPE_EXTRA)} THEN {q(R.GROUP_EXTRA1)} "
-        f"WHEN webob_product_type = {q(R.RAW_TYPE_MEMBER)} THEN {q(R.GROUP_MEMBER)} END"
-    )
-
-
-def code_part_sql(group: int, typ: str) -> str:
-    return f"TRY_CAST(regexp_extract({PRODUCT}, {q(R.WEB_CODE_PATTERN)}, {group}) AS {typ})"
-
-
-def web_plan_sql(label_set: str) -> str:
-    whens = []
-    for renewal_label, sales_label, price_rule, firsts, renews in R.WEB_PLANS:
-        cond = f"first_days IN {in_list(firsts)} AND renew_days IN {in_list(renews)}"
-        if price_rule == "zero":
-            cond = f"first_price = 0 AND {cond}"
-        elif price_rule == "positive" and label_set == "sales":
-            cond = f"first_price > 0 AND {cond}"
-        label = renewal_label if label_set == "renewal" else sales_label
-        whens.append(f"WHEN {cond} THEN {q(label)}")
-    return "CASE " + " ".join(whens) + " END"
-
-
-def web_window_sql(col: str = "window_days_raw") -> str:
-    whens = " ".join(f"WHEN {col} IN {in_list(raws)} THEN {days}" for raws, days in R.WEB_WINDOW_DAYS)
-    return f"CASE {whens} END"
-
-
-def half_up(num: str, den: str, places: int) -> str:
-    """round(num / den, places) for integers, as DOUBLE; NULL when den <= 0."""
-    scale = 10**places
-    n = f"CAST({num} AS BIGINT) * {scale}"
-    d = f"CAST({den} AS BIGINT)"
-    return f"(CASE WHEN {d} > 0 THEN CAST(sign({n}) * ((abs({n}) * 2 + {d}) // (2 * {d})) AS DOUBLE) / {scale} END)"
-
-
-def money_half_up(money: str, den: str) -> str:
-    """round(money / den, 2) for a 2-place money sum, as DOUBLE."""
-    n = f"CAST({money} * 100 AS BIGINT)"
-    d = f"CAST({den} AS BIGINT)"
-    return f"(CASE WHEN {d} > 0 THEN CAST(sign({n}) * ((abs({n}) * 2 + {d}) // (2 * {d})) AS DOUBLE) / 100 END)"
-
-
-MONTH = "CAST(date_trunc('month', date) AS DATE)"
-
-
-def inapp_rows(a: str = "") -> str:
-    """In-app purchase predicates, columns prefixed with alias ``a``."""
-    p = f"{a}." if a else ""
-    return (
-        f"{p}event = {q(EV)} AND {p}{PRODUCT} NOT LIKE '%{R.WEB_MARKER}%' AND {p}origin_money > 0 "
-        f"AND {p}product_is_subscribe = 1 AND {p}distinct_id <> {q(R.INAPP_TEST_DISTINCT_ID)} "
-        f"AND {p}device_type IN {in_list(R.INAPP_DEVICES)}"
-    )
-
-
-WEB_ENTRANCE = f"(purchase_entrance_all_product IS NULL OR purchase_entrance_all_product NOT IN {in_list(R.WEB_EXCLUDED_ENTRANCES)})"
-
-# --- in-app ------------------------------------------------------------------
-
-INAPP_PERIOD_CTE = f"""
-inapp_period AS (
-  SELECT DISTINCT event, {MONTH} AS first_month, user_id, {PRODUCT}, is_first_purchase_withmoney, device_type,
-         origin_money, date AS first_date, {inapp_plan_sql()} AS period_type
-  FROM purchase_events
-  WHERE {inapp_rows()} AND date >= {S} AND date <= {E}
-),
-inapp_base AS (
-  SELECT *, {inapp_window_sql()} AS diff_days FROM inapp_period WHERE period_type IS NOT NULL
-),
-inapp_keys AS (SELECT DISTINCT event, user_id, {PRODUCT} FROM inapp_base),
-inapp_repay AS (
-  SELECT DISTINCT p.event, p.user_id, p.{PRODUCT}, p.date AS repay_date
-  FROM purchase_events p
-  JOIN inapp_keys k ON p.event = k.event AND p.user_id = k.user_id AND p.{PRODUCT} = k.{PRODUCT}
-  WHERE {inapp_rows('p')} AND p.date > {S} AND p.date <= {E} + {R.INAPP_MAX_WINDOW}
-),
-inapp_flags AS (
-  SELECT b.first_month, b.user_id, b.period_type, b.is_first_purchase_withmoney, b.device_type,
-         MAX(CASE WHEN r.user_id IS NULL THEN 0 ELSE 1 END) AS has_repay
-  FROM inapp_base b
-  LEFT JOIN inapp_repay r
-    ON b.event = r.event AND b.user_id = r.user_id AND b.{PRODUCT} = r.{PRODUCT}
-   AND r.repay_date > b.first_date AND r.repay_date <= b.first_date + b.diff_days
-  GROUP BY 1, 2, 3, 4, 5
+), cohort_lists AS (
+  SELECT '实验组' AS group_name, user_id FROM events WHERE user_id % 2 = 0 OR user_id % 10 = 1
+  UNION ALL SELECT '对照组', user_id FROM events WHERE user_id % 2 = 1
 )"""
 
-
-def inapp_segment_cond(plan: str, first: int, device: str | None) -> str:
-    cond = f"period_type = {q(plan)} AND is_first_purchase_withmoney = {first}"
-    if device is not None:
-        cond += f" AND device_type = {q(device)}"
-    return cond
-
-
-def inapp_segment_sql() -> str:
-    whens = " ".join(f"WHEN {inapp_segment_cond(p, f, d)} THEN {q(c)}" for c, p, f, d in R.INAPP_REPORT_COLUMNS)
-    return f"CASE {whens} END"
-
-
-def _with(*ctes: str) -> str:
-    return "WITH " + ",".join(ctes) + "\n"
-
-
-INAPP_BASE_ORDERS = _with(PURCHASE_CTE, INAPP_PERIOD_CTE) + """
-SELECT event, first_month, user_id, product_id_all_product, is_first_purchase_withmoney, device_type,
-       CAST(origin_money AS DOUBLE) AS origin_money, first_date, period_type, diff_days
-FROM inapp_base"""
-
-INAPP_PLAN_MIX = _with(PURCHASE_CTE, INAPP_PERIOD_CTE) + """
-SELECT period_type, COUNT(*) AS purchases, COUNT(DISTINCT user_id) AS users
-FROM inapp_period GROUP BY period_type"""
-
-RENEWAL_CANDIDATES = _with(PURCHASE_CTE, INAPP_PERIOD_CTE) + """
-SELECT event, user_id, product_id_all_product, repay_date FROM inapp_repay"""
-
-RENEWAL_FLAGS = _with(PURCHASE_CTE, INAPP_PERIOD_CTE) + """
-SELECT * FROM inapp_flags"""
-
-INAPP_USERS_CTE = f"""
-inapp_users AS (
-  SELECT first_month, segment, COUNT(DISTINCT user_id) AS base_users,
-         COUNT(DISTINCT CASE WHEN has_repay = 1 THEN user_id END) AS repay_users
-  FROM (SELECT *, {inapp_segment_sql()} AS segment FROM inapp_flags) t
-  GROUP BY first_month, segment
+# --- in-app ---------------------------------------------------------------------
+
+INAPP = """
+plans(rank, period_type, diff_days, pattern) AS (VALUES
+  (1, '年', 380, '(?i)1_year|12_month|goldyear|yearly|auto\\.year|silveryear|365_day|d365|silveryearsale|salesyear'),
+  (2, '半年', 190, '(?i)6_month|180_day|d180'),
+  (3, '季', 100, '(?i)3_month|90_day|d90'),
+  (4, '月', 40, '(?i)1_month|monthly|goldmonth|auto\\.month|silvermonth|30_day|d30')
+), product_plans AS (
+  SELECT product, arg_min(period_type, rank) AS period_type, arg_min(diff_days, rank) AS diff_days
+  FROM (SELECT DISTINCT product FROM purchase_events) JOIN plans ON regexp_matches(product, pattern) GROUP BY product
+), inapp AS (
+  SELECT * FROM purchase_events
+  WHERE event = 'purchase_vip_order_wup_h2o' AND NOT contains(product, 'webob') AND money > 0 AND subscribed = 1
+    AND distinct_id <> '90451406' AND device IN ('IOS', 'Android')
+), bought AS (
+  SELECT DISTINCT event, date_trunc('month', date)::DATE AS first_month, user_id, product, first_pay, device, money, date AS first_date,
+    period_type, diff_days
+  FROM inapp LEFT JOIN product_plans USING (product) WHERE date BETWEEN DATE '2024-01-01' AND DATE '2024-06-30'
+), cohort AS (
+  SELECT b.*, EXISTS (
+      SELECT 1 FROM inapp r WHERE r.event = b.event AND r.user_id = b.user_id AND r.product = b.product
+        AND r.date > b.first_date AND r.date <= b.first_date + b.diff_days) AS renewed
+  FROM bought b WHERE period_type IS NOT NULL
+), segments(segment, period_type, first_pay, device) AS (VALUES
+  ('年_首付_and', '年', 1, 'Android'), ('年_首付_ios', '年', 1, 'IOS'), ('年_非首付_and', '年', 0, 'Android'), ('年_非首付_ios', '年', 0, 'IOS'),
+  ('月_首付', '月', 1, NULL), ('月_非首付', '月', 0, NULL), ('季_首付', '季', 1, NULL), ('季_非首付', '季', 0, NULL),
+  ('半年_首付', '半年', 1, NULL), ('半年_非首付', '半年', 0, NULL)
+), placed AS (
+  SELECT c.*, s.segment FROM cohort c LEFT JOIN segments s
+    ON s.period_type = c.period_type AND s.first_pay = c.first_pay AND (s.device IS NULL OR s.device = c.device)
 )"""
-
-INAPP_RENEWAL_USERS = _with(PURCHASE_CTE, INAPP_PERIOD_CTE, INAPP_USERS_CTE) + "SELECT * FROM inapp_users"
-
-RENEWAL_RATE = _with(PURCHASE_CTE, INAPP_PERIOD_CTE, INAPP_USERS_CTE) + f"""
-SELECT first_month, segment, base_users, repay_users, {half_up('repay_users', 'base_users', 2)} AS rate
-FROM inapp_users"""
-
-INAPP_REVENUE_BASE = _with(PURCHASE_CTE, INAPP_PERIOD_CTE) + f"""
-SELECT first_month, {inapp_segment_sql()} AS segment, CAST(SUM(origin_money) AS DOUBLE) AS revenue
-FROM inapp_base GROUP BY 1, 2"""
+INAPP_SEGMENTS = ["年_首付_and", "年_首付_ios", "年_非首付_and", "年_非首付_ios", "月_首付", "月_非首付", "季_首付", "季_非首付", "半年_首付", "半年_非首付"]
+_IN = with_(PURCHASES, INAPP)
+_FLAG_KEYS = "first_month, user_id, period_type, first_pay AS is_first_purchase_withmoney, device AS device_type"
+_USERS = "COUNT(DISTINCT user_id) AS base_users, COUNT(DISTINCT user_id) FILTER (renewed) AS repay_users"
 
 
 def _inapp_report() -> str:
-    cols = R.INAPP_REPORT_COLUMNS
-    user_aggs = []
-    money_aggs = []
-    for i, (c, p, f, d) in enumerate(cols):
-        cond = inapp_segment_cond(p, f, d)
-        user_aggs.append(f"COUNT(DISTINCT CASE WHEN {cond} THEN user_id END) AS b{i}")
-        user_aggs.append(f"COUNT(DISTINCT CASE WHEN {cond} AND has_repay = 1 THEN user_id END) AS r{i}")
-        money_aggs.append(f"SUM(CASE WHEN {cond} THEN origin_money ELSE 0 END) AS m{i}")
-    rate_cols = ", ".join(f"{half_up(f'r{i}', f'b{i}', 2)} AS {ident(c)}" for i, (c, *_) in enumerate(cols))
-    money_cols = ", ".join(f"CAST(m.m{i} AS DOUBLE) AS {ident(c)}" for i, (c, *_) in enumerate(cols))
-    return _with(PURCHASE_CTE, INAPP_PERIOD_CTE) + f"""
-, per_month AS (SELECT first_month, {", ".join(user_aggs)} FROM inapp_flags GROUP BY first_month),
-money AS (SELECT first_month, {", ".join(money_aggs)} FROM inapp_base GROUP BY first_month)
-SELECT {q(R.METRIC_RATE)} AS {ident(R.COL_METRIC_KIND)}, first_month AS {ident(R.COL_BASE_MONTH)}, {rate_cols}
-FROM per_month
-UNION ALL
-SELECT {q(R.METRIC_REVENUE_BASE)}, u.first_month, {money_cols}
-FROM per_month u LEFT JOIN money m ON u.first_month = m.first_month"""
-
-
-# --- web renewal ---------------------------------------------------------------
-
-WEB_BASE_CTE = f"""
-web_raw AS (
-  SELECT DISTINCT event, date, user_id, {PRODUCT}, all_product_order_type AS order_type, origin_money,
-         {group_sql()} AS product_type_group,
-         {code_part_sql(1, 'DOUBLE')} AS first_price, {code_part_sql(2, 'INTEGER')} AS first_days,
-         {code_part_sql(4, 'INTEGER')} AS renew_days
-  FROM purchase_events
-  WHERE event = {q(EV)} AND date >= {S} AND date <= {E} AND {PRODUCT} LIKE '%{R.WEB_MARKER}%'
-    AND product_is_subscribe = 1 AND all_product_order_type IN {in_list(R.WEB_ORDER_TYPES)} AND {WEB_ENTRANCE}
-),
-web_labeled AS (
-  SELECT event, {q(FX.PURCHASE_LINE)} AS event_cn, {MONTH} AS first_month, user_id, {PRODUCT}, order_type,
-         product_type_group, COALESCE(origin_money, 0) AS origin_money, date AS first_date,
-         {web_plan_sql('renewal')} AS product_period_type,
-         CASE WHEN order_type = {q(R.ORDER_NEW)} THEN first_days WHEN order_type = {q(R.ORDER_RENEW)} THEN renew_days END AS window_days_raw
-  FROM web_raw WHERE product_type_group IS NOT NULL
-),
-web_base AS (
-  SELECT *, {web_window_sql()} AS diff_days FROM web_labeled
-  WHERE product_period_type IS NOT NULL AND window_days_raw IS NOT NULL
-),
-web_first AS (
-  SELECT * EXCLUDE (rn) FROM (
-    SELECT *, row_number() OVER (
-      PARTITION BY event_cn, first_month, product_type_group, product_period_type, order_type, user_id
-      ORDER BY first_date, {PRODUCT}, origin_money) AS rn
-    FROM web_base) t
-  WHERE rn = 1
-),
-web_keys AS (SELECT DISTINCT event, user_id, {PRODUCT} FROM web_first),
-web_repay AS (
-  SELECT DISTINCT p.event, p.user_id, p.{PRODUCT}, p.date AS repay_date
-  FROM purchase_events p
-  JOIN web_keys k ON p.event = k.event AND p.user_id = k.user_id AND p.{PRODUCT} = k.{PRODUCT}
-  WHERE p.event = {q(EV)} AND p.date > {S} AND p.date <= {E} + {R.WEB_MAX_WINDOW} AND p.{PRODUCT} LIKE '%{R.WEB_MARKER}%'
-    AND p.product_is_subscribe = 1 AND p.all_product_order_type = {q(R.ORDER_RENEW)}
-    AND (p.purchase_entrance_all_product IS NULL OR p.purchase_entrance_all_product NOT IN {in_list(R.WEB_EXCLUDED_ENTRANCES)})
-),
-web_flags AS (
-  SELECT f.event_cn, f.first_month, f.product_type_group, f.product_period_type, f.order_type, f.user_id,
-         MAX(CASE WHEN r.user_id IS NULL THEN 0 ELSE 1 END) AS has_repay
-  FROM web_first f
-  LEFT JOIN web_repay r
-    ON f.event = r.event AND f.user_id = r.user_id AND f.{PRODUCT} = r.{PRODUCT}
-   AND r.repay_date > f.first_date AND r.repay_date <= f.first_date + f.diff_days
-  GROUP BY 1, 2, 3, 4, 5, 6
-),
-web_users AS (
-  SELECT event_cn, first_month, product_type_group, product_period_type, order_type,
-         COUNT(DISTINCT user_id) AS base_users, COUNT(DISTINCT CASE WHEN has_repay = 1 THEN user_id END) AS repay_users
-  FROM web_flags GROUP BY 1, 2, 3, 4, 5
-),
-web_money AS (
-  SELECT event_cn, first_month, product_type_group, product_period_type, order_type,
-         CAST(ROUND(SUM(origin_money), 0) AS BIGINT) AS revenue_base
-  FROM web_first GROUP BY 1, 2, 3, 4, 5
+    users = lambda c, more="": f"COUNT(DISTINCT user_id) FILTER (segment = '{c}'{more})"
+    rates = ", ".join(f'{half_up(users(c, " AND renewed"), users(c), 2)} AS "{c}"' for c in INAPP_SEGMENTS)
+    money = ", ".join(f"COALESCE(SUM(money) FILTER (segment = '{c}'), 0)::DOUBLE AS \"{c}\"" for c in INAPP_SEGMENTS)
+    return _IN + f"""SELECT '续订率' AS "指标类型", first_month AS "续订基数发生月份", {rates} FROM placed GROUP BY first_month
+UNION ALL SELECT '续订收入基数', first_month, {money} FROM placed GROUP BY first_month"""
+
+
+# --- web ------------------------------------------------------------------------
+
+WEB = r"""
+codes AS (
+  SELECT product, regexp_extract(product, '([0-9]+\.?[0-9]*)d([0-9]+)-([0-9]+\.?[0-9]*)d([0-9]+)', ['price', 'days', 'later_price', 'later_days']) AS x
+  FROM (SELECT DISTINCT product FROM purchase_events WHERE contains(product, 'webob'))
+), parts AS (
+  SELECT product, TRY_CAST(x.price AS DOUBLE) AS price, TRY_CAST(x.days AS INT) AS first_days, TRY_CAST(x.later_days AS INT) AS later_days FROM codes
+), web_plans(rank, renewal_plan, sales_plan, free, firsts, laters) AS (VALUES
+  (1, '0元7天-月', '0元7天-月', TRUE, [7], [28, 30]), (2, '0元7天-季度', '0元7天-季', TRUE, [7], [84, 90]), (3, '0元-月', '首月0元', TRUE, [28, 30], [28, 30]),
+  (4, '7天-月', '7天-月_首付非0', FALSE, [7], [28, 30]), (5, '半月', '半月', FALSE, [14], [14]), (6, '月', '月', FALSE, [28, 30], [28, 30]),
+  (7, '季度', '季', FALSE, [84, 90], [84, 90]), (8, '半年', '半年', FALSE, [168], [168])
+), labeled AS (
+  SELECT product, first_days, later_days, arg_min(renewal_plan, rank) AS renewal_plan, arg_min(sales_plan, rank) AS sales_plan
+  FROM parts LEFT JOIN web_plans ON (NOT free OR price = 0) AND list_contains(firsts, first_days) AND list_contains(laters, later_days)
+  GROUP BY product, first_days, later_days
+), windows(raw, days) AS (VALUES (7, 9), (14, 17), (28, 35), (30, 35), (84, 99), (90, 99), (168, 190)),
+web AS (
+  SELECT e.*, l.* EXCLUDE (product),
+    CASE WHEN extra = '二级增值' THEN '二级增值' WHEN extra = '非二级增值' AND kind = '增值' THEN '一级增值' WHEN kind = '会员' THEN '会员' END AS product_group
+  FROM purchase_events e JOIN labeled l USING (product)
+  WHERE event = 'purchase_vip_order_wup_h2o' AND order_type IN ('新增', '续订')
+    AND COALESCE(entrance NOT IN ('75', '10042', '30033', '100040', '50024'), TRUE)
+), subscriptions AS (
+  SELECT DISTINCT event, user_id, product, order_type, product_group, money, date, renewal_plan, raw, days
+  FROM (SELECT *, CASE order_type WHEN '新增' THEN first_days ELSE later_days END AS raw FROM web) LEFT JOIN windows USING (raw)
+  WHERE subscribed = 1 AND product_group IS NOT NULL AND renewal_plan IS NOT NULL AND raw IS NOT NULL
+    AND date BETWEEN DATE '2024-01-01' AND DATE '2024-06-30'
+), web_base AS (
+  SELECT event, '健走' AS event_cn, date_trunc('month', date)::DATE AS first_month, user_id, product, order_type, product_group,
+    COALESCE(money, 0) AS money, date AS first_date, renewal_plan, raw, days
+  FROM subscriptions
+), renewals AS (
+  SELECT DISTINCT event, user_id, product, date FROM web WHERE subscribed = 1 AND order_type = '续订'
+), first_orders AS (
+  SELECT f.*, EXISTS (
+      SELECT 1 FROM renewals r WHERE r.event = f.event AND r.user_id = f.user_id AND r.product = f.product
+        AND r.date > f.first_date AND r.date <= f.first_date + f.days) AS renewed
+  FROM (SELECT * FROM web_base
+    QUALIFY row_number() OVER (PARTITION BY first_month, product_group, renewal_plan, order_type, user_id ORDER BY first_date, product, money) = 1) f
 )"""
-
-WEB_ROW_OUT = """event, event_cn, first_month, user_id, product_id_all_product, order_type, product_type_group,
-       CAST(origin_money AS DOUBLE) AS origin_money, first_date, product_period_type, window_days_raw, diff_days"""
-
-WEB_BASE_ORDERS = _with(PURCHASE_CTE, WEB_BASE_CTE) + f"SELECT {WEB_ROW_OUT} FROM web_base"
-FIRST_ORDER_PER_SEGMENT = _with(PURCHASE_CTE, WEB_BASE_CTE) + f"SELECT {WEB_ROW_OUT} FROM web_first"
-WEB_RENEWAL_USERS = _with(PURCHASE_CTE, WEB_BASE_CTE) + "SELECT * FROM web_users"
-WEB_REVENUE_BASE = _with(PURCHASE_CTE, WEB_BASE_CTE) + "SELECT * FROM web_money"
-
-
-def _web_renewal_report() -> str:
-    cells = ", ".join(
-        f"MAX(CASE WHEN product_period_type = {q(p)} AND order_type = {q(o)} THEN metric_value END) AS {ident(c)}"
-        for c, p, o in R.WEB_RENEWAL_REPORT_COLUMNS
-    )
-    return _with(PURCHASE_CTE, WEB_BASE_CTE) + f"""
-, metric_long AS (
-  SELECT {q(R.METRIC_RATE)} AS kind, event_cn, first_month, product_type_group, product_period_type, order_type,
-         {half_up('repay_users', 'base_users', 4)} AS metric_value
-  FROM web_users
-  UNION ALL
-  SELECT {q(R.METRIC_REVENUE_BASE)}, event_cn, first_month, product_type_group, product_period_type, order_type,
-         CAST(revenue_base AS DOUBLE)
-  FROM web_money
-)
-SELECT kind AS {ident(R.COL_METRIC_KIND)}, event_cn AS {ident(R.COL_LINE)}, first_month AS {ident(R.COL_BASE_MONTH)},
-       product_type_group AS {ident(R.COL_PRODUCT_TYPE)}, {cells}
-FROM metric_long GROUP BY 1, 2, 3, 4"""
-
-
-# --- web orders: ARPPU and sales -------------------------------------------------
-
-def _web_orders_cte(order_types: tuple[str, ...]) -> str:
-    return f"""
-orders_raw AS (
-  SELECT DISTINCT order_id, date, {PRODUCT}, all_product_order_type AS order_type,
-         COALESCE(origin_money, 0) AS origin_money, {group_sql()} AS product_type_group,
-         {code_part_sql(1, 'DOUBLE')} AS first_price, {code_part_sql(2, 'INTEGER')} AS first_days,
-         {code_part_sql(4, 'INTEGER')} AS renew_days
-  FROM purchase_events
-  WHERE event = {q(EV)} AND date >= {S} AND date <= {E} AND {PRODUCT} LIKE '%{R.WEB_MARKER}%'
-    AND all_product_order_type IN {in_list(order_types)} AND {WEB_ENTRANCE}
-),
-web_orders AS (
-  SELECT order_id, order_type, {MONTH} AS stat_month, origin_money, product_type_group, first_days,
-         {web_plan_sql('renewal')} AS renewal_plan, {web_plan_sql('sales')} AS period_group
-  FROM orders_raw WHERE product_type_group IS NOT NULL
+# distinct orders of the order reports
+WEB_ORDERS = """
+sold AS (
+  SELECT DISTINCT order_id, date, product, order_type, COALESCE(money, 0) AS money, product_group, renewal_plan, sales_plan, first_days,
+    date_trunc('month', date)::DATE AS stat_month
+  FROM web WHERE product_group IS NOT NULL AND date BETWEEN DATE '2024-01-01' AND DATE '2024-06-30'
 )"""
+_WEB, _SOLD = with_(PURCHASES, WEB), with_(PURCHASES, WEB, WEB_ORDERS)
+_WEB_ROW = """event, event_cn, first_month, user_id, product AS product_id_all_product, order_type, product_group AS product_type_group,
+  money::DOUBLE AS origin_money, first_date, renewal_plan AS product_period_type, raw AS window_days_raw, days AS diff_days"""
+_WEB_CELL = "event_cn, first_month, product_group AS product_type_group, renewal_plan AS product_period_type, order_type"
+WEB_RENEWAL_PLANS = ["7天-月", "0元7天-月", "0元7天-季度", "0元-月", "半月", "月", "季度", "半年"]
+SALES_COLUMNS = [
+    ("【会员】7天_月（首付非0）", "会员", "7天-月_首付非0"),
+    ("【会员】月", "会员", "月"),
+    ("【会员】季", "会员", "季"),
+    ("【会员】半月（14d）", "会员", "半月"),
+    ("【会员】半年（168d）", "会员", "半年"),
+    ("【一级增值】首月0元", "一级增值", "首月0元"),
+    ("【一级增值】月", "一级增值", "月"),
+    ("【一级增值】季", "一级增值", "季"),
+    ("【一级增值】7天_月（首付0元）", "一级增值", "0元7天-月"),
+    ("【一级增值】7天_季（首付0元）", "一级增值", "0元7天-季"),
+    ("【二级增值】月", "二级增值", "月"),
+    ("【二级增值】季", "二级增值", "季"),
+]
 
 
-WEB_PRODUCT_GROUP_MIX = _with(PURCHASE_CTE, _web_orders_cte(R.WEB_ORDER_TYPES)) + """
-SELECT product_type_group, COUNT(DISTINCT order_id) AS orders, CAST(SUM(origin_money) AS DOUBLE) AS revenue
-FROM web_orders GROUP BY 1"""
-
-WEB_PLAN_MIX = _with(PURCHASE_CTE, _web_orders_cte(R.WEB_ORDER_TYPES)) + """
-SELECT renewal_plan, period_group, CASE WHEN first_days IS NULL THEN 0 ELSE 1 END AS code_parsed,
-       COUNT(DISTINCT order_id) AS orders, CAST(SUM(origin_money) AS DOUBLE) AS revenue
-FROM web_orders GROUP BY 1, 2, 3"""
-
-WEB_ARPPU = _with(PURCHASE_CTE, _web_orders_cte(R.WEB_ORDER_TYPES)) + f"""
-SELECT order_type, stat_month, product_type_group, period_group, CAST(SUM(origin_money) AS DOUBLE) AS revenue,
-       COUNT(DISTINCT order_id) AS orders, {money_half_up('SUM(origin_money)', 'COUNT(DISTINCT order_id)')} AS arppu
-FROM web_orders WHERE period_group IS NOT NULL GROUP BY 1, 2, 3, 4"""
-
-WEB_NEW_SALES = _with(PURCHASE_CTE, _web_orders_cte((R.ORDER_NEW,))) + """
-SELECT stat_month, product_type_group, period_group, CAST(ROUND(SUM(origin_money), 2) AS DOUBLE) AS revenue,
-       COUNT(DISTINCT order_id) AS orders
-FROM web_orders WHERE period_group IS NOT NULL GROUP BY 1, 2, 3"""
-
-
-def _sales_cond(group: str, plan: str) -> str:
-    return f"product_type_group = {q(group)} AND period_group = {q(plan)}"
-
-
-def _web_arppu_report() -> str:
-    cells = ", ".join(
-        f"{money_half_up(f'SUM(CASE WHEN {_sales_cond(g, p)} THEN origin_money ELSE 0 END)', f'COUNT(DISTINCT CASE WHEN {_sales_cond(g, p)} THEN order_id END)')} AS {ident(c)}"
-        for c, g, p in R.WEB_SALES_REPORT_COLUMNS
-    )
-    return _with(PURCHASE_CTE, _web_orders_cte(R.WEB_ORDER_TYPES)) + f"""
-SELECT order_type AS {ident(R.COL_ORDER_TYPE)}, stat_month AS {ident(R.COL_MONTH)}, {cells}
-FROM web_orders WHERE period_group IS NOT NULL GROUP BY order_type, stat_month"""
-
-
-def _web_new_sales_report() -> str:
-    money = ", ".join(
-        f"CAST(ROUND(SUM(CASE WHEN {_sales_cond(g, p)} THEN origin_money ELSE 0 END), 2) AS DOUBLE) AS {ident(c)}"
-        for c, g, p in R.WEB_SALES_REPORT_COLUMNS
-    )
-    counts = ", ".join(
-        f"CAST(COUNT(DISTINCT CASE WHEN {_sales_cond(g, p)} THEN order_id END) AS DOUBLE) AS {ident(c)}"
-        for c, g, p in R.WEB_SALES_REPORT_COLUMNS
-    )
-    return _with(PURCHASE_CTE, _web_orders_cte((R.ORDER_NEW,))) + f"""
-SELECT {q(R.METRIC_SALES)} AS {ident(R.COL_DATA_KIND)}, stat_month AS {ident(R.COL_MONTH)}, {money}
-FROM web_orders WHERE period_group IS NOT NULL GROUP BY stat_month
-UNION ALL
-SELECT {q(R.METRIC_ORDERS)}, stat_month, {counts}
-FROM web_orders WHERE period_group IS NOT NULL GROUP BY stat_month"""
-
-
-def _segment_pivot_orders() -> str:
-    counts = ", ".join(
-        f"COUNT(DISTINCT CASE WHEN {_sales_cond(g, p)} THEN order_id END) AS {ident(c)}"
-        for c, g, p in R.WEB_SALES_REPORT_COLUMNS
-    )
-    return _with(PURCHASE_CTE, _web_orders_cte((R.ORDER_NEW,))) + f"""
-SELECT stat_month, {counts}
-FROM web_orders WHERE period_group IS NOT NULL GROUP BY stat_month"""
-
-
-# --- experiment --------------------------------------------------------------
-
-PAGE_SCENES = [R.SCENE_WALK, R.SCENE_WORKOUT, R.SCENE_HOME, R.SCENE_WALKBEAT]
-FILTER_SCENES = [R.SCENE_FILTER_PAGE, R.SCENE_FILTER_USED, R.SCENE_FILTER_NOT_USED]
-SCENE_VALUES = ", ".join(f"({q(s)}, {i + 1})" for i, s in enumerate(R.SCENES))
-PV, CLICK, START, END = q(R.EV_PAGEVIEW), q(R.EV_CLICK), q(R.EV_START), q(R.EV_END)
-ENT = "action_entrance_wup"
-
-
-def _scene_rows(event: str, name: str) -> str:
-    """(group, scene, user) per start or end event, one branch per scene."""
-    workout = (
-        f"({ENT} IN ({q(R.ENTRANCE_HOME)}, {q(R.ENTRANCE_WALKBEAT)}) OR "
-        f"({ENT} = {q(R.ENTRANCE_OTHER)} AND action_entrance_id_wup = {q(R.ENTRANCE_OTHER_ID)}))"
-    )
-    branches = [
-        (R.SCENE_WALK, "TRUE"),
-        (R.SCENE_WORKOUT, workout),
-        (R.SCENE_HOME, f"{ENT} = {q(R.ENTRANCE_HOME)}"),
-        (R.SCENE_WALKBEAT, f"{ENT} = {q(R.ENTRANCE_WALKBEAT)}"),
-    ]
-    parts = [
-        f"SELECT m.group_name, {q(scene)} AS scene, w.user_id FROM wk w JOIN members m ON w.user_id = m.user_id "
-        f"WHERE w.event = {event} AND {cond}"
-        for scene, cond in branches
-    ]
-    parts.append(
-        f"SELECT x.group_name, x.scene, w.user_id FROM wk w JOIN exposed x ON w.user_id = x.user_id "
-        f"WHERE w.event = {event} AND x.scene IN {in_list(FILTER_SCENES)}"
-    )
-    return f"{name} AS (\n  " + "\n  UNION ALL ".join(parts) + "\n)"
-
-
-EXPERIMENT_CTE = f"""
-members AS (SELECT DISTINCT group_name, user_id FROM cohort_lists),
-arms AS (
-  SELECT group_name, COUNT(DISTINCT user_id) AS user_base,
-         MIN(CASE WHEN group_name = {q(R.GROUP_EXPERIMENT)} THEN 1 ELSE 2 END) AS group_order
-  FROM members GROUP BY group_name
-),
-wk AS (SELECT * FROM walk_events WHERE date >= {WS} AND date <= {WE}),
-page_hits AS (
-  SELECT DISTINCT m.group_name, m.user_id, w.page_id, w.pageinfo
-  FROM wk w JOIN members m ON w.user_id = m.user_id WHERE w.event = {PV}
-),
-filter_page AS (SELECT DISTINCT group_name, user_id FROM page_hits WHERE page_id = {R.PAGE_FILTER}),
-filter_used AS (
-  SELECT DISTINCT m.group_name, m.user_id FROM wk w JOIN members m ON w.user_id = m.user_id
-  WHERE w.event = {CLICK} AND w.click_id = {R.CLICK_FILTER} AND w.click_source_url = {q(R.CLICK_SOURCE_FILTER)}
-),
-exposed AS (
-  SELECT DISTINCT group_name, {q(R.SCENE_WALK)} AS scene, user_id FROM page_hits WHERE page_id = {R.PAGE_WALK}
-  UNION ALL SELECT DISTINCT group_name, {q(R.SCENE_WORKOUT)}, user_id FROM page_hits WHERE page_id = {R.PAGE_WORKOUT}
-  UNION ALL SELECT DISTINCT group_name, {q(R.SCENE_HOME)}, user_id FROM page_hits WHERE page_id = {R.PAGE_WORKOUT} AND pageinfo = {q(R.PAGEINFO_HOME)}
-  UNION ALL SELECT DISTINCT group_name, {q(R.SCENE_WALKBEAT)}, user_id FROM page_hits WHERE page_id = {R.PAGE_WORKOUT} AND pageinfo = {q(R.PAGEINFO_WALKBEAT)}
-  UNION ALL SELECT group_name, {q(R.SCENE_FILTER_PAGE)}, user_id FROM filter_page
-  UNION ALL SELECT group_name, {q(R.SCENE_FILTER_USED)}, user_id FROM filter_used
-  UNION ALL SELECT group_name, {q(R.SCENE_FILTER_NOT_USED)}, user_id FROM (SELECT * FROM filter_page EXCEPT SELECT * FROM filter_used) n
-),
-{_scene_rows(START, "start_rows")},
-{_scene_rows(END, "end_rows")},
-activity AS (
-  SELECT group_name, scene, user_id, CAST(SUM(s) AS BIGINT) AS n_start, CAST(SUM(c) AS BIGINT) AS n_complete
-  FROM (SELECT group_name, scene, user_id, 1 AS s, 0 AS c FROM start_rows
-        UNION ALL SELECT group_name, scene, user_id, 0, 1 FROM end_rows) t
-  GROUP BY 1, 2, 3
-),
-scene_stats AS (
-  SELECT group_name, scene,
-         COUNT(*) FILTER (WHERE n_start > 0) AS start_uv,
-         COUNT(*) FILTER (WHERE n_complete > 0) AS complete_uv,
-         COUNT(*) FILTER (WHERE n_start >= 2) AS retrain_uv
+def _web_renewal_report() -> str:
+    cells = [(f"{p}_{o}", f"renewal_plan = '{p}' AND order_type = '{o}'") for p in WEB_RENEWAL_PLANS for o in ("新增", "续订")]
+    users = lambda c: f"COUNT(DISTINCT user_id) FILTER ({c})"
+    rates = ", ".join(f'{half_up(users(c + " AND renewed"), users(c), 4)} AS "{n}"' for n, c in cells)
+    money = ", ".join(f'ROUND(SUM(money) FILTER ({c}), 0)::DOUBLE AS "{n}"' for n, c in cells)
+    return _WEB + f"""SELECT '续订率' AS "指标类型", event_cn AS "项目", first_month AS "续订基数发生月份", product_group AS "产品类型", {rates}
+FROM first_orders GROUP BY 2, 3, 4
+UNION ALL SELECT '续订收入基数', event_cn, first_month, product_group, {money} FROM first_orders GROUP BY 2, 3, 4"""
+
+
+def _sales(value: str) -> str:
+    """One column per report column; value is SQL with {0} for the column's condition."""
+    return ", ".join(f"{value.format(f"product_group = '{g}' AND sales_plan = '{p}'")} AS \"{c}\"" for c, g, p in SALES_COLUMNS)
+
+
+_ARPPU = per_order("SUM(money) FILTER ({0})", "COUNT(DISTINCT order_id) FILTER ({0})")
+_NEW = "FROM sold WHERE sales_plan IS NOT NULL AND order_type = '新增' GROUP BY"
+
+# --- experiment -----------------------------------------------------------------
+
+EXPERIMENT = """
+members AS (SELECT DISTINCT group_name, user_id FROM cohort_lists WHERE user_id IS NOT NULL),
+arms AS (SELECT group_name, COUNT(*) AS user_base, CASE group_name WHEN '实验组' THEN 1 ELSE 2 END AS group_order FROM members GROUP BY group_name),
+flags AS (
+  SELECT user_id, did_start, did_end, viewed AND page = 0 AS walk, viewed AND page = 1 AS workout,
+    viewed AND page = 1 AND info = 0 AS home, viewed AND page = 1 AND info = 1 AS walkbeat, viewed AND page = 2 AS filter_page,
+    kind = 2 AND page = 0 AND source = 0 AS filter_use, entrance = 0 AS from_home, entrance = 1 AS from_walkbeat,
+    entrance IN (0, 1) OR entrance = 2 AND entrance_id = 0 AS from_workout
+  FROM (SELECT *, kind IN (0, 1) AS viewed, kind BETWEEN 3 AND 6 AS did_start, kind IN (7, 8) AS did_end FROM walk_events)
+  WHERE date BETWEEN DATE '2024-01-05' AND DATE '2024-01-11'
+), users AS (
+  SELECT user_id, bool_or(walk) AS walk, bool_or(workout) AS workout, bool_or(home) AS home, bool_or(walkbeat) AS walkbeat,
+    bool_or(filter_page) AS page, bool_or(filter_use) AS used,
+    COUNT(*) FILTER (did_start) AS s1, COUNT(*) FILTER (did_end) AS e1,
+    COUNT(*) FILTER (did_start AND from_workout) AS s2, COUNT(*) FILTER (did_end AND from_workout) AS e2,
+    COUNT(*) FILTER (did_start AND from_home) AS s3, COUNT(*) FILTER (did_end AND from_home) AS e3,
+    COUNT(*) FILTER (did_start AND from_walkbeat) AS s4, COUNT(*) FILTER (did_end AND from_walkbeat) AS e4
+  FROM flags GROUP BY user_id
+), scenes AS (
+  SELECT group_name, user_id, UNNEST([
+    {'scene': 'walk整体', 'n': 1, 'base': walk, 'inside': TRUE, 's': s1, 'e': e1},
+    {'scene': 'workout页面', 'n': 2, 'base': workout, 'inside': TRUE, 's': s2, 'e': e2},
+    {'scene': 'tab_home', 'n': 3, 'base': home, 'inside': TRUE, 's': s3, 'e': e3},
+    {'scene': 'tab_walkbeat', 'n': 4, 'base': walkbeat, 'inside': TRUE, 's': s4, 'e': e4},
+    {'scene': '进入筛选二级页面', 'n': 5, 'base': page, 'inside': page, 's': s1, 'e': e1},
+    {'scene': '使用筛选', 'n': 6, 'base': used, 'inside': used, 's': s1, 'e': e1},
+    {'scene': '未使用筛选', 'n': 7, 'base': page AND NOT used, 'inside': page AND NOT used, 's': s1, 'e': e1}], recursive := TRUE)
+  FROM members LEFT JOIN users USING (user_id)
+), activity AS (
+  SELECT group_name, scene, user_id, s AS n_start, e AS n_complete FROM scenes WHERE inside AND s + e > 0
+), uv AS (
+  SELECT group_name, scene, COUNT(*) FILTER (n_start > 0) AS start_uv, COUNT(*) FILTER (n_complete > 0) AS complete_uv,
+    COUNT(*) FILTER (n_start >= 2) AS retrain_uv
   FROM activity GROUP BY 1, 2
-),
-scenes(scene, scene_order) AS (VALUES {SCENE_VALUES}),
-grid AS (
-  SELECT a.group_name, a.group_order, s.scene, s.scene_order,
-         (SELECT COUNT(DISTINCT x.user_id) FROM exposed x WHERE x.group_name = a.group_name AND x.scene = s.scene) AS user_base
-  FROM arms a CROSS JOIN scenes s
+), grid AS (
+  SELECT group_name, group_order, scene, n AS scene_order, COUNT(*) FILTER (base) AS user_base FROM scenes JOIN arms USING (group_name) GROUP BY 1, 2, 3, 4
 )"""
-
-_EXP = _with(WALK_CTE, EXPERIMENT_CTE)
-
-SCENE_USER_ACTIVITY = _EXP + "SELECT group_name, scene, user_id, n_start, n_complete FROM activity"
-EXPERIMENT_GROUPS = _EXP + "SELECT group_name, user_base, group_order FROM arms"
-EXPOSURE_BASE = _EXP + f"""
-SELECT group_name, scene, COUNT(DISTINCT user_id) AS user_base FROM exposed
-WHERE scene IN {in_list(PAGE_SCENES)} GROUP BY 1, 2"""
-FILTER_FUNNEL_USERS = _EXP + f"SELECT group_name, user_id, scene FROM exposed WHERE scene IN {in_list(FILTER_SCENES)}"
-SCENE_UV = _EXP + "SELECT group_name, scene, start_uv, complete_uv FROM scene_stats"
-REPEAT_USERS = _EXP + f"""
-SELECT group_name, scene, retrain_uv,
-       CASE WHEN start_uv = 0 THEN 0.0 ELSE {half_up('retrain_uv', 'start_uv', 4)} END AS retrain_rate
-FROM scene_stats"""
-DENSE_SCENE_GRID = _EXP + "SELECT group_name, group_order, scene, scene_order, user_base FROM grid"
-EXPERIMENT_REPORT = _EXP + f"""
-SELECT g.group_name AS {ident(R.COL_GROUP)}, g.scene AS {ident(R.COL_SCENE)}, g.user_base AS {ident(R.COL_USER_BASE)},
-       COALESCE(st.start_uv, 0) AS {ident(R.COL_START_UV)}, COALESCE(st.complete_uv, 0) AS {ident(R.COL_COMPLETE_UV)},
-       CASE WHEN COALESCE(st.start_uv, 0) = 0 THEN 0.0 ELSE {half_up('st.retrain_uv', 'st.start_uv', 4)} END AS {ident(R.COL_RETRAIN_RATE)}
-FROM grid g LEFT JOIN scene_stats st ON g.group_name = st.group_name AND g.scene = st.scene
-ORDER BY g.group_order, g.scene_order"""
+_EXP = with_(WALKS, EXPERIMENT)
+_RETRAIN = f"COALESCE({half_up('retrain_uv', 'start_uv', 4)}, 0)"
 
 
 ORACLE_SQL: dict[str, str] = {
-    "inapp_base_orders": INAPP_BASE_ORDERS,
-    "inapp_plan_mix": INAPP_PLAN_MIX,
-    "web_base_orders": WEB_BASE_ORDERS,
-    "web_product_group_mix": WEB_PRODUCT_GROUP_MIX,
-    "web_plan_mix": WEB_PLAN_MIX,
-    "first_order_per_segment": FIRST_ORDER_PER_SEGMENT,
-    "renewal_candidates": RENEWAL_CANDIDATES,
-    "renewal_flags": RENEWAL_FLAGS,
-    "inapp_renewal_users": INAPP_RENEWAL_USERS,
-    "web_renewal_users": WEB_RENEWAL_USERS,
-    "renewal_rate": RENEWAL_RATE,
-    "inapp_revenue_base": INAPP_REVENUE_BASE,
-    "web_revenue_base": WEB_REVENUE_BASE,
-    "web_arppu": WEB_ARPPU,
-    "web_new_sales": WEB_NEW_SALES,
-    "scene_user_activity": SCENE_USER_ACTIVITY,
-    "experiment_groups": EXPERIMENT_GROUPS,
-    "exposure_base": EXPOSURE_BASE,
-    "filter_funnel_users": FILTER_FUNNEL_USERS,
-    "scene_uv": SCENE_UV,
-    "repeat_users": REPEAT_USERS,
-    "dense_scene_grid": DENSE_SCENE_GRID,
-    "segment_pivot": _segment_pivot_orders(),
+    "inapp_base_orders": _IN + """SELECT event, first_month, user_id, product AS product_id_all_product, first_pay AS is_first_purchase_withmoney,
+      device AS device_type, money::DOUBLE AS origin_money, first_date, period_type, diff_days FROM cohort""",
+    "inapp_plan_mix": _IN + "SELECT period_type, COUNT(*) AS purchases, COUNT(DISTINCT user_id) AS users FROM bought GROUP BY 1",
+    "web_base_orders": _WEB + f"SELECT {_WEB_ROW} FROM web_base",
+    "web_product_group_mix": _SOLD + """SELECT product_group AS product_type_group, COUNT(DISTINCT order_id) AS orders, SUM(money)::DOUBLE AS revenue
+      FROM sold GROUP BY 1""",
+    "web_plan_mix": with_(PURCHASES, WEB, WEB_ORDERS.replace("SELECT DISTINCT order_id", "SELECT DISTINCT user_id, order_id")) + """
+      SELECT renewal_plan, sales_plan AS period_group, (first_days IS NOT NULL)::INT AS code_parsed, COUNT(DISTINCT order_id) AS orders,
+        COUNT(DISTINCT user_id) AS users, SUM(money)::DOUBLE AS revenue FROM sold GROUP BY 1, 2, 3""",
+    "first_order_per_segment": _WEB + f"SELECT {_WEB_ROW} FROM first_orders",
+    "renewal_candidates": _IN + """SELECT DISTINCT event, user_id, product AS product_id_all_product, date AS repay_date FROM inapp r
+      WHERE date > DATE '2024-01-01' AND date <= DATE '2024-06-30' + 380
+        AND EXISTS (SELECT 1 FROM cohort c WHERE c.event = r.event AND c.user_id = r.user_id AND c.product = r.product)""",
+    "renewal_flags": _IN + f"SELECT {_FLAG_KEYS}, MAX(renewed::INT) AS has_repay FROM cohort GROUP BY ALL",
+    "renewal_flags_matured": _IN + f"""SELECT {_FLAG_KEYS}, MAX(renewed::INT) AS has_repay,
+      MIN((first_date + diff_days <= DATE '2025-02-28')::INT) AS matured FROM cohort GROUP BY ALL""",
+    "web_renewal_candidates": _WEB + """SELECT event, user_id, product AS product_id_all_product, date AS repay_date FROM renewals r
+      WHERE date > DATE '2024-01-01' AND date <= DATE '2024-06-30' + 190
+        AND EXISTS (SELECT 1 FROM first_orders f WHERE f.event = r.event AND f.user_id = r.user_id AND f.product = r.product)""",
+    "web_renewal_flags": _WEB + f"SELECT {_WEB_CELL}, user_id, renewed::INT AS has_repay FROM first_orders",
+    "inapp_renewal_users": _IN + f"SELECT first_month, segment, {_USERS} FROM placed GROUP BY 1, 2",
+    "web_renewal_users": _WEB + f"SELECT {_WEB_CELL}, {_USERS} FROM first_orders GROUP BY ALL",
+    "renewal_rate": _IN + f"""SELECT *, {half_up('repay_users', 'base_users', 2)} AS rate
+      FROM (SELECT first_month, segment, {_USERS} FROM placed GROUP BY 1, 2)""",
+    "web_renewal_rate": _WEB + f"""SELECT *, {half_up('repay_users', 'base_users', 4)} AS rate
+      FROM (SELECT {_WEB_CELL}, {_USERS} FROM first_orders GROUP BY ALL)""",
+    "inapp_revenue_base": _IN + "SELECT first_month, segment, SUM(money)::DOUBLE AS revenue FROM placed GROUP BY 1, 2",
+    "web_revenue_base": _WEB + f"SELECT {_WEB_CELL}, ROUND(SUM(money), 0)::BIGINT AS revenue_base FROM first_orders GROUP BY ALL",
+    "web_arppu": _SOLD + f"""SELECT order_type, stat_month, product_group AS product_type_group, sales_plan AS period_group, SUM(money)::DOUBLE AS revenue,
+      COUNT(DISTINCT order_id) AS orders, {per_order('SUM(money)', 'COUNT(DISTINCT order_id)')} AS arppu
+      FROM sold WHERE sales_plan IS NOT NULL GROUP BY 1, 2, 3, 4""",
+    "web_new_sales": _SOLD + f"""SELECT stat_month, product_group AS product_type_group, sales_plan AS period_group,
+      ROUND(SUM(money), 2)::DOUBLE AS revenue, COUNT(DISTINCT order_id) AS orders {_NEW} 1, 2, 3""",
+    "scene_user_activity": _EXP + "SELECT * FROM activity",
+    "experiment_groups": _EXP + "SELECT * FROM arms",
+    "exposure_base": _EXP + "SELECT group_name, scene, user_base FROM grid WHERE scene_order <= 4 AND user_base > 0",
+    "filter_funnel_users": _EXP + "SELECT group_name, user_id, scene FROM scenes WHERE n >= 5 AND base",
+    "scene_uv": _EXP + "SELECT group_name, scene, start_uv, complete_uv FROM uv",
+    "repeat_users": _EXP + f"SELECT group_name, scene, retrain_uv, {_RETRAIN} AS retrain_rate FROM uv",
+    "dense_scene_grid": _EXP + "SELECT * FROM grid",
+    "segment_pivot": _SOLD + f"SELECT stat_month, {_sales('COUNT(DISTINCT order_id) FILTER ({0})')} {_NEW} 1",
     "inapp_renewal_report": _inapp_report(),
     "web_renewal_report": _web_renewal_report(),
-    "web_arppu_report": _web_arppu_report(),
-    "web_new_sales_report": _web_new_sales_report(),
-    "experiment_training_report": EXPERIMENT_REPORT,
+    "web_arppu_report": _SOLD + f"""SELECT order_type AS "新增/续订", stat_month AS "年月", {_sales(_ARPPU)}
+      FROM sold WHERE sales_plan IS NOT NULL GROUP BY 1, 2""",
+    "web_new_sales_report": _SOLD + f"""SELECT '销售额' AS "数据类型", stat_month AS "年月",
+      {_sales('COALESCE(ROUND(SUM(money) FILTER ({0}), 2), 0)::DOUBLE')} {_NEW} 2
+      UNION ALL SELECT '订单数', stat_month, {_sales('(COUNT(DISTINCT order_id) FILTER ({0}))::DOUBLE')} {_NEW} 2""",
+    "experiment_training_report": _EXP + f"""SELECT group_name AS "分组", scene AS "场景", user_base AS "用户基数",
+      COALESCE(start_uv, 0) AS "开训（用户数）", COALESCE(complete_uv, 0) AS "完训（用户数）", {_RETRAIN} AS "复训率"
+      FROM grid LEFT JOIN uv USING (group_name, scene) ORDER BY group_order, scene_order""",
 }

@@ -2,7 +2,6 @@ from __future__ import annotations
 
 import datetime as dt
 import sys
-import tempfile
 from decimal import Decimal
 from pathlib import Path
 
@@ -23,9 +22,6 @@ WUP = "purchase_vip_order_wup_h2o"
 @pytest.fixture(scope="session")
 def spark():
     s = build_session("local[4]", "cohortwise-tests", {"spark.sql.shuffle.partitions": "4"})
-    if not s.conf.get("spark.checkpoint.dir", None):
-        d = tempfile.mkdtemp(prefix="cohortwise-ckpt-")
-        s.sparkContext.setCheckpointDir(d)
     yield s
     s.stop()
 

@@ -8,8 +8,8 @@ from conftest import SF01
 import __spark_entry__ as entry
 from tools.compare import duck, rows_key
 
-QUERIES = entry.queries()
-ORACLE = entry.oracle_sql()
+from cohortwise.plans.registry import QUERIES  # noqa: E402
+from oracle_sql import ORACLE_SQL as ORACLE  # noqa: E402
 
 
 @pytest.fixture(scope="module")

@@ -143,8 +143,24 @@ def test_one_scan_web_path_equals_operators(spark):
 
 def test_renewed_never_exceeds_base(spark):
     ev = FX.load_purchase_events(spark, SF01)
-    cells = N.inapp_cohort_cells(N.inapp_flagged_days(ev, LINE, S, E)).collect()
-    assert cells and all(c.repay_users <= c.base_users for c in cells)
+    cells = N.inapp_report_cells(N.inapp_flagged_days(ev, LINE, S, E)).collect()
+    assert cells and all(c[f"repay_{i}"] <= c[f"base_{i}"] for c in cells for i in range(10))
+
+
+def test_flags_by_money_equal_flags_per_base_row(spark):
+    ev = FX.load_purchase_events(spark, SF01)
+    base, days = P.inapp_base_orders(ev, LINE, S, E), N.renewal_days(ev, LINE, S, E, "inapp")
+    got = {tuple(r) for r in N.renewal_flags(base, days, base.columns, data_end="2024-12-31").select(*base.columns, "has_repay", "matured").collect()}
+    bought = {}
+    for r in days.collect():
+        bought.setdefault((r.event, r.user_id, r.product_id_all_product), []).append(r.repay_date)
+    want = set()
+    for r in base.collect():
+        end = r.first_date + dt.timedelta(days=r.diff_days)
+        key = (r.event, r.user_id, r.product_id_all_product)
+        renewed = None not in key and any(r.first_date < d <= end for d in bought.get(key, []))
+        want.add((*r, int(renewed), int(end <= dt.date(2024, 12, 31))))
+    assert got == want and {w[-1] for w in want} == {0, 1}
 
 
 def test_first_order_tie_broken_by_money(purchases):

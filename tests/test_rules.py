@@ -64,13 +64,21 @@ def test_web_plan_both_label_sets(spark, code, renewal, sales):
     assert _eval(spark, [code], C.web_plan_sql(p, f, n, "sales")) == [sales]
 
 
-def test_plan_table_is_first_match(spark):
-    table = C.web_plan_table("renewal")
-    # zero price, 7 days then 28: first rule, not the later 7天-月 rule
-    assert table["zero|7|28"] == "0元7天-月"
-    assert table["positive|7|30"] == "7天-月"
-    sales = C.web_plan_table("sales")
-    assert "zero|14|14" in sales and sales["zero|14|14"] == "半月"
+def test_plan_rules_are_first_match():
+    rules = C.web_plan_sql(label_set="renewal")
+    # zero price, 7 days then 28: the first rule, before the later 7天-月 rule
+    assert rules.index("0元7天-月") < rules.index("'7天-月'")
+    with pytest.raises(ValueError):
+        C.web_plan_sql(label_set="other")
+
+
+@pytest.mark.parametrize(
+    "kind,money,n,want",
+    [("double", "0.29", 1, 0.29), ("decimal(12,4)", "9.999", 1, 10.0), ("decimal(12,4)", "0.0150", 3, 0.01), ("double", "10", 3, 3.33), ("int", "7", 2, 3.5)],
+)
+def test_money_ratio_of_any_numeric(spark, kind, money, n, want):
+    df = spark.createDataFrame([(money, n)], "m string, d bigint").selectExpr(f"CAST(m AS {kind}) AS m", "d")
+    assert df.selectExpr(f"{C.rounded_money_ratio_sql('m', 'd')} AS x").first().x == want
 
 
 def test_web_window_days(spark):

@@ -5,7 +5,9 @@ from __future__ import annotations
 import datetime as dt
 import tempfile
 
-from conftest import SF001
+import pytest
+from conftest import SF001, SF01, purchase
+from pyspark.sql import functions as F
 
 from cohortwise import cli
 from cohortwise.functions import rules as R
@@ -81,3 +83,48 @@ def test_cli_purchase_report(spark):
     got = {tuple(r) for r in spark.read.parquet(f"{root}/out").collect()}
     want = {tuple(r) for r in QUERIES["web_arppu_report"](spark, SF001).collect()}
     assert got == want and got
+
+
+def test_writing_a_day_keeps_the_others_and_refuses_by_default(spark):
+    root = tempfile.mkdtemp(prefix="cohortwise-days-") + "/pe"
+    ev = FX.load_purchase_events(spark, SF001)
+    EVS.write_events(ev, root)
+    with pytest.raises(Exception, match="(?i)exists"):
+        EVS.write_events(ev, root)
+    days = {r.date for r in ev.select("date").distinct().collect()}
+    one = min(days)
+    EVS.write_events(ev.where(f"date = DATE '{one}'").limit(1), root, mode="overwrite")
+    back = EVS.read_events(spark, root)
+    assert {r.date for r in back.select("date").distinct().collect()} == days
+    assert back.where(f"date = DATE '{one}'").count() == 1
+
+
+def test_show_prints_every_row(spark, capsys, monkeypatch):
+    monkeypatch.setitem(cli.PURCHASE_REPORTS, "web-arppu", lambda *_: spark.range(300).selectExpr("id", "CAST(NULL AS STRING) AS x"))
+    monkeypatch.setattr(cli, "read_events", lambda *_: None)
+    cli.main(["web-arppu", "--events", "-", "--start", "2024-01-01", "--end", "2024-01-02", "--show"])
+    out = capsys.readouterr().out.splitlines()
+    assert out[0] == "id\tx" and out[1:] == [f"{i}\t" for i in range(300)]
+
+
+@pytest.mark.parametrize("name", ["inapp_renewal_report", "web_renewal_report", "web_arppu_report", "web_new_sales_report"])
+def test_timestamp_dates_keep_the_last_day(spark, name):
+    ev = FX.load_purchase_events(spark, SF01)
+    late = ev.withColumn("date", F.expr("CAST(date AS TIMESTAMP) + INTERVAL 13 HOURS"))
+    report = getattr(RP, name)
+    s, e = "2024-01-01", "2024-06-17"
+    assert {tuple(r) for r in report(late, "健走", s, e).collect()} == {tuple(r) for r in report(ev, "健走", s, e).collect()}
+
+
+def test_timestamp_dates_keep_the_last_day_of_the_funnel(spark):
+    ev, co = FX.load_walk_events(spark, SF01), FX.load_cohorts(spark, SF01)
+    late = ev.withColumn("date", F.expr("CAST(date AS TIMESTAMP) + INTERVAL 13 HOURS"))
+    got, want = ([tuple(r) for r in RP.experiment_training_report(x, co, FX.WALK_START, FX.WALK_END).collect()] for x in (late, ev))
+    assert got == want
+
+
+def test_money_as_double(purchases):
+    rows = purchases([purchase(product="webob_29.9d30-29.9d30", money="0.29", order_id=1)])
+    as_double = rows.withColumn("origin_money", F.col("origin_money").cast("double"))
+    (row,) = RP.web_arppu_report(as_double, "健走", "2024-01-01", "2024-06-30").collect()
+    assert row["【会员】月"] == 0.29
