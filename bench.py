@@ -4,7 +4,7 @@ Runs ``BENCH_WARMUP`` (default 2) rounds over all queries to warm the JVM,
 then ``BENCH_REPEAT`` (default 5) timed rounds, and records each query's
 best wall time of a full ``collect()`` (plan building included). Prints one
 JSON line. Environment: BENCH_SF_DIR (default /root/testdata/sf0.1),
-BENCH_CPUS (default 8), BENCH_ALL=1 to time all 28 registered queries,
+BENCH_CPUS (default 8), BENCH_ALL=1 to time all registered library queries,
 BENCH_EVENT_LOG=<dir> to write Spark's event log there.
 """
 
