@@ -210,36 +210,44 @@ def fit(training: DataFrame, max_cells: int = MAX_CELLS) -> Model:
     langs = [r["lang"] for r in levels[0].select("lang").distinct().collect()]
     bound = max_cells // max(1, 2 * ORDER * len(langs) ** 2)  # grams and contexts of each order and language
     orders: dict[str, list[Order]] = {x: [] for x in langs}
-    for k, level in enumerate(levels, 1):
+    for level in levels:
         ones = {r["lang"]: r for r in level.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2")).collect()}
         contexts = level.groupBy("lang", F.shiftrightunsigned("gram", 16).alias("gram")).agg(F.sum("n").alias("n"), F.count("*").alias("types"))
+        kept, kept_contexts = _bounded(level.withColumn("types", F.lit(0).cast("long")), bound), _bounded(contexts, bound)
         for x in langs:
-            rows = [_bounded(part.where(F.col("lang") == x), bound) for part in (level, contexts)]
-            (keys, n, _), (c, totals, types) = rows
             n1, n2 = ones[x]["n1"], ones[x]["n2"]
             discount = min(max(n1 / (n1 + 2 * n2) if n1 else 0.5, 0.05), 0.95)
-            orders[x].append(Order(keys, n, c, totals, types, discount))
+            orders[x].append(Order(*kept[x][:2], *kept_contexts[x], discount))
     return Model(orders)
 
 
-def _bounded(rows: DataFrame, bound: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """gram, n (and types) by gram; where there are more than bound, those above the least count that keeps within it."""
-    if "types" not in rows.columns:
-        rows = rows.withColumn("types", F.lit(0).cast("long"))
-    if rows.count() > bound:
-        spread = rows.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count("*").alias("m")).orderBy(F.desc("n")).collect()  # at most 10,000 rows
-        least, total = 10_000, 0
-        for r in spread:
-            total += r["m"]
-            if total > bound:
-                break
-            least = r["n"]
-        rows = rows.where(F.col("n") >= least)
-    found = rows.select("gram", "n", "types").toArrow()
-    keys, n, types = (found.column(c).to_numpy() for c in ("gram", "n", "types"))
-    keys = keys.astype(np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    return keys[order], n[order].astype(np.float64), types[order].astype(np.float64)
+def _bounded(rows: DataFrame, bound: int) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """gram, n, types of each language by gram; a language of more rows than bound keeps its classes of largest counts."""
+    sizes = {r["lang"]: r["m"] for r in rows.groupBy("lang").agg(F.count("*").alias("m")).collect()}
+    least = dict.fromkeys(sizes, 0)
+    over = [x for x, m in sizes.items() if m > bound]
+    size_class = F.floor(F.log2("n") * 8).cast("int")  # classes of counts: some hundreds at most
+    if over:
+        spread = rows.where(F.col("lang").isin(over)).groupBy("lang", size_class.alias("c")).agg(F.count("*").alias("m")).collect()
+        for x in over:
+            total = 0
+            for c, m in sorted(((r["c"], r["m"]) for r in spread if r["lang"] == x), reverse=True):
+                total += m
+                if total > bound:
+                    least[x] = c + 1
+                    break
+        floor = F.create_map(*(F.lit(v) for x in over for v in (x, least[x])))
+        rows = rows.where(size_class >= F.coalesce(F.try_element_at(floor, "lang"), F.lit(0)))
+    found = rows.select("lang", "gram", "n", "types").toArrow().combine_chunks()
+    names = found.column("lang").to_numpy(zero_copy_only=False)
+    keys = found.column("gram").to_numpy().astype(np.int64).view(np.uint64)
+    n, types = (found.column(c).to_numpy().astype(np.float64) for c in ("n", "types"))
+    out = {}
+    for x in sizes:
+        own = np.flatnonzero(names == x)
+        own = own[np.argsort(keys[own])]
+        out[x] = keys[own], n[own], types[own]
+    return out
 
 
 class Judge:
