@@ -78,15 +78,16 @@ def _activity_aggs() -> list:
 def user_activity(events: DataFrame, start: DateLike, end: DateLike, members: DataFrame | None = None) -> DataFrame:
     """One row per user: start/end counts for the four entrance scenes and flags.
 
-    With ``members`` only their events are counted: a semi-join before the
-    aggregation, whose small side Spark broadcasts if its size allows.
+    With ``members`` (rows may repeat) only their events are counted: a
+    semi-join before the aggregation, whose small side Spark broadcasts if
+    its size allows.
 
     Output: user_id, n_start_<i>, n_end_<i> for scenes 1-4, seen_<i> for
     the four exposure rules, seen_filter_page, used_filter (0/1).
     """
     rows = _event_rows(events, start, end)
     if members is not None:
-        rows = rows.join(members.select("user_id").distinct(), "user_id", "left_semi")
+        rows = rows.join(members.select("user_id"), "user_id", "left_semi")
     return rows.groupBy("user_id").agg(*_activity_aggs())
 
 
@@ -113,7 +114,7 @@ def scene_member_rows(
     to broadcast, where the semi-join would shuffle raw events.
     """
     members = cohort_members(cohorts)
-    activity = user_activity(events, start, end, members if cohort_first else None)
+    activity = user_activity(events, start, end, cohorts if cohort_first else None)
     joined = members.join(activity, "user_id", "left")
 
     def z(c: str) -> str:

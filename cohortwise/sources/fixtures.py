@@ -102,7 +102,8 @@ def purchase_events(orders: DataFrame) -> DataFrame:
     code = f"{c} div 10 + pmod({k}, 3)"
     device = f"pmod({c} + pmod({k}, 2), 7)"
     group = f"({c} + CASE WHEN pmod({k}, 4) = 3 THEN 1 ELSE 0 END)"
-    copies = ", ".join(f"CASE WHEN pmod({k}, {n}) = 0 THEN {i} END" for i, n in enumerate((17, 19, 23, 29), 1))
+    sets = ", ".join("array(0" + "".join(f", {i + 1}" for i in range(4) if bits >> i & 1) + ")" for bits in range(16))
+    which = " + ".join(f"CASE WHEN pmod({k}, {n}) = 0 THEN {1 << i} ELSE 0 END" for i, n in enumerate((17, 19, 23, 29)))
     rows = orders.selectExpr(
         f"CASE WHEN pmod({k}, 59) > 0 THEN {k} END AS order_id",
         f"CASE WHEN pmod({k}, 53) > 0 THEN {c} END AS user_id",
@@ -125,7 +126,7 @@ def purchase_events(orders: DataFrame) -> DataFrame:
         f"CASE WHEN pmod({group}, 29) = 5 OR pmod({group}, 3) = 0 THEN NULL WHEN pmod({group}, 3) = 1 THEN {lit(R.RAW_NOT_DOUBLE_EXTRA)} "
         f"ELSE {lit(R.RAW_DOUBLE_EXTRA)} END AS webob_product_type_is_double_extra",
         f"CASE pmod({k}, 9) WHEN 0 THEN '75' WHEN 1 THEN NULL ELSE '10001' END AS purchase_entrance_all_product",
-        f"explode(array_compact(array(0, {copies}))) AS _copy",
+        f"explode(element_at(array({sets}), 1 + {which})) AS _copy",
     )
     changed = {
         "origin_money": "CAST(origin_money + CASE _copy WHEN 2 THEN 1 WHEN 3 THEN 2 ELSE 0 END AS DECIMAL(12,2)) AS origin_money",
