@@ -5,8 +5,9 @@ other scripts to Latin ones, and reads digits and symbols inside words as
 the letters they stand for ("1d10t"). The lexicon holds words and word
 stems (prefixes); a stem matches at the start of a word. Exception phrases
 are matched by the same automaton: a term inside an exception does not
-count. The weights of the terms that count are added up per distinct term,
-normalised by the text's length, and turned into a probability.
+count. Of the terms that match at one place (a word and its stems) the
+heaviest counts; the sum over all places is normalised by the text's length
+and turned into a probability.
 
 Lexicon, weights, exceptions and the two calibration constants are learned
 from a bounded sample of labelled training rows (``SAMPLE_ROWS``); every
@@ -82,7 +83,7 @@ def matcher(weights: dict[str, float], exceptions: list[str]):
 
 
 def evidence(automaton, folded: str) -> float:
-    """Sum of the weights of distinct terms outside exception phrases, per square root of 100 words, plus the count of hits."""
+    """Sum, over the places where terms match outside exception phrases, of the heaviest term's weight; divided by the root of the length."""
     if not len(automaton):
         return 0.0
     masked: list[tuple[int, int]] = []
