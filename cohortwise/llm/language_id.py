@@ -6,19 +6,20 @@ texts; the lower orders hold continuation counts (in how many types a gram
 ends), each order has its own absolute discount, and the mass that
 discounting frees goes to the next lower order, down to a uniform share.
 
-A gram of up to four characters is packed into one 64-bit key. The models
-are sorted arrays of keys, one for each order, with a row of log
-probabilities (a column a language) at each key, and one array of contexts
-with the log weights of the lower order. A text goes to the language of the
+A gram of up to four characters is packed into one 64-bit key. A language's
+model is for each order a sorted array of keys with their log probabilities,
+and one of contexts with the log weights of the lower order; it holds what
+the language has, not what the others have. A text goes to the language of the
 lowest cross-entropy per character. Rejection is calibrated on a bounded
 sample of training texts: a cross-entropy far above what the language's own
 texts have (``REJECT_Z`` standard deviations, which short texts widen), a
 null text, or one without letters.
 
 Counts cover all training rows; they are combined in each task before the
-shuffle. The arrays sent to the tasks are bounded by ``MAX_CELLS`` numbers:
-beyond it the grams of the smallest counts are left to the lower orders,
-whose counts still hold them.
+shuffle. Every gram counted is in the arrays sent to the tasks, so these grow
+with the distinct grams of all languages (12 bytes a gram or context). Only a
+caller that gives ``fit`` a bound loses grams, those of the smallest counts;
+the weights of the lower orders then take over what the lost ones had.
 
 Defined results: ``und`` with score 0 for null texts, texts without a letter
 and without any learned language; ties go to the first language by name;
@@ -38,8 +39,6 @@ from pyspark.sql import functions as F
 from .common import annotate, bounded_sample, fold_of, materialise, ship, table
 
 ORDER = 4
-#: Bounds of the arrays: log probabilities and log weights of all orders and languages together.
-MAX_CELLS = 16_000_000
 #: Bound of the rows that calibrate the rejection.
 CALIBRATION_ROWS = 4_000
 REJECT_Z = 12.0
@@ -96,37 +95,36 @@ def chunks(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
 
 
 def count_grams(training: DataFrame) -> DataFrame:
-    """training: (lang, text). Returns lang, gram, n over all rows."""
+    """training: (lang, text, held). Returns lang, held, gram, n over all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         is_letter, seen = letters(), {}
         for batch in batches:
-            by_lang: dict[str, list[str]] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                by_lang.setdefault(lang, []).append(text)
+            by_lang: dict[tuple[str, bool], list[str]] = {}
+            for lang, text, held in zip(*(column.to_pylist() for column in batch.columns)):
+                by_lang.setdefault((lang, held), []).append(text)
             for lang, texts in by_lang.items():
                 for _, run_of in chunks(texts):
                     keys, n = np.unique(grams(*normalise(run_of, is_letter))[0], return_counts=True)
-                    if lang in seen:  # one sorted array for each language and task
+                    if lang in seen:  # one sorted array for each language, held out or not, and task
                         old, old_n = seen[lang]
                         keys, at = np.unique(np.concatenate([old, keys]), return_inverse=True)
                         n = np.bincount(at, weights=np.concatenate([old_n, n]), minlength=len(keys)).astype(np.int64)
                     seen[lang] = keys, n
-        for lang, (keys, n) in seen.items():
+        for (lang, held), (keys, n) in seen.items():
             for k in range(0, len(keys), 100_000):
                 part = keys[k : k + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array(part.view(np.int64)), pa.array(n[k : k + 100_000])], names=["lang", "gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array([held] * len(part)), pa.array(part.view(np.int64)), pa.array(n[k : k + 100_000])], names=["lang", "held", "gram", "n"])
 
-    plain = training.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null and text is not null")
-    return plain.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    plain = training.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), "held").where("lang is not null and text is not null")
+    return plain.mapInArrow(run, "lang string, held boolean, gram long, n long").groupBy("lang", "held", "gram").agg(F.sum("n").alias("n"))
 
 
 class Order:
-    """One order of one language: keys with their counts, and per context the total and the number of types."""
+    """One order of one language: keys with their counts, and per context the total over all its grams, kept or not."""
 
-    def __init__(self, keys: np.ndarray, n: np.ndarray, contexts: np.ndarray, totals: np.ndarray, types: np.ndarray, discount: float):
-        self.keys, self.n, self.contexts, self.discount = keys, n, contexts, discount
-        self.totals, self.types = totals, types
+    def __init__(self, keys: np.ndarray, n: np.ndarray, contexts: np.ndarray, totals: np.ndarray, discount: float):
+        self.keys, self.n, self.contexts, self.totals, self.discount = keys, n, contexts, totals, discount
 
 
 def place(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -147,47 +145,49 @@ def gram_mask(order: int) -> np.uint64:
 
 
 class Model:
-    """The languages' models over common sorted arrays."""
+    """The languages' models, each over sorted arrays of its own: keys, log probabilities, contexts, log weights by order."""
 
-    def __init__(self, orders: dict[str, list[Order]]):
+    def __init__(self, orders: dict[str, list[Order]], symbols: int):
         self.langs = sorted(orders)
-        columns = len(self.langs)
-        self.keys, self.log_p, self.contexts, self.log_w = [], [], [], []
-        symbols = np.unique(np.concatenate([orders[x][0].keys for x in self.langs])) if columns else np.zeros(0, dtype=np.uint64)
-        self.floor = -np.log(len(symbols) + 1)
-        for k in range(ORDER if columns else 0):
-            keys = np.unique(np.concatenate([orders[x][k].keys for x in self.langs]))
-            contexts = np.unique(np.concatenate([orders[x][k].contexts for x in self.langs]))
-            lower = self.log_prob(keys & gram_mask(k), k) if k else np.full((len(keys), columns), self.floor, dtype=np.float64)
-            p, weight = np.exp(lower), np.zeros((len(contexts), columns))
-            for c, x in enumerate(self.langs):
-                o = orders[x][k]
-                at, known = place(o.contexts, keys >> np.uint64(16))
-                total, types = picked(o.totals, at, known, 1.0), picked(o.types, at, known, 0.0)
-                own = np.maximum(picked(o.n, *place(o.keys, keys), 0.0) - o.discount, 0) / total
-                p[:, c] = np.where(known, own + o.discount * types / total * p[:, c], p[:, c])
-                at, known = place(o.contexts, contexts)
-                weight[known, c] = np.log(o.discount * o.types[at[known]] / o.totals[at[known]])
-            self.keys.append(keys)
-            self.log_p.append(np.log(p).astype(np.float32))
-            self.contexts.append(contexts)
-            self.log_w.append(weight.astype(np.float32))
-
-    def log_prob(self, keys: np.ndarray, order: int) -> np.ndarray:
-        """A row of log probabilities (a column a language) for each gram of the order."""
+        self.floor = -np.log(symbols + 1)
+        self.orders: list[list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]] = []
+        for x in self.langs:
+            own: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+            for k, o in enumerate(orders[x]):
+                lower = np.exp(self._of_language(own, o.keys & gram_mask(k), k))
+                at, known = place(o.contexts, o.keys >> np.uint64(16))
+                left = np.where(known, np.maximum(o.n - o.discount, 0), 0.0)
+                # what the kept grams leave of a context's mass, also that of grams left out, goes to the lower order
+                spare = o.totals - np.bincount(at, weights=left, minlength=len(o.totals)) if len(o.totals) else o.totals
+                p = np.where(known, left / picked(o.totals, at, known, 1.0) + picked(spare / o.totals, at, known, 1.0) * lower, lower)
+                own.append((o.keys, np.log(p).astype(np.float32), o.contexts, np.log(spare / o.totals).astype(np.float32)))
+            self.orders.append(own)
+
+    @property
+    def keys(self) -> list[np.ndarray]:
+        """The keys of each order, of all languages."""
+        return [np.unique(np.concatenate([own[k][0] for own in self.orders])) for k in range(ORDER if self.langs else 0)]
+
+    def _of_language(self, own: list, keys: np.ndarray, order: int) -> np.ndarray:
         if not order:
-            return np.full((len(keys), len(self.langs)), self.floor, dtype=np.float32)
-        at, known = place(self.keys[order - 1], keys)
-        out = self.log_p[order - 1][at] if len(self.keys[order - 1]) else np.zeros((len(keys), len(self.langs)), dtype=np.float32)
+            return np.full(len(keys), self.floor)
+        known_keys, log_p, contexts, log_w = own[order - 1]
+        at, known = place(known_keys, keys)
+        out = picked(log_p, at, known, 0.0)
         rest = np.flatnonzero(~known)
         if len(rest):
-            lower = self.log_prob(keys[rest] & gram_mask(order - 1), order - 1)
-            at, known = place(self.contexts[order - 1], keys[rest] >> np.uint64(16))
-            if len(self.contexts[order - 1]):
-                lower = lower + np.where(known[:, None], self.log_w[order - 1][at], 0)
-            out[rest] = lower
+            at, known = place(contexts, keys[rest] >> np.uint64(16))
+            out[rest] = self._of_language(own, keys[rest] & gram_mask(order - 1), order - 1) + picked(log_w, at, known, 0.0)
         return out
 
+    def log_prob(self, keys: np.ndarray, order: int) -> np.ndarray:
+        """A row of log probabilities (a column a language) for each gram of the order; each distinct gram is looked up once."""
+        distinct, back = np.unique(keys, return_inverse=True)
+        out = np.empty((len(distinct), len(self.langs)), dtype=np.float32)
+        for c, own in enumerate(self.orders):
+            out[:, c] = self._of_language(own, distinct, order)
+        return out[back]
+
     def entropies(self, texts: list[str | None], is_letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy per character (a column a language) and number of characters of each text; no letter: 0 characters."""
         sums, sizes = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), dtype=np.int64)
@@ -201,31 +201,36 @@ class Model:
         return sums / np.maximum(sizes, 1)[:, None], sizes
 
 
-def fit(training: DataFrame, max_cells: int = MAX_CELLS) -> Model:
-    """training: (lang, text). Counts of all rows; the arrays' size is bounded by max_cells."""
+def fit(training: DataFrame, max_cells: int | None = None) -> Model:
+    """training: (lang, text). Counts of all rows and every gram of them, unless max_cells bounds the grams and contexts kept."""
+    return model_of(materialise(count_grams(training.withColumn("held", F.lit(False))).drop("held")), max_cells)
+
+
+def model_of(counts: DataFrame, max_cells: int | None = None) -> Model:
+    """counts: lang, gram, n."""
     mask = lambda k: F.lit((1 << 16 * k) - 1)
-    levels = [materialise(count_grams(training))]
+    levels = [counts]
     for k in range(ORDER - 1, 0, -1):  # continuation counts: of a gram's types one order up
         levels.insert(0, materialise(levels[0].groupBy("lang", F.col("gram").bitwiseAND(mask(k)).alias("gram")).agg(F.count("*").alias("n"))))
     langs = [r["lang"] for r in levels[0].select("lang").distinct().collect()]
-    bound = max_cells // max(1, 2 * ORDER * len(langs) ** 2)  # grams and contexts of each order and language
+    bound = None if max_cells is None else max_cells // max(1, 2 * ORDER * len(langs) ** 2)  # grams and contexts of each order and language
     orders: dict[str, list[Order]] = {x: [] for x in langs}
     for level in levels:
         ones = {r["lang"]: r for r in level.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2")).collect()}
-        contexts = level.groupBy("lang", F.shiftrightunsigned("gram", 16).alias("gram")).agg(F.sum("n").alias("n"), F.count("*").alias("types"))
-        kept, kept_contexts = _bounded(level.withColumn("types", F.lit(0).cast("long")), bound), _bounded(contexts, bound)
+        contexts = level.groupBy("lang", F.shiftrightunsigned("gram", 16).alias("gram")).agg(F.sum("n").alias("n"))
+        kept, kept_contexts = _arrays(level, bound), _arrays(contexts, bound)
         for x in langs:
             n1, n2 = ones[x]["n1"], ones[x]["n2"]
             discount = min(max(n1 / (n1 + 2 * n2) if n1 else 0.5, 0.05), 0.95)
-            orders[x].append(Order(*kept[x][:2], *kept_contexts[x], discount))
-    return Model(orders)
+            orders[x].append(Order(*kept[x], *kept_contexts[x], discount))
+    return Model(orders, levels[0].select("gram").distinct().count())
 
 
-def _bounded(rows: DataFrame, bound: int) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """gram, n, types of each language by gram; a language of more rows than bound keeps its classes of largest counts."""
+def _arrays(rows: DataFrame, bound: int | None) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """gram and n of each language by gram; given a bound, a language of more rows keeps its classes of largest counts."""
     sizes = {r["lang"]: r["m"] for r in rows.groupBy("lang").agg(F.count("*").alias("m")).collect()}
     least = dict.fromkeys(sizes, 0)
-    over = [x for x, m in sizes.items() if m > bound]
+    over = [x for x, m in sizes.items() if bound is not None and m > bound]
     size_class = F.floor(F.log2("n") * 8).cast("int")  # classes of counts: some hundreds at most
     if over:
         spread = rows.where(F.col("lang").isin(over)).groupBy("lang", size_class.alias("c")).agg(F.count("*").alias("m")).collect()
@@ -238,15 +243,15 @@ def _bounded(rows: DataFrame, bound: int) -> dict[str, tuple[np.ndarray, np.ndar
                     break
         floor = F.create_map(*(F.lit(v) for x in over for v in (x, least[x])))
         rows = rows.where(size_class >= F.coalesce(F.try_element_at(floor, "lang"), F.lit(0)))
-    found = rows.select("lang", "gram", "n", "types").toArrow().combine_chunks()
-    names = found.column("lang").to_numpy(zero_copy_only=False)
-    keys = found.column("gram").to_numpy().astype(np.int64).view(np.uint64)
-    n, types = (found.column(c).to_numpy().astype(np.float64) for c in ("n", "types"))
+    found = rows.select("lang", "gram", "n").toArrow().combine_chunks()
+    names = found.column("lang").combine_chunks().dictionary_encode()
+    code = {x: k for k, x in enumerate(names.dictionary.to_pylist())}
+    codes, keys, n = names.indices.to_numpy(), found.column("gram").to_numpy().view(np.uint64), found.column("n").to_numpy()
     out = {}
     for x in sizes:
-        own = np.flatnonzero(names == x)
+        own = np.flatnonzero(codes == code.get(x, -1))
         own = own[np.argsort(keys[own])]
-        out[x] = keys[own], n[own], types[own]
+        out[x] = keys[own], n[own].astype(np.float64)
     return out
 
 

@@ -237,3 +237,21 @@ def test_stage_mixing_comes_near_its_targets(stages):
         assert r.taken <= 3 * r.size and r.size == len(WORD.findall(r.text or ""))
     assert len(stages["mix_sources"]) == len(stages["decontaminate"])
     assert all(abs(taken[s] - t) <= 0.01 * t + 1 for s, t in target.items())
+
+
+def test_every_gram_is_kept(spark):
+    rng = random.Random(5)
+    text = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(4_000))
+    rows = [(k, f"l{k:02}", "a few words") for k in range(20)] + [(20, "l00", text)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    padded = f"   {text} "
+    assert len(model.keys[3]) >= len({padded[k : k + 4] for k in range(len(padded) - 3)}) > 5_000
+
+
+def test_pruned_models_sum_to_one(spark):
+    rows = [(1, "x", "one two three four five six"), (2, "y", "éé aa bb")]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, lang string, text string"), max_cells=2 * 4 * 4 * 6)
+    symbols = sorted({c for r in rows for c in r[2]}) + ["Ω"]  # the last stands for all unseen ones
+    for context in ("   ", "one", " tw", "éé ", "zzz"):
+        keys = np.array([sum(ord(c) << 16 * (3 - k) for k, c in enumerate(context + s)) for s in symbols], dtype=np.uint64)
+        assert np.allclose(np.exp(model.log_prob(keys, 4)).sum(axis=0), 1, atol=1e-5)
