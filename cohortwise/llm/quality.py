@@ -3,15 +3,20 @@
 Base statistics of every whole text are counted exactly. A vector of
 transformed statistics (logarithms, square roots of shares) then goes
 through a minimum-covariance-determinant model of the document's language
-and source: the mean and covariance of the half of a sample whose
+and source: the mean and covariance of the ``SUPPORT`` of its rows whose
 covariance has the smallest determinant, found by concentration steps from
-seeded starts, so that junk among the sample doesn't widen it. Documents
+seeded starts, so that junk among the rows doesn't widen it. Documents
 whose squared Mahalanobis distance passes ``CUTOFF`` are rejected.
 
-Models are fitted on at most ``SAMPLE_ROWS`` documents of a group, those with
-the smallest hash of doc_id; a group of fewer than ``LEAST_ROWS`` documents
-takes its language's model, and that of all documents if the language has as
-few. Documents that fail the base rules are left out of the fit.
+The starts are made on at most ``SAMPLE_ROWS`` documents of a group, those
+with the smallest hash of doc_id. The concentration steps from the best start
+and the final centre, covariance and scale run over all rows of every group:
+each step adds up count, sums and products of the rows by class of distance
+(``CLASSES`` to a doubling), combined in each task before the shuffle, and
+takes the nearest classes that hold the support. A group of fewer than
+``LEAST_ROWS`` documents takes its language's model, and that of all
+documents if the language has as few. Documents that fail the base rules are
+left out of the fit.
 ``FLOOR`` keeps a statistic that hardly varies in the sample (no symbols at
 all, say) from rejecting documents over nothing.
 
@@ -37,8 +42,10 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 LEAST_WORDS, MOST_REPEATED = 20, 30
 SAMPLE_ROWS, LEAST_ROWS = 800, 60
-#: Share of the sample that a model describes, starts, concentration steps.
+#: Share of the rows that a model describes, starts, concentration steps (on the sample, and then on all rows).
 SUPPORT, STARTS, STEPS = 0.6, 24, 12
+#: Classes of squared distance to a doubling; the steps end when no centre or covariance moves by more than SETTLED, in deviations.
+CLASSES, SETTLED = 64, 1e-3
 #: Transformed statistics and the least standard deviation that each is given.
 FLOOR = {"log_words": 0.35, "word_length": 0.35, "symbols": 0.05, "repeated": 0.12, "dup_lines": 0.12, "distinct": 0.06, "upper": 0.05, "digits": 0.05, "punctuation": 0.05}
 #: Standard normal quantile behind the cut-off of the squared distance.
@@ -142,15 +149,93 @@ def mcd(x: np.ndarray, floors: np.ndarray, seed: int = 1) -> tuple[np.ndarray, n
     return centre, np.linalg.inv(covariance * max(scale, 1.0))
 
 
+GROUP = "level int, lang string, source string"
+
+
+def squared_distance(vectors: pa.Array, centres: pa.Array, inverses: pa.Array) -> np.ndarray:
+    """Squared Mahalanobis distances; NaN without a model."""
+    p = len(FLOOR)
+    out = np.full(len(vectors), np.nan)
+    has = np.flatnonzero(~centres.is_null().to_numpy(zero_copy_only=False))
+    if len(has):
+        at = pa.array(has)
+        x, c, inverse = (a.take(at).flatten().to_numpy() for a in (vectors, centres, inverses))
+        d = (x - c).reshape(-1, p)
+        out[has] = np.einsum("ij,ijk,ik->i", d, inverse.reshape(-1, p, p), d)
+    return out
+
+
+def inverted(covariance: np.ndarray, scale: float = 1.0) -> list[float]:
+    p = len(FLOOR)
+    return np.linalg.inv(np.asarray(covariance).reshape(p, p) * scale).ravel().tolist()
+
+
+def by_class(spread: DataFrame, fitted: DataFrame) -> DataFrame:
+    """Per group and class of distance under the fitted models: rows, sums and products of the differences from the centre."""
+    p = len(FLOOR)
+    names = ("level", "lang", "source")
+    models = fitted.select(*(F.col(c).alias(f"m_{c}") for c in names), "centre", "inverse")
+    same = (F.col("level") == F.col("m_level")) & F.col("lang").eqNullSafe(F.col("m_lang")) & F.col("source").eqNullSafe(F.col("m_source"))
+    joined = spread.join(models, same).select(*names, "vector", "centre", "inverse")
+
+    def make():
+        def differences(vectors, centres, inverses):
+            d2 = squared_distance(vectors, centres, inverses)
+            classes = np.floor(np.log2(np.maximum(d2, 1e-9)) * CLASSES).astype(np.int32)
+            d = vectors.flatten().to_numpy() - centres.flatten().to_numpy()
+            return [pa.array(classes, pa.int32()), *(pa.array(d[k::p]) for k in range(p))]
+
+        return differences
+
+    rows = annotate(joined, ["vector", "centre", "inverse"], ", ".join(["class int", *(f"d{k} double" for k in range(p))]), make)
+    sums = [F.sum(f"d{k}").alias(f"s{k}") for k in range(p)]
+    products = [F.sum(F.col(f"d{j}") * F.col(f"d{k}")).alias(f"q{j}_{k}") for j in range(p) for k in range(j, p)]
+    return rows.groupBy(*names, "class").agg(F.count("*").alias("n"), *sums, *products)
+
+
+def concentrated(classes: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
+    """Shift of the centre and covariance of the nearest classes that hold the support, and the median distance of all rows."""
+    p = len(FLOOR)
+    t = classes.sort_values("class", ignore_index=True)
+    upto = t["n"].cumsum().to_numpy()
+    total = int(upto[-1])
+    last = int(np.searchsorted(upto, max(int(SUPPORT * total), min(total, p + 1))))
+    near = t.iloc[: last + 1]
+    n = int(upto[last])
+    shift = near[[f"s{k}" for k in range(p)]].sum().to_numpy() / n
+    products = np.zeros((p, p))
+    for j in range(p):
+        for k in range(j, p):
+            products[j, k] = products[k, j] = near[f"q{j}_{k}"].sum()
+    covariance = (products - n * np.outer(shift, shift)) / max(1, n - 1) + np.diag(np.array(list(FLOOR.values())) ** 2)
+    middle = int(np.searchsorted(upto, (total + 1) / 2))
+    before = int(upto[middle - 1]) if middle else 0
+    within = ((total + 1) / 2 - before) / int(t["n"].iloc[middle])  # the class's rows taken as evenly spread
+    return shift, covariance, float(2 ** ((t["class"].iloc[middle] + within) / CLASSES))
+
+
 def models(rows: DataFrame) -> DataFrame:
     """rows: (doc_id, lang, source, vector). A model for each (lang, source): lang, source, centre, inverse (null without one)."""
     floors = np.array(list(FLOOR.values()))
+    p = len(FLOOR)
+    rows = materialise(rows)  # read once a step
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+    def start(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("place", ignore_index=True)
         centre, inverse = mcd(np.stack(pdf["vector"].to_numpy()), floors)
         return pd.DataFrame({"level": pdf["level"].iloc[:1], "lang": pdf["lang"].iloc[:1], "source": pdf["source"].iloc[:1], "centre": [centre.tolist()], "inverse": [inverse.ravel().tolist()]})
 
+    def step(pdf: pd.DataFrame) -> pd.DataFrame:
+        """A concentration step's model; moved: by how much it differs from the last; scaled: the last, by the median of all rows."""
+        shift, covariance, median = concentrated(pdf)
+        shift, covariance = shift.round(10), covariance.round(10)  # whatever the order in which the sums met
+        old = np.linalg.inv(np.array(pdf["inverse"].iloc[0]).reshape(p, p))
+        widths = np.sqrt(np.diag(old))
+        moved = max(float((abs(shift) / widths).max()), float((abs(covariance - old) / np.outer(widths, widths)).max()))
+        centre = np.array(pdf["centre"].iloc[0])
+        scaled = inverted(old, max(median / chi_square(p, 0.0), 1.0))
+        return pd.DataFrame({"level": pdf["level"].iloc[:1], "lang": pdf["lang"].iloc[:1], "source": pdf["source"].iloc[:1], "centre": [(centre + shift).tolist()], "inverse": [inverted(covariance)], "last": [centre.tolist()], "scaled": [scaled], "moved": [moved]})
+
     null = F.lit(None).cast("string")
     level = lambda k, lang, source: F.struct(F.lit(k).alias("level"), lang.alias("lang"), source.alias("source"))
     levels = F.explode(F.array(level(0, F.col("lang"), F.col("source")), level(1, F.col("lang"), null), level(2, null, null)))
@@ -158,7 +243,19 @@ def models(rows: DataFrame) -> DataFrame:
     order = Window.partitionBy("level", "lang", "source").orderBy(F.xxhash64("doc_id"), "doc_id", "vector")
     sample = spread.withColumn("place", F.row_number().over(order)).where(F.col("place") <= SAMPLE_ROWS)  # reduced in each task before the shuffle
     enough = sample.withColumn("n", F.count("*").over(Window.partitionBy("level", "lang", "source"))).where(F.col("n") >= LEAST_ROWS)
-    fitted = materialise(enough.groupBy("level", "lang", "source").applyInPandas(fit, "level int, lang string, source string, centre array<double>, inverse array<double>"))
+    kinds = f"{GROUP}, centre array<double>, inverse array<double>"
+    fitted = materialise(enough.groupBy("level", "lang", "source").applyInPandas(start, kinds))
+    if fitted.isEmpty():
+        return rows.select("lang", "source").distinct().select("lang", "source", F.lit(None).cast("array<double>").alias("centre"), F.lit(None).cast("array<double>").alias("inverse"))
+    names = ["level", "lang", "source"]
+    for k in range(STEPS + 1):  # the last one measures the model of the step before over all rows
+        known = fitted.select(*(F.col(c).alias(f"m_{c}") for c in names), "centre", "inverse")
+        same = (F.col("level") == F.col("m_level")) & F.col("lang").eqNullSafe(F.col("m_lang")) & F.col("source").eqNullSafe(F.col("m_source"))
+        steps = by_class(spread, fitted).join(known, same).drop("m_level", "m_lang", "m_source")
+        fitted = materialise(steps.groupBy(*names).applyInPandas(step, f"{kinds}, last array<double>, scaled array<double>, moved double"))
+        if k and fitted.agg(F.max("moved")).first()[0] <= SETTLED:
+            break
+    fitted = fitted.select(*names, F.col("last").alias("centre"), F.col("scaled").alias("inverse"))
     found = rows.select("lang", "source").distinct()
     for k, on in enumerate((("lang", "source"), ("lang",))):
         model = fitted.where(F.col("level") == k).select(*(F.col(c).alias(f"{c}{k}") for c in on), F.struct("centre", "inverse").alias(f"m{k}"))
@@ -176,23 +273,12 @@ def judge(docs: DataFrame, cutoff_z: float = CUTOFF_Z) -> DataFrame:
     fitting = docs.where(~F.col("base_failed")).select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), "vector")
     found = models(fitting).withColumnsRenamed({"lang": "m_lang", "source": "m_source"})
     joined = docs.join(found, docs["lang"].cast("string").eqNullSafe(F.col("m_lang")) & docs["source"].cast("string").eqNullSafe(F.col("m_source")), "left").drop("m_lang", "m_source")
-    p = len(FLOOR)
 
     def make():
-        def distance(vectors, centres, inverses):
-            out = np.full(len(vectors), np.nan)
-            has = np.flatnonzero(~centres.is_null().to_numpy(zero_copy_only=False))
-            if len(has):
-                at = pa.array(has)
-                x, c, inverse = (a.take(at).flatten().to_numpy() for a in (vectors, centres, inverses))
-                d = (x - c).reshape(-1, p)
-                out[has] = np.einsum("ij,ijk,ik->i", d, inverse.reshape(-1, p, p), d)
-            return [pa.array(out, pa.float64(), from_pandas=True)]
-
-        return distance
+        return lambda *columns: [pa.array(squared_distance(*columns), pa.float64(), from_pandas=True)]
 
     judged = annotate(joined, ["vector", "centre", "inverse"], "distance double", make).drop("centre", "inverse")
-    limit = chi_square(p, cutoff_z)
+    limit = chi_square(len(FLOOR), cutoff_z)
     return judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= limit, F.lit(True)))
 
 

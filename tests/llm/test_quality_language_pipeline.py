@@ -255,3 +255,23 @@ def test_pruned_models_sum_to_one(spark):
     for context in ("   ", "one", " tw", "éé ", "zzz"):
         keys = np.array([sum(ord(c) << 16 * (3 - k) for k, c in enumerate(context + s)) for s in symbols], dtype=np.uint64)
         assert np.allclose(np.exp(model.log_prob(keys, 4)).sum(axis=0), 1, atol=1e-5)
+
+
+def test_outlier_models_are_fitted_on_all_rows(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    p = len(quality.FLOOR)
+    x = rng.normal(size=(6_000, p)) * np.linspace(0.5, 2, p)
+    x[4_500:] += 25  # junk: a quarter of the rows
+    rows = spark.createDataFrame([(k, "en", "hot", v.tolist()) for k, v in enumerate(x)], "doc_id long, lang string, source string, vector array<double>").repartition(8)
+    found = []
+    for sample in (100, 400):  # the start may not decide
+        monkeypatch.setattr(quality, "SAMPLE_ROWS", sample)
+        m = quality.models(rows).first()
+        found.append((np.array(m.centre), np.array(m.inverse).reshape(p, p)))
+    (c1, i1), (c2, i2) = found
+    assert abs(c1 - c2).max() < 0.01 and abs(i1 / np.diag(i1).max() - i2 / np.diag(i1).max()).max() < 0.01
+    d = x - c1
+    distance = np.einsum("ij,jk,ik->i", d, i1, d)
+    assert abs(np.median(distance) / quality.chi_square(p, 0.0) - 1) < 0.02  # scaled by the median of all rows
+    near = x[np.argsort(distance, kind="stable")[: int(quality.SUPPORT * len(x))]]
+    assert abs(near.mean(axis=0) - c1).max() < 0.02
