@@ -10,10 +10,14 @@ A gram of up to four characters is packed into one 64-bit key. A language's
 model is for each order a sorted array of keys with their log probabilities,
 and one of contexts with the log weights of the lower order; it holds what
 the language has, not what the others have. A text goes to the language of the
-lowest cross-entropy per character. Rejection is calibrated on a bounded
-sample of training texts: a cross-entropy far above what the language's own
-texts have (``REJECT_Z`` standard deviations, which short texts widen), a
-null text, or one without letters.
+lowest cross-entropy per character. Rejected are null texts, those without
+letters, and those of a cross-entropy above their language's limit, which
+short texts widen. The limits are calibrated on a bounded sample of training
+rows of each language, by models without these rows' counts: robust centre
+and spread, in whose units the limit is passed by ``FALSE_REJECTIONS`` of the
+language's own texts. Rows that another language's model claims are taken as
+mislabelled. A language of too few rows takes the quantile of all languages'
+rows, and centre and spread from them; no limit is infinite.
 
 Counts cover all training rows; they are combined in each task before the
 shuffle. Every gram counted is in the arrays sent to the tasks, so these grow
@@ -36,12 +40,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import annotate, bounded_sample, fold_of, materialise, ship, table
+from .common import annotate, fold_of, materialise, ship, table
 
 ORDER = 4
-#: Bound of the rows that calibrate the rejection.
-CALIBRATION_ROWS = 4_000
-REJECT_Z = 12.0
+#: Rows of each language that calibrate the rejection, about: at most so many, and this share of its rows.
+CALIBRATION_ROWS, CALIBRATION_SHARE = 4_000, 0.25
+#: Share of a language's own texts that its limit may reject; the limit, in deviations, where fewer rows than that needs are there.
+FALSE_REJECTIONS, FEW_Z = 0.002, 8.0
+#: Rows from which a language has a centre and a spread of its own.
+LEAST_ROWS = 5
 #: Characters whose evidence the score counts, tempered.
 SCORE_CHARS, TEMPER = 200, 0.25
 #: Characters that are worked on at once.
@@ -256,10 +263,10 @@ def _arrays(rows: DataFrame, bound: int | None) -> dict[str, tuple[np.ndarray, n
 
 
 class Judge:
-    """A model and, for each language, mean and deviation of the cross-entropy of its own texts."""
+    """A model and, for each language, centre and deviation of its texts' cross-entropy, spread per character, and limit in deviations."""
 
-    def __init__(self, model: Model, mean: np.ndarray, deviation: np.ndarray, per_char: float):
-        self.model, self.mean, self.deviation, self.per_char = model, mean, deviation, per_char
+    def __init__(self, model: Model, mean: np.ndarray, deviation: np.ndarray, per_char: np.ndarray, limit: np.ndarray):
+        self.model, self.mean, self.deviation, self.per_char, self.limit = model, mean, deviation, per_char, limit
 
     def predict(self, texts: list[str | None], is_letter: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Language, score, cross-entropy and rejected for each text."""
@@ -272,44 +279,87 @@ class Judge:
         low = ce[rows, best]
         evidence = TEMPER * np.minimum(n, SCORE_CHARS)[:, None] * (ce - low[:, None])
         score = 1 / np.exp(-evidence).sum(axis=1)
-        limit = self.mean[best] + REJECT_Z * np.sqrt(self.deviation[best] ** 2 + self.per_char**2 / np.maximum(n, 1))
+        limit = self.mean[best] + self.limit[best] * np.sqrt(self.deviation[best] ** 2 + self.per_char[best] ** 2 / np.maximum(n, 1))
         none = n == 0
         score[none] = 0.0
         return ["und" if e else self.model.langs[b] for e, b in zip(none, best)], score, np.where(none, 0.0, low), none | (low > limit)
 
 
-def calibrate(model: Model, training: DataFrame, rows: int = CALIBRATION_ROWS) -> Judge:
-    """training: (doc_id, lang, text)."""
-    k = len(model.langs)
-    if not k:
-        return Judge(model, np.zeros(0), np.zeros(0), 0.0)
-    shipped = ship(training.sparkSession, model)
+def held_out(training: DataFrame) -> DataFrame:
+    """training with held: whether the row calibrates; a uniform share of each language's rows, by hash of doc_id."""
+    lang = F.col("lang").cast("string")
+    sizes = {r["lang"]: r["m"] for r in training.where("lang is not null and text is not null").groupBy(lang.alias("lang")).agg(F.count("*").alias("m")).collect()}
+    below = {x: int(min(CALIBRATION_SHARE, CALIBRATION_ROWS / m) * (1 << 30)) for x, m in sizes.items()}
+    limit = F.try_element_at(F.create_map(*(F.lit(v) for pair in below.items() for v in pair)), lang) if below else F.lit(0)
+    return training.withColumn("held", F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < limit, F.lit(False)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, is_letter = shipped(), letters()
-        for batch in batches:
-            ce, n = own.entropies(batch.column(1).to_pylist(), is_letter)
-            lang = batch.column(0).to_pylist()
-            at = np.array([own.langs.index(x) if x in own.langs else 0 for x in lang], dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(ce[np.arange(len(at)), at]), pa.array(n)], names=["at", "ce", "n"])
-
-    sample = bounded_sample(training.where("lang is not null and text is not null"), rows, F.col("doc_id")).select(F.col("lang").cast("string"), F.col("text").cast("string"))
-    found = sample.mapInArrow(run, "at long, ce double, n long").toArrow()  # three numbers for each row of the sample
-    at, ce, n = (found.column(c).to_numpy() for c in ("at", "ce", "n"))
-    mean, deviation, spread = np.full(k, np.inf), np.zeros(k), [0.5]
-    for lang in range(k):
-        x, size = ce[(at == lang) & (n >= 50)], n[(at == lang) & (n >= 50)]
-        if len(x) >= 5:
-            mean[lang], deviation[lang] = np.median(x), 1.4826 * np.median(abs(x - np.median(x))) + 0.05
-            short = size < 500
-            if short.sum() >= 5:
-                spread.append(float(np.sqrt(np.mean((x[short] - mean[lang]) ** 2 * size[short]))))
-    return Judge(model, mean, deviation, max(spread))
+
+def spread_of(x: np.ndarray) -> float:
+    return 1.4826 * float(np.median(abs(x))) if len(x) else 0.0
+
+
+def quantile(z: np.ndarray) -> float | None:
+    """The limit that a further value passes by FALSE_REJECTIONS at most; None if z is too short to tell."""
+    at = int(np.ceil((len(z) + 1) * (1 - FALSE_REJECTIONS)))
+    return float(np.sort(z)[at - 1]) if at <= len(z) else None
+
+
+def calibrate(model: Model, without: Model, rows: DataFrame) -> Judge:
+    """The model with limits from rows (lang, text), judged by the models that were fitted without them."""
+    k = len(model.langs)
+    at, ce, n = np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0, dtype=np.int64)
+    if without.langs:
+        shipped = ship(rows.sparkSession, without)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, is_letter = shipped(), letters()
+            for batch in batches:
+                ce, n = own.entropies(batch.column(1).to_pylist(), is_letter)
+                best = ce.argmin(axis=1)
+                right = np.array([own.langs[b] == x for b, x in zip(best, batch.column(0).to_pylist())], dtype=bool) & (n > 0)
+                yield pa.RecordBatch.from_arrays([pa.array(best[right]), pa.array(ce.min(axis=1)[right]), pa.array(n[right])], names=["at", "ce", "n"])
+
+        plain = rows.where("lang is not null and text is not null").select(F.col("lang").cast("string"), F.col("text").cast("string"))
+        found = plain.mapInArrow(run, "at long, ce double, n long").toArrow()  # three numbers for each row of the sample
+        at, ce, n = (found.column(c).to_numpy() for c in ("at", "ce", "n"))
+        at = np.array([model.langs.index(x) for x in without.langs], dtype=np.int64)[at]
+    # without any row: a text must be likelier than letters drawn evenly
+    mean, deviation, per_char = np.full(k, -model.floor), np.zeros(k), np.zeros(k)
+    long, short = n >= 50, n < 500
+    enough = [c for c in range(k) if (long & (at == c)).sum() >= LEAST_ROWS]
+    for c in enough:
+        mean[c] = np.median(ce[long & (at == c)])
+        deviation[c] = spread_of(ce[long & (at == c)] - mean[c]) + 0.05
+    few = [c for c in range(k) if c not in enough]
+    if enough:
+        for c in few:
+            own = ce[at == c]
+            mean[c], deviation[c] = max(mean[enough].max(), np.median(own) if len(own) else 0.0), deviation[enough].max()
+    else:
+        for c in few:
+            deviation[c] = 0.05
+    short &= np.isin(at, enough)
+    each = (ce - mean[at]) * np.sqrt(n)
+    pooled = max(0.5, spread_of(each[short]))
+    for c in range(k):
+        own = each[short & (at == c)]
+        per_char[c] = max(0.5, spread_of(own)) if len(own) >= LEAST_ROWS else pooled
+    z = (ce - mean[at]) / np.sqrt(deviation[at] ** 2 + per_char[at] ** 2 / np.maximum(n, 1))
+    of_all = quantile(z[np.isin(at, enough)])
+    limit = np.empty(k)
+    for c in range(k):
+        own = quantile(z[at == c]) if c in enough else None
+        limit[c] = own if own is not None else of_all if of_all is not None else FEW_Z
+    return Judge(model, mean, deviation, per_char, np.maximum(limit, 0.0))
 
 
 def learn(training: DataFrame) -> Judge:
-    """training: (doc_id, lang, text)."""
-    return calibrate(fit(training), training)
+    """training: (doc_id, lang, text). Texts are counted once, those that calibrate apart from the others."""
+    rows = held_out(training)
+    counts = materialise(count_grams(rows))
+    model = model_of(materialise(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))))
+    without = model_of(counts.where(~F.col("held")).drop("held"))
+    return calibrate(model, without, rows.where("held"))
 
 
 PREDICTED = "lang_pred string, score double, cross_entropy double, rejected boolean"

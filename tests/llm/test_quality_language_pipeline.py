@@ -275,3 +275,19 @@ def test_outlier_models_are_fitted_on_all_rows(spark, monkeypatch):
     assert abs(np.median(distance) / quality.chi_square(p, 0.0) - 1) < 0.02  # scaled by the median of all rows
     near = x[np.argsort(distance, kind="stable")[: int(quality.SUPPORT * len(x))]]
     assert abs(near.mean(axis=0) - c1).max() < 0.02
+
+
+def test_short_texts_of_an_unlearned_language_are_rejected(spark):
+    rng = random.Random(11)
+    vocabulary = lambda letters: ["".join(rng.choice(letters) for _ in range(rng.randrange(3, 8))) for _ in range(150)]
+    text = lambda words, n: " ".join(rng.choice(words) for _ in range(n))
+    one, two, other = vocabulary("abcdefghijklm"), vocabulary("ijklmnopqrstu"), vocabulary("abcdefghijklmnopqrstu")
+    rows = [(k, "one" if k % 2 else "two", text(one if k % 2 else two, rng.randrange(6, 80))) for k in range(1_200)]
+    rows += [(5_000 + k, "one", text(two, 20)) for k in range(6)]  # mislabelled
+    rows += [(6_000 + k, "tiny", "".join(rng.choice("vwxyz") for _ in range(60))) for k in range(3)]
+    judge = language_id.learn(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    assert np.isfinite(judge.mean).all() and np.isfinite(judge.limit).all()
+    is_letter = language_id.letters()
+    rejected = lambda words: np.mean(judge.predict([text(words, 8) for _ in range(300)], is_letter)[3])
+    assert rejected(other) > 0.9 and rejected(one) < 0.02 and rejected(two) < 0.02
+    assert judge.predict(["語" * 9 + "vwxyzvvw語" * 9], is_letter)[3][0]
