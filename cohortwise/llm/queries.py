@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, language_id, line_dedup, mixing, quality, secret_scan, simhash, toxicity, warc
+from . import chat_format, decontaminate, language_id, line_dedup, mixing, prefix_trie, quality, ranked_search, secret_scan, simhash, suffix_tree_lm, toxicity, warc
 
 _OPERATORS = {
     "op1_toxicity": toxicity,
@@ -15,6 +15,9 @@ _OPERATORS = {
     "op8_simhash": simhash,
     "op9_quality": quality,
     "op10_language_id": language_id,
+    "op11_ranked_search": ranked_search,
+    "op12_prefix_trie": prefix_trie,
+    "op13_suffix_tree_lm": suffix_tree_lm,
 }
 QUERIES = {name: module.query for name, module in _OPERATORS.items()}
 ORACLE_SQL = {name: module.SQL for name, module in _OPERATORS.items() if getattr(module, "SQL", None)}
