@@ -52,7 +52,7 @@ from pyspark.sql import functions as F
 from .common import fold_of, materialise, ship, table
 
 #: Longest context in bytes (at most 7), and the divergence asked for, in units of log(positions) a next byte seen.
-DEPTH, PENALTY = 5, 0.1
+DEPTH, PENALTY = 6, 0.1
 #: Rows of the tree sent at once; occurrences of words that a group counts.
 SHARD_ROWS, GROUP_WORDS = 4_000_000, 1 << 22
 HEAVY_BITS = 20
