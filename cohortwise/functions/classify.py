@@ -8,6 +8,9 @@ codegen; nothing here runs Python per row.
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
 from . import rules as R
 from .sqltext import all_of, case, in_list, lit, map_lookup
 
@@ -139,6 +142,26 @@ def rounded_ratio_sql(num: str, den: str, places: int) -> str:
     return f"CASE WHEN {den} > 0 THEN {half_up_div_sql(f'CAST({num} AS BIGINT) * {scale}', den)} / {scale}.0D END"
 
 
+#: Floating money is counted in these units: 8 places, up to 22 digits before the point.
+EXACT_MONEY = "DECIMAL(30, 8)"
+
+
+def exact_sum_sql(df: DataFrame, money: str, condition: str | None = None) -> str:
+    """sum(money) that does not depend on the order of rows.
+
+    A sum of DOUBLE or FLOAT rounds at each addition, so another partitioning
+    gives other last digits, and another rounded ratio. Such money is cast to
+    a fixed decimal (half up at the 8th place) before it is added; NaN and
+    amounts beyond its range are refused with an error. Decimals and whole
+    numbers add up exactly as they are.
+    """
+    value = money
+    if isinstance(df.schema[money].dataType, (T.DoubleType, T.FloatType)):
+        refused = f"raise_error(concat('money that no {EXACT_MONEY} holds: ', {money}))"
+        value = f"CASE WHEN isnan({money}) OR abs({money}) >= 1e22 THEN CAST({refused} AS {EXACT_MONEY}) ELSE CAST({money} AS {EXACT_MONEY}) END"
+    return f"sum({value})" if condition is None else f"sum(CASE WHEN {condition} THEN {value} END)"
+
+
 def rounded_money_ratio_sql(money: str, den: str) -> str:
     """round(money / den, 2), half away from zero, as DOUBLE; NULL when den <= 0.
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import classify as C
 from ..functions import rules as R
 from ..functions.sqltext import all_of, in_list, lit
+from ..sources.by_user import by_user
 from ..sources.events import conform
 from .params import DateLike, in_closed_range_sql
 
@@ -75,12 +76,16 @@ def _activity_aggs() -> list:
     return aggs
 
 
-def user_activity(events: DataFrame, start: DateLike, end: DateLike, members: DataFrame | None = None) -> DataFrame:
+@by_user
+def user_activity(
+    events: DataFrame, start: DateLike, end: DateLike, members: DataFrame | None = None, bucketed: bool = False
+) -> DataFrame:
     """One row per user: start/end counts for the four entrance scenes and flags.
 
     With ``members`` (rows may repeat) only their events are counted: a
     semi-join before the aggregation, whose small side Spark broadcasts if
-    its size allows.
+    its size allows. On a table laid out by user neither step shuffles the
+    events of its buckets (``bucketed``: nothing else to do here).
 
     Output: user_id, n_start_<i>, n_end_<i> for scenes 1-4, seen_<i> for
     the four exposure rules, seen_filter_page, used_filter (0/1).

@@ -191,7 +191,7 @@ def per_cell_orders(orders: DataFrame, keys: list[str]) -> DataFrame:
     collapses before the shuffle), then per cell with a plain count; NULL
     order ids add money but no order.
     """
-    per_order = orders.groupBy(*keys, "order_id").agg(F.expr("sum(origin_money) AS money"))
+    per_order = orders.groupBy(*keys, "order_id").agg(F.expr(f"{C.exact_sum_sql(orders, 'origin_money')} AS money"))
     return per_order.groupBy(*keys).agg(F.expr("sum(money) AS revenue"), F.expr("count(order_id) AS orders"))
 
 
@@ -200,7 +200,9 @@ def sales_report_cells(orders: DataFrame, keys: list[str]) -> DataFrame:
 
     Two levels as ``per_cell_orders``, the second straight by the report's keys.
     """
-    per_order = orders.groupBy(*keys, "product_type_group", "period_group", "order_id").agg(F.expr("sum(origin_money) AS money"))
+    per_order = orders.groupBy(*keys, "product_type_group", "period_group", "order_id").agg(
+        F.expr(f"{C.exact_sum_sql(orders, 'origin_money')} AS money")
+    )
     cells = []
     for i, (_, group, plan) in enumerate(R.WEB_SALES_REPORT_COLUMNS):
         here = f"product_type_group = {lit(group)} AND period_group = {lit(plan)}"
@@ -220,12 +222,25 @@ def web_plan_mix(events: DataFrame, line: str, start: DateLike, end: DateLike) -
 
     ``code_parsed`` is 0 for codes the pattern cannot parse; parsed codes
     matching no rule have both labels NULL and ``code_parsed`` 1.
+
+    Two distinct counts, each in two levels: rows are first summed per
+    (cell, order, user); each of these gives a row for its order, with the
+    money, and a row for its user; then one row per (cell, order or user)
+    and a plain count. All combine map-side.
     """
     orders = web_orders(events, line, start, end, users=True).selectExpr(
         "*", "CASE WHEN first_days IS NOT NULL THEN 1 ELSE 0 END AS code_parsed"
     )
-    return orders.groupBy("renewal_plan", "period_group", "code_parsed").agg(
-        F.expr("count(DISTINCT order_id) AS orders"),
-        F.expr("count(DISTINCT user_id) AS users"),
-        F.expr("CAST(sum(origin_money) AS DOUBLE) AS revenue"),
+    cell = ["renewal_plan", "period_group", "code_parsed"]
+    reduced = orders.groupBy(*cell, "order_id", "user_id").agg(F.expr(f"{C.exact_sum_sql(orders, 'origin_money')} AS money"))
+    either = reduced.selectExpr(
+        *cell,
+        "inline(array(struct(TRUE AS is_order, CAST(order_id AS STRING) AS id, money), "
+        "struct(FALSE AS is_order, CAST(user_id AS STRING) AS id, CAST(NULL AS DECIMAL(1, 0)) AS money)))",
+    )
+    per_id = either.groupBy(*cell, "is_order", "id").agg(F.expr("sum(money) AS money"))
+    return per_id.groupBy(*cell).agg(
+        F.expr("count(CASE WHEN is_order THEN id END) AS orders"),
+        F.expr("count(CASE WHEN NOT is_order THEN id END) AS users"),
+        F.expr("CAST(sum(money) AS DOUBLE) AS revenue"),
     )

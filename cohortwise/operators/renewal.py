@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from ..functions import classify as C
 from ..functions import rules as R
 from ..functions.sqltext import all_of, case, lit
+from ..sources.by_user import by_user
 from ..sources.events import conform
 from .params import DateLike, date_range, event_is_line_sql, in_renewal_range_sql
 
@@ -94,6 +95,37 @@ def renewal_candidates(events: DataFrame, base: DataFrame, line: str, start: Dat
     return renewal_days(events, line, start, end, kind).join(keys, KEYS, "left_semi")
 
 
+@by_user
+def renewal_candidates_one_read(events: DataFrame, line: str, start: DateLike, end: DateLike, kind: str, bucketed: bool = False) -> DataFrame:
+    """D7 for the reports' own base rows, from one read of the events.
+
+    Base keys are those of D1 (in-app) or of the first orders D6 (web). Base
+    and renewal rows come tagged from one scan, reduced to a few rows per key
+    and day; one window per key tells whether it has a base row. A NULL key
+    matches nothing, as in a join.
+    """
+    if kind == "inapp":
+        s, e = date_range(start, end)
+        wanted = [
+            event_is_line_sql(line),
+            f"date >= {lit(s)} AND date <= {lit(e + dt.timedelta(days=R.INAPP_MAX_WINDOW))}",
+            C.inapp_row_filter_sql(),
+            f"{C.inapp_plan_sql()} IS NOT NULL",
+        ]
+        rows = conform(events).where(all_of(wanted)).selectExpr(*KEYS, "date").distinct()
+        tagged = (rows if bucketed else rows.repartition("user_id")).selectExpr(
+            *KEYS, "date", f"date <= {lit(e)} AS _cw_base", f"date > {lit(s)} AS _cw_renewal"
+        )
+    elif kind == "web":
+        kept = _web_first_orders_and_renewals(events, line, start, end, bucketed)
+        tagged = kept.selectExpr(*KEYS, "date", "_cw_first AS _cw_base", "NOT _cw_first AS _cw_renewal")
+    else:
+        raise ValueError(f"unknown purchase kind {kind!r}")
+    known = all_of([f"{k} IS NOT NULL" for k in KEYS])
+    matched = tagged.where(known).selectExpr("*", f"max(_cw_base) OVER (PARTITION BY {', '.join(KEYS)}) AS _cw_matched")
+    return matched.where("_cw_matched AND _cw_renewal").selectExpr(*KEYS, "date AS repay_date").distinct()
+
+
 # --- D8 --------------------------------------------------------------------
 
 def _next_renewal_sql(is_renewal: str, day: str, alias: str = "_cw_next") -> str:
@@ -163,7 +195,8 @@ def renewal_flags(
     return flagged.selectExpr(*group_cols, *values).groupBy(*group_cols).agg(*outcome)
 
 
-def inapp_flagged_days(events: DataFrame, line: str, start: DateLike, end: DateLike) -> DataFrame:
+@by_user
+def inapp_flagged_days(events: DataFrame, line: str, start: DateLike, end: DateLike, bucketed: bool = False) -> DataFrame:
     """In-app base purchases per (key, day, first-pay flag, device) with ``has_repay``.
 
     One scan of [s, e + 380]: in-app base and renewal purchases pass the
@@ -175,7 +208,8 @@ def inapp_flagged_days(events: DataFrame, line: str, start: DateLike, end: DateL
     collapse and every key keeps at most a few rows per day; (3) one
     window flags them, over a shuffle by user that the per-user counts of
     the report reuse. Both aggregations combine map-side before their
-    shuffle. Output: event, first_month, user_id, product_id_all_product,
+    shuffle. ``bucketed`` events are together by user already, and nothing
+    here shuffles them. Output: event, first_month, user_id, product_id_all_product,
     is_first_purchase_withmoney, device_type, first_date, period_type,
     diff_days, origin_money (sum over the distinct base rows), has_repay.
     """
@@ -200,14 +234,14 @@ def inapp_flagged_days(events: DataFrame, line: str, start: DateLike, end: DateL
         *[f"CASE WHEN {in_base} THEN {c} END AS {c}" for c in base_only],
     ).distinct()
     days = tagged.groupBy(*KEYS, "date", "_cw_base", "_cw_renewal", "is_first_purchase_withmoney", "device_type").agg(
-        F.expr("sum(origin_money) AS origin_money")
+        F.expr(f"{C.exact_sum_sql(tagged, 'origin_money')} AS origin_money")
     )
     window = C.inapp_window_days_sql("period_type")
     # hash on user_id alone satisfies both the window (event, user, product)
     # and the per-(month, segment, user) counts that follow, so one shuffle
     # serves both; after the per-day reduction a user's rows are bounded.
-    by_user = days.repartition("user_id")
-    flagged = by_user.selectExpr("*", _next_renewal_sql("_cw_renewal", "unix_date(date)")).where("_cw_base")
+    together = days if bucketed else days.repartition("user_id")
+    flagged = together.selectExpr("*", _next_renewal_sql("_cw_renewal", "unix_date(date)")).where("_cw_base")
     labeled = flagged.selectExpr("*", C.once({"period_type": C.inapp_plan_sql()}))
     return labeled.selectExpr(
         "event",
@@ -224,8 +258,8 @@ def inapp_flagged_days(events: DataFrame, line: str, start: DateLike, end: DateL
     )
 
 
-def web_first_orders_with_renewals(events: DataFrame, line: str, start: DateLike, end: DateLike) -> DataFrame:
-    """D6 first orders with ``has_repay``, from one scan.
+def _web_first_orders_and_renewals(events: DataFrame, line: str, start: DateLike, end: DateLike, bucketed: bool = False) -> DataFrame:
+    """Rows of D6 first orders (``_cw_first``) and of renewal days, from one scan, together by user.
 
     Web renewals (order type 续订) pass the base predicates too, over a
     longer range, so one scan of [s, e + 190] serves both roles. (1) A hash
@@ -235,10 +269,10 @@ def web_first_orders_with_renewals(events: DataFrame, line: str, start: DateLike
     user keeps a number of rows bounded by days and products; codes are
     parsed after it. (2) One shuffle by user, then each row is emitted once
     per role it has: as a first-order candidate (dated up to e and fully
-    labeled) and as a renewal day (after s, 续订); both windows run on that
-    shuffle: the first order per segment and user (``row_number() = 1`` over
-    date, product, money) and the renewal window. Output: the D6 columns
-    plus has_repay.
+    labeled) and as a renewal day (after s, 续订). Of the candidates the first
+    order per segment and user stays (``row_number() = 1`` over date, product,
+    money). All windows by user run on that shuffle; ``bucketed`` events are
+    together by user already and need none.
     """
     from . import purchases as P
 
@@ -250,7 +284,8 @@ def web_first_orders_with_renewals(events: DataFrame, line: str, start: DateLike
         .groupBy(*KEYS, "date", "order_type", "product_type_group")
         .agg(F.expr("min(coalesce(origin_money, 0)) AS origin_money"))
     )
-    parsed = reduced.repartition("user_id").selectExpr("*", P.WEB_CODE_PARTS)
+    together = reduced if bucketed else reduced.repartition("user_id")
+    parsed = together.selectExpr("*", P.WEB_CODE_PARTS)
     labeled = parsed.selectExpr(
         "date",
         f"{in_base} AS _cw_base",
@@ -273,7 +308,17 @@ def web_first_orders_with_renewals(events: DataFrame, line: str, start: DateLike
         "row_number() OVER (PARTITION BY _cw_first, user_id, " + ", ".join(segment)
         + " ORDER BY date, product_id_all_product, origin_money) AS _cw_rn"
     )
-    kept = keyed.selectExpr("*", rank).where("NOT _cw_first OR _cw_rn = 1")
+    return keyed.selectExpr("*", rank).where("NOT _cw_first OR _cw_rn = 1")
+
+
+@by_user
+def web_first_orders_with_renewals(events: DataFrame, line: str, start: DateLike, end: DateLike, bucketed: bool = False) -> DataFrame:
+    """D6 first orders with ``has_repay``, from one scan and at most one shuffle by user.
+
+    The renewal window runs on the rows of first orders and renewal days,
+    which are together by user. Output: the D6 columns plus has_repay.
+    """
+    kept = _web_first_orders_and_renewals(events, line, start, end, bucketed)
     flagged = kept.selectExpr("*", _next_renewal_sql("NOT _cw_first", "unix_date(date)")).where("_cw_first")
     return flagged.selectExpr(
         "event",
@@ -337,7 +382,7 @@ def inapp_revenue_base(base: DataFrame) -> DataFrame:
     return (
         base.selectExpr("first_month", f"{inapp_segment_sql()} AS segment", "origin_money")
         .groupBy("first_month", "segment")
-        .agg(F.expr("CAST(sum(origin_money) AS DOUBLE) AS revenue"))
+        .agg(F.expr(f"CAST({C.exact_sum_sql(base, 'origin_money')} AS DOUBLE) AS revenue"))
     )
 
 
@@ -351,7 +396,7 @@ def inapp_report_cells(flagged: DataFrame) -> DataFrame:
     per_user = (
         flagged.selectExpr("first_month", f"{inapp_segment_sql()} AS segment", "user_id", "has_repay", "origin_money")
         .groupBy("first_month", "segment", "user_id")
-        .agg(F.expr("max(has_repay) AS has_repay"), F.expr("sum(origin_money) AS money"))
+        .agg(F.expr("max(has_repay) AS has_repay"), F.expr(f"{C.exact_sum_sql(flagged, 'origin_money')} AS money"))
     )
     cells = []
     for i, (column, *_) in enumerate(R.INAPP_REPORT_COLUMNS):
@@ -377,7 +422,8 @@ def web_renewal_users(flags: DataFrame) -> DataFrame:
 
 def web_revenue_base(first_orders: DataFrame) -> DataFrame:
     """Money of the first orders per segment, rounded to whole units."""
-    return first_orders.groupBy(*WEB_SEGMENT_KEYS).agg(F.expr("CAST(round(sum(origin_money), 0) AS BIGINT) AS revenue_base"))
+    money = C.exact_sum_sql(first_orders, "origin_money")
+    return first_orders.groupBy(*WEB_SEGMENT_KEYS).agg(F.expr(f"CAST(round({money}, 0) AS BIGINT) AS revenue_base"))
 
 
 def web_cohort_cells(flagged_first_orders: DataFrame) -> DataFrame:
@@ -387,9 +433,8 @@ def web_cohort_cells(flagged_first_orders: DataFrame) -> DataFrame:
     user), so the counts need no second level. Equal to D10 and D13 over
     the same first orders.
     """
-    return flagged_first_orders.groupBy(*WEB_SEGMENT_KEYS).agg(
-        *_user_counts(), F.expr("CAST(round(sum(origin_money), 0) AS BIGINT) AS revenue_base")
-    )
+    money = C.exact_sum_sql(flagged_first_orders, "origin_money")
+    return flagged_first_orders.groupBy(*WEB_SEGMENT_KEYS).agg(*_user_counts(), F.expr(f"CAST(round({money}, 0) AS BIGINT) AS revenue_base"))
 
 
 def web_report_cells(flagged_first_orders: DataFrame) -> DataFrame:
@@ -403,6 +448,6 @@ def web_report_cells(flagged_first_orders: DataFrame) -> DataFrame:
         cells += [
             F.expr(f"count(CASE WHEN {here} THEN user_id END) AS base_{i}"),
             F.expr(f"count(CASE WHEN {here} AND has_repay = 1 THEN user_id END) AS repay_{i}"),
-            F.expr(f"CAST(round(sum(CASE WHEN {here} THEN origin_money END), 0) AS BIGINT) AS money_{i}"),
+            F.expr(f"CAST(round({C.exact_sum_sql(flagged_first_orders, 'origin_money', here)}, 0) AS BIGINT) AS money_{i}"),
         ]
     return flagged_first_orders.groupBy("event_cn", "first_month", "product_type_group").agg(*cells)

@@ -13,13 +13,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import rules as RULES
 from ..functions.sqltext import ident
+from ..operators import distinct_state as DS
 from ..operators import experiment as X
 from ..operators import purchases as P
 from ..operators import renewal as N
 from ..operators import revenue as V
 from ..operators.pivot import segment_pivot
+from ..sources import by_user as BU
+from ..sources import events as EV
 from ..sources import fixtures as FX
+from ..sources.scratch import scratch_folder
 from . import reports as RP
 
 LINE, S, E = FX.PURCHASE_LINE, FX.PURCHASE_START, FX.PURCHASE_END
@@ -74,8 +79,7 @@ def first_order_per_segment(spark, d):
 
 
 def renewal_candidates(spark, d):
-    ev = _p(spark, d)
-    return N.renewal_candidates(ev, P.inapp_base_orders(ev, LINE, S, E), LINE, S, E, "inapp")
+    return N.renewal_candidates_one_read(_p(spark, d), LINE, S, E, "inapp")
 
 
 def renewal_flags(spark, d):
@@ -111,8 +115,7 @@ def renewal_flags_matured(spark, d):
 
 
 def web_renewal_candidates(spark, d):
-    ev = _p(spark, d)
-    return N.renewal_candidates(ev, RP.web_first_orders(ev, LINE, S, E), LINE, S, E, "web")
+    return N.renewal_candidates_one_read(_p(spark, d), LINE, S, E, "web")
 
 
 def web_renewal_flags(spark, d):
@@ -195,6 +198,81 @@ def experiment_training_report(spark, d):
     return RP.experiment_training_report(_w(spark, d), _c(spark, d), WS, WE)
 
 
+# --- distinct counts from merged states
+
+
+def _inapp_state(spark, d, start, end):
+    return DS.inapp_user_state(N.inapp_flagged_days(_p(spark, d), LINE, start, end))
+
+
+def _web_state(spark, d, start, end):
+    return DS.web_user_state(N.web_first_orders_with_renewals(_p(spark, d), LINE, start, end))
+
+
+def inapp_renewal_users_merged(spark, d):
+    """D9 from the states of two half ranges."""
+    return DS.state_counts(DS.merge_states(_inapp_state(spark, d, S, FX.HALF_END), _inapp_state(spark, d, FX.HALF_START, E)))
+
+
+def web_renewal_users_merged(spark, d):
+    """D10 from the states of two half ranges."""
+    return DS.state_counts(DS.merge_states(_web_state(spark, d, S, FX.HALF_END), _web_state(spark, d, FX.HALF_START, E)))
+
+
+def inapp_renewal_users_total(spark, d):
+    """Users of the whole range by segment, each counted once, from the monthly states of two half ranges."""
+    months = _inapp_state(spark, d, S, FX.HALF_END), _inapp_state(spark, d, FX.HALF_START, E)
+    return DS.state_counts(DS.merge_states(*months, keys=["segment"]))
+
+
+# --- tables laid out by user, user lists as tables
+
+BY_USER_BUCKETS = 8
+
+
+def _by_user(spark, events: DataFrame) -> BU.ByUser:
+    path = scratch_folder(spark)
+    BU.write_by_user(events, path, BY_USER_BUCKETS)
+    return BU.read_by_user(spark, path)
+
+
+def inapp_renewal_report_by_user(spark, d):
+    return RP.inapp_renewal_report(_by_user(spark, _p(spark, d)), LINE, S, E)
+
+
+def web_renewal_report_by_user(spark, d):
+    return RP.web_renewal_report(_by_user(spark, _p(spark, d)), LINE, S, E)
+
+
+def experiment_training_report_by_user(spark, d):
+    return RP.experiment_training_report(_by_user(spark, _w(spark, d)), _c(spark, d), WS, WE)
+
+
+def _listed_cohorts(spark, d) -> DataFrame:
+    """The arms' user lists, written as tables of their own and read back."""
+    path, lists = scratch_folder(spark), {}
+    for k, group in enumerate((RULES.GROUP_EXPERIMENT, RULES.GROUP_CONTROL)):
+        _c(spark, d).where(F.col("group_name") == group).select("user_id").write.parquet(f"{path}/{k}")
+        lists[group] = spark.read.parquet(f"{path}/{k}")
+    return EV.cohorts_from_lists(lists)
+
+
+def cohort_lists(spark, d):
+    """The rows of both lists, tagged; a user listed twice has two rows."""
+    return _listed_cohorts(spark, d)
+
+
+def experiment_training_report_from_lists(spark, d):
+    return RP.experiment_training_report(_w(spark, d), _listed_cohorts(spark, d), WS, WE)
+
+
+# --- reports with the place of each row
+
+
+def _ordered(report: Query) -> Query:
+    return lambda spark, d: RP.with_position(report(spark, d))
+
+
 QUERIES: dict[str, Query] = {
     "inapp_base_orders": inapp_base_orders,
     "inapp_plan_mix": inapp_plan_mix,
@@ -228,6 +306,19 @@ QUERIES: dict[str, Query] = {
     "web_arppu_report": web_arppu_report,
     "web_new_sales_report": web_new_sales_report,
     "experiment_training_report": experiment_training_report,
+    "inapp_renewal_users_merged": inapp_renewal_users_merged,
+    "web_renewal_users_merged": web_renewal_users_merged,
+    "inapp_renewal_users_total": inapp_renewal_users_total,
+    "inapp_renewal_report_by_user": inapp_renewal_report_by_user,
+    "web_renewal_report_by_user": web_renewal_report_by_user,
+    "experiment_training_report_by_user": experiment_training_report_by_user,
+    "cohort_lists": cohort_lists,
+    "experiment_training_report_from_lists": experiment_training_report_from_lists,
+    "inapp_renewal_report_ordered": _ordered(inapp_renewal_report),
+    "web_renewal_report_ordered": _ordered(web_renewal_report),
+    "web_arppu_report_ordered": _ordered(web_arppu_report),
+    "web_new_sales_report_ordered": _ordered(web_new_sales_report),
+    "experiment_training_report_ordered": _ordered(experiment_training_report),
 }
 
 REPORTS = [

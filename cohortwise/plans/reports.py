@@ -33,6 +33,14 @@ WEB_RENEWAL_COLUMNS = [c for c, *_ in R.WEB_RENEWAL_REPORT_COLUMNS]
 WEB_SALES_COLUMNS = [c for c, *_ in R.WEB_SALES_REPORT_COLUMNS]
 
 
+def with_position(report: DataFrame, name: str = "position") -> DataFrame:
+    """A report's rows with their place, from 1: for writers and readers that do not keep rows in order.
+
+    A report's sort ends in one partition, whose row ids count from 0.
+    """
+    return report.selectExpr("*", f"monotonically_increasing_id() + 1 AS {ident(name)}")
+
+
 def sales_column_sql() -> str:
     """Report column of a (product group, plan) cell of the ARPPU / sales reports."""
     return case(

@@ -12,16 +12,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from ..functions.sqltext import lit
+from .by_user import ByUser
 
 
-def conform(df: DataFrame) -> DataFrame:
+def conform(df: DataFrame | ByUser) -> DataFrame:
     """Make ``date`` a DATE; keep every other column as stored.
 
     A TIMESTAMP (or string) ``date`` compared with a date literal would drop
     the last day's rows after midnight, so it is cast first; other columns
     keep their stored types (user ids may be strings, money may be any
-    numeric). Missing required columns fail here, before any job runs.
+    numeric). Missing required columns fail here, before any job runs. A
+    table laid out by user is the union of its parts.
     """
+    if isinstance(df, ByUser):
+        df = df.whole()
     missing = [n for n in ("event", "date", "user_id") if n not in df.columns]
     if missing:
         raise ValueError(f"event table lacks required columns: {missing}")

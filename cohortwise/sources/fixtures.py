@@ -74,6 +74,9 @@ FIXTURE_ENTRANCES = ["504", "503", "502", "501", None]
 PURCHASE_LINE = "健走"
 PURCHASE_START = "2024-01-01"
 PURCHASE_END = "2024-06-30"
+# the range in two halves, for merged states
+HALF_END = "2024-03-31"
+HALF_START = "2024-04-01"
 # last day with data, as far as the matured flag is concerned
 DATA_END = "2025-02-28"
 WALK_START = "2024-01-05"

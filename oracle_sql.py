@@ -256,6 +256,11 @@ _EXP = with_(WALKS, EXPERIMENT)
 _RETRAIN = f"COALESCE({half_up('retrain_uv', 'start_uv', 4)}, 0)"
 
 
+def placed(report: str, order: str) -> str:
+    """A report's rows with their place by the given order."""
+    return f"SELECT *, ROW_NUMBER() OVER (ORDER BY {order}) AS position FROM ({report})"
+
+
 ORACLE_SQL: dict[str, str] = {
     "inapp_base_orders": _IN + """SELECT event, first_month, user_id, product AS product_id_all_product, first_pay AS is_first_purchase_withmoney,
       device AS device_type, money::DOUBLE AS origin_money, first_date, period_type, diff_days FROM cohort""",
@@ -309,3 +314,24 @@ ORACLE_SQL: dict[str, str] = {
       COALESCE(start_uv, 0) AS "开训（用户数）", COALESCE(complete_uv, 0) AS "完训（用户数）", {_RETRAIN} AS "复训率"
       FROM grid LEFT JOIN uv USING (group_name, scene) ORDER BY group_order, scene_order""",
 }
+
+# the same definitions, reached by other ways
+ORACLE_SQL |= {
+    "inapp_renewal_users_merged": ORACLE_SQL["inapp_renewal_users"],
+    "web_renewal_users_merged": ORACLE_SQL["web_renewal_users"],
+    "inapp_renewal_users_total": _IN + f"SELECT segment, {_USERS} FROM placed GROUP BY 1",
+    "inapp_renewal_report_by_user": ORACLE_SQL["inapp_renewal_report"],
+    "web_renewal_report_by_user": ORACLE_SQL["web_renewal_report"],
+    "experiment_training_report_by_user": ORACLE_SQL["experiment_training_report"],
+    "cohort_lists": _EXP + "SELECT group_name, user_id FROM cohort_lists",
+    "experiment_training_report_from_lists": ORACLE_SQL["experiment_training_report"],
+    # sort orders written from the reports' definitions
+    "inapp_renewal_report_ordered": placed(ORACLE_SQL["inapp_renewal_report"], """"指标类型" <> '续订率', "续订基数发生月份" """),
+    "web_renewal_report_ordered": placed(ORACLE_SQL["web_renewal_report"], '"项目", "续订基数发生月份", "产品类型", "指标类型"'),
+    "web_arppu_report_ordered": placed(ORACLE_SQL["web_arppu_report"], """array_position(['新增', '续订'], "新增/续订"), "年月" """),
+    "web_new_sales_report_ordered": placed(ORACLE_SQL["web_new_sales_report"], '"年月", "数据类型" DESC'),
+    "experiment_training_report_ordered": placed(
+        ORACLE_SQL["experiment_training_report"],
+        """"分组" <> '实验组', array_position(['walk整体', 'workout页面', 'tab_home', 'tab_walkbeat', '进入筛选二级页面', '使用筛选', '未使用筛选'], "场景")""",
+    ),
+}
