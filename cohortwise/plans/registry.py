@@ -230,22 +230,29 @@ def inapp_renewal_users_total(spark, d):
 BY_USER_BUCKETS = 8
 
 
-def _by_user(spark, events: DataFrame) -> BU.ByUser:
-    path = scratch_folder(spark)
-    BU.write_by_user(events, path, BY_USER_BUCKETS)
-    return BU.read_by_user(spark, path)
+#: Layouts of this session, written once for each table: (application, loader, folder) -> path.
+_LAYOUTS: dict[tuple[str, str, str], str] = {}
+
+
+def _by_user(spark, d, load: Query) -> BU.ByUser:
+    at = spark.sparkContext.applicationId, load.__name__, d
+    if at not in _LAYOUTS:
+        path = scratch_folder(spark)
+        BU.write_by_user(load(spark, d), path, BY_USER_BUCKETS)
+        _LAYOUTS[at] = path
+    return BU.read_by_user(spark, _LAYOUTS[at])
 
 
 def inapp_renewal_report_by_user(spark, d):
-    return RP.inapp_renewal_report(_by_user(spark, _p(spark, d)), LINE, S, E)
+    return RP.inapp_renewal_report(_by_user(spark, d, _p), LINE, S, E)
 
 
 def web_renewal_report_by_user(spark, d):
-    return RP.web_renewal_report(_by_user(spark, _p(spark, d)), LINE, S, E)
+    return RP.web_renewal_report(_by_user(spark, d, _p), LINE, S, E)
 
 
 def experiment_training_report_by_user(spark, d):
-    return RP.experiment_training_report(_by_user(spark, _w(spark, d)), _c(spark, d), WS, WE)
+    return RP.experiment_training_report(_by_user(spark, d, _w), _c(spark, d), WS, WE)
 
 
 def _listed_cohorts(spark, d) -> DataFrame:
@@ -258,8 +265,8 @@ def _listed_cohorts(spark, d) -> DataFrame:
 
 
 def cohort_lists(spark, d):
-    """The rows of both lists, tagged; a user listed twice has two rows."""
-    return _listed_cohorts(spark, d)
+    """The members of both lists, each arm's users once."""
+    return X.cohort_members(_listed_cohorts(spark, d))
 
 
 def experiment_training_report_from_lists(spark, d):

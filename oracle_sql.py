@@ -323,7 +323,7 @@ ORACLE_SQL |= {
     "inapp_renewal_report_by_user": ORACLE_SQL["inapp_renewal_report"],
     "web_renewal_report_by_user": ORACLE_SQL["web_renewal_report"],
     "experiment_training_report_by_user": ORACLE_SQL["experiment_training_report"],
-    "cohort_lists": _EXP + "SELECT group_name, user_id FROM cohort_lists",
+    "cohort_lists": _EXP + "SELECT group_name, user_id FROM members",
     "experiment_training_report_from_lists": ORACLE_SQL["experiment_training_report"],
     # sort orders written from the reports' definitions
     "inapp_renewal_report_ordered": placed(ORACLE_SQL["inapp_renewal_report"], """"指标类型" <> '续订率', "续订基数发生月份" """),
