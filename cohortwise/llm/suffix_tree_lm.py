@@ -54,10 +54,10 @@ from .common import fold_of, materialise, ship, table
 #: Longest context in bytes (at most 7), and the divergence asked for, in units of log(positions) a next byte seen.
 DEPTH, PENALTY = 5, 0.1
 #: Rows of the tree sent at once; occurrences of words that a group counts.
-SHARD_ROWS, GROUP_WORDS = 4_000_000, 1 << 22
+SHARD_ROWS, GROUP_WORDS = 4_000_000, 1 << 21
 HEAVY_BITS = 20
 #: A block of texts ends at so many texts or bytes; bytes whose grams are counted or scored at once; grams held in a task.
-BLOCK_DOCS, BLOCK_BYTES, CHUNK, HELD_GRAMS = 8192, 32 << 20, 4 << 20, 4_000_000
+BLOCK_DOCS, BLOCK_BYTES, CHUNK, HELD_GRAMS = 4096, 8 << 20, 1 << 20, 1_000_000
 FOLDS, HELD_FOLD = 7, 2
 END = b"\n"
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -121,8 +121,10 @@ class GramCounts:
 
     def add(self, keys: np.ndarray) -> None:
         own, n = np.unique(keys, return_counts=True)
-        self.keys, back = np.unique(np.concatenate([self.keys, own]), return_inverse=True)
-        self.n = np.bincount(back, np.concatenate([self.n, n]), len(self.keys)).astype(np.int64)
+        at, known = place(self.keys, own)
+        self.n[at[known]] += n[known]
+        before = np.searchsorted(self.keys, own[~known])
+        self.keys, self.n = np.insert(self.keys, before, own[~known]), np.insert(self.n, before, n[~known])
 
     def take(self) -> tuple[np.ndarray, np.ndarray]:
         out = self.keys, self.n
@@ -299,8 +301,8 @@ class Tree:
             if len(known) + len(new) > HELD_GRAMS:
                 known, values = distinct, p
             else:
-                order = np.argsort(np.concatenate([known, new]), kind="stable")
-                known, values = np.concatenate([known, new])[order], np.concatenate([values, fresh])[order]
+                before = np.searchsorted(known, new)
+                known, values = np.insert(known, before, new), np.insert(values, before, fresh)
         return out
 
 
@@ -466,7 +468,7 @@ def score(docs: DataFrame, held_out: Column, depth: int = DEPTH, penalty: float
     order = np.argsort(heavy.column("key").to_numpy())
     heavy = heavy.column("key").to_numpy()[order], heavy.column("n_train").to_numpy()[order]
     sent = word_blocks(texts, max(1, -(-all_words // group_words)), heavy)
-    base = word_scores(sent, tokens, types)
+    base = materialise(word_scores(sent, tokens, types))
     end = float(np.log10(trained_texts + 1))  # the end token's share of the sum, in every text
     states = tree(counts.where(F.col("kind") == GRAM_ROWS).select("key", F.col("n_train").alias("n")), depth, penalty)
     scored = tree_scores(texts, states, depth, shard_rows)
