@@ -9,10 +9,13 @@ fitted by documents taken once more:
 
 1. documents are counted by (source, exact size);
 2. per source, each size gives its proportional whole number of documents,
-   the largest fractions one more until at most ``DP_WORDS`` words remain,
    and a bounded-knapsack dynamic program over the documents left of each
-   size (then over further copies, up to ``MAX_REPEATS``) meets the rest
-   exactly, or as nearly as can be;
+   size (then over further copies, up to ``MAX_REPEATS``) meets the rest;
+   where it cannot meet it exactly, documents are given back, more and more
+   of each size, up to all of them, and the program chooses anew among all
+   that is open. It holds at most ``DP_BITS`` bits of sums; a source whose
+   budget is met exactly earlier, as most are, needs few. Only a source that
+   is not met exactly within that memory stays at the nearest sum found;
 3. of each (source, size), the chosen number of documents is selected in the
    order of a seeded hash of doc_id.
 
@@ -40,7 +43,8 @@ from .common import annotate, free_name, materialise, table
 
 MAX_REPEATS = 3
 WEIGHTS = 3
-DP_WORDS = 1 << 16
+#: Bits of the reachable sums that one fit holds at once (128 MB).
+DP_BITS = 1 << 30
 SLICES = 1024
 SEED = 7
 
@@ -64,57 +68,79 @@ def targets(sources: DataFrame) -> DataFrame:
     return rows.select("source", "source_size", "weight", F.least(F.col("cap").cast("double"), level * F.col("weight")).alias("target"))
 
 
-def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, copies: int = 1, dp_words: int = DP_WORDS) -> np.ndarray:
-    """How many documents of each size to take, at most copies * counts, so that their words come as near to budget as found.
+def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, copies: int = 1, bits: int = DP_BITS) -> np.ndarray:
+    """How many documents of each size to take, at most copies * counts, so that their words come as near to budget as can be.
 
-    Up to counts of a size are different documents; only where they cannot
-    meet the budget are some taken again.
+    Each size first gets its proportional whole number, and the knapsack fits
+    the rest with the documents left. Where that is not exact, 1, 2, 4, ..
+    documents of each size are given back and fitted anew, until the budget
+    is met, or all choices are open, or the sums to be held pass ``bits``.
+    Up to counts of a size are different documents; further copies come last.
     """
     total = int((sizes * counts).sum())
-    chosen = np.zeros(len(sizes), dtype=np.int64)
     if total <= 0 or budget <= 0 or copies <= 0:
-        return chosen
+        return np.zeros(len(sizes), dtype=np.int64)
     if budget >= total * copies:
         return counts * copies
-    exact = [divmod(int(c) * budget, total) for c in counts]
-    chosen[:] = [whole for whole, _ in exact]
-    rest = budget - int((sizes * chosen).sum())
-    for k in sorted(range(len(sizes)), key=lambda k: (-exact[k][1], int(sizes[k]))):
-        if rest <= dp_words:
-            break
-        if sizes[k] and chosen[k] < counts[k] and sizes[k] <= rest:
-            chosen[k] += 1
+    shares = [divmod(int(c) * budget, total) for c in counts]
+    held = np.array([whole for whole, _ in shares], dtype=np.int64)
+    rest = budget - int((sizes * held).sum())
+    # the largest fractions one more, while the rest is longer than any document
+    longest = int(sizes[counts > 0].max())
+    for k in sorted(range(len(sizes)), key=lambda k: (-shares[k][1], int(sizes[k]))):
+        if sizes[k] and longest < rest and held[k] < counts[k]:
+            held[k] += 1
             rest -= int(sizes[k])
+    best, back = held, 0
+    while True:
+        kept = np.maximum(held - back, 0)
+        open_ = budget - int((sizes * kept).sum())
+        found = kept + knapsack(sizes, counts - kept, counts * (copies - 1), open_, bits)
+        if abs(int((sizes * found).sum()) - budget) < abs(int((sizes * best).sum()) - budget) or best is held:
+            best = found
+        # items of the next round, and the sums that each needs held
+        back = max(1, 2 * back)
+        wider = budget - int((sizes * np.maximum(held - back, 0)).sum())
+        rounds = 2 * int(np.log2(counts[sizes > 0] * copies + 1).sum()) + 2
+        if int((sizes * best).sum()) == budget or not kept.any() or 2 * wider * rounds > bits:
+            return best
+
+
+def knapsack(sizes: np.ndarray, counts: np.ndarray, more: np.ndarray, budget: int, bits: int = DP_BITS) -> np.ndarray:
+    """The bounded knapsack: of counts (then of more) of each size, so many that the words are nearest to budget, exactly.
+
+    Sums that can be reached are the bits of one whole number, one for each
+    item, and an item is some documents of a size: 1, 2, 4, .. of them. Sums
+    over twice the budget are never nearer than nothing. Only if all these
+    numbers would pass ``bits``, a step counts more than one word, as many as
+    needed; the result is then off by less than a step a document.
+    """
+    chosen = np.zeros(len(sizes), dtype=np.int64)
     falling = [k for k in sorted(range(len(sizes)), key=lambda k: -int(sizes[k])) if sizes[k]]
-    if rest > dp_words:  # the documents left are longer than that: at most one of them comes nearer
-        left = [k for k in falling if chosen[k] < counts[k] and abs(rest - int(sizes[k])) < rest]
-        if left:
-            chosen[min(left, key=lambda k: (abs(rest - int(sizes[k])), int(sizes[k])))] += 1
+    items = []
+    for k, left in [(k, int(n[k])) for n in (counts, more) for k in falling]:
+        left, bundle = min(left, 2 * budget // int(sizes[k])), 1
+        while left > 0:
+            items.append((k, min(bundle, left)))
+            left, bundle = left - min(bundle, left), bundle * 2
+    if budget <= 0 or not items:
         return chosen
-    # the sums up to twice the rest, and which item first reached each; an item is some documents of one size
-    reached, first, items = np.zeros(2 * rest + 1, dtype=bool), np.full(2 * rest + 1, -1, dtype=np.int64), []
-    reached[0] = True
-    spare = [(k, int(counts[k] - chosen[k])) for k in falling] + [(k, int(counts[k]) * (copies - 1)) for k in falling]
-    for k, left in spare:
-        size, bundle = int(sizes[k]), 1
-        left = min(left, 2 * rest // size)
-        while left > 0 and not reached[rest]:
-            n = min(bundle, left)
-            new = np.zeros_like(reached)
-            new[n * size :] = reached[: len(reached) - n * size]
-            new &= ~reached
-            first[new] = len(items)
-            reached |= new
-            items.append((k, n, n * size))
-            left, bundle = left - n, bundle * 2
-        if reached[rest]:
+    step = max(1, -(-2 * budget * len(items) // bits))
+    words = [max(1, round(int(sizes[k]) / step)) * n for k, n in items]
+    goal, most = budget // step, (1 << 2 * budget // step + 1) - 1
+    reached, before = 1, []
+    for w in words:
+        if reached >> goal & 1:
             break
-    sums = np.flatnonzero(reached)
-    at = int(sums[np.argmin(np.abs(sums - rest))])
-    while at:
-        k, n, words = items[first[at]]
-        chosen[k] += n
-        at -= words
+        before.append(reached)
+        reached |= reached << w & most
+    under, over = (reached & ((1 << goal + 1) - 1)).bit_length() - 1, reached >> goal
+    over = goal + (over & -over).bit_length() - 1 if over else None
+    at = over if over is not None and over - goal < goal - under else under
+    for j in range(len(before) - 1, -1, -1):
+        if not before[j] >> at & 1:
+            chosen[items[j][0]] += items[j][1]
+            at -= words[j]
     return chosen
 
 
@@ -140,7 +166,8 @@ def with_size(docs: DataFrame) -> tuple[DataFrame, str]:
 
 def mix(sized: DataFrame, size: str = "size", seed: int = SEED) -> DataFrame:
     """sized: doc_id, source, a size column and any others. Adds source_size, target, taken."""
-    key = F.xxhash64(F.lit(seed), F.col("doc_id"))
+    # rows without an id are told apart by the whole row, so that they do not share one slice
+    key = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(seed), F.struct(*sized.columns))).otherwise(F.xxhash64(F.lit(seed), F.col("doc_id")))
     # each row travels as one struct, so that no column of it can clash with those of the plan; the table is read twice
     rows = materialise(sized.select(F.struct("*").alias("row"), F.col("source").cast("string").alias("source"), F.col(size).alias("size"), F.pmod(key, F.lit(SLICES)).cast("int").alias("slice"), key.alias("key")))
     counts = materialise(rows.groupBy("source", "size", "slice").agg(F.count("*").alias("n")))

@@ -8,13 +8,15 @@ group, named by its smallest doc_id.
 Search works on distinct fingerprints, so exact copies cost one row. To
 divide the work, each fingerprint goes to the bucket of each of its
 ``MAX_DISTANCE + 1`` equal parts: two that link agree in at least one part.
-A bucket is searched by a hierarchical index (``Index``): its fingerprints
-are sorted by Gray rank, so that neighbours differ in few bits; every node
-over a run of them holds the bits that all its fingerprints share, as a mask
-and a pattern, without those that its parent holds already; a search from
-the root adds up the differences on each node's own bits and leaves a whole
-group as soon as they pass the distance. Buckets that would be one leaf are
-compared directly.
+Buckets of all sizes are searched by a hierarchical index (``Index``), one
+over all the buckets of a part that a task reads at a time: fingerprints are
+sorted by the Gray rank of the bucket's bits, then by their own, so that
+neighbours differ in few bits; every node over a run of them holds the bits
+that all its fingerprints share, as a mask and a pattern, without those that
+its parent holds already. So the upper nodes hold the buckets' bits, in
+which nothing may differ, and a search from the root leaves a whole group
+where these differ, or as soon as the differences that it has added up on
+each node's own bits pass the distance.
 
 A bucket of more than ``BLOCK`` fingerprints is divided again, by the parts
 of its other bits; what is still larger is cut into blocks by hash, and each
@@ -28,7 +30,8 @@ aggregation over links, written to the shared folder after each round.
 
 Defined results: texts without words (null, empty) have fingerprint zero and
 link like any other; a text of one or two words is one shingle; rows that
-repeat a doc_id are members on their own; a null doc_id never names a group
+repeat a doc_id are members on their own, and where one of them is to stay it
+is the one with the smallest hash of its whole row; a null doc_id never names a group
 unless all its members have none (then null); an empty table gives no rows.
 """
 
@@ -45,8 +48,10 @@ from pyspark.sql import functions as F
 from .common import annotate, free_name, materialise, table
 
 SHINGLE, SEED, MAX_DISTANCE = 3, 42, 3
-#: Most fingerprints of one search, of a leaf compared directly, and children of a node of the index.
-BLOCK, LEAF, FANOUT = 4096, 32, 8
+#: Most fingerprints of a bucket or of a block of one, children of a node of the index, fingerprints of an index over buckets.
+BLOCK, FANOUT, SEARCH_ROWS = 4096, 8, 1 << 16
+#: Numbers of buckets of the second division start here.
+AGAIN = 1 << 48
 #: Shingles whose bits are counted at once, and frontier pairs of a search step.
 CHUNK = 1 << 15
 
@@ -96,6 +101,8 @@ class Index:
 
     def __init__(self, values: np.ndarray, fanout: int = FANOUT):
         self.values, self.fanout = values, fanout
+        #: Of all searches: groups left by a query as a whole, and single values met.
+        self.groups_left = self.values_met = 0
         alike, pattern = [np.full(len(values), ~np.uint64(0))], [values]
         while len(pattern[-1]) > 1:
             starts = np.arange(0, len(pattern[-1]), fanout)
@@ -107,21 +114,28 @@ class Index:
         self.levels = [(m, p & m) for m, p in zip(masks, pattern)][::-1]
         self.top = int(alike[-1][0]), int(pattern[-1][0])
 
-    def search(self, queries: np.ndarray, distance: int, after: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(query, value) positions within the distance. after: a query sees only values at its own position there or later."""
+    def search(self, queries: np.ndarray, distance: int, after: np.ndarray | None = None, exact: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query, value) positions within the distance. after: a query sees only values at its own position there or later. exact: of each query, bits in which nothing may differ."""
         step = max(1, CHUNK // self.fanout)
         for low in range(0, len(queries), step):
-            yield from self._descend(0, np.arange(low, min(low + step, len(queries))), None, queries, distance, after)
+            yield from self._descend(0, np.arange(low, min(low + step, len(queries))), None, queries, distance, after, exact)
 
-    def _descend(self, level, q, state, queries, distance, after):
+    def _descend(self, level, q, state, queries, distance, after, exact):
         mask, pattern = self.levels[level]
         if state is None:
             node, so_far = np.zeros(len(q), dtype=np.int64), np.zeros(len(q), dtype=np.uint8)
         else:
             node, so_far = state
-        so_far = so_far + np.bitwise_count((queries[q] ^ pattern[node]) & mask[node])
+        differ = (queries[q] ^ pattern[node]) & mask[node]
+        so_far = so_far + np.bitwise_count(differ)
         keep = so_far <= distance
+        if exact is not None:
+            keep &= (differ & exact[q]) == 0
         height = len(self.levels) - 1 - level  # a node covers fanout ** height values
+        if height:
+            self.groups_left += int((~keep).sum())
+        else:
+            self.values_met += len(keep)
         if after is not None:
             keep &= (node + 1) * self.fanout**height > after[q]
         q, node, so_far = q[keep], node[keep], so_far[keep]
@@ -135,7 +149,7 @@ class Index:
             child = (node[k : k + step, None] * self.fanout + np.arange(self.fanout)).ravel()
             inside = child < below
             again = np.repeat(q[k : k + step], self.fanout)[inside]
-            yield from self._descend(level + 1, again, (child[inside], np.repeat(so_far[k : k + step], self.fanout)[inside]), queries, distance, after)
+            yield from self._descend(level + 1, again, (child[inside], np.repeat(so_far[k : k + step], self.fanout)[inside]), queries, distance, after, exact)
 
 
 class Forest:
@@ -185,16 +199,41 @@ def links(values: np.ndarray, others: np.ndarray | None = None, distance: int =
     return every[a], every[b]
 
 
-def leaf_links(offsets: np.ndarray, values: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within each of many short lists, given by their offsets into values."""
-    of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    forest = Forest(len(values))
-    for step in range(1, int(np.diff(offsets).max(initial=0))):
-        near = (of[step:] == of[:-step]) & (np.bitwise_count(values[step:] ^ values[:-step]) <= distance)
-        at = np.flatnonzero(near)
-        forest.add(at, at + step)
-    a, b = forest.links()
-    return values[a], values[b]
+def bucket_bits(buckets: np.ndarray, distance: int) -> np.ndarray:
+    """The bits that the fingerprints of each bucket share by its number (as bucket_links numbers them)."""
+    parts = distance + 1
+    width = 64 // parts
+    finer = (64 - width) // parts
+    own = [((1 << width) - 1) << k * width for k in range(parts)]
+    # bits of a second division are those of the others, moved together
+    spread = [[sum(1 << (x if x < k * width else x + width) for x in range(j * finer, (j + 1) * finer)) for j in range(parts)] for k in range(parts)]
+    one = np.array(own, dtype=np.uint64)
+    two = np.array([[own[k] | spread[k][j] for j in range(parts)] for k in range(parts)], dtype=np.uint64)
+    again = buckets >= AGAIN
+    top = np.where(again, (buckets - AGAIN) >> finer, 0)
+    return np.where(again, two[(top // parts) >> width, top % parts], one[np.where(again, 0, buckets >> width)])
+
+
+def links_in_buckets(buckets: np.ndarray, values: np.ndarray, distance: int = MAX_DISTANCE, seen: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links within each of many buckets, by one index for each part. seen: gets the indexes."""
+    shared, found = bucket_bits(buckets, distance), []
+    for bits in np.unique(shared):
+        own = np.flatnonzero(shared == bits)
+        own = own[np.lexsort((gray_rank(values[own]), gray_rank(buckets[own].astype(np.uint64))))]
+        v, of, index = values[own], buckets[own], Index(values[own])
+        forest = Forest(len(v))
+        for q, node in index.search(v, distance, np.arange(1, len(v) + 1), np.full(len(v), bits)):
+            later = (node > q) & (of[node] == of[q])
+            forest.add(q[later], node[later])
+        a, b = forest.links()
+        found.append((v[a], v[b]))
+        if seen is not None:
+            seen.append(index)
+    return np.concatenate([x for x, _ in found] or [values[:0]]), np.concatenate([x for _, x in found] or [values[:0]])
+
+
+def _links_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
 
 def part_of(bits: Column, width: int, k: int) -> Column:
@@ -213,7 +252,7 @@ def sized_buckets(rows: DataFrame) -> DataFrame:
     return rows.join(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket")
 
 
-def bucket_links(prints: DataFrame, distance: int = MAX_DISTANCE, block: int = BLOCK, leaf: int = LEAF) -> DataFrame:
+def bucket_links(prints: DataFrame, distance: int = MAX_DISTANCE, block: int = BLOCK, search_rows: int = SEARCH_ROWS) -> DataFrame:
     """prints: distinct fingerprints f. Returns links (a, b) whose groups are those of all links."""
     parts = distance + 1
     width = 64 // parts
@@ -225,19 +264,19 @@ def bucket_links(prints: DataFrame, distance: int = MAX_DISTANCE, block: int = B
     others = F.lit(None).cast("long")
     for k in range(parts):
         others = F.when(F.col("part") == k, without_part(f, width, k)).otherwise(others)
-    again = F.array(*(F.shiftleft(F.col("bucket") * parts + k, finer) + part_of(F.col("others"), finer, k) + (1 << 48) for k in range(parts)))
+    again = F.array(*(F.shiftleft(F.col("bucket") * parts + k, finer) + part_of(F.col("others"), finer, k) + AGAIN for k in range(parts)))
     second = materialise(sized_buckets(first.where(F.col("n") > block).select("f", "bucket", others.alias("others")).select("f", F.explode(again).alias("bucket"))).select("bucket", "f", "n"))
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets, values = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
         for batch in batches:
-            lists = batch.column("fs")
-            offsets, values = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            sizes = np.diff(offsets)
-            short = np.flatnonzero(sizes <= leaf)
-            own = np.concatenate([values[offsets[k] : offsets[k + 1]] for k in short]) if len(short) else values[:0]
-            found = [leaf_links(np.concatenate([[0], np.cumsum(sizes[short])]), own, distance)]
-            found += [links(values[offsets[k] : offsets[k + 1]], None, distance) for k in np.flatnonzero(sizes > leaf)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[side] for x in found]).view(np.int64)) for side in (0, 1)], names=["a", "b"])
+            buckets = np.concatenate([buckets, batch.column("bucket").to_numpy()])
+            values = np.concatenate([values, batch.column("f").to_numpy().view(np.uint64)])
+            if len(buckets) >= search_rows:
+                whole = np.searchsorted(buckets, buckets[-1])  # the last bucket may go on
+                yield _links_batch(*links_in_buckets(buckets[:whole], values[:whole], distance))
+                buckets, values = buckets[whole:], values[whole:]
+        yield _links_batch(*links_in_buckets(buckets, values, distance))
 
     def paired(pdf: pd.DataFrame) -> pd.DataFrame:
         values, side = pdf["f"].to_numpy(np.int64).view(np.uint64), pdf["side"].to_numpy()
@@ -250,7 +289,7 @@ def bucket_links(prints: DataFrame, distance: int = MAX_DISTANCE, block: int = B
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     whole = first.where(F.col("n") <= block).select("bucket", "f").unionByName(second.where(F.col("n") <= block).select("bucket", "f"))
-    few = whole.groupBy("bucket").agg(F.collect_list("f").alias("fs")).select("fs").mapInArrow(searched, "a long, b long")
+    few = whole.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(searched, "a long, b long")
     blocks = F.ceil(F.col("n") / block).cast("int")
     cut = second.where(F.col("n") > block).select("bucket", "f", blocks.alias("blocks"), F.pmod(F.xxhash64("f"), blocks).cast("int").alias("own"))
     pairs = cut.select("bucket", "f", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
@@ -293,7 +332,7 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, distance: int = MAX_DIS
     kept = named_groups(prints, distance).where("f = keeper").select(F.col("f").alias("k_f"), key(F.col("component_id")).alias("k_id"))
     # by fingerprint and doc_id, under which copies are not hot
     rows = marked.select(F.struct(*docs.columns).alias("row"), F.col(f).alias("k_f"), key(F.col("doc_id").cast("long")).alias("k_id"))
-    stay = rows.join(kept, ["k_f", "k_id"], "left_semi").withColumn("n", F.row_number().over(Window.partitionBy("k_f", "k_id").orderBy(F.lit(0))))
+    stay = rows.join(kept, ["k_f", "k_id"], "left_semi").withColumn("n", F.row_number().over(Window.partitionBy("k_f", "k_id").orderBy(F.xxhash64("row"))))
     return stay.where("n = 1").select("row.*")
 
 

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from cohortwise.llm import mixing, simhash
+from cohortwise.llm.common import table
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -69,10 +70,35 @@ def test_budgets_are_met_as_brute_force_meets_them():
         copies = rng.randrange(1, 4)
         chosen = mixing.fit_budget(sizes, counts, budget, copies)
         assert (chosen >= 0).all() and (chosen <= counts * copies).all()
-        start = [c * budget // int((sizes * counts).sum()) for c in counts]  # the proportional part is fixed
-        best = min(abs(int((np.array(x) * sizes).sum()) - budget) for x in itertools.product(*(range(s, c * copies + 1) for s, c in zip(start, counts))))
+        best = min(abs(int((np.array(x) * sizes).sum()) - budget) for x in itertools.product(*(range(c * copies + 1) for c in counts)))
         assert abs(int((chosen * sizes).sum()) - budget) == best
-        assert (mixing.fit_budget(sizes, counts, budget, copies, dp_words=3) <= counts * copies).all()
+        # with little memory: never above what there is, and off by the steps' rounding at most
+        rough = mixing.fit_budget(sizes, counts, budget, copies, bits=200)
+        assert (rough >= 0).all() and (rough <= counts * copies).all()
+
+
+def test_long_documents_are_given_back():
+    sizes, ones = np.array([70_000, 90_000, 110_000]), np.array([1, 1, 1])
+    for budget, want in ((200_000, 200_000), (180_000, 180_000), (160_000, 160_000), (100_000, 90_000), (105_000, 110_000), (269_999, 270_000)):
+        assert int((mixing.fit_budget(sizes, ones, budget) * sizes).sum()) == want
+    rng = random.Random(7)
+    for _ in range(25):  # beyond any fixed number of words
+        sizes = np.array(sorted(rng.sample(range(70_000, 3_000_000), 5)))
+        counts = np.array([rng.randrange(1, 3) for _ in sizes])
+        budget = rng.randrange(1, int((sizes * counts).sum()))
+        best = min(abs(int((np.array(x) * sizes).sum()) - budget) for x in itertools.product(*(range(c + 1) for c in counts)))
+        assert abs(int((mixing.fit_budget(sizes, counts, budget) * sizes).sum()) - budget) == best
+
+
+def test_large_sources_are_met_exactly_in_bounded_memory():
+    rng = np.random.default_rng(3)
+    sizes = np.unique(rng.integers(1, 60_000, 3000))
+    counts = rng.integers(1, 5000, len(sizes))
+    budget = int((sizes * counts).sum()) // 3 + 1
+    chosen = mixing.fit_budget(sizes, counts, budget)
+    assert int((chosen * sizes).sum()) == budget
+    # sizes stay in proportion
+    assert np.corrcoef(chosen, counts)[0, 1] > 0.99
 
 
 def brute_groups(values):
@@ -136,11 +162,60 @@ def test_gray_neighbours_differ_in_one_bit():
 def test_buckets_divided_and_cut_give_the_same_groups(spark):
     v = clustered(900, 4)
     prints = spark.createDataFrame([(int(x),) for x in v.view(np.int64)], "f long")
-    for limits in ({}, {"block": 8, "leaf": 4}):
+    for limits in ({}, {"block": 8}, {"search_rows": 50}):
         e = simhash.bucket_links(prints, **limits).toPandas()
         assert closure(v, *(e[c].to_numpy(np.int64).view(np.uint64) for c in ("a", "b"))) == brute_groups(v)
 
 
+def test_buckets_share_their_bits():
+    parts, width, finer = 4, 16, 12
+    f = 0x0123_4567_89AB_CDEF
+    for k in range(parts):
+        part = f >> k * width & 0xFFFF
+        first = part + (k << width)
+        assert int(simhash.bucket_bits(np.array([first]), 3)[0]) == 0xFFFF << k * width
+        others = (f & ((1 << k * width) - 1)) | (f >> (k + 1) * width << k * width)
+        for j in range(parts):
+            second = ((first * parts + j) << finer) + (others >> j * finer & 0xFFF) + simhash.AGAIN
+            bits = int(simhash.bucket_bits(np.array([second]), 3)[0])
+            assert bits.bit_count() == 28 and bits & (0xFFFF << k * width) == 0xFFFF << k * width
+            squeezed = lambda x: (x & ((1 << k * width) - 1)) | (x >> (k + 1) * width << k * width)
+            assert squeezed(bits) == 0xFFF << j * finer
+
+
+def test_links_of_a_corpus_come_from_the_index(spark, monkeypatch):
+    """Every bucket of sf0.1 goes through the index, which leaves nearly all other fingerprints in whole groups."""
+    docs, f = simhash.with_fingerprint(table(spark, "/root/testdata/sf0.1", "documents"))
+    v = np.array([r[0] for r in docs.select(f).distinct().collect()], dtype=np.int64).view(np.uint64)
+    rows = [(int(x) >> 16 * k & 0xFFFF) + (k << 16) for k in range(4) for x in v]
+    buckets, values = np.array(rows, dtype=np.int64), np.tile(v, 4)
+    _, back, n = np.unique(buckets, return_inverse=True, return_counts=True)
+    buckets, values = buckets[n[back] > 1], values[n[back] > 1]
+    seen: list = []
+    a, b = simhash.links_in_buckets(buckets, values, seen=seen)
+    assert len(seen) == 4 and sum(len(i.values) for i in seen) == len(values)
+    left, met = sum(i.groups_left for i in seen), sum(i.values_met for i in seen)
+    assert left > len(values) and met < 40 * len(values)
+    # the same groups as the query's, and as comparing each pair of a bucket
+    e = simhash.bucket_links(spark.createDataFrame([(int(x),) for x in v.view(np.int64)], "f long")).toPandas()
+    query = closure(v, *(e[c].to_numpy(np.int64).view(np.uint64) for c in ("a", "b")))
+    assert closure(v, a, b) == query
+    of: dict = {}
+    for k, x in zip(buckets.tolist(), values.tolist()):
+        of.setdefault(k, []).append(x)
+    pairs = [(x, y) for xs in of.values() for x, y in itertools.combinations(xs, 2) if (x ^ y).bit_count() <= 3]
+    assert pairs and query == closure(v, *(np.array(c, dtype=object) for c in zip(*pairs)))
+    # and none without the index
+    monkeypatch.setattr(simhash.Index, "search", lambda *a, **k: iter(()))
+    assert len(simhash.links_in_buckets(buckets, values)[0]) == 0
+
+
+def test_of_equal_ids_and_texts_a_fixed_row_stays(spark):
+    rows = [(1, "same words in here", k) for k in range(6)] + [(2, "same words in here", 9)]
+    kept = {tuple(simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, extra int").repartition(n)).first()) for n in (1, 3, 5)}
+    assert len(kept) == 1
+
+
 def test_groups_of_a_long_chain(spark):
     chain = spark.createDataFrame([(k, k + 1) for k in range(-20, 60)] + [(100, 100), (7, 7)], "a long, b long")
     assert {r.root for r in simhash.groups(chain).collect()} == {-20}
