@@ -57,15 +57,15 @@ _OTHER = 0xFFFE
 
 
 def letters() -> np.ndarray:
-    """For each code point below 0x20000, whether it is a letter."""
-    return np.fromiter((chr(c).isalpha() for c in range(0x20000)), dtype=bool, count=0x20000)
+    """For each code point, whether it is a letter."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000)
 
 
 def normalise(texts: list[str], is_letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Symbols (uint64) of all texts, each after ORDER - 1 blanks, and the place of each text's first symbol (with an end place)."""
     low = [f" {t.lower()} " for t in texts]
     codes = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    letter = is_letter[np.minimum(codes, 0x1FFFF)]
+    letter = is_letter[codes]
     keep = letter.copy()
     keep[1:] |= letter[:-1]  # a blank after each word, which follows a letter
     ends = np.cumsum([len(t) for t in low])

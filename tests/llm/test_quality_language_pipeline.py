@@ -291,3 +291,12 @@ def test_short_texts_of_an_unlearned_language_are_rejected(spark):
     rejected = lambda words: np.mean(judge.predict([text(words, 8) for _ in range(300)], is_letter)[3])
     assert rejected(other) > 0.9 and rejected(one) < 0.02 and rejected(two) < 0.02
     assert judge.predict(["語" * 9 + "vwxyzvvw語" * 9], is_letter)[3][0]
+
+
+def test_letters_beyond_the_lower_planes_are_letters():
+    """Two letters of CJK extension B, and a sign of the same plane that is none."""
+    is_letter = language_id.letters()
+    symbols, starts = language_id.normalise(["\U00020000\U00020001", "\U000E0001", "a"], is_letter)
+    assert (symbols == language_id._OTHER).sum() == 2
+    keys, at = language_id.grams(symbols, starts)
+    assert [int(n > 0) for n in np.diff(at)] == [1, 0, 1]
