@@ -4,8 +4,8 @@ Three base kinds of spans are found in every text (assignments, access keys,
 long hexadecimal runs); a fourth, ``value``, holds other long tokens outside
 them. Every candidate's value is hashed, and the hashes are aggregated over
 the corpus by distinct repositories and owners. A value that
-``COPIED_OWNERS`` owners or more hold is a widely copied example; a value of
-fewer owners that looks live (letters of both cases and digits, or long hex;
+``COPIED_OWNERS`` owners or ``COPIED_REPOSITORIES`` repositories or more hold
+is a widely copied example; a value of fewer that looks live (letters of both cases and digits, or long hex;
 varied characters; no placeholder) is an owner's credential. Base spans
 always stay; a ``value`` span is kept only as an owner's live-looking
 credential, so example tokens that everybody copies are left out.
@@ -18,7 +18,7 @@ offsets, so a kind's matches and the pieces between them are taken with one
 pattern, and their lengths added up.
 
 Defined results: a null text is empty; null owners count as one owner, null
-doc_ids as one repository; repeated rows are each scanned and count once for
+doc_ids as one repository of their owner; repeated rows are each scanned and count once for
 their repository; further columns stay out of the result.
 """
 
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import materialise, table
 
 KEYWORDS = ("password", "passwd", "secret", "token", "api_?key")
-COPIED_OWNERS = 3
+COPIED_OWNERS, COPIED_REPOSITORIES = 3, 10
 #: Parts of tokens that are placeholders.
 PLACEHOLDERS = ("example", "sample", "placeholder", "changeme", "yourkey", "dummy", "xxxx", "test", "00000", "12345", "abcdef")
 
@@ -101,10 +101,10 @@ def ownership(found: DataFrame) -> DataFrame:
     return held.groupBy("hash").agg(F.sum("n").alias("repositories"), F.count("*").alias("owners"))
 
 
-def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source", copied_owners: int = COPIED_OWNERS) -> DataFrame:
+def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source", copied_owners: int = COPIED_OWNERS, copied_repositories: int = COPIED_REPOSITORIES) -> DataFrame:
     """repository, and spans: array<struct<start, rank, end, hash, live, copied>> by start and kind, for every row."""
     found = materialise(candidates(docs, repository, owner))
-    copied = ownership(found).where(F.col("owners") >= copied_owners).select("hash")
+    copied = ownership(found).where((F.col("owners") >= copied_owners) | (F.col("repositories") >= copied_repositories)).select("hash")
     held = found.where(F.size("found") > 0).select("repository", F.explode(F.array_distinct(F.transform("found", lambda s: s["hash"]))).alias("hash")).distinct()
     here = held.join(copied, "hash").groupBy(F.col("repository").alias("r")).agg(F.collect_list("hash").alias("copied"))
     marked = F.transform("found", lambda s: s.withField("copied", F.coalesce(F.array_contains("copied", s["hash"]), F.lit(False))))
@@ -151,9 +151,9 @@ k as (
 ), c as (
   select rid, doc_id, source, unnest(list_concat(base, list_filter(extra, lambda x: len(list_filter(base, lambda b: b.s < x.e and x.s < b.e)) = 0))) as x from k
 ), f as (
-  select rid, doc_id, source, x.s as s, x.r as r, x.e as e, x.v as v, {live.replace("(v", "(x.v")} as live from c
+  select rid, doc_id, source, coalesce(doc_id::varchar, '') || '/' || coalesce(source, chr(0)) as place, x.s as s, x.r as r, x.e as e, x.v as v, {live.replace("(v", "(x.v")} as live from c
 ), g as (select * from f where r < 3 or live),
-o as (select v from g group by v having count(distinct coalesce(source, chr(0))) >= {COPIED_OWNERS}),
+o as (select v from g group by v having count(distinct coalesce(source, chr(0))) >= {COPIED_OWNERS} or count(distinct place) >= {COPIED_REPOSITORIES}),
 m as (select g.*, o.v is not null as copied, case r when 0 then 'assign' when 1 then 'access' when 2 then 'hex' else 'value' end || ':' || s || ':' || e as label from g left join o using (v)),
 a as (
   select rid, count(*) filter (r = 0) as n_assign, count(*) filter (r = 1) as n_access, count(*) filter (r = 2) as n_hex,

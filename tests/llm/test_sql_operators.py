@@ -33,6 +33,8 @@ TEXTS = [
 def documents():
     rows = [(k, t, f"s{k % 4}" if k % 5 else None) for k, t in enumerate(TEXTS)]
     rows += [(100 + k, f"{LINE}\nbody {k}\nQq1Ww2Ee3Rr4Tt5Yy6Uu7", f"s{k}") for k in range(6)]
+    rows += [(300 + k, "an example of one owner: Rr9Tt8Yy7Uu6Ii5Oo4Pp3Ww2 in many places", "s1") for k in range(12)]
+    rows += [(400 + k, "a value of one owner: Vv9Bb8Nn7Mm6Kk5Jj4Hh3Gg2 in some places", "s1") for k in range(9)] + [(400, "Vv9Bb8Nn7Mm6Kk5Jj4Hh3Gg2", "s1")]
     rows += [(101, f"{LINE}\nother row", "s1"), (None, f"{LINE}\nnull id", None), (None, "x", None), rows[3], rows[3]]
     return rows
 
@@ -108,3 +110,10 @@ def test_segments_and_machine(spark):
     for r in got.values():
         for s in r.segments[1::3]:
             assert not any(c in s.text for c in t.all_controls())
+
+
+def test_many_repositories_of_one_owner_make_an_example(spark):
+    rows = spark.createDataFrame(documents(), "doc_id long, text string, source string")
+    spans = {r["repository"]: [s["copied"] for s in r["spans"] if s["rank"] == 3] for r in secret_scan.scan(rows).where("repository between 300 and 499").collect()}
+    assert all(not spans[300 + k] for k in range(12))
+    assert all(spans[400 + k] == [False] for k in range(9))
