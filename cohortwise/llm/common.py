@@ -1,15 +1,14 @@
 """Shared helpers: tables, written intermediates, text constants.
 
 ``materialise`` cuts lineage with a Parquet table under the folder that the
-session names in ``spark.checkpoint.dir``. A lost executor loses nothing of
+session names in ``spark.checkpoint.dir`` (a cluster's session that names
+none is refused). A lost executor loses nothing of
 such a table; its readers are planned from its real size.
 """
 
 from __future__ import annotations
 
 import pickle
-import tempfile
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -19,6 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.scratch import scratch_folder as shared_folder
+
 #: The six ASCII white-space characters of every contract, as a regex class body.
 SPACE = r"\x20\x09-\x0D"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -29,15 +30,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder name under spark.checkpoint.dir; only where that is unset, under a local one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="cohortwise-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/cohortwise-{uuid.uuid4().hex}"
-
-
 def materialise(df: DataFrame, *partition_by: str) -> DataFrame:
     """Writes the rows as a Parquet table in the shared folder and returns a reader of it."""
     path = shared_folder(df.sparkSession)

@@ -226,9 +226,8 @@ def tree(gram_counts: DataFrame, depth: int = DEPTH, penalty: float = PENALTY) -
         if k < depth:
             own = own.unionByName(kept[k + 1].select(F.col("context").bitwiseAND(low_bytes(k)).alias("context"))).distinct()
         kept[k] = materialise(own)
-    root = levels[0].agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
-    every = gram_counts.sparkSession.range(256).select(F.col("id").alias("key")).join(levels[0], "key", "left").join(F.broadcast(root))  # 256 bytes, one total
-    p = materialise(every.select("key", ((F.coalesce("n", F.lit(0)) + 1) / (F.col("total") + 256)).alias("p")))
+    every = gram_counts.sparkSession.range(256).select(F.col("id").alias("key")).join(levels[0], "key", "left")
+    p = materialise(every.select("key", ((F.coalesce("n", F.lit(0)) + 1) / F.lit(positions + 255)).alias("p")))  # positions is one more than there are
     out = p.select(F.lit(0).alias("level"), "key", F.log10("p").alias("value"), F.lit(False).alias("is_context"))
     for k in range(1, depth + 1):
         states = contexts[k].join(kept[k], "context", "left_semi")
