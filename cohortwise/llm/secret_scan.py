@@ -15,7 +15,8 @@ owner.
 
 Spans are code points, end exclusive. Java's regular expressions give no
 offsets, so a kind's matches and the pieces between them are taken with one
-pattern, and their lengths added up.
+pattern, and their lengths added up block by block, so that a text's cost
+grows with its matches, not with their square.
 
 Defined results: a null text is empty; null owners count as one owner, null
 doc_ids as one repository of their owner; repeated rows are each scanned and count once for
@@ -31,6 +32,8 @@ from .common import materialise, table
 
 KEYWORDS = ("password", "passwd", "secret", "token", "api_?key")
 COPIED_OWNERS, COPIED_REPOSITORIES = 3, 10
+#: Elements of an array whose running total is taken one by one; longer arrays add up whole blocks first.
+BLOCK = 128
 #: Parts of tokens that are placeholders.
 PLACEHOLDERS = ("example", "sample", "placeholder", "changeme", "yourkey", "dummy", "xxxx", "test", "00000", "12345", "abcdef")
 
@@ -53,13 +56,27 @@ FAST = {
 }
 
 
-def matches(found: Column, sizes: Column, rank: int) -> Column:
-    """array<struct<start, rank, end, value>> from a pattern's matches and the lengths of the pieces between them."""
-    lengths = F.transform(found, F.length)
-    total = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda s, x: s + x)
+def running(rows: DataFrame, column: str, out: str, add) -> DataFrame:
+    """A further column: for each element of the array, ``add`` over 0 and the elements before it (null for none).
+
+    Whole blocks are added up first. Each step is a column of its own, read
+    twice by the next, so that no step is computed again for every element.
+    """
+    a, t, u = F.col(column), F.col(f"{out}_t"), F.col(f"{out}_u")
+    block = lambda k: F.slice(a, k * BLOCK + 1, F.lit(BLOCK))
+    total = lambda x, start: F.aggregate(x, start, add)
+    blocks = F.sequence(F.lit(0), F.floor((F.size(a) - 1) / BLOCK).cast("int"))
+    rows = rows.withColumn(f"{out}_t", F.when(F.size(a) > 0, F.transform(blocks, lambda k: total(block(k), F.lit(0)))))
+    rows = rows.withColumn(f"{out}_u", F.when(F.size(t) > 0, F.transform(t, lambda _, k: total(F.slice(t, F.lit(1), k), F.lit(0)))))
+    inside = lambda u, k: F.transform(block(k), lambda _, i: total(F.slice(a, k * BLOCK + 1, i), u))
+    return rows.withColumn(out, F.when(F.size(u) > 0, F.flatten(F.transform(u, inside)))).drop(f"{out}_t", f"{out}_u")
+
+
+def matches(found: Column, at: Column, rank: int) -> Column:
+    """array<struct<start, rank, end, value>> from a pattern's matches and their starts."""
 
     def span(m: Column, i: Column) -> Column:
-        start = total(sizes, i + 1) + total(lengths, i)
+        start = F.get(at, i)
         value = F.regexp_extract(m, ASSIGN, 2) if rank == 0 else m
         return F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + F.length(m)).alias("end"), value.alias("value"))
 
@@ -82,12 +99,25 @@ def candidates(docs: DataFrame, repository: str, owner: str) -> DataFrame:
     # one step each, so that no expression over the text stands in a lambda or twice
     rows = rows.select("*", *(F.regexp_extract_all("text", F.lit(FAST[p]), F.lit(0)).alias(m) for m, p in kinds.items()))
     rows = rows.select("repository", "owner", *kinds, *(F.when(F.size(m) > 0, F.transform(F.split("text", FAST[p], -1), F.length)).alias(f"p{m}") for m, p in kinds.items()))
-    rows = rows.select("repository", "owner", *(matches(F.col(f"m{r}"), F.col(f"pm{r}"), r).alias(f"k{r}") for r in range(4)))
-    base = F.flatten(F.array_compact(F.array(F.filter("k0", lambda s: F.length(s["value"]) >= 6), F.col("k1"), F.col("k2"))))
-    rows = rows.select("repository", "owner", base.alias("base"), "k3")
-    # a long token inside a base span, or around one, is not a candidate of its own
-    apart = F.filter("k3", lambda v: ~F.exists("base", lambda b: (b["start"] < v["end"]) & (v["start"] < b["end"])) & looks_live(v["value"]))
-    every = F.array_sort(F.flatten(F.array_compact(F.array("base", apart))))
+    step = lambda p: lambda x, i: F.get(F.col(p), i) + F.length(x)
+    after = lambda p: lambda b, i: b + F.get(F.col(p), i)
+    # a match starts where its own piece and all matches and pieces before that end
+    for m in kinds:
+        rows = rows.withColumn(f"s{m}", F.when(F.size(m) > 0, F.transform(m, step(f"p{m}"))))
+        rows = running(rows, f"s{m}", f"b{m}", lambda s, x: s + x)
+        rows = rows.withColumn(f"a{m}", F.when(F.size(f"b{m}") > 0, F.transform(f"b{m}", after(f"p{m}"))))
+    rows = rows.select("repository", "owner", *(matches(F.col(f"m{r}"), F.col(f"am{r}"), r).alias(f"k{r}") for r in range(4)))
+    spans = F.flatten(F.array_compact(F.array(F.filter("k0", lambda s: F.length(s["value"]) >= 6), F.col("k1"), F.col("k2"), F.col("k3"))))
+    rows = rows.select("repository", "owner", F.array_sort(spans).alias("every"))
+    # how far the base spans before each span reach
+    rows = rows.withColumn("ends", F.transform("every", lambda s: F.when(s["rank"] < 3, s["end"]).otherwise(0)))
+    rows = running(rows, "ends", "reach", lambda s, x: F.greatest(s, x))
+    # a long token inside a base span, or around one, is not a candidate of its own; values do not overlap each
+    # other, so of the spans that start later only the next one can be a base span inside this value
+    following = lambda i: F.get("every", i + 1)
+    met = lambda v, i: (F.get("reach", i) > v["start"]) | F.coalesce((following(i)["rank"] < 3) & (following(i)["start"] < v["end"]), F.lit(False))
+    apart = F.filter("every", lambda v, i: (v["rank"] < 3) | (~met(v, i) & looks_live(v["value"])))
+    every = F.when(F.size("reach") > 0, apart).otherwise(F.col("every"))
     return rows.select(
         "repository", "owner",
         F.transform(every, lambda s: F.struct(s["start"], s["rank"], s["end"], F.sha2(s["value"], 256).alias("hash"), F.coalesce(looks_live(s["value"]), F.lit(False)).alias("live"))).alias("found"),

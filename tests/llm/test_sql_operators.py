@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import duckdb
 import pyarrow.parquet as pq
 import pytest
@@ -27,6 +29,7 @@ TEXTS = [
     "example tokens Qq1Ww2Ee3Rr4Tt5Yy6Uu7 are copied",
     "word " * 60_000 + "secret:" + "f" * 30,
     "a" * 120_000,
+    " ü ".join(f"token={k}abcdef {'%032x' % (k * 0x9E3779B97F4A7C15F39CC0605CEDC835)} Zx9Yw8Vu7Ts6Rq5Po4{k}" + (f"+{KEY}" if k % 3 else "") for k in range(200)),
 ]
 
 
@@ -117,3 +120,11 @@ def test_many_repositories_of_one_owner_make_an_example(spark):
     spans = {r["repository"]: [s["copied"] for s in r["spans"] if s["rank"] == 3] for r in secret_scan.scan(rows).where("repository between 300 and 499").collect()}
     assert all(not spans[300 + k] for k in range(12))
     assert all(spans[400 + k] == [False] for k in range(9))
+
+
+def test_offsets_of_many_matches(spark):
+    """20,000 matches in one text: their starts as Python finds them (adding up all earlier lengths for each takes minutes)."""
+    text = " ü ".join(f"{'%064x' % (k * 0x9E3779B97F4A7C15F39CC0605CEDC835)}" for k in range(20_000))
+    rows = secret_scan.candidates(spark.createDataFrame([(1, "s", text)], "doc_id long, source string, text string"), "doc_id", "source")
+    got = rows.selectExpr("transform(found, s -> struct(s.start, s.end)) spans").first().spans
+    assert [(s.start, s.end) for s in got] == [m.span() for m in re.finditer("[0-9a-f]{24,}", text)]
