@@ -3,6 +3,9 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
+import itertools
+import random
+import time
 import zlib
 
 import pytest
@@ -28,6 +31,52 @@ def test_exceptions_mask_terms_and_length_normalises():
     assert toxicity.evidence(m, toxicity.fold("nachlich")) == 0  # stems match at the start of a word only
 
 
+def readings(word):
+    return {"".join(c) for c in itertools.product(*("il" if x == "ı" else x for x in word))}
+
+
+def test_both_readings_of_one_and_masks_against_brute_force():
+    rng = random.Random(5)
+    weights = {" kill": 3.0, " loser ": 2.0, " ioser ": 1.0, " lil ": 4.0, " fail ": 1.5, " clown ": 2.5}
+    exceptions = ["class clown", "loser lil kill", "lil fail"]
+    found = toxicity.matcher(weights, exceptions)
+    words = ["ki11", "kill", "k11ling", "1oser", "loser", "l1l", "1i1", "fai1", "fall", "clown", "c1own", "class", "c1ass", "x", "11", "1ll"]
+    assert toxicity.evidence(found, toxicity.marked("ki11")) > 0 and toxicity.evidence(found, toxicity.marked("a 1oser")) > 0
+    assert toxicity.evidence(found, toxicity.marked("fal1")) == 0  # fall or fali
+    for _ in range(300):
+        text = toxicity.marked(" ".join(rng.choice(words) for _ in range(rng.randrange(7))))
+        hits, masks = set(), set()
+        for read in readings(text):
+            for key, w in [*weights.items(), *((f" {e} ", None) for e in exceptions)]:
+                for at in range(len(read)):
+                    if read.startswith(key, at):
+                        (masks if w is None else hits).add((at, at + len(key) - 1, w))
+        kept = {h for h in hits if not any(a <= h[0] and h[1] <= b for a, b, _ in masks)}
+        assert set(found.outside(text)) == kept
+
+
+def test_many_masks_take_linear_time():
+    found = toxicity.matcher({" clown ": 2.5}, ["class clown"])
+
+    def seconds(n):
+        text = toxicity.marked("class clown here clown " * n)
+        start = time.process_time()
+        assert len(found.outside(text)) == n
+        return time.process_time() - start
+
+    seconds(1000)
+    assert seconds(80_000) < 40 * max(seconds(8_000), 0.005)  # 10 in proportion, 100 by squares
+
+
+def test_exception_phrases_are_learned(spark):
+    rows = [(i, "what a gloopy day" if i % 4 else "you gloopy thing", int(i % 4 == 0)) for i in range(40)]
+    rows += [(100 + i, f"such a gloopy person {i}", 1) for i in range(200)] + [(400 + i, f"plain text {i}", 0) for i in range(300)]
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    assert "gloopy day" in model.exceptions and "a gloopy" not in model.exceptions
+    found = toxicity.matcher(model.weights, model.exceptions)
+    assert toxicity.evidence(found, toxicity.marked("one gloopy day")) == 0 < toxicity.evidence(found, toxicity.marked("gloopy person"))
+
+
 def labelled(spark, n=400):
     rows = []
     for i in range(n):
