@@ -13,13 +13,16 @@ what they keep.
 A document leaks an item if the alignment reaches ``MIN_RATIO`` of the
 item's own score with ``MIN_MATCHES`` equal words (all, for shorter items),
 or holds ``LONG_MATCHES`` equal words at ``LONG_IDENTITY`` of its columns.
+Items under ``MIN_ITEM_WORDS`` words are too short to align: they are found
+where all their words stand in a row, word by word along a trie.
 
 The benchmark is a stated query set: it goes to the tasks in blocks of at
 most ``BLOCK_CHARS`` characters, each held against all documents. No rows of
 documents are shuffled.
 
-Defined results: null and empty texts have no hits; items under
-``MIN_ITEM_WORDS`` words are not searched; repeated rows get the same hits;
+Defined results: null and empty texts have no hits; items
+without a word are not searched; edited copies of items up to eight words are
+not found; repeated rows get the same hits;
 all columns of the documents stay.
 """
 
@@ -100,39 +103,80 @@ class Block:
         p = np.array([share.get(w, floor) for w in self.vocabulary], dtype="float64")
         self.items = [(item_id, np.array([self.vocabulary[w] for w in words], dtype=np.int64)) for item_id, words in items]
         seeds: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        short: dict[tuple[int, ...], list[int]] = defaultdict(list)
         for k, (_, ids) in enumerate(self.items):
+            if len(ids) < MIN_ITEM_WORDS:
+                short[tuple(ids.tolist())].append(k)
+                continue
             chance = p[ids[:-2]] * p[ids[1:-1]] * p[ids[2:]]
             chosen = set(np.flatnonzero(chance <= RARE)) | set(np.argsort(chance, kind="stable")[:LEAST_SEEDS])
             for at in chosen:
                 seeds[int(self.gram(ids, int(at)))].append((k, int(at)))
         self.grams = np.array(sorted(seeds), dtype=np.int64)
         self.places = [seeds[g] for g in self.grams.tolist()]
+        #: A trie of the short items: for each depth the sorted (node above, word) pairs as numbers, and who ends there.
+        self.trie: list[tuple[np.ndarray, dict[int, list[int]]]] = []
+        above = {(): 0}
+        for depth in range(1, MIN_ITEM_WORDS):
+            keys = {words[:depth]: above[words[: depth - 1]] * self.size + words[depth - 1] for words in short if len(words) >= depth}
+            if not keys:
+                break
+            level = np.array(sorted(set(keys.values())), dtype=np.int64)
+            above = {words: int(np.searchsorted(level, key)) for words, key in keys.items()}
+            self.trie.append((level, {above[words]: short[words] for words in keys if words in short}))
 
     def gram(self, ids: np.ndarray, at: int) -> int:
         return (int(ids[at]) * self.size + int(ids[at + 1])) * self.size + int(ids[at + 2])
 
     def hits(self, text: str | None) -> list[dict]:
         words = words_of(text)
-        if len(words) < SEED_WORDS or not len(self.grams):
+        if not words:
             return []
         ids = np.fromiter(map(self.vocabulary.get, words, repeat(-1)), dtype=np.int64, count=len(words))
-        at = np.flatnonzero((ids[:-2] >= 0) & (ids[1:-1] >= 0) & (ids[2:] >= 0))
-        if not len(at):
+        found = [*self.aligned(ids), *self.exact(ids)]
+        if not found:
             return []
+        spans = [m.span() for m in _WORD.finditer(text)]
+        shifted = len(spans) != len(words)  # lower() changed the words' number: no offsets then
+        out = []
+        for item, score, matches, first, last in found:
+            item_id, item_words = self.items[item]
+            start, end = (None, None) if shifted else (spans[first][0], spans[last][1])
+            out.append({"item_id": item_id, "score": score / (MATCH * len(item_words)), "n_matches": matches, "start": start, "end": end})
+        return sorted(out, key=lambda h: (h["item_id"] is None, h["item_id"] or 0))
+
+    def exact(self, ids: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        """item, score, equal words, first and last word of the first whole occurrence of each short item."""
+        at, node = np.flatnonzero(ids >= 0), np.int64(0)
+        for depth, (level, ends) in enumerate(self.trie):
+            keys = node * self.size + ids[at + depth]
+            node = np.minimum(np.searchsorted(level, keys), len(level) - 1)
+            same = level[node] == keys
+            at, node = at[same], node[same]
+            nodes, first = np.unique(node, return_index=True)
+            for k, place in zip(nodes.tolist(), at[first].tolist()):
+                for item in ends.get(k, ()):
+                    yield item, MATCH * (depth + 1), depth + 1, place, place + depth
+            further = at + depth + 1 < len(ids)
+            at, node = at[further], node[further]
+            known = ids[at + depth + 1] >= 0
+            at, node = at[known], node[known]
+
+    def aligned(self, ids: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        """item, score, equal words, first and last word of the best alignment of each longer item that leaks."""
+        at = np.flatnonzero((ids[:-2] >= 0) & (ids[1:-1] >= 0) & (ids[2:] >= 0)) if len(ids) >= SEED_WORDS else ids[:0]
+        if not len(at) or not len(self.grams):
+            return
         grams = (ids[at] * self.size + ids[at + 1]) * self.size + ids[at + 2]
         found = np.searchsorted(self.grams, grams)
         found[found == len(self.grams)] = 0
         same = self.grams[found] == grams
-        if not same.any():
-            return []
         diagonals: dict[int, list[int]] = defaultdict(list)
         for place, k in zip(at[same].tolist(), found[same].tolist()):
             for item, item_at in self.places[k]:
                 diagonals[item].append(place - item_at)
-        out = []
-        spans = None
         for item, starts in diagonals.items():
-            item_id, item_words = self.items[item]
+            item_words = self.items[item][1]
             n, best = len(item_words), None
             starts.sort()
             cuts = [0, *(k for k in range(1, len(starts)) if starts[k] - starts[k - 1] > n), len(starts)]
@@ -140,14 +184,10 @@ class Block:
                 low = max(0, starts[a] - n // 2)
                 window = ids[low : starts[b - 1] + n + n // 2 + 1]
                 score, matches, x, y, ix, iy = align(window, item_words)
-                if leaks(score, matches, max(y - x, iy - ix), n) and (best is None or score > best[0]):
-                    best = score, matches, low + x, low + y - 1
+                if leaks(score, matches, max(y - x, iy - ix), n) and (best is None or score > best[1]):
+                    best = item, score, matches, low + x, low + y - 1
             if best:
-                spans = spans or [m.span() for m in _WORD.finditer(text)]
-                shifted = len(spans) != len(words)  # lower() changed the words' number: no offsets then
-                start, end = (None, None) if shifted else (spans[best[2]][0], spans[best[3]][1])
-                out.append({"item_id": item_id, "score": best[0] / (MATCH * n), "n_matches": best[1], "start": start, "end": end})
-        return sorted(out, key=lambda h: h["item_id"])
+                yield best
 
 
 def word_shares(docs: DataFrame, vocabulary: set[str]) -> tuple[dict[str, float], int]:
@@ -175,7 +215,7 @@ def blocks_of(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[
     n = -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars)
     for k in range(n):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).distinct().collect()  # one block
-        block = [(r["item_id"], w) for r in rows if len(w := words_of(r["text"])) >= MIN_ITEM_WORDS]
+        block = [(r["item_id"], w) for r in rows if (w := words_of(r["text"]))]
         if block:
             yield sorted(block, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
 

@@ -91,3 +91,25 @@ def test_planted_passages_against_containment(spark):
     got = {(r.doc_id, r.item_id): r.score for r in D.query(spark, sf).collect()}
     assert whole and whole <= set(got)
     assert all(got[p] == 1.0 for p in whole)
+
+
+def test_short_items_exactly_against_brute_force():
+    rng = random.Random(11)
+    words = list("abcde")
+    items = [(k, [rng.choice(words) for _ in range(rng.randrange(1, D.MIN_ITEM_WORDS))]) for k in range(25)] + [(99, ["q", "a"])]
+    block = D.Block(items, {}, 0.1)
+    for _ in range(200):
+        text = [rng.choice([*words, "z", "y"]) for _ in range(rng.randrange(12))]
+        want = {}
+        for k, item in items:
+            places = [p for p in range(len(text)) if text[p : p + len(item)] == item]
+            if places:
+                want[k] = (1.0, len(item), " ".join(text[: places[0]] + [""]), len(" ".join(item)))
+        got = {h["item_id"]: (h["score"], h["n_matches"], " ".join(text)[: h["start"]], h["end"] - h["start"]) for h in block.hits(" ".join(text))}
+        assert got == want
+
+
+def test_short_and_long_items_together(spark):
+    docs = spark.createDataFrame([(1, f"A Short-One, here. {ITEM}"), (2, "short two one"), (3, "short one"), (4, "one"), (5, None)], "doc_id long, text string")
+    got = {r.doc_id: [(h.item_id, h.n_matches) for h in r.hits] for r in D.find_leaks(docs, items(spark)).collect()}
+    assert got == {1: [(1, 21), (2, 2), (9, 21)], 2: [], 3: [(2, 2)], 4: [], 5: []}
