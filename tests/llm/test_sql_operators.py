@@ -94,13 +94,39 @@ def test_line_dedup_keeps_columns_and_rewrites(spark):
     assert rows[0].dropped == "x"
 
 
-def test_runs_are_levelled(spark):
-    state = line_dedup.LineRuns(fanout=2)
+def line_batch(spark, b):
+    return spark.createDataFrame([(100 - 10 * b - d, bytes([k])) for d in range(3) for k in range(b + 2)], "doc_id long, key binary")
+
+
+@pytest.mark.parametrize("buckets", [None, 3])
+def test_runs_are_levelled_and_outlive_a_session(spark, buckets):
+    state = line_dedup.LineRuns(spark, fanout=2, buckets=buckets)
     for b in range(3):
-        state.add(spark.createDataFrame([(100 - 10 * b - d, bytes([k])) for d in range(3) for k in range(b + 2)], "doc_id long, key binary"))
+        state.add(line_batch(spark, b))
         assert all(len(level) < 2 for level in state.levels)
+        for level in state.levels:
+            for run in level:
+                spark.sql(f"DROP TABLE {run}")  # a later session's catalog does not have it
+        state = line_dedup.LineRuns.open(spark, state.folder)
+    assert (state.version, state.floor) == (3, 78)
     got = {bytes(r.key)[0]: (r.n_docs, r.owner) for r in state.merged().collect()}
     assert got == {0: (9, 100), 1: (9, 100), 2: (6, 90), 3: (3, 80)}
+    with pytest.raises(ValueError, match="falling order"):
+        state.add(line_batch(spark, 2))
+
+
+def test_runs_are_read_in_their_order(spark):
+    state = line_dedup.LineRuns(spark, fanout=3)
+    for b in range(2):
+        state.add(line_batch(spark, b))
+    first, second = state.runs()
+    with line_dedup.ordered_scans(spark):
+        for rows, joins in ((state.disowned(first), 2), (state.merged(), 1)):
+            plan = rows._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("SortMergeJoin") == joins
+            assert not re.search(r"Exchange|\bSort ", plan), plan
+    assert {bytes(r.key)[0]: r.owner for r in state.disowned(first).collect()} == {0: None, 1: None}
+    assert first.where("owner = 100").count() == 2
 
 
 def test_segments_and_machine(spark):
