@@ -9,7 +9,8 @@ seeded starts, so that junk among the rows doesn't widen it. Documents
 whose squared Mahalanobis distance passes ``CUTOFF`` are rejected.
 
 The starts are made on at most ``SAMPLE_ROWS`` documents of a group, those
-with the smallest hash of doc_id. The concentration steps from the best start
+with the smallest hash of doc_id, found among the rows under a limit of the
+hash that goes by the group's size. The concentration steps from the best start
 and the final centre, covariance and scale run over all rows of every group:
 each step adds up count, sums and products of the rows by class of distance
 (``CLASSES`` to a doubling), combined in each task before the shuffle, and
@@ -33,7 +34,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE_CHARS, annotate, materialise, table
@@ -214,6 +215,29 @@ def concentrated(classes: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
     return shift, covariance, float(2 ** ((t["class"].iloc[middle] + within) / CLASSES))
 
 
+def place_of(doc_id: Column, vector: Column) -> Column:
+    """The hash by which the start sample is taken; rows without an id are told apart by their vectors."""
+    return F.when(doc_id.isNull(), F.xxhash64(doc_id, vector)).otherwise(F.xxhash64(doc_id))
+
+
+def candidates(spread: DataFrame) -> DataFrame:
+    """spread: (.., h, level, lang, source). The rows that may be in a group's start sample: about ``2 * SAMPLE_ROWS`` hashes of each.
+
+    The share of the hash's range comes from a sketch of fixed size of the
+    group's distinct hashes, so what goes to the ranking does not grow with
+    the rows, nor with the tasks that read them. An estimate is off by some
+    5%, which leaves ``SAMPLE_ROWS`` hashes under the limit in any case. Only
+    copies of one row (equal ids too) share a hash; a task sends ``SAMPLE_ROWS``
+    of them at most.
+    """
+    names = ("level", "lang", "source")
+    limits = materialise(spread.groupBy(*names).agg((F.lit(2.0 * SAMPLE_ROWS) / F.approx_count_distinct("h")).alias("share")))
+    limits = limits.select(*(F.col(c).alias(f"l_{c}") for c in names), "share")
+    same = (F.col("level") == F.col("l_level")) & F.col("lang").eqNullSafe(F.col("l_lang")) & F.col("source").eqNullSafe(F.col("l_source"))
+    at = (F.col("h").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
+    return spread.join(limits, same & (at <= F.col("share"))).select(*spread.columns)
+
+
 def models(rows: DataFrame) -> DataFrame:
     """rows: (doc_id, lang, source, vector). A model for each (lang, source): lang, source, centre, inverse (null without one)."""
     floors = np.array(list(FLOOR.values()))
@@ -239,9 +263,9 @@ def models(rows: DataFrame) -> DataFrame:
     null = F.lit(None).cast("string")
     level = lambda k, lang, source: F.struct(F.lit(k).alias("level"), lang.alias("lang"), source.alias("source"))
     levels = F.explode(F.array(level(0, F.col("lang"), F.col("source")), level(1, F.col("lang"), null), level(2, null, null)))
-    spread = rows.select("doc_id", "vector", levels.alias("g")).select("doc_id", "vector", "g.*")
-    order = Window.partitionBy("level", "lang", "source").orderBy(F.xxhash64("doc_id"), "doc_id", "vector")
-    sample = spread.withColumn("place", F.row_number().over(order)).where(F.col("place") <= SAMPLE_ROWS)  # reduced in each task before the shuffle
+    spread = rows.select("doc_id", "vector", place_of(F.col("doc_id"), F.col("vector")).alias("h"), levels.alias("g")).select("doc_id", "vector", "h", "g.*")
+    order = Window.partitionBy("level", "lang", "source").orderBy("h", "doc_id", "vector")
+    sample = candidates(spread).withColumn("place", F.row_number().over(order)).where(F.col("place") <= SAMPLE_ROWS)
     enough = sample.withColumn("n", F.count("*").over(Window.partitionBy("level", "lang", "source"))).where(F.col("n") >= LEAST_ROWS)
     kinds = f"{GROUP}, centre array<double>, inverse array<double>"
     fitted = materialise(enough.groupBy("level", "lang", "source").applyInPandas(start, kinds))

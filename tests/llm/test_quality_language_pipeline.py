@@ -300,3 +300,51 @@ def test_letters_beyond_the_lower_planes_are_letters():
     assert (symbols == language_id._OTHER).sum() == 2
     keys, at = language_id.grams(symbols, starts)
     assert [int(n > 0) for n in np.diff(at)] == [1, 0, 1]
+
+
+def vectors(n, seed):
+    """Correlated statistics, with an eighth of far rows."""
+    rng, p = np.random.default_rng(seed), len(quality.FLOOR)
+    x = rng.normal(size=(n, p)) @ (np.eye(p) + 0.3 * rng.normal(size=(p, p)))
+    x[: n // 8] += rng.choice([2.0, 6.0, 20.0], size=(n // 8, 1)) * rng.normal(size=p)
+    return x
+
+
+def test_verdicts_equal_plain_concentration(spark):
+    groups = {("en", "a"): vectors(2600, 1), ("en", None): vectors(1200, 2), ("de", "a"): vectors(300, 3)}
+    data, ids = [], iter(range(10**6))
+    for (lang, source), x in groups.items():
+        data += [(next(ids), lang, source, row.tolist()) for row in x]
+    rows = spark.createDataFrame(data, "doc_id long, lang string, source string, vector array<double>")
+    hashes = dict(rows.select("doc_id", F.xxhash64("doc_id")).collect())
+    fitted = {(r.lang, r.source): r for r in quality.models(rows).collect()}
+    floors, limit, p = np.array(list(quality.FLOOR.values())), quality.chi_square(len(quality.FLOOR), quality.CUTOFF_Z), len(quality.FLOOR)
+    distance = lambda x, centre, inverse: np.einsum("ij,jk,ik->i", x - centre, inverse, x - centre)
+    rejected = 0
+    for (lang, source), x in groups.items():
+        order = np.argsort([hashes[d] for d, *key, _ in data if tuple(key) == (lang, source)], kind="stable")
+        centre, inverse = quality.mcd(x[order[: quality.SAMPLE_ROWS]], floors)
+        for _ in range(100):  # over all rows, sorted, until nothing moves
+            near = x[np.argsort(distance(x, centre, inverse), kind="stable")[: max(int(quality.SUPPORT * len(x)), p + 1)]]
+            centre, inverse = near.mean(axis=0), np.linalg.inv(np.cov(near.T) + np.diag(floors**2))
+        plain = distance(x, centre, inverse)
+        plain = plain / max(np.median(plain) / quality.chi_square(p, 0.0), 1.0)
+        got = fitted[lang, source]
+        own = distance(x, np.array(got.centre), np.array(got.inverse).reshape(p, p))
+        assert np.quantile(abs(own / plain - 1), 0.99) < 0.1
+        clear = abs(plain / limit - 1) > 0.1
+        assert ((own <= limit) == (plain <= limit))[clear].all()
+        rejected += int((plain > limit).sum())
+    assert rejected > 100
+
+
+def test_start_sample_does_not_grow_with_rows_or_tasks(spark):
+    def counted(n, parts):
+        rows = spark.range(0, n, 1, parts).select(F.col("id").alias("doc_id"), F.array(F.lit(0.5)).alias("vector"), F.explode(F.expr("array(1, 2)")).alias("level"), F.lit(None).cast("string").alias("lang"), F.lit("s").alias("source"))
+        found = quality.candidates(rows.withColumn("h", quality.place_of(F.col("doc_id"), F.col("vector")))).where("level = 2")
+        return {r.doc_id for r in found.collect()}, [r.id for r in spark.range(n).orderBy(F.xxhash64("id")).limit(quality.SAMPLE_ROWS).collect()]
+
+    for n in (500, 20_000, 80_000):
+        few, smallest = counted(n, 2)
+        many, _ = counted(n, 60)
+        assert few == many and few >= set(smallest) and len(few) < 3 * quality.SAMPLE_ROWS
