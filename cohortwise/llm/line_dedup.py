@@ -191,7 +191,8 @@ def drops(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT, min_cha
     state = LineRuns(docs.sparkSession, fanout=fanout)
     for k in range(batches):
         state.add(lines.where(F.col("batch") == k).select("doc_id", "key"))
-    frequent = state.merged().where(F.col("n_docs") >= min_docs).select("key", "owner")
+    # off the buckets again: only a side that is shuffled or broadcast lets adaptive execution deal with hot keys
+    frequent = materialise(state.merged().where(F.col("n_docs") >= min_docs).select("key", "owner"))
     lost = lines.select("doc_id", "key").join(frequent, "key").where(~F.col("doc_id").eqNullSafe(F.col("owner")))
     return lost.groupBy("doc_id").agg(F.collect_set("key").alias("dropped"))
 
