@@ -22,8 +22,12 @@ fitted by documents taken once more:
 Step 2 sees one row per size of a source, never documents. In step 3 the
 hash's range is cut into ``SLICES`` slices, counted per (source, size): all
 documents of the slices before the one that holds the last choice are
-selected, and only the documents inside that slice are ranked. So no task
-ranks a whole source, nor a whole group of copies.
+selected, and only the hashes inside that slice are counted in order. So no
+task ranks a whole source, nor a whole group of copies. The last choice comes
+back to the rows as a hash: whole rows, texts among them, stay where they
+are, unless the plan (one row per size of a source) passes ``SENT_ROWS``
+rows. Only rows that share the last choice's hash (repeats of a doc_id) are
+ranked themselves, and only if not all of them are taken.
 
 Defined results: a null text has size 0, documents of size 0 are taken 0
 words; a null source is a source of its own; an empty table gives no rows;
@@ -47,6 +51,8 @@ WEIGHTS = 3
 DP_BITS = 1 << 30
 SLICES = 1024
 SEED = 7
+#: Rows of a plan, one a (source, size), that are sent to all tasks at most; a longer plan is joined by a shuffle.
+SENT_ROWS = 500_000
 
 
 def targets(sources: DataFrame) -> DataFrame:
@@ -164,7 +170,18 @@ def with_size(docs: DataFrame) -> tuple[DataFrame, str]:
     return annotate(docs.withColumn("text", F.col("text").cast("string")), ["text"], f"{size} bigint", make), size
 
 
-def mix(sized: DataFrame, size: str = "size", seed: int = SEED) -> DataFrame:
+def _same(left: DataFrame, right: DataFrame, how: str = "left") -> DataFrame:
+    """left with the columns of right's row of the same source and size."""
+    right = right.withColumnsRenamed({"source": "r_source", "size": "r_size"})
+    return left.join(right, F.col("source").eqNullSafe(F.col("r_source")) & (F.col("size") == F.col("r_size")), how).drop("r_source", "r_size")
+
+
+def _small(rows: DataFrame, most: int) -> DataFrame:
+    """rows, to be sent to all tasks if they are ``most`` at most; the join gives the same either way."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
+def mix(sized: DataFrame, size: str = "size", seed: int = SEED, most_sent: int = SENT_ROWS) -> DataFrame:
     """sized: doc_id, source, a size column and any others. Adds source_size, target, taken."""
     # rows without an id are told apart by the whole row, so that they do not share one slice
     key = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(seed), F.struct(*sized.columns))).otherwise(F.xxhash64(F.lit(seed), F.col("doc_id")))
@@ -176,20 +193,24 @@ def mix(sized: DataFrame, size: str = "size", seed: int = SEED) -> DataFrame:
     given = by_size.join(goals, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     fitted = materialise(given.groupBy("source").applyInPandas(_fit, "source string, size long, n long, source_size long, target double, repeats long, chosen long"))
 
-    def same(left: DataFrame, right: DataFrame) -> DataFrame:
-        right = right.withColumnsRenamed({"source": "r_source", "size": "r_size"})
-        return left.join(right, F.col("source").eqNullSafe(F.col("r_source")) & (F.col("size") == F.col("r_size")), "left").drop("r_source", "r_size")
-
     # the slice that holds the last choice of each (source, size): a window over at most SLICES counts
-    sliced = same(counts, fitted.where("chosen > 0").select("source", "size", "chosen")).where("chosen is not null")
+    sliced = _same(counts, fitted.where("chosen > 0").select("source", "size", "chosen")).where("chosen is not null")
     upto = F.sum("n").over(Window.partitionBy("source", "size").orderBy("slice"))
-    cut = sliced.withColumn("upto", upto).where("upto >= chosen and upto - n < chosen").select("source", "size", F.col("slice").alias("cut"), F.expr("chosen - (upto - n)").alias("needed"))
-    plan = same(fitted, cut).select("source", "size", "source_size", "target", "repeats", "cut", "needed")
-    planned = same(rows, plan)
-    at_cut = F.coalesce(F.col("slice") == F.col("cut"), F.lit(False))
-    plain = planned.where(~at_cut).withColumn("more", F.coalesce(F.col("slice") < F.col("cut"), F.lit(False)).cast("int"))
-    rank = F.row_number().over(Window.partitionBy("source", "size", "slice").orderBy("key", "row.doc_id"))
-    ranked = planned.where(at_cut).withColumn("more", (rank <= F.col("needed")).cast("int"))
+    cut = materialise(sliced.withColumn("upto", upto).where("upto >= chosen and upto - n < chosen").select("source", "size", F.col("slice").alias("cut"), F.expr("chosen - (upto - n)").alias("needed")))
+    # the last choice in that slice, among its keys and their counts: rows of smaller keys go once more, of its own key so many as are still needed
+    keys = _same(rows.select("source", "size", "slice", "key"), _small(cut, most_sent)).where("slice = cut").groupBy("source", "size", "key").agg(F.count("*").alias("n"), F.first("needed").alias("needed"))
+    upto = F.sum("n").over(Window.partitionBy("source", "size").orderBy("key"))
+    last = keys.withColumn("upto", upto).where("upto >= needed and upto - n < needed").select("source", "size", F.col("key").alias("last"), F.expr("needed - (upto - n)").alias("of_last"), F.expr("upto > needed").alias("shared"))
+    plan = _same(_same(fitted, cut.drop("needed")), last).select("source", "size", "source_size", "target", "repeats", "cut", "last", "of_last", F.coalesce("shared", F.lit(False)).alias("shared"))
+    plan = materialise(plan)
+    # the plan goes to the rows; only rows that share a key of which not all are taken are ranked
+    planned = _same(rows, _small(plan, most_sent))
+    at_last = F.col("shared") & (F.col("key") == F.col("last"))
+    more = (F.col("slice") < F.col("cut")) | ((F.col("slice") == F.col("cut")) & (F.col("key") <= F.col("last")))
+    plain = planned.where(~F.coalesce(at_last, F.lit(False))).withColumn("more", F.coalesce(more, F.lit(False)).cast("int"))
+    tied = _same(rows, _small(plan.where("shared"), most_sent), "inner").where(at_last)
+    rank = F.row_number().over(Window.partitionBy("source", "size").orderBy("row.doc_id"))
+    ranked = tied.withColumn("more", (rank <= F.col("of_last")).cast("int"))
     names = [free_name(sized, n) for n in ("source_size", "target", "taken")]
     values = ("source_size", "target", F.col("size") * (F.col("repeats") + F.col("more")))
     return plain.unionByName(ranked).select(*(F.col(f"row.`{c}`").alias(c) for c in sized.columns), *((F.col(v) if isinstance(v, str) else v).alias(n) for v, n in zip(values, names)))

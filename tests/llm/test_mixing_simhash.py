@@ -61,6 +61,34 @@ def test_nothing_to_mix(spark):
     assert (row.target, row.taken) == (0.0, 0)
 
 
+def test_texts_stay_where_they_are(spark):
+    rng = random.Random(6)
+    rows = [(k, "w " * rng.randrange(1, 90), s) for k, s in enumerate(rng.choices(["a", "b", None], [60, 3, 10], k=600))]
+    sized, size = mixing.with_size(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out, joined = mixing.mix(sized, size), mixing.mix(sized, size, most_sent=0)
+        got = out.collect()
+        assert len(got) == 600 and sorted(map(str, got)) == sorted(map(str, joined.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "ShuffleQueryStage" not in plan and "SortMergeJoin" not in plan
+
+
+def test_repeats_of_an_id_are_told_apart_by_rank(spark):
+    """Of twelve rows of one doc_id and size, as many are taken as the target asks for, with either join."""
+    rows = [(1, f"x y{k}", "a") for k in range(12)] + [(k, "u v", "b") for k in range(2, 7)] + [(1, "x y3", "b"), (7, "o", "a")]
+    sized, size = mixing.with_size(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    for most_sent in (mixing.SENT_ROWS, 0):
+        got = mixing.mix(sized, size, most_sent=most_sent).collect()
+        assert sorted(r.text for r in got) == sorted(t for _, t, _ in rows)
+        assert len({r.taken for r in got if r.source == "a" and r.doc_id == 1}) == 2
+        for s in ("a", "b"):
+            assert abs(sum(r.taken for r in got if r.source == s) - next(r.target for r in got if r.source == s)) <= 1
+
+
 def test_budgets_are_met_as_brute_force_meets_them():
     rng = random.Random(2)
     for _ in range(150):
