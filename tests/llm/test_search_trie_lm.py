@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -296,6 +297,38 @@ def test_long_spellings_are_cut_without_a_trace():
         assert sizes == {0: 241, 1: 1, 2: 4}
 
 
+@pytest.mark.parametrize("depth", [1, 3, 5, 6, 7])
+def test_grams_sorted_with_their_pieces(depth):
+    """At six bytes gram and piece share a number up to 256 pieces, at seven for one piece only."""
+    rng = random.Random(9)
+    for n in (1, 40, 300):
+        spellings = [bytes(rng.choices(b"ab\xff ", k=rng.randrange(30))) + M.END for _ in range(n)]
+        keys = M.grams(spellings, depth)
+        padded = [M.END * depth + s for s in spellings]
+        assert keys.tolist() == [int.from_bytes(s[i - depth : i + 1], "big") for s in padded for i in range(depth, len(s))]
+        sizes = np.array([len(s) for s in spellings])
+        distinct, times, piece = M.sort_grams(keys, sizes, depth)
+        got = Counter(zip(np.repeat(distinct, times).tolist(), piece.tolist()))
+        assert got == Counter(zip(keys.tolist(), np.repeat(np.arange(n), sizes).tolist()))
+        assert np.all(distinct[1:] > distinct[:-1])
+
+
+def test_a_tree_keeps_the_grams_it_has_scored(monkeypatch):
+    """Texts scored in turn, through what was scored before, get what each gets alone."""
+    levels = [[(k, True, c, -0.5) for c in (97, 98)] + [(k, False, c << 8 | b, -0.1 * b) for c in (97, 98) for b in (97, 32)] for k in (1,)]
+    rows = [(0, False, b, -2.0) for b in range(256)] + levels[0]
+    columns = [pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.bool_(), pa.int64(), pa.float64()))]
+    table = pa.table(columns, names=["level", "is_context", "key", "value"])
+    make = lambda: M.Tree(table, 1, True, np.empty(0, dtype=np.int64))
+    spellings = [b"ab a" + M.END, b"aab" + M.END, b"zzz" + M.END, b"ab a" + M.END]
+    alone = [float(make().scores([s])[0]) for s in spellings]
+    for held in (1_000_000, 0):
+        monkeypatch.setattr(M, "HELD_GRAMS", held)
+        tree = make()
+        assert np.allclose([float(tree.scores([s])[0]) for s in spellings], alone)
+        assert len(tree.known) == len(np.unique(M.grams(spellings if held else spellings[-1:], 1)))
+
+
 def test_held_out_texts_score_above_word_counts(spark):
     """Whole documents at sf0.1: the tree gives held-out texts more than their word counts do."""
     docs = table(spark, "/root/testdata/sf0.1", "documents")
