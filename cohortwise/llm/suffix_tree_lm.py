@@ -27,10 +27,17 @@ Word counts (``base_score``) need every word's count in every text, and the
 vocabulary grows with the corpus, so it is never sent to tasks. Texts are
 taken in blocks; a block's words go, with the places and numbers of their
 occurrences, to the group of the word's hash, which counts the words and
-returns to each block its texts' sums. The few words with at least a share of
-2**-HEAVY_BITS of all (and 2**HEAVY_BITS occurrences), at most 2**HEAVY_BITS
-words, are the exception: their counts go to the blocks, so that no group
-holds a hot word. Words are told apart by 64-bit hashes.
+returns to each block its texts' sums. What is known of the texts themselves
+travels with one of a block's rows, so that blocks are made once and written
+nowhere. The few words with at least a share of 2**-HEAVY_BITS of all (and
+2**HEAVY_BITS occurrences), at most 2**HEAVY_BITS words, are the exception:
+their counts go to the blocks, so that no group holds a hot word. Words are
+told apart by 64-bit hashes.
+
+Memory of a task goes by the constants below, not by its input: texts come to
+Python in batches of ``BATCH_BYTES``, become strings ``SLICE_ROWS`` at a time
+and are held by blocks; counts go back in pieces of ``OUT_ROWS``; a shard is
+held once, as its arrays were sent.
 
 Defined results: a null text is empty and has the end token alone; without
 training texts, all words are unknown and counts are 0; a null doc_id is of
@@ -42,6 +49,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import count
 
 import numpy as np
@@ -57,7 +65,9 @@ DEPTH, PENALTY = 5, 0.1
 SHARD_ROWS, GROUP_WORDS = 4_000_000, 1 << 21
 HEAVY_BITS = 20
 #: A block of texts ends at so many texts or bytes; bytes whose grams are counted or scored at once; grams held in a task.
-BLOCK_DOCS, BLOCK_BYTES, CHUNK, HELD_GRAMS = 4096, 8 << 20, 1 << 20, 1_000_000
+BLOCK_DOCS, BLOCK_BYTES, CHUNK, HELD_GRAMS = 4096, 4 << 20, 1 << 19, 1_000_000
+#: Bytes of texts that come to Python at once, rows of them made strings at once, rows that go back at once.
+BATCH_BYTES, SLICE_ROWS, OUT_ROWS = 4 << 20, 128, 1 << 16
 FOLDS, HELD_FOLD = 7, 2
 END = b"\n"
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -158,6 +168,18 @@ def word_hashes(words) -> np.ndarray:
     return np.fromiter((xxh64_intdigest(w) for w in words), dtype=np.uint64, count=len(words)).view(np.int64)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs run meanwhile send rows to Python in batches of BATCH_BYTES, not 10,000 rows of any length."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def text_rows(docs: DataFrame, held_out: Column) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out.alias("held_out"))
 
@@ -169,8 +191,10 @@ def count_corpus(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
         found = GramCounts()
 
         def rows(kind, keys, n, trained):
-            columns = pa.array(np.full(len(keys), kind, dtype=np.int8)), pa.array(keys.view(np.int64)), pa.array(n), pa.array(trained)
-            return pa.RecordBatch.from_arrays(list(columns), names=["kind", "key", "n", "n_train"])
+            for low in range(0, len(keys), OUT_ROWS):
+                own = keys[low : low + OUT_ROWS]
+                columns = pa.array(np.full(len(own), kind, dtype=np.int8)), pa.array(own.view(np.int64)), pa.array(n[low : low + OUT_ROWS]), pa.array(trained[low : low + OUT_ROWS])
+                yield pa.RecordBatch.from_arrays(list(columns), names=["kind", "key", "n", "n_train"])
 
         for block in blocks(batches):
             hashes, spellings = {False: [], True: []}, []
@@ -184,15 +208,15 @@ def count_corpus(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
             own_trained, n_trained = np.unique(trained, return_counts=True)
             n_train = np.zeros(len(own), dtype=np.int64)
             n_train[place(own, own_trained)[0]] = n_trained
-            yield rows(WORD_ROWS, own, n, n_train)
-            yield rows(TEXT_ROWS, np.zeros(1, dtype=np.int64), np.array([len(block["text"])]), np.array([len(spellings)]))
+            yield from rows(WORD_ROWS, own, n, n_train)
+            yield from rows(TEXT_ROWS, np.zeros(1, dtype=np.int64), np.array([len(block["text"])]), np.array([len(spellings)]))
             for run in chunks(iter(spellings), depth):
                 found.add(run_grams(run, depth)[0])
                 if len(found.keys) >= HELD_GRAMS:
                     keys, n = found.take()
-                    yield rows(GRAM_ROWS, keys, n, n)
+                    yield from rows(GRAM_ROWS, keys, n, n)
         keys, n = found.take()
-        yield rows(GRAM_ROWS, keys, n, n)
+        yield from rows(GRAM_ROWS, keys, n, n)
 
     found = texts.mapInArrow(tally, "kind byte, key long, n long, n_train long")
     return materialise(found.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("n_train").alias("n_train")), "kind")
@@ -201,11 +225,10 @@ def count_corpus(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
     """Rows in blocks, as lists by column."""
     names, held, size = None, None, 0
-    for batch in batches:
-        names = batch.schema.names
-        columns = [batch.column(n).to_pylist() for n in names]
+    for piece in (batch.slice(low, SLICE_ROWS) for batch in batches for low in range(0, batch.num_rows, SLICE_ROWS)):
+        names = piece.schema.names
         text = names.index("text")
-        for row in zip(*columns):
+        for row in zip(*(piece.column(n).to_pylist() for n in names)):
             if held is None:
                 held, size = {n: [] for n in names}, 0
             for n, v in zip(names, row):
@@ -286,6 +309,13 @@ class Tree:
                 own = own[np.argsort(keys[own])]
                 into.append((keys[own], values[own]))
 
+    @classmethod
+    def of(cls, parts: dict) -> Tree:
+        """A tree upon the arrays of another one, given by vars(); they are not changed."""
+        tree = cls.__new__(cls)
+        vars(tree).update(parts)
+        return tree
+
     def own(self, keys: np.ndarray) -> np.ndarray:
         """Whether the shard scores these grams."""
         return np.ones(len(keys), dtype=bool) if self.whole else place(self.pairs, keys >> np.uint64(8) & np.uint64(0xFFFF))[1]
@@ -351,10 +381,10 @@ def tree_scores(texts: DataFrame, states: DataFrame, depth: int = DEPTH, shard_r
     """doc_id, text_hash, score: log10 of the probability of each distinct (doc_id, text)."""
     parts = None
     for g, shard in enumerate(shards(states, depth, shard_rows)):
-        shipped = ship(texts.sparkSession, shard)
+        sent = texts.sparkSession.sparkContext.broadcast(vars(shard))  # plain arrays: workers hold no pickled copy beside them
 
-        def run(batches: Iterator[pa.RecordBatch], shipped=shipped, g=g) -> Iterator[pa.RecordBatch]:
-            model = shipped()
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, g=g) -> Iterator[pa.RecordBatch]:
+            model = Tree.of(sent.value)
             for block in blocks(batches):
                 score = model.scores([spelled(t) for t in block["text"]])
                 columns = pa.array(block["doc_id"], pa.int64()), pa.array(text_hashes(block["text"])), pa.array(np.full(len(score), g, dtype=np.int32)), pa.array(score)
@@ -373,26 +403,26 @@ def text_hashes(texts: list[str | None]) -> np.ndarray:
 # --- word counts -------------------------------------------------------------
 
 _SENT = "part int, block long, hashes array<long>, trained array<int>, sizes array<int>, places array<int>, times array<int>"
-_INFO = "doc_ids array<long>, text_hashes array<long>, held array<boolean>, n_tokens array<long>, known array<long>, sums array<double>"
+_INFO = "rows int, doc_ids array<long>, text_hashes array<long>, held array<boolean>, n_tokens array<long>, own_known array<long>, own_sums array<double>"
 
 
 def word_blocks(texts: DataFrame, parts: int, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Of each block a row about its texts (part -1) and, for each part, the words of it with the places of their occurrences.
+    """Of each block, for each part, the words of it with the places of their occurrences; one of the rows also tells about the block's texts.
 
     heavy: sorted hashes and training counts of words that are summed here.
     """
     shipped = ship(texts.sparkSession, heavy)
     kinds = dict(part=pa.int32(), block=pa.int64(), hashes=pa.list_(pa.int64()), trained=pa.list_(pa.int32()), sizes=pa.list_(pa.int32()), places=pa.list_(pa.int32()), times=pa.list_(pa.int32()))
-    kinds |= dict(doc_ids=pa.list_(pa.int64()), text_hashes=pa.list_(pa.int64()), held=pa.list_(pa.bool_()), n_tokens=pa.list_(pa.int64()), known=pa.list_(pa.int64()), sums=pa.list_(pa.float64()))
+    kinds |= dict(rows=pa.int32(), doc_ids=pa.list_(pa.int64()), text_hashes=pa.list_(pa.int64()), held=pa.list_(pa.bool_()), n_tokens=pa.list_(pa.int64()), own_known=pa.list_(pa.int64()), own_sums=pa.list_(pa.float64()))
     schema = pa.schema(list(kinds.items()))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
+        from xxhash import xxh64_intdigest
 
         heavy_hashes, heavy_n = shipped()
         task = TaskContext.get().partitionId()
         for k, block in enumerate(blocks(batches)):
-            name = (task << 32) + k
             number, held = defaultdict(count().__next__), np.array(block["held_out"], dtype=bool)
             ids = []
             for text in block["text"]:
@@ -406,8 +436,9 @@ def word_blocks(texts: DataFrame, parts: int, heavy: tuple[np.ndarray, np.ndarra
             n = heavy_n[at] if len(heavy_n) else np.zeros(len(hashes), dtype=np.int64)
             mine = is_heavy[word]
             known, sums = _sums(n[word[mine]], place_of[mine], times[mine], docs)
-            about = dict(doc_ids=block["doc_id"], text_hashes=text_hashes(block["text"]), held=held, n_tokens=sizes + 1, known=known, sums=sums)
-            yield _rows(schema, [dict(part=-1, block=name, **about)])
+            about = dict(doc_ids=block["doc_id"], text_hashes=text_hashes(block["text"]), held=held, n_tokens=sizes + 1, own_known=known, own_sums=sums)
+            # a task run again after a loss may read other rows first: then the block has another name, and word_scores misses rows
+            name = int(np.uint64(xxh64_intdigest(repr((task, k, block["doc_id"])).encode() + about["text_hashes"].tobytes())).astype(np.int64))
             # the others by part, words of a part together
             word, place_of, times = word[~mine], place_of[~mine], times[~mine]
             trained = np.bincount(word, times * ~held[place_of], len(hashes)).astype(np.int32)
@@ -416,16 +447,18 @@ def word_blocks(texts: DataFrame, parts: int, heavy: tuple[np.ndarray, np.ndarra
             own = np.flatnonzero(spread)
             own = own[np.argsort(part[own], kind="stable")]
             starts = np.cumsum(spread) - spread
-            out = []
+            first, none = (task + k) % parts, np.empty(0, dtype=np.int64)
+            out = {first: dict(part=first, block=name, hashes=none, trained=none, sizes=none, places=none, times=none, **about)}
             for group in np.split(own, np.flatnonzero(np.diff(part[own].astype(np.int64))) + 1):
                 if len(group):
                     ends = np.cumsum(spread[group])
                     at = np.arange(ends[-1]) + np.repeat(starts[group] - (ends - spread[group]), spread[group])
-                    out.append(dict(part=int(part[group[0]]), block=name, hashes=hashes[group], trained=trained[group], sizes=spread[group], places=place_of[at], times=times[at]))
-            if out:
-                yield _rows(schema, out)
+                    p = int(part[group[0]])
+                    out.setdefault(p, dict(part=p, block=name)).update(hashes=hashes[group], trained=trained[group], sizes=spread[group], places=place_of[at], times=times[at])
+            out[first]["rows"] = len(out)
+            yield _rows(schema, list(out.values()))
 
-    return materialise(texts.mapInArrow(send, f"{_SENT}, {_INFO}"))
+    return texts.mapInArrow(send, f"{_SENT}, {_INFO}")
 
 
 def _rows(schema: pa.Schema, rows: list[dict]) -> pa.RecordBatch:
@@ -438,7 +471,8 @@ def _sums(n: np.ndarray, places: np.ndarray, times: np.ndarray, docs: int) -> tu
 
 
 def word_sums(sent: DataFrame) -> DataFrame:
-    """sent: as word_blocks gives them. Of each (part, block): places (texts), known, sums."""
+    """sent: as word_blocks gives them. Of each (part, block): places (texts), known, sums, and what was told about the texts."""
+    info = [c.split()[0] for c in _INFO.split(", ")]
 
     def answer(group: pa.Table) -> pa.Table:
         hashes = np.concatenate([x.values.to_numpy() for x in group.column("hashes")])
@@ -448,23 +482,26 @@ def word_sums(sent: DataFrame) -> DataFrame:
         out, low = [], 0
         for sizes, places, times in zip(*(group.column(c) for c in ("sizes", "places", "times"))):
             sizes, places, times = (x.values.to_numpy() for x in (sizes, places, times))
-            known, sums = _sums(np.repeat(n[low : low + len(sizes)], sizes), places, times, int(places.max()) + 1)
+            known, sums = _sums(np.repeat(n[low : low + len(sizes)], sizes), places, times, int(places.max(initial=-1)) + 1)
             low += len(sizes)
             there = np.flatnonzero(np.bincount(places))
             out.append((there, known[there], sums[there]))
         lists = [pa.array([x[i] for x in out], pa.list_(kind)) for i, kind in enumerate((pa.int32(), pa.int64(), pa.float64()))]
-        return pa.table([group.column("block"), *lists], names=["block", "places", "known", "sums"])
+        return pa.table([group.column("block"), *lists, *map(group.column, info)], names=["block", "places", "known", "sums", *info])
 
-    return sent.where("part >= 0").select(*(c.split()[0] for c in _SENT.split(", "))).groupBy("part").applyInArrow(answer, "block long, places array<int>, known array<long>, sums array<double>")
+    return sent.groupBy("part").applyInArrow(answer, f"block long, places array<int>, known array<long>, sums array<double>, {_INFO}")
 
 
 def word_scores(sent: DataFrame, tokens: int, types: int) -> DataFrame:
     """doc_id, text_hash, held_out, n_tokens, n_known, base_score of each text. tokens, types: of words and ends in training."""
     floor = float(np.log10(tokens + types + 1))
 
-    def gather(info: pa.Table, answers: pa.Table) -> pa.Table:
-        one = {f: info.column(f).combine_chunks().flatten() for f in ("doc_ids", "text_hashes", "held", "n_tokens", "known", "sums")}
-        known, sums = one["known"].to_numpy().copy(), one["sums"].to_numpy().copy()
+    def gather(answers: pa.Table) -> pa.Table:
+        info = answers.filter(answers.column("rows").is_valid())
+        if info.column("rows").to_pylist() != [len(answers)]:
+            raise RuntimeError("the texts were read again in another order: write the input to a table first")
+        one = {f: info.column(f).combine_chunks().flatten() for f in ("doc_ids", "text_hashes", "held", "n_tokens", "own_known", "own_sums")}
+        known, sums = one["own_known"].to_numpy().copy(), one["own_sums"].to_numpy().copy()
         for places, k, s in zip(*(answers.column(c) for c in ("places", "known", "sums"))):
             at = places.values.to_numpy()
             known[at] += k.values.to_numpy()
@@ -472,14 +509,14 @@ def word_scores(sent: DataFrame, tokens: int, types: int) -> DataFrame:
         base = sums - one["n_tokens"].to_numpy() * floor
         return pa.table([one["doc_ids"], one["text_hashes"], one["held"], one["n_tokens"], pa.array(known), pa.array(base)], names=["doc_id", "text_hash", "held_out", "n_tokens", "n_known", "base_score"])
 
-    info = sent.where("part = -1").select("block", *(c.split()[0] for c in _INFO.split(", "))).groupBy("block")
-    return info.cogroup(word_sums(sent).groupBy("block")).applyInArrow(gather, "doc_id long, text_hash long, held_out boolean, n_tokens long, n_known long, base_score double")
+    return word_sums(sent).groupBy("block").applyInArrow(gather, "doc_id long, text_hash long, held_out boolean, n_tokens long, n_known long, base_score double")
 
 
 def score(docs: DataFrame, held_out: Column, depth: int = DEPTH, penalty: float = PENALTY, shard_rows: int = SHARD_ROWS, group_words: int = GROUP_WORDS, heavy_bits: int = HEAVY_BITS) -> DataFrame:
     """docs: (doc_id, text). The scores of every row; the models learn from rows that are not held out."""
     texts = text_rows(docs, held_out)
-    counts = count_corpus(texts, depth)
+    with small_batches(docs.sparkSession):
+        counts = count_corpus(texts, depth)
     words = counts.where(F.col("kind") == WORD_ROWS)
     all_words, trained_words, types = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_train"), F.lit(0)), F.count_if(F.col("n_train") > 0)).first()
     trained_texts = counts.where(F.col("kind") == TEXT_ROWS).agg(F.coalesce(F.sum("n_train"), F.lit(0))).first()[0]
@@ -490,10 +527,12 @@ def score(docs: DataFrame, held_out: Column, depth: int = DEPTH, penalty: float
     order = np.argsort(heavy.column("key").to_numpy())
     heavy = heavy.column("key").to_numpy()[order], heavy.column("n_train").to_numpy()[order]
     sent = word_blocks(texts, max(1, -(-all_words // group_words)), heavy)
-    base = materialise(word_scores(sent, tokens, types))
+    with small_batches(docs.sparkSession):
+        base = materialise(word_scores(sent, tokens, types))
     end = float(np.log10(trained_texts + 1))  # the end token's share of the sum, in every text
     states = tree(counts.where(F.col("kind") == GRAM_ROWS).select("key", F.col("n_train").alias("n")), depth, penalty)
-    scored = tree_scores(texts, states, depth, shard_rows)
+    with small_batches(docs.sparkSession):
+        scored = materialise(tree_scores(texts, states, depth, shard_rows))
     same = base.join(scored.withColumnsRenamed({"doc_id": "id", "text_hash": "hash"}), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")))
     return same.select(
         "doc_id",

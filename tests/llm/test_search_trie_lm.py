@@ -335,3 +335,62 @@ def test_held_out_texts_score_above_word_counts(spark):
     out = M.score(docs, M.fold_of("doc_id", 7) == 2).where("held_out")
     base, own, better = out.agg(F.sum("base_score"), F.sum("score"), F.avg((F.col("score") > F.col("base_score")).cast("int"))).first()
     assert own > base and better > 0.7
+
+
+def test_a_large_batch_is_not_made_strings_at_once(monkeypatch):
+    """Blocks of 1 MB out of a batch of 24 MB: what is held of it as strings goes by the block, and no row is lost."""
+    import tracemalloc
+
+    monkeypatch.setattr(M, "BLOCK_BYTES", 1 << 20)
+    n = 12_000
+    batch = pa.record_batch([pa.array(range(n), pa.int64()), pa.array([f"{k:06d} " + "x" * 2000 for k in range(n)])], names=["doc_id", "text"])
+    seen = []
+    tracemalloc.start()
+    try:
+        for block in M.blocks(iter([batch])):
+            assert sum(map(len, block["text"])) < 1 << 21
+            seen += block["doc_id"]
+        assert tracemalloc.get_traced_memory()[1] < 6 << 20
+    finally:
+        tracemalloc.stop()
+    assert seen == list(range(n))
+
+
+def test_texts_come_to_python_in_small_batches(spark, monkeypatch):
+    """Batches go by bytes while the operator runs, and the session's setting is as before."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    monkeypatch.setattr(M, "BATCH_BYTES", 100_000)
+    docs = spark.createDataFrame([(k, f"{k} " * 2000) for k in range(200)], "doc_id long, text string").coalesce(1)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.nbytes], pa.int64())], names=["n"])
+
+    with M.small_batches(spark):
+        got = [r["n"] for r in docs.mapInArrow(sizes, "n long").collect()]
+    assert len(got) > 10 and max(got) < 200_000
+    assert len(M.score(docs, M.fold_of("doc_id", 7) == 2).collect()) == 200 and spark.conf.get(name) == before
+
+
+def test_counts_of_a_block_missing_an_answer_are_refused(spark):
+    """Each block's rows are told by number: an answer that is lost, or told of other rows, is no silent undercount."""
+    docs = spark.createDataFrame(texts(), "doc_id long, text string").repartition(3)
+    none = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    sent = M.materialise(M.word_blocks(M.text_rows(docs, F.lit(False)), 5, none))
+    assert sent.where("rows is not null").count() == sent.select("block").distinct().count() and sent.where("rows is null").count()
+    assert M.word_scores(sent, 1, 1).count() == len(texts())
+    lost = sent.where("rows is null").select("block", "part").first()
+    with pytest.raises(Exception, match="another order"):
+        M.word_scores(sent.where((F.col("block") != lost["block"]) | (F.col("part") != lost["part"])), 1, 1).count()
+
+
+def test_a_shard_arrives_as_the_arrays_that_were_sent():
+    """No pickled copy beside a shard's arrays; scoring through them does not change them."""
+    rows = [(0, False, b, -2.0) for b in range(256)]
+    columns = [pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.bool_(), pa.int64(), pa.float64()))]
+    sent = vars(M.Tree(pa.table(columns, names=["level", "is_context", "key", "value"]), 1, True, np.empty(0, dtype=np.int64)))
+    for _ in range(2):
+        tree = M.Tree.of(sent)
+        assert tree.grams[0][1] is sent["grams"][0][1] and len(tree.known) == 0
+        assert np.allclose(tree.scores([b"ab" + M.END]), -6.0) and len(sent["known"]) == 0
